@@ -1,2 +1,100 @@
-def register(add):
-    pass
+"""Forward-pass logs and token totals: J2, E1 to E6, E14, U1, ST2."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from babelgauge import streaming
+from babelgauge.operators import latency as L
+from babelgauge.operators.batching import token_length, unmask
+from babelgauge.operators.inference import translate_batches, word_map
+from babelgauge.session import work_path
+
+TRANSLATIONS = {"the": "le", "and": "et", "of": "de", "to": "a"}  # the stand-in model of the inference query
+
+
+def rounded(df, **digits):
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+def events_stream(t):
+    """The events table as a file stream, in the role of the growing forward log."""
+    schema = t.events.schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    kind = F.when(F.col("event_type").isin("signup", "purchase"), "encoder").otherwise("decoder")
+    return stream.where("event_type <> 'error'").select("ts", kind.alias("layer_type"),
+                                                        (F.col("value") / 1000).alias("latency_s"))
+
+
+def register(add) -> None:
+    zipped = """zipped AS (SELECT c.run_id, c.call_seq, c.batch_idx, c.latency_s, b.n_tokens FROM (
+            SELECT run_id, call_seq, latency_s,
+                row_number() OVER (PARTITION BY run_id ORDER BY call_seq) - 1 AS batch_idx
+            FROM forward_log WHERE layer_type = 'encoder') c LEFT JOIN batch_tokens b USING (run_id, batch_idx))"""
+    add("j2_batch_zip", lambda t: L.zip_batches(t.forward_log, t.batch_tokens),
+        f"WITH {zipped} SELECT run_id, batch_idx, call_seq, latency_s, n_tokens FROM zipped")
+    add("e1_mean_latency", lambda t: rounded(L.mean_latency(t.forward_log), encoder_latency_s=12, decoder_latency_s=12),
+        """SELECT run_id, round(avg(latency_s) FILTER (WHERE layer_type = 'encoder'), 12) AS encoder_latency_s,
+            round(avg(latency_s) FILTER (WHERE layer_type = 'decoder'), 12) AS decoder_latency_s
+        FROM forward_log GROUP BY run_id""")
+    add("e2_per_token_latency", lambda t: rounded(L.per_token_latency(L.zip_batches(t.forward_log, t.batch_tokens)),
+                                                  per_call=12, per_token=12),
+        f"""WITH {zipped} SELECT run_id, round(avg(latency_s), 12) AS per_call,
+            round(avg(latency_s / nullif(n_tokens, 0)), 12) AS per_token, count(n_tokens) AS matched_calls
+        FROM zipped GROUP BY run_id""")
+    add("e3_throughput", lambda t: rounded(L.throughput(t.forward_log, t.run_tokens), encoder_mean_based=5,
+        encoder_sum_based=8, decoder_mean_based=5, decoder_sum_based=8),
+        """SELECT run_id, round(max(encoder_tokens) / avg(e), 5) AS encoder_mean_based,
+            round(max(encoder_tokens) / sum(e), 8) AS encoder_sum_based,
+            round(max(decoder_tokens) / avg(d), 5) AS decoder_mean_based,
+            round(max(decoder_tokens) / sum(d), 8) AS decoder_sum_based
+        FROM (SELECT run_id, CASE WHEN layer_type = 'encoder' THEN latency_s END AS e,
+            CASE WHEN layer_type = 'decoder' THEN latency_s END AS d FROM forward_log) l JOIN run_tokens USING (run_id)
+        GROUP BY run_id""")
+    lengths = "len(list_filter(ids, lambda x: x <> 0 AND x <> -100))"
+    gen_len = token_length(unmask(F.col("ids")))
+    add("e4_decoded_tokens", lambda t: t.token_ids.agg(F.sum(gen_len).alias("decoded_tokens")),
+        f"SELECT CAST(sum({lengths}) AS BIGINT) AS decoded_tokens FROM token_ids")
+    add("e5_mean_length", lambda t: t.token_ids.agg(F.round(F.avg(gen_len), 9).alias("gen_len")),
+        f"SELECT round(avg({lengths}), 9) AS gen_len FROM token_ids")
+    add("e6_batch_check", lambda t: L.batch_check(t.forward_log, t.batch_tokens),
+        """SELECT run_id, encoder_calls, batches, encoder_calls <> batches AS mismatch
+        FROM (SELECT run_id, count(*) FILTER (WHERE layer_type = 'encoder') AS encoder_calls FROM forward_log GROUP BY 1) c
+        JOIN (SELECT run_id, count(*) AS batches FROM batch_tokens GROUP BY 1) b USING (run_id)""")
+    add("e14_end_to_end", lambda t: rounded(L.end_to_end(t.forward_log, t.run_tokens.select("run_id", "n_rows")),
+                                            latency_s=9, rows_per_s=9),
+        """SELECT run_id, n_rows, round(s, 9) AS latency_s, round(n_rows / s, 9) AS rows_per_s
+        FROM (SELECT run_id, sum(latency_s) AS s FROM forward_log GROUP BY run_id) l JOIN run_tokens USING (run_id)""")
+
+    def u1(t):
+        source = t.documents.select(F.col("doc_id").alias("idx"), F.col("text").alias("source"))
+        done = translate_batches(source, word_map(TRANSLATIONS), batch_size=32, run_id=7)
+        return done.select("idx", "run_id", "batch_id", F.md5("prediction").alias("digest"),
+                           (F.col("latency_s") >= 0).alias("timed"))
+
+    mapped = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TRANSLATIONS.items())
+    add("u1_batched_map", u1, f"""SELECT doc_id AS idx, CAST(7 AS BIGINT) AS run_id, doc_id // 32 AS batch_id,
+            md5(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE w {mapped} ELSE w END), ' '))
+            AS digest, true AS timed FROM documents""")
+
+    def st2(t):
+        path = work_path(t.spark, "tail-latency")
+        streaming.run_to_table(streaming.tail_latency(events_stream(t)), path).awaitTermination()
+        return rounded(t.spark.read.parquet(f"{path}/table"), mean_latency_s=12)
+
+    add("st2_tail_latency", st2, """SELECT layer_type, round(avg(latency_s), 12) AS mean_latency_s, count(*) AS calls
+        FROM forward_log GROUP BY layer_type""")
+
+    def st2_windows(t):
+        path = work_path(t.spark, "window-latency")
+        closed = streaming.windowed_latency(events_stream(t))
+        streaming.run_to_table(closed, path, "append").awaitTermination()
+        done = t.spark.read.parquet(f"{path}/table")
+        return rounded(done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")), mean_latency_s=12)
+
+    add("st2_windowed_latency", st2_windows, """
+        SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, layer_type,
+            round(avg(latency_s), 12) AS mean_latency_s, count(*) AS calls
+        FROM forward_log WHERE date_trunc('day', ts) + INTERVAL 1 DAY
+            <= (SELECT max(ts) FROM forward_log) - INTERVAL 1 HOUR
+        GROUP BY ALL""")

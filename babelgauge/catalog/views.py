@@ -162,7 +162,7 @@ def with_views(sql: str) -> str:
     if not ctes:
         return sql
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
+    if re.match(r"WITH\s", body):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body
 

@@ -43,11 +43,13 @@ def spread_by_metric(df: DataFrame, metrics: Sequence[str], by: Sequence[str] =
 def filtered_sizes(runs: DataFrame) -> DataFrame:
     """Corpus size left by every input-length limit, over multi-sentence runs.
 
-    All runs of a dataset and limit should agree; where they do not, the first in key order is taken.
+    All runs of a dataset and limit should agree; where they do not, the first in key order is taken. Files too
+    old to record the size are left out.
     """
     key = F.struct("model_name", "batch_size", "beam_size", "max_gen_length", "tokenizer_padding_setting",
                    "dataset_size_after_filter_wrt_input_len")
-    return runs.where(F.col("dataset_size") != 1).groupBy("dataset_name", "max_input_seq_length").agg(
+    recorded = F.col("dataset_size_after_filter_wrt_input_len").isNotNull()
+    return runs.where((F.col("dataset_size") != 1) & recorded).groupBy("dataset_name", "max_input_seq_length").agg(
         F.min_by("dataset_size_after_filter_wrt_input_len", key).alias("size_after_filter"),
         F.max("dataset_size").alias("dataset_size"))
 
