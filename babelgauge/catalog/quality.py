@@ -8,7 +8,6 @@ from babelgauge.functions.text import word_count
 from babelgauge.operators.quality import (Meteor, evaluate, metric, metrics, row_statistics, scores, sum_statistics)
 from babelgauge.operators.vocabulary import canonical_tokens
 from babelgauge.functions.text import tokens_13a
-from babelgauge.session import spread
 
 DIGITS = 9  # scores are compared to nine decimals; exp and ln differ in the last bits between engines
 NAMES = ["sacrebleu", "spBleu", "chrf", "chrfpp", "meteor"]
@@ -168,7 +167,7 @@ def register(add) -> None:
 
     def m8(t):
         chosen = metrics(["sacrebleu", "meteor"])
-        batches = sum_statistics(row_statistics(spread(t.pairs), chosen, ["run_id", "lang"]), ["run_id", "lang"])
+        batches = sum_statistics(row_statistics(t.pairs, chosen, ["run_id", "lang"]), ["run_id", "lang"])
         merged = sum_statistics(batches.drop("run_id"), ["lang"])
         return rounded(scores(merged, chosen, ["lang"]))
 

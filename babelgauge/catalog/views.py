@@ -10,6 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from babelgauge.session import read_spread
+
+TEXT_TABLES = ["documents", "benchmark"]  # read with enough partitions for text work
 TABLES = ["documents", "benchmark", "conversations", "events", "lineitem"]
 
 # name -> SQL that both engines read the same way
@@ -174,7 +177,8 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        return read_spread(self.spark, path) if name in TEXT_TABLES else self.spark.read.parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         views = SHARED | SPARK_VIEWS

@@ -66,26 +66,26 @@ def bootstrap_interval(df: DataFrame, measure: str, by: Sequence[str], row_key:
                        samples: int = 200) -> DataFrame:
     """Mean per group with a Poisson-bootstrap 95 % interval.
 
-    Every row draws a Poisson(1) weight per resample from a hash of its key, so all resamples are sums in one
-    aggregation pass and a recomputed task draws the same weights.
+    Every row draws a Poisson(1) weight per resample from a hash of its key: all resamples are sums of one
+    aggregation, combined on the map side, and a recomputed task draws the same weights.
     """
-    thresholds = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815]
-    weights = []
-    for i in range(samples):
-        draw = F.pmod(F.xxhash64(*row_key, F.lit(i)), F.lit(1 << 30)) / float(1 << 30)
-        weight = sum((F.when(draw > t, 1).otherwise(0) for t in thresholds), F.lit(0))
-        weights.append((weight, i))
-    value = F.col(measure)
-    sums = df.where(value.isNotNull()).groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.count(value).alias("n"),
-        *[(F.sum(w * value) / F.nullif(F.sum(w), F.lit(0))).alias(f"_b{i}") for w, i in weights])
-    resampled = F.array_sort(F.array_compact(F.array(*[F.col(f"_b{i}") for _, i in weights])))
-    sized = sums.withColumn("_b", resampled)
+    poisson = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815]
+    draw = F.pmod(F.xxhash64("_row", "_sample"), F.lit(1 << 30)) / float(1 << 30)
+    weight = sum((F.when(F.col("_draw") > t, 1).otherwise(0) for t in poisson), F.lit(0))
+    rows = df.where(F.col(measure).isNotNull()).select(*by, F.col(measure).alias("_value"),
+                                                       F.xxhash64(*row_key).alias("_row"))
+    drawn = rows.withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))) \
+        .withColumn("_draw", draw).withColumn("_weight", weight)
+    # one row per group and resample leaves a task, however many rows came in
+    means = drawn.groupBy(*by, "_sample").agg(
+        (F.sum(F.col("_weight") * F.col("_value")) / F.nullif(F.sum("_weight"), F.lit(0))).alias("_mean"))
+    sorted_means = means.groupBy(*by).agg(F.sort_array(F.collect_list("_mean")).alias("_b"))  # ``samples`` numbers
+    plain = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_value").alias("mean"))
 
     def at(share: float) -> Column:
         return F.get("_b", F.floor((F.size("_b") - 1) * F.lit(share)).cast("int"))
 
-    return sized.select(*by, "n", "mean", at(0.025).alias("low"), at(0.975).alias("high"))
+    return plain.join(sorted_means, list(by)).select(*by, "n", "mean", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 100, by: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from babelgauge.session import settle
+
 BLOCK_WIDTH = 1 << 20  # order positions per block, for integer sequence columns
 BLOCKS = 128            # blocks per column, for value columns
 
@@ -42,14 +44,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def value_blocks(df: DataFrame, columns: Sequence[str], blocks: int = BLOCKS) -> dict[str, list[float]]:
-    """Block bounds that cut every column into about equally many rows: at most ``blocks`` numbers each.
+def value_blocks(counts: DataFrame, blocks: int = BLOCKS) -> dict[str, list[float]]:
+    """Bounds that cut the distinct values of every ``column`` into about equal blocks.
 
-    They only balance the work. Any bounds give the same results, so a rough quantile is good enough.
+    At most ``blocks`` numbers per measured column come to the driver. They only balance the work: any bounds
+    give the same results, so a rough quantile is good enough.
     """
     probabilities = [i / blocks for i in range(1, blocks)]
-    bounds = df.select(*[F.col(c).cast("double") for c in columns]).approxQuantile(list(columns), probabilities, 0.001)
-    return {c: sorted(set(b)) for c, b in zip(columns, bounds)}
+    found = counts.groupBy("column").agg(F.percentile_approx("value", probabilities, 1000).alias("bounds")).collect()
+    return {row["column"]: sorted(set(row["bounds"])) for row in found}
 
 
 def block_of(value: Column, bounds: Sequence[float]) -> Column:
@@ -63,14 +66,15 @@ def block_of(value: Column, bounds: Sequence[float]) -> Column:
 def cumulative_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``by``, ``column``, ``value``, ``n``, ``cum``, ``total``: every distinct value with its running count.
 
-    Equal values are counted before anything is sorted, so a hot value is one row. Nulls are left out.
+    Equal values are counted before anything is sorted, so a hot value is one row. Nulls are left out. The counts
+    are written out once: the source is read a single time, and a retried task sees the same block bounds.
     """
-    bounds = value_blocks(df, columns)
     long = df.select(*by, *[F.col(c).cast("double") for c in columns]) \
         .unpivot([F.col(c) for c in by], [F.col(c) for c in columns], "column", "value").where("value IS NOT NULL")
     keys = [*by, "column"]
-    counts = long.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    block = F.coalesce(*[F.when(F.col("column") == c, block_of(F.col("value"), b)) for c, b in bounds.items()])
+    counts = settle(long.groupBy(*keys, "value").agg(F.count("*").alias("n")), "value-counts")
+    block = F.coalesce(*[
+        F.when(F.col("column") == c, block_of(F.col("value"), b)) for c, b in value_blocks(counts).items()], F.lit(0))
     cumulative = running_sum(counts, keys, "value", F.col("n"), "cum", block)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     return null_safe_join(cumulative, totals, keys)

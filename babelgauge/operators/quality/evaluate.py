@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from babelgauge.functions.text import strip
 from babelgauge.operators.quality.metrics import HYP, REF, Metric
-from babelgauge.session import spread
 
 
 def row_statistics(pairs: DataFrame, metrics: Sequence[Metric], keep: Sequence[str | Column] = (),
@@ -55,5 +54,5 @@ def evaluate(pairs: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = ()
     if gen_len is not None:
         keep += [gen_len.cast("double").alias("_gen"), F.lit(1).cast("long").alias("_rows")]
         extra = [(F.col("_gen") / F.col("_rows")).alias("gen_len")]
-    statistics = row_statistics(spread(pairs), metrics, keep, prediction, reference)
+    statistics = row_statistics(pairs, metrics, keep, prediction, reference)
     return scores(sum_statistics(statistics, by), metrics, by, extra)

@@ -54,12 +54,23 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, task_bytes: int = 16 << 20) -> DataFrame:
-    """Give a *small* input enough partitions for CPU-heavy map work; leave a large one alone.
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """The same rows from a table in the shared folder, for results that several later steps read.
+
+    A written table survives lost executors and is computed once, where a lazy plan would be computed per reader.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_spread(spark: SparkSession, path: str, task_bytes: int = 16 << 20) -> DataFrame:
+    """Read a Parquet table, with enough partitions for CPU-heavy work even if it is *small*.
 
     A file with a single row group is one task however many cores there are. The extra shuffle is paid only
-    while the input is smaller than ``task_bytes`` per core; beyond that the scan has splits enough.
+    while the table is smaller than ``task_bytes`` per core; beyond that the scan has splits enough.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores * 2) if size < cores * task_bytes else df
