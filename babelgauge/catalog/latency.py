@@ -52,10 +52,13 @@ def register(add) -> None:
             CASE WHEN layer_type = 'decoder' THEN latency_s END AS d FROM forward_log) l JOIN run_tokens USING (run_id)
         GROUP BY run_id""")
     lengths = "len(list_filter(ids, lambda x: x <> 0 AND x <> -100))"
-    gen_len = token_length(unmask(F.col("ids")))
-    add("e4_decoded_tokens", lambda t: t.token_ids.agg(F.sum(gen_len).alias("decoded_tokens")),
+
+    def gen_len():
+        return token_length(unmask(F.col("ids")))
+
+    add("e4_decoded_tokens", lambda t: t.token_ids.agg(F.sum(gen_len()).alias("decoded_tokens")),
         f"SELECT CAST(sum({lengths}) AS BIGINT) AS decoded_tokens FROM token_ids")
-    add("e5_mean_length", lambda t: t.token_ids.agg(F.round(F.avg(gen_len), 9).alias("gen_len")),
+    add("e5_mean_length", lambda t: t.token_ids.agg(F.round(F.avg(gen_len()), 9).alias("gen_len")),
         f"SELECT round(avg({lengths}), 9) AS gen_len FROM token_ids")
     add("e6_batch_check", lambda t: L.batch_check(t.forward_log, t.batch_tokens),
         """SELECT run_id, encoder_calls, batches, encoder_calls <> batches AS mismatch

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from babelgauge.operators.ordering import running_sum
+from babelgauge.plans.studies import merged_runs
 from babelgauge.session import read_spread
 
 TEXT_TABLES = ["documents", "benchmark"]  # read with enough partitions for text work
@@ -192,6 +194,15 @@ class Inputs:
                      views[name])
         return self.spark.sql(sql, **sources)
 
+    @property
+    def batch_tokens(self) -> DataFrame:
+        """As the SQL view, but batches are numbered without a window over a whole run."""
+        calls = self.events.where("event_type IN ('signup', 'purchase')").selectExpr(
+            "user_id % 20 AS run_id", "event_id", "value",
+            "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS n_tokens")
+        return running_sum(calls, ["run_id"], "event_id", F.lit(1), "place").where("n_tokens > 0 OR value > 25") \
+            .selectExpr("run_id", "CAST(place - 1 AS BIGINT) AS batch_idx", "n_tokens")
+
     @property
     def fragments(self) -> list[DataFrame]:
         return [self.frag_21, self.frag_22, self.frag_23, self.frag_24]
@@ -199,6 +210,4 @@ class Inputs:
     @property
     def clean(self) -> DataFrame:
         """The merged and cleaned run table."""
-        from babelgauge.plans.studies import merged_runs
-
         return merged_runs(self.fragments)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # The characters that count as white space in result files written by Python tools.
@@ -88,8 +89,6 @@ def sentencepiece_tokenizer(model_path: str) -> Callable[[Column], Column]:
 
     Ship the model with ``spark.sparkContext.addFile(path)`` and pass its base name, or give a shared path.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def encode(texts: pd.Series) -> pd.Series:
         import os

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+
+TYPES = {"string": StringType(), "long": LongType(), "double": DoubleType(), "boolean": BooleanType()}
 
 # The result row, in file order.
 RUN_DDL = """
@@ -35,11 +37,16 @@ EXPERIMENT_KEYS = [
 ]
 
 
+def schema_of(ddl: str) -> StructType:
+    """A flat schema from ``name type, ...``; needs no running session, so modules can use it on import."""
+    parts = [part.split() for part in ddl.split(",")]
+    return StructType([StructField(name, TYPES[kind]) for name, kind in parts])
+
+
 def run_schema(version: int = 24) -> StructType:
     """Schema of a result file with the given number of columns."""
-    full = StructType.fromDDL(RUN_DDL)
     missing = MISSING_BY_VERSION[version]
-    return StructType([field for field in full.fields if field.name not in missing])
+    return StructType([field for field in schema_of(RUN_DDL).fields if field.name not in missing])
 
 
 RUN_COLUMNS = run_schema().names

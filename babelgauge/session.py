@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDERS: dict[str, str] = {}  # local sessions without a configured folder, by application
+
 
 def get_spark(app: str = "babelgauge", cores: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benches. On a cluster the submitter provides the session."""
@@ -39,14 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder; on a cluster a machine-local folder would
     lose data with the executor, so an unset value is an error there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FOLDERS.get(app)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="babelgauge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="babelgauge-")
+    return _LOCAL_FOLDERS[app]
 
 
 def work_path(spark: SparkSession, label: str) -> str:

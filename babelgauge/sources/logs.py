@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from babelgauge.schemas import FAILURE_DDL, FORWARD_DDL, FORWARD_FILE_DDL
+from babelgauge.schemas import FAILURE_DDL, FORWARD_DDL, FORWARD_FILE_DDL, schema_of
 
 
 def read_forward_files(spark: SparkSession, path: str) -> DataFrame:
@@ -30,8 +30,7 @@ def read_forward_log(spark: SparkSession, path: str) -> DataFrame:
 
 def append_failures(failures: DataFrame, path: str) -> None:
     """Header-less failure records."""
-    names = [field.strip().split(" ")[0] for field in FAILURE_DDL.split(",")]
-    failures.select(*names).write.mode("append").csv(path)
+    failures.select(*schema_of(FAILURE_DDL).names).write.mode("append").csv(path)
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +59,7 @@ def write_failure_texts(failures: DataFrame, path: str) -> None:
 def read_failure_texts(spark: SparkSession, path: str) -> DataFrame:
     """Failure records back from the text logs; lines of any other kind (tracebacks) are skipped."""
     lines = spark.read.text(path).where(F.col("value").startswith("Hyperparameters: "))
-    types = {part.split()[0]: part.split()[1] for part in FAILURE_DDL.split(",")}
+    types = {field.name: field.dataType for field in schema_of(FAILURE_DDL)}
     return lines.select(*[
         F.regexp_extract("value", rf"{label}{separator}([^,]*?)\s*(,|$)", 1).cast(types[column]).alias(column)
         for label, column, separator in TEXT_ENTRIES])
