@@ -12,7 +12,7 @@ from babelgauge.operators.quality import metrics
 from babelgauge.operators.triage import next_batch_size, spend_budget, triage
 from babelgauge.plans.experiment import assemble_results
 from babelgauge.schemas import EXPERIMENT_KEYS, RUN_COLUMNS
-from babelgauge.sources.corpora import within_length
+from babelgauge.session import small_input_tasks
 from babelgauge.streaming import stream_scores
 
 KEYS = ", ".join(EXPERIMENT_KEYS)
@@ -47,8 +47,10 @@ def prior(t):
 
 def pairs_stream(t):
     """The documents as a file stream of prediction/reference pairs."""
-    stream = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet") \
-        .parquet(t.folder)
+    stored = t.spark.read.parquet(f"{t.folder}/documents.parquet")
+    stream = t.spark.readStream.schema(stored.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
+    tasks = small_input_tasks(stored)
+    stream = stream.repartition(tasks) if tasks else stream
     predicted = """array_join(transform(filter(split(text, ' ', -1), w -> length(w) <> 2),
         w -> CASE WHEN length(w) = 3 THEN concat(w, 's') ELSE w END), ' ') AS prediction"""
     return stream.selectExpr("lang", "text AS reference", predicted)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from babelgauge.operators.ordering import cumulative_counts, quantiles
+from babelgauge.operators.ordering import cumulative_counts, null_safe_join, quantiles
 
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
@@ -15,17 +15,21 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exac
     Exact quartiles come from blocked running counts, so they need no task that holds a whole column;
     ``exact=False`` uses the quantile sketch in a single pass.
     """
-    long = unpivot(df, columns, by)
     keys = [*by, "column"]
-    basic = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-             F.min("value").alias("min"), F.max("value").alias("max")]
     if not exact:
         sketch = F.percentile_approx("value", [0.25, 0.5, 0.75], 10000)
-        return long.groupBy(*keys).agg(*basic, sketch.alias("q")).select(
-            *keys, "count", "mean", "std", "min", F.get("q", 0).alias("q_25"), F.get("q", 1).alias("q_50"),
-            F.get("q", 2).alias("q_75"), "max")
-    quartiles = quantiles(cumulative_counts(df, columns, by), [0.25, 0.5, 0.75], by)
-    return long.groupBy(*keys).agg(*basic).join(quartiles, keys)
+        return unpivot(df, columns, by).groupBy(*keys).agg(
+            F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"), sketch.alias("q")) \
+            .selectExpr(*keys, "count", "mean", "std", "min", "q[0] AS q_25", "q[1] AS q_50", "q[2] AS q_75", "max")
+    counted = cumulative_counts(df, columns, by)
+    basic = counted.groupBy(*keys).agg(F.sum("n").alias("count"), F.expr("sum(n * value) / sum(n)").alias("mean"),
+                                       F.min("value").alias("min"), F.max("value").alias("max"))
+    centred = null_safe_join(counted, basic.select(*keys, "mean"), keys)  # one row per group on the right
+    spread = centred.groupBy(*keys).agg(
+        F.expr("sqrt(sum(n * pow(value - mean, 2D)) / nullif(sum(n) - 1, 0))").alias("std"))
+    quartiles = quantiles(counted, [0.25, 0.5, 0.75], by)
+    return null_safe_join(null_safe_join(basic, spread, keys), quartiles, keys)
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

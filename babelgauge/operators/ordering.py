@@ -55,12 +55,17 @@ def value_blocks(counts: DataFrame, blocks: int = BLOCKS) -> dict[str, list[floa
     return {row["column"]: sorted(set(row["bounds"])) for row in found}
 
 
-def block_of(value: Column, bounds: Sequence[float]) -> Column:
-    """The number of bounds below the value."""
-    if not bounds:
-        return F.lit(0)
-    return F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0),
-                       lambda n, bound: n + F.when(value > bound, 1).otherwise(0))
+def block_of(bounds: dict[str, list[float]]) -> Column:
+    """The number of bounds of the row's ``column`` that lie below its ``value``.
+
+    One SQL text: building it from column objects would be a call into the JVM per bound.
+    """
+    cases = []
+    for column, numbers in bounds.items():
+        listed = ", ".join(f"CAST('{b!r}' AS DOUBLE)" for b in numbers)
+        below = f"aggregate(array({listed}), 0, (n, bound) -> n + int(value > bound))"
+        cases.append(f"WHEN `column` = '{column}' THEN {below}")
+    return F.expr(f"CASE {' '.join(cases)} END" if cases else "0")
 
 
 def cumulative_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -73,9 +78,7 @@ def cumulative_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
         .unpivot([F.col(c) for c in by], [F.col(c) for c in columns], "column", "value").where("value IS NOT NULL")
     keys = [*by, "column"]
     counts = settle(long.groupBy(*keys, "value").agg(F.count("*").alias("n")), "value-counts")
-    block = F.coalesce(*[
-        F.when(F.col("column") == c, block_of(F.col("value"), b)) for c, b in value_blocks(counts).items()], F.lit(0))
-    cumulative = running_sum(counts, keys, "value", F.col("n"), "cum", block)
+    cumulative = running_sum(counts, keys, "value", F.col("n"), "cum", block_of(value_blocks(counts)))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     return null_safe_join(cumulative, totals, keys)
 

@@ -19,14 +19,15 @@ def row_statistics(pairs: DataFrame, metrics: Sequence[Metric], keep: Sequence[s
     names = texts.columns[:len(keep)]
     tokens: dict[str, Column] = {HYP: F.col(HYP), REF: F.col(REF)}
     overlaps: dict[str, Column] = {}
-    counts: dict[str, Column] = {}
+    counts: dict[str, str] = {}
     for m in metrics:
         for name, column in m.tokens().items():
             tokens.setdefault(name, column)
         for name, column in m.overlaps().items():
             overlaps.setdefault(name, column)
-        counts |= {m.part(part): column for part, column in m.counts().items()}
-    return texts.select(*names, *_named(tokens)).select(*names, *_named(overlaps)).select(*names, *_named(counts))
+        counts |= {m.part(part): formula for part, formula in m.counts().items()}
+    return texts.select(*names, *_named(tokens)).select(*names, *_named(overlaps)) \
+        .selectExpr(*names, *[f"{formula} AS {name}" for name, formula in counts.items()])
 
 
 def _named(columns: dict[str, Column]) -> list[Column]:
@@ -36,11 +37,12 @@ def _named(columns: dict[str, Column]) -> list[Column]:
 def sum_statistics(statistics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add the statistics up, per group or over everything. Sums of sums are sums, so this also merges."""
     parts = [c for c in statistics.columns if c not in by]
-    return statistics.groupBy(*by).agg(*[F.sum(c).alias(c) for c in parts])
+    sums = statistics.groupBy(*by).agg({c: "sum" for c in parts})
+    return sums.selectExpr(*by, *[f"`sum({c})` AS {c}" for c in parts])
 
 
-def scores(sums: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
-    return sums.select(*by, *[m.score().alias(m.name) for m in metrics], *extra)
+def scores(sums: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    return sums.selectExpr(*by, *[f"{m.score()} AS `{m.name}`" for m in metrics], *extra)
 
 
 def evaluate(pairs: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = (), prediction: str = "prediction",
@@ -53,6 +55,6 @@ def evaluate(pairs: DataFrame, metrics: Sequence[Metric], by: Sequence[str] = ()
     extra = []
     if gen_len is not None:
         keep += [gen_len.cast("double").alias("_gen"), F.lit(1).cast("long").alias("_rows")]
-        extra = [(F.col("_gen") / F.col("_rows")).alias("gen_len")]
+        extra = ["_gen / _rows AS gen_len"]
     statistics = row_statistics(pairs, metrics, keep, prediction, reference)
     return scores(sum_statistics(statistics, by), metrics, by, extra)

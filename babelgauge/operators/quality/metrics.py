@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, functions as F
 
@@ -23,7 +21,11 @@ HYP, REF = "_prediction", "_reference"
 
 @dataclass(frozen=True)
 class Metric:
-    """Four steps: ``tokens`` -> ``overlaps`` -> ``counts`` (summed over rows) -> ``score``."""
+    """Four steps: ``tokens`` -> ``overlaps`` -> ``counts`` (summed over rows) -> ``score``.
+
+    The arithmetic is SQL text: formulas read as formulas, and one expression is one call into the JVM where a
+    tree of column objects would be hundreds.
+    """
 
     name: str
 
@@ -33,18 +35,15 @@ class Metric:
     def overlaps(self) -> dict[str, Column]:
         raise NotImplementedError
 
-    def counts(self) -> dict[str, Column]:
+    def counts(self) -> dict[str, str]:
         raise NotImplementedError
 
-    def score(self) -> Column:
+    def score(self) -> str:
         raise NotImplementedError
 
     def part(self, part: str) -> str:
         return f"{self.name.replace('+', 'p')}_{part}"
 
-    def col(self, part: str) -> Column:
-        return F.col(self.part(part))
-
 
 def label(tokenize: Tokenizer) -> str:
     """A column-name-safe label, equal for equal tokenisers."""
@@ -57,12 +56,8 @@ def token_columns(tokenize: Tokenizer) -> dict[str, Column]:
     return {f"{side}_{label(tokenize)}": split(F.col(side)) for side in (HYP, REF)}
 
 
-def ngram_count(length: Column, order: int) -> Column:
-    return F.greatest(length - (order - 1), F.lit(0)).cast("long")
-
-
-def total(columns: list[Column]) -> Column:
-    return reduce(add, columns)
+def ngram_count(length: str, order: int) -> str:
+    return f"greatest({length} - {order - 1}L, 0L)"
 
 
 @dataclass(frozen=True)
@@ -85,25 +80,24 @@ class Bleu(Metric):
         hyp, ref = token_columns(self.tokenize)
         return {self._overlap(): overlap.token_overlap(F.col(hyp), F.col(ref), self.orders)}
 
-    def counts(self) -> dict[str, Column]:
-        counted = F.col(self._overlap())
-        hyp_len, ref_len = F.get(counted, self.orders), F.get(counted, self.orders + 1)
-        out = {"hyp_len": hyp_len, "ref_len": ref_len}
+    def counts(self) -> dict[str, str]:
+        counted = self._overlap()
+        out = {"hyp_len": f"{counted}[{self.orders}]", "ref_len": f"{counted}[{self.orders + 1}]"}
         for n in range(1, self.orders + 1):
-            out |= {f"match_{n}": F.get(counted, n - 1), f"total_{n}": ngram_count(hyp_len, n)}
+            out |= {f"match_{n}": f"{counted}[{n - 1}]", f"total_{n}": ngram_count(out["hyp_len"], n)}
         return out
 
-    def score(self) -> Column:
-        match, possible = ([self.col(f"{kind}_{n}") for n in range(1, self.orders + 1)] for kind in ("match", "total"))
+    def score(self) -> str:
+        match, total = ([self.part(f"{kind}_{n}") for n in range(1, self.orders + 1)] for kind in ("match", "total"))
         logs = []
-        for i, (m, t) in enumerate(zip(match, possible)):
-            empty_orders = total([F.when(c == 0, 1).otherwise(0) for c in match[:i + 1]])
-            smoothed = F.lit(100.0) / (F.pow(F.lit(2.0), empty_orders) * t)
-            logs.append(F.log(F.when(m == 0, smoothed).otherwise(F.lit(100.0) * m / t)))
-        hyp_len, ref_len = self.col("hyp_len"), self.col("ref_len")
-        brevity = F.when(hyp_len >= ref_len, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - ref_len / hyp_len))
-        scored = (match[0] > 0) & (possible[-1] > 0)  # unigrams bound every order from above, the last from below
-        return F.when(scored, brevity * F.exp(total(logs) / self.orders)).otherwise(F.lit(0.0))
+        for n, (m, t) in enumerate(zip(match, total), 1):
+            empty_orders = " + ".join(f"int({c} = 0)" for c in match[:n])
+            logs.append(f"ln(if({m} = 0, 100D / (pow(2D, {empty_orders}) * {t}), 100D * {m} / {t}))")
+        hyp_len, ref_len = self.part("hyp_len"), self.part("ref_len")
+        brevity = f"if({hyp_len} >= {ref_len}, 1D, exp(1D - {ref_len} / {hyp_len}))"
+        # unigram matches bound those of every order from above, and the highest order has the fewest grams
+        return f"""CASE WHEN {match[0]} > 0 AND {total[-1]} > 0
+            THEN {brevity} * exp(({" + ".join(logs)}) / {self.orders}) ELSE 0D END"""
 
 
 @dataclass(frozen=True)
@@ -125,33 +119,30 @@ class ChrF(Metric):
             out[f"_overlap_word_{self.word_order}"] = overlap.token_overlap(F.col(hyp), F.col(ref), self.word_order)
         return out
 
-    def _orders(self) -> list[tuple[Column, int, int]]:
+    def _orders(self) -> list[tuple[str, int, int]]:
         """(overlap column, highest order, order) of every order that is averaged."""
         sizes = [("char", self.char_order), ("word", self.word_order)]
-        return [(F.col(f"_overlap_{kind}_{top}"), top, n) for kind, top in sizes for n in range(1, top + 1)]
+        return [(f"_overlap_{kind}_{top}", top, n) for kind, top in sizes for n in range(1, top + 1)]
 
-    def counts(self) -> dict[str, Column]:
+    def counts(self) -> dict[str, str]:
         out = {}
         for i, (counted, top, n) in enumerate(self._orders()):
-            in_hyp, in_ref = ngram_count(F.get(counted, top), n), ngram_count(F.get(counted, top + 1), n)
+            in_hyp, in_ref = ngram_count(f"{counted}[{top}]", n), ngram_count(f"{counted}[{top + 1}]", n)
             # a prediction's grams count only where the reference has grams of that order
-            out |= {f"match_{i}": F.get(counted, n - 1), f"ref_{i}": in_ref,
-                    f"hyp_{i}": F.when(in_ref > 0, in_hyp).otherwise(F.lit(0).cast("long"))}
+            out |= {f"match_{i}": f"{counted}[{n - 1}]", f"ref_{i}": in_ref, f"hyp_{i}": f"if({in_ref} > 0, {in_hyp}, 0L)"}
         return out
 
-    def score(self) -> Column:
+    def score(self) -> str:
         used, precision, recall = [], [], []
         for i in range(self.char_order + self.word_order):
-            match, hyp, ref = (self.col(f"{kind}_{i}") for kind in ("match", "hyp", "ref"))
-            both = (hyp > 0) & (ref > 0)
-            used.append(F.when(both, 1).otherwise(0))
-            precision.append(F.when(both, match / hyp).otherwise(F.lit(0.0)))
-            recall.append(F.when(both, match / ref).otherwise(F.lit(0.0)))
-        orders = F.nullif(total(used), F.lit(0))
-        p, r = total(precision) / orders, total(recall) / orders
+            match, hyp, ref = (self.part(f"{kind}_{i}") for kind in ("match", "hyp", "ref"))
+            used.append(f"int({hyp} > 0 AND {ref} > 0)")
+            precision.append(f"if({hyp} > 0 AND {ref} > 0, {match} / {hyp}, 0D)")
+            recall.append(f"if({hyp} > 0 AND {ref} > 0, {match} / {ref}, 0D)")
+        orders = f"nullif({' + '.join(used)}, 0)"
+        p, r = (f"(({' + '.join(x)}) / {orders})" for x in (precision, recall))
         weight = self.beta ** 2
-        f_score = F.lit(100.0) * (1 + weight) * p * r / F.nullif(p * weight + r, F.lit(0.0))
-        return F.coalesce(f_score, F.lit(0.0))
+        return f"coalesce({100 * (1 + weight)}D * {p} * {r} / nullif({weight}D * {p} + {r}, 0D), 0D)"
 
 
 @dataclass(frozen=True)
@@ -177,13 +168,12 @@ class Meteor(Metric):
         pairs = [(hyp, ref), *self.stages]
         return {self.part("aligned"): overlap.alignment(*[(F.col(h), F.col(r)) for h, r in pairs])}
 
-    def counts(self) -> dict[str, Column]:
-        matches, chunks, hyp_len, ref_len = (F.get(self.col("aligned"), i) for i in range(4))
-        p, r = matches / hyp_len, matches / ref_len
-        f_mean = p * r / (F.lit(self.alpha) * p + F.lit(1 - self.alpha) * r)
-        penalty = F.lit(self.gamma) * F.pow(chunks / matches, F.lit(self.beta))
-        sentence = F.when(matches > 0, (F.lit(1.0) - penalty) * f_mean).otherwise(F.lit(0.0))
-        return {"sum": sentence, "rows": F.lit(1).cast("long")}
+    def counts(self) -> dict[str, str]:
+        matches, chunks, hyp_len, ref_len = (f"{self.part('aligned')}[{i}]" for i in range(4))
+        p, r = f"({matches} / {hyp_len})", f"({matches} / {ref_len})"
+        f_mean = f"({p} * {r} / ({self.alpha}D * {p} + (1D - {self.alpha}D) * {r}))"
+        penalty = f"{self.gamma}D * pow({chunks} / {matches}, {self.beta}D)"
+        return {"sum": f"if({matches} > 0, (1D - {penalty}) * {f_mean}, 0D)", "rows": "1L"}
 
-    def score(self) -> Column:
-        return self.col("sum") / self.col("rows")
+    def score(self) -> str:
+        return f"{self.part('sum')} / {self.part('rows')}"

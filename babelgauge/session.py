@@ -66,13 +66,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_spread(spark: SparkSession, path: str, task_bytes: int = 16 << 20) -> DataFrame:
-    """Read a Parquet table, with enough partitions for CPU-heavy work even if it is *small*.
+def small_input_tasks(df: DataFrame, task_bytes: int = 16 << 20) -> int | None:
+    """How many tasks a *small* stored table needs to keep the cores busy; none for a large one.
 
-    A file with a single row group is one task however many cores there are. The extra shuffle is paid only
-    while the table is smaller than ``task_bytes`` per core; beyond that the scan has splits enough.
+    A file with a single row group is one task however many cores there are. Beyond ``task_bytes`` per core the
+    scan has splits enough, and shuffling the texts once more would only cost.
     """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores * 2) if size < cores * task_bytes else df
+    return cores * 2 if size < cores * task_bytes else None
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table of texts, repartitioned only while it is small."""
+    df = spark.read.parquet(path)
+    tasks = small_input_tasks(df)
+    return df.repartition(tasks) if tasks else df

@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from babelgauge.operators.quality import Metric, row_statistics, scores
+from babelgauge.operators.quality import Metric, row_statistics, scores, sum_statistics
 from babelgauge.session import work_path
 
 
 def running_statistics(pairs: DataFrame, metrics: Sequence[Metric], by: Sequence[str]) -> DataFrame:
     """Streaming sums of the metric statistics per group: constant state per group, exactly-once sums."""
-    statistics = row_statistics(pairs, metrics, list(by))
-    return statistics.groupBy(*by).agg(*[F.sum(c).alias(c) for c in statistics.columns if c not in by])
+    return sum_statistics(row_statistics(pairs, metrics, list(by)), by)
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "complete") -> StreamingQuery:
