@@ -30,7 +30,7 @@ def tokens_13a_sql(x: str) -> str:
 
 
 def chars_sql(x: str) -> str:
-    return f"string_split(regexp_replace({x}, '\\s+', '', 'g'), '')"
+    return f"list_filter(string_split(regexp_replace({x}, '\\s+', '', 'g'), ''), lambda c: c <> '')"
 
 
 def chrf_words_sql(x: str) -> str:
