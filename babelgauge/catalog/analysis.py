@@ -62,14 +62,20 @@ def register(add) -> None:
         GROUP BY ALL""")
 
     def interval_sql(source, measures, by):
-        return f"""SELECT {by}, "column", n, round(mean, 9) AS mean, round(mean - 1.96 * std / sqrt(n), 6) AS low,
+        return f"""SELECT {by}, "column", n,
+            CASE WHEN contains("column", 'latency') THEN round(mean, 12) ELSE round(mean, 9) END AS mean,
+            round(mean - 1.96 * std / sqrt(n), 6) AS low,
             round(mean + 1.96 * std / sqrt(n), 6) AS high FROM (
                 SELECT {by}, "column", count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std
                 FROM {long_sql(source, measures, by)} GROUP BY ALL) g"""
 
-    interval = dict(mean=9, low=6, high=6)
-    add("e12_grouped_interval", lambda t: rounded(A.grouped_interval(
-        t.clean, ["sacrebleu", "decoder_latency_s"], ["beam_size", "model_name"]), **interval),
+    def interval(df):
+        """Means of small numbers keep more digits, so that a mean over 2^k rows is not cut at a tie."""
+        mean = F.when(F.contains("column", F.lit("latency")), F.round("mean", 12)).otherwise(F.round("mean", 9))
+        return rounded(df.withColumn("mean", mean), low=6, high=6)
+
+    add("e12_grouped_interval", lambda t: interval(A.grouped_interval(
+        t.clean, ["sacrebleu", "decoder_latency_s"], ["beam_size", "model_name"])),
         interval_sql("clean", ["sacrebleu", "decoder_latency_s"], "beam_size, model_name"))
     add("e12_bootstrap_interval", lambda t: A.bootstrap_interval(
         t.clean, "sacrebleu", ["beam_size", "model_name"], RUN_COLUMNS))
@@ -155,12 +161,12 @@ def register(add) -> None:
         extremes_sql("clean", "model_name = 't5-large'"))
 
     kept = "model_name <> 'switch-base-128' AND beam_size <> 8"
-    add("x4_beam_study", lambda t: rounded(studies.beam_study(t.clean), **interval), interval_sql(
+    add("x4_beam_study", lambda t: interval(studies.beam_study(t.clean)), interval_sql(
         f"(SELECT * FROM short_clean WHERE {kept}) k", ["decoder_latency_s", "decoder_throughput", "sacrebleu"],
         "beam_size, model_name"))
     dense = """model_name NOT IN ('switch-base-128', 'switch_16_finetuned', 'nllb-moe-54b') AND beam_size <> 8
         AND max_input_seq_length <> 10 AND dataset_size <> 1"""
-    add("x5_input_length_study", lambda t: rounded(studies.input_length_study(t.clean), **interval),
+    add("x5_input_length_study", lambda t: interval(studies.input_length_study(t.clean)),
         interval_sql(f"(SELECT * FROM short_clean WHERE {dense}) k", SPEED_COLUMNS, "max_input_seq_length, model_name"))
     add("x6_fastest", lambda t: studies.fastest(t.clean), f"""SELECT * FROM short_clean
         WHERE model_name = 't5-large' AND beam_size <> 8 AND max_input_seq_length <> 10 AND dataset_size <> 1
