@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}  # local sessions without a configured folder, by application
-
 
 def get_spark(app: str = "babelgauge", cores: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benches. On a cluster the submitter provides the session."""
@@ -38,17 +35,15 @@ def get_spark(app: str = "babelgauge", cores: int | None = None, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder; on a cluster a machine-local folder would
-    lose data with the executor, so an unset value is an error there.
+    A local session that has none set works below its warehouse folder. On a cluster an unset value is an error,
+    because a machine-local folder would lose data with the executor.
     """
-    app = spark.sparkContext.applicationId
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FOLDERS.get(app)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="babelgauge-")
-    return _LOCAL_FOLDERS[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def work_path(spark: SparkSession, label: str) -> str:
