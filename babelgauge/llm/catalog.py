@@ -19,6 +19,13 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.pigeonring_simhash import simhash_groups
+
+    found = simhash_groups(table(spark, folder, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP8_SQL = rf"""
