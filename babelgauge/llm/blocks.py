@@ -116,15 +116,15 @@ def mail(block: int, letters: Iterator[tuple[int, bytes]]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "block": pa.array([block], pa.int64()), "body": pa.array([body], pa.binary())})
 
 
-def answer(letters: DataFrame, settle_bucket: Callable[[list[int], list[dict[str, np.ndarray]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """What each bucket answers, as rows of ``MAIL_SCHEMA``. ``settle_bucket`` gets the asking blocks and their arrays."""
+def answer(letters: DataFrame, settle_bucket: Callable[[int, list[int], list[dict[str, np.ndarray]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """What each bucket answers, as rows of ``MAIL_SCHEMA``. ``settle_bucket`` gets its number, the asking blocks and their arrays."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         bucket = table.column("bucket")[0].as_py()
         asked = table.column("block").to_pylist()
         arrays = [unpack_arrays(body.as_py()) for body in table.column("body")]
-        out = list(settle_bucket(asked, arrays))
+        out = list(settle_bucket(bucket, asked, arrays))
         return pa.table({"bucket": pa.array([bucket] * len(out), pa.int64()), "block": pa.array([b for b, _ in out], pa.int64()), "body": pa.array([x for _, x in out], pa.binary())})
 
     return letters.groupBy("bucket").applyInArrow(run, MAIL_SCHEMA)

@@ -12,6 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_suffix_tree_score(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.suffix_tree_lm import suffix_tree_scores
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return suffix_tree_scores(table(spark, folder, "documents"), held_out)
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.doubling_dedup import remove_repeats
 

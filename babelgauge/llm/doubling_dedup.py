@@ -88,7 +88,7 @@ def gathered(replies: list[dict[str, np.ndarray]]) -> np.ndarray:
     return np.sort(np.concatenate([r["key"] for r in replies])) if replies else np.zeros(0, np.uint64)
 
 
-def repeats_of(asked: list[int], arrays: list[dict[str, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+def repeats_of(bucket: int, asked: list[int], arrays: list[dict[str, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
     """For each block the keys that another document holds too."""
     keys = np.concatenate([a["key"] for a in arrays])
     many = np.concatenate([a["many"] for a in arrays])
@@ -101,7 +101,7 @@ def repeats_of(asked: list[int], arrays: list[dict[str, np.ndarray]]) -> Iterato
             yield block, B.pack_arrays(key=found)
 
 
-def later_holders(asked: list[int], arrays: list[dict[str, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
+def later_holders(bucket: int, asked: list[int], arrays: list[dict[str, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
     """For each block the keys that a smaller document of another block holds."""
     keys = np.concatenate([a["key"] for a in arrays])
     check = np.concatenate([a["check"] for a in arrays])
