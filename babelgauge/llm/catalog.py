@@ -12,6 +12,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.pivotal_mix import mix_sources
+
+    return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.kk_packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), tokenizer_path(), capacity=2048, end_id=1)
+
+
 def op5_suffix_tree_score(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.suffix_tree_lm import suffix_tree_scores
 
