@@ -37,6 +37,13 @@ def op5_suffix_tree_score(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree_scores(table(spark, folder, "documents"), held_out)
 
 
+def op6_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.hash_ring import shard_documents
+
+    placed = shard_documents(table(spark, folder, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.doubling_dedup import remove_repeats
 
