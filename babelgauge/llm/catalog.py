@@ -44,6 +44,12 @@ def op6_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.winnowing import edited_neighbours
+
+    return edited_neighbours(table(spark, folder, "documents"), gram=24, window=128)
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.doubling_dedup import remove_repeats
 

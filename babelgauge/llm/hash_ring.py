@@ -12,11 +12,11 @@ over cells of about a thousand rows, so no task ranks a whole arc or shard.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from babelgauge.llm.repeats import numbered_repeats
+from babelgauge.llm.repeats import index_among, numbered_repeats
 from babelgauge.session import settle
 
 CELL_ROWS = 1024
@@ -64,21 +64,6 @@ def walk(counts: list[int], owners: list[int], room: list[int]) -> list[tuple[in
     return out
 
 
-def _arc(place: Column, positions: list[int]) -> Column:
-    """The index of the first node at or after a place; beyond the last node the ring starts again.
-
-    A lookup among sorted positions: a chain of halvings, as deep as the logarithm of their number.
-    """
-
-    def half(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low % len(positions))
-        middle = (low + high) // 2
-        return F.when(place <= F.lit(positions[middle]), half(low, middle)).otherwise(half(middle + 1, high))
-
-    return half(0, len(positions))
-
-
 def shard_documents(docs: DataFrame, shards: int = 8, nodes: int = 64) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of every document; row counts of shards are at most one apart.
 
@@ -95,7 +80,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, nodes: int = 64) -> DataFr
     nodes_on_ring = ring(shards, nodes)
     positions, owners = [p for p, _ in nodes_on_ring], [s for _, s in nodes_on_ring]
     rows = numbered_repeats(told, "doc_id", "size", "text_crc32").withColumn("place", F.xxhash64("doc_id", "size", "text_crc32", "copy"))
-    rows = settle(rows.withColumn("arc", _arc(F.col("place"), positions)), "ring-places")
+    arc = index_among(F.col("place"), positions) % len(positions)  # beyond the last node the ring starts again
+    rows = settle(rows.withColumn("arc", arc.cast("int")), "ring-places")
 
     n = rows.count()
     bits = max(1, (n // CELL_ROWS).bit_length())  # cells are equal stretches of the hash range

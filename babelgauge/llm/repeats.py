@@ -1,8 +1,8 @@
-"""A key of its own for every row of a narrow table, repeated rows included."""
+"""Small helpers: a key of its own for every row of a narrow table, and lookups among sorted bounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,15 @@ def numbered_repeats(df: DataFrame, *columns: str) -> DataFrame:
     """
     counted = df.groupBy(*columns).agg(F.count("*").alias("copies"))
     return counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
+
+def index_among(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are smaller than the value: halvings, as deep as the logarithm of their number."""
+
+    def half(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= F.lit(bounds[middle]), half(low, middle)).otherwise(half(middle + 1, high))
+
+    return half(0, len(bounds))
