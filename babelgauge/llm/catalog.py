@@ -57,6 +57,15 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.kernel_language import fit, identify
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = identify(docs, fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.pigeonring_simhash import simhash_groups
 
