@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_voronoi_knn(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.voronoi_knn import top_products
+
+    return top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.pivotal_mix import mix_sources
 
@@ -89,9 +95,20 @@ FROM d LEFT JOIN n USING (r)
 """
 
 
+OP1_SQL = """
+WITH x AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+  FROM x q JOIN x d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.v) = len(d.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": OP8_SQL}
+    return {"op1_voronoi_knn": OP1_SQL, "op8_substring_dedup": OP8_SQL}
