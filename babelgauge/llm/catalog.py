@@ -18,6 +18,13 @@ def op1_voronoi_knn(spark: SparkSession, folder: str) -> DataFrame:
     return top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.line_templates import line_dedup
+
+    found = line_dedup(table(spark, folder, "documents"), min_docs=3, similarity=0.8)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.pivotal_mix import mix_sources
 
