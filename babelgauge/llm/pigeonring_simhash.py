@@ -55,18 +55,20 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every document, one Arrow pass."""
+    """``doc_id, text_hash, fp`` (the 64 bits as a signed long) of every document, one Arrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows, np.uint64)
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 found = shingle_hashes(text.as_py() or b"", shingle)
                 if len(found):
                     out[i] = fingerprint(found)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(out.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_hash": batch.column(1), "fp": pa.array(out.view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return told.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -209,6 +211,16 @@ def linked_pairs(fps: DataFrame, distance: int) -> DataFrame:
     return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(solve, "a long, b long")
 
 
+def _groups(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """``doc_id, text_hash, fp, group``: the fingerprint that names each document's group, a written table."""
+    if not 1 <= distance <= 3:
+        raise ValueError("distance must be 1, 2 or 3")
+    found = settle(fingerprints(docs, shingle), "fingerprints")
+    distinct = settle(found.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(linked_pairs(distinct, distance)).where("node != root").select(F.col("node").alias("fp"), F.col("root").alias("group"))
+    return settle(found.join(roots, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "simhash-groups")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` of every document: groups of fingerprints linked at ``distance`` or fewer bits.
 
@@ -217,14 +229,34 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Data
     none. A null or empty text has fingerprint zero and is linked like any other. Repeated rows come back as often as
     they are there. An empty table gives no rows. ``distance`` is 1 to 3 (beyond that the ring's keys get short).
     """
-    if not 1 <= distance <= 3:
-        raise ValueError("distance must be 1, 2 or 3")
-    found = settle(fingerprints(docs, shingle), "fingerprints")
-    least = settle(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(linked_pairs(least, distance))
-    grouped = least.join(roots, least["fp"] == roots["node"]).select("fp", "least", "root")
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("smallest"))
-    linked = settle(grouped.join(smallest, "root").select("fp", "smallest"), "linked")
-    # only fingerprints of several documents or with links need a lookup
-    named = least.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = _groups(docs, shingle, distance)
+    least = found.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "group").select("doc_id", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The documents, all columns, without near-duplicates: of each group one row stays.
+
+    It is the one with the smallest ``doc_id`` (null last), of equal ids the one with the smallest hash of its text; of
+    rows equal in both, one. All null and empty texts are one group.
+    """
+    found = _groups(docs, shingle, distance)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.groupBy("group").agg(F.min(place).alias("best"))
+    judged = found.join(best, "group").withColumn("stays", place == F.col("best"))
+    losers = judged.where(~F.col("stays")).select("doc_id", "text_hash").distinct()
+    again = judged.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    kept = _without(docs, losers)
+    if again.isEmpty():
+        return kept
+    key = [F.col("doc_id").cast("long").alias(_ID), F.xxhash64(F.col("text").cast("string")).alias(_HASH)]
+    single = kept.select("*", *key).join(again.select(F.col("doc_id").alias("a"), F.col("text_hash").alias("b")), F.col(_ID).eqNullSafe(F.col("a")) & (F.col(_HASH) == F.col("b")), "left_semi")
+    return _without(kept, again).unionByName(single.dropDuplicates([_ID, _HASH]).select(*kept.columns))
+
+
+_ID, _HASH = "__simhash_doc", "__simhash_text"  # beside any columns of the documents
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(_ID)) & (F.xxhash64(F.col("text").cast("string")) == F.col(_HASH))
+    return docs.join(rows.select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH)), same, "left_anti")
