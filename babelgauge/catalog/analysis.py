@@ -77,8 +77,26 @@ def register(add) -> None:
     add("e12_grouped_interval", lambda t: interval(A.grouped_interval(
         t.clean, ["sacrebleu", "decoder_latency_s"], ["beam_size", "model_name"])),
         interval_sql("clean", ["sacrebleu", "decoder_latency_s"], "beam_size, model_name"))
-    add("e12_bootstrap_interval", lambda t: A.bootstrap_interval(
-        t.clean, "sacrebleu", ["beam_size", "model_name"], RUN_COLUMNS))
+    drawn_by = ["model_name", "dataset_name", "dataset_size", "batch_size", "beam_size", "max_gen_length",
+                "max_input_seq_length", "encoder_calls", "decoder_calls"]
+    mixed = "(r * ((s * 1103515245 + 12345) % 268435399) + (s * 214013 + 2531011) % 268435399) % 268435399 / 268435399e0"
+    add("e12_bootstrap_interval", lambda t: rounded(A.bootstrap_interval(
+        t.clean.withColumn("encoder_calls", F.col("encoder_throughput").cast("long"))
+        .withColumn("decoder_calls", F.col("decoder_throughput").cast("long")),
+        "sacrebleu", ["beam_size", "model_name"], drawn_by), mean=6, low=6, high=6),
+        f"""WITH d AS (SELECT beam_size, model_name, sacrebleu AS v, ('0x' || substr(md5(concat_ws('|', model_name,
+                dataset_name, dataset_size, batch_size, beam_size, max_gen_length, max_input_seq_length,
+                CAST(encoder_throughput AS BIGINT), CAST(decoder_throughput AS BIGINT))), 1, 7))::BIGINT AS r
+            FROM clean WHERE sacrebleu IS NOT NULL),
+        w AS (SELECT beam_size, model_name, s, v, {mixed} AS u FROM d, (SELECT unnest(range(1, 201)) AS s) q),
+        c AS (SELECT *, {" + ".join(f"(u > {t})::INT" for t in A.POISSON)} AS k FROM w),
+        m AS (SELECT beam_size, model_name, s, sum(k * v) / nullif(sum(k), 0) AS mean FROM c GROUP BY ALL),
+        b AS (SELECT beam_size, model_name, list_sort(list(mean)) AS b FROM m WHERE mean IS NOT NULL GROUP BY ALL)
+        SELECT beam_size, model_name, n, round(mean, 6) AS mean,
+            round(b[CAST(floor((len(b) - 1) * 0.025e0) AS BIGINT) + 1], 6) AS low,
+            round(b[CAST(floor((len(b) - 1) * 0.975e0) AS BIGINT) + 1], 6) AS high
+        FROM (SELECT beam_size, model_name, count(*) AS n, avg(v) AS mean FROM d GROUP BY ALL) p
+        JOIN b USING (beam_size, model_name)""")
 
     def histogram_sql(source, names):
         return f"""SELECT "column", bin, n, CAST(sum(n) OVER (PARTITION BY "column" ORDER BY bin) AS BIGINT) AS cumulative
@@ -92,7 +110,7 @@ def register(add) -> None:
     add("e15_distinct_values", lambda t: t.clean.select("model_name").distinct(), "SELECT DISTINCT model_name FROM clean")
     add("e16_single_share", lambda t: split_check(t.clean, ["model_name"]),
         """SELECT model_name, count(*) FILTER (WHERE dataset_size = 1) AS single,
-            count(*) FILTER (WHERE dataset_size <> 1) AS multi, count(*) AS runs,
+            count(*) FILTER (WHERE dataset_size IS DISTINCT FROM 1) AS multi, count(*) AS runs,
             count(*) FILTER (WHERE dataset_size = 1) / CAST(count(*) AS DOUBLE) AS single_share, true AS adds_up
         FROM clean GROUP BY model_name""")
 
@@ -136,28 +154,28 @@ def register(add) -> None:
         "SELECT model_name, beam_size, max_gen_length, sacrebleu FROM clean WHERE dataset_name = 'wmt14'")
 
     def s2(t):
-        full = studies.full_corpus_runs(t.clean)
-        parts = [K.top_k(only(full, beam_size=1) if m == "meteor" else full, F.col(m), 10 if m == "meteor" else 3)
-                 .select(F.lit(m).alias("metric"), "*") for m in QUALITY_COLUMNS]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
-    add("s2_top_k", s2, " UNION ALL ".join(
-        f"""(SELECT '{m}' AS metric, {COLUMNS} FROM clean WHERE {FULL} {'AND beam_size = 1' if m == 'meteor' else ''}
-        ORDER BY "{m}" DESC, {TIES} LIMIT {10 if m == 'meteor' else 3})""" for m in QUALITY_COLUMNS))
+        counts = {m: 10 if m == "meteor" else 3 for m in QUALITY_COLUMNS}
+        orders = {m: (F.col("beam_size") == 1 if m == "meteor" else F.lit(True), F.col(m), k) for m, k in counts.items()}
+        return K.top_k_per_metric(studies.full_corpus_runs(t.clean), orders).withColumn("place", F.col("place").cast("long"))
+
+    def places(source, name, where, order, k):
+        return f"""(SELECT {name}, row_number() OVER (ORDER BY {order}, {TIES}) AS place, {COLUMNS}
+            FROM {source} WHERE {where} QUALIFY place <= {k})"""
+
+    add("s2_top_k", s2, " UNION ALL ".join(places(
+        "clean", f"'{m}' AS metric", FULL + (" AND beam_size = 1" if m == "meteor" else ""), f'"{m}" DESC',
+        10 if m == "meteor" else 3) for m in QUALITY_COLUMNS))
 
     def extremes_sql(source, where):
-        parts = []
-        for measure, higher in studies.BETTER.items():
-            for kind in ("best", "worst"):
-                order = "DESC" if higher == (kind == "best") else "ASC"
-                parts.append(f"""(SELECT '{measure}' AS measure, '{kind}' AS kind, {COLUMNS} FROM {source} WHERE {where}
-                    ORDER BY {measure} {order}, {TIES} LIMIT 1)""")
-        return " UNION ALL ".join(parts)
-
-    add("s3_extremes", lambda t: K.extremes(only(t.clean, model_name="t5-large"), studies.BETTER),
+        return " UNION ALL ".join(places(
+            source, f"'{measure}' AS measure, '{kind}' AS kind", f"{where} AND {measure} IS NOT NULL",
+            f"{measure} {'DESC' if higher == (kind == 'best') else 'ASC'}", 1 if kind == "best" else 2)
+            for measure, higher in studies.BETTER.items() for kind in ("best", "worst"))
+
+    def extremes(df):
+        return df.withColumn("place", F.col("place").cast("long"))
+
+    add("s3_extremes", lambda t: extremes(K.extremes(only(t.clean, model_name="t5-large"), studies.BETTER)),
         extremes_sql("clean", "model_name = 't5-large'"))
 
     kept = "model_name <> 'switch-base-128' AND beam_size <> 8"
@@ -175,7 +193,7 @@ def register(add) -> None:
         "short_clean", "device_memory_ratio", "1", """model_name = 'switch_16_finetuned' AND beam_size <> 8
         AND dataset_name = 'wmt14' AND encoder_throughput < 1000""",
         ", ".join(["device_memory_ratio", *SPEED_COLUMNS, "beam_size", "max_gen_length"])))
-    add("x8_sparse_model_study", lambda t: studies.sparse_model_study(t.clean), extremes_sql(
+    add("x8_sparse_model_study", lambda t: extremes(studies.sparse_model_study(t.clean)), extremes_sql(
         "short_clean", "model_name = 'nllb-moe-54b' AND beam_size <> 8 AND dataset_name = 'wmt14'"))
     add("x9_merged_runs", lambda t: t.clean, f"SELECT {COLUMNS} FROM clean")
     add("x9_resident_or_set", lambda t: only(t.clean, model_name="google/switch_16_finetuned")
@@ -185,11 +203,11 @@ def register(add) -> None:
             AND ((device_memory_ratio IS NOT NULL AND device_memory_ratio <> 0) OR NOT use_archer) GROUP BY ALL""")
     add("x10_leaderboard", lambda t: studies.leaderboard(t.clean),
         first_sql("clean", "dataset_name, model_name", "meteor DESC", FULL, board))
-    add("x11_length_summary", lambda t: rounded(studies.length_profile(t.corpus)["summary"], **SUMMARY),
+    add("x11_length_summary", lambda t: rounded(studies.length_profile(t.corpus, "summary"), **SUMMARY),
         describe_sql(WORDS.replace(") w", ")"), words))
-    add("x11_length_histogram", lambda t: studies.length_profile(t.corpus)["histogram"],
+    add("x11_length_histogram", lambda t: studies.length_profile(t.corpus, "histogram"),
         histogram_sql(WORDS.replace(") w", ")"), words))
-    add("x11_length_shares", lambda t: rounded(studies.length_profile(t.corpus)["shares"], at_most_15=12, at_most_30=12,
+    add("x11_length_shares", lambda t: rounded(studies.length_profile(t.corpus, "shares"), at_most_15=12, at_most_30=12,
                                                at_most_82=12),
         f"""SELECT "column", """ + ", ".join(f"round(avg(CASE WHEN value <= {m} THEN 1 ELSE 0 END), 12) AS at_most_{m}"
                                              for m in studies.LENGTH_MARKS)

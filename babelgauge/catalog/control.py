@@ -12,7 +12,6 @@ from babelgauge.operators.quality import metrics
 from babelgauge.operators.triage import next_batch_size, spend_budget, triage
 from babelgauge.plans.experiment import assemble_results
 from babelgauge.schemas import EXPERIMENT_KEYS, RUN_COLUMNS
-from babelgauge.session import small_input_tasks
 from babelgauge.streaming import stream_scores
 
 KEYS = ", ".join(EXPERIMENT_KEYS)
@@ -49,8 +48,8 @@ def pairs_stream(t):
     """The documents as a file stream of prediction/reference pairs."""
     stored = t.spark.read.parquet(f"{t.folder}/documents.parquet")
     stream = t.spark.readStream.schema(stored.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
-    tasks = small_input_tasks(stored)
-    stream = stream.repartition(tasks) if tasks else stream
+    tasks = t.spark.conf.get("spark.babelgauge.textTasks", None)
+    stream = stream.repartition(int(tasks)) if tasks else stream
     predicted = """array_join(transform(filter(split(text, ' ', -1), w -> length(w) <> 2),
         w -> CASE WHEN length(w) = 3 THEN concat(w, 's') ELSE w END), ' ') AS prediction"""
     return stream.selectExpr("lang", "text AS reference", predicted)
@@ -114,8 +113,8 @@ def register(add) -> None:
         SELECT c.*, s.* EXCLUDE (run_id), q.* EXCLUDE (run_id), gen_len, round(e, 12) AS encoder_latency_s,
             round(d, 12) AS decoder_latency_s, round(encoder_tokens / e, 4) AS encoder_throughput,
             round(decoder_tokens / d, 4) AS decoder_throughput
-        FROM run_config c JOIN sizes s USING (run_id) JOIN scored q USING (run_id) JOIN gen USING (run_id)
-            JOIN lat USING (run_id) JOIN run_tokens USING (run_id)""")
+        FROM run_config c LEFT JOIN sizes s USING (run_id) LEFT JOIN scored q USING (run_id) LEFT JOIN gen USING (run_id)
+            LEFT JOIN lat USING (run_id) LEFT JOIN run_tokens USING (run_id)""")
     add("st1_streamed_scores", lambda t: rounded(stream_scores(
         t.spark, pairs_stream(t), metrics(["sacrebleu", "meteor"]), ["lang"])),
         f"""WITH {bleu_sql("b", "pairs", "lang", tokens_13a_sql)}, {meteor_sql("m", "pairs", "lang")}

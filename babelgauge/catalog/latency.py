@@ -67,7 +67,7 @@ def register(add) -> None:
     add("e14_end_to_end", lambda t: rounded(L.end_to_end(t.forward_log, t.run_tokens.select("run_id", "n_rows")),
                                             latency_s=9, rows_per_s=9),
         """SELECT run_id, n_rows, round(s, 9) AS latency_s, round(n_rows / s, 9) AS rows_per_s
-        FROM (SELECT run_id, sum(latency_s) AS s FROM forward_log GROUP BY run_id) l JOIN run_tokens USING (run_id)""")
+        FROM run_tokens LEFT JOIN (SELECT run_id, sum(latency_s) AS s FROM forward_log GROUP BY run_id) l USING (run_id)""")
 
     def u1(t):
         source = t.documents.select(F.col("doc_id").alias("idx"), F.col("text").alias("source"))

@@ -8,6 +8,7 @@ from babelgauge.functions.text import word_count
 from babelgauge.operators.quality import (Meteor, evaluate, metric, metrics, row_statistics, scores, sum_statistics)
 from babelgauge.operators.vocabulary import canonical_tokens
 from babelgauge.functions.text import tokens_13a
+from babelgauge.session import settle
 
 DIGITS = 9  # scores are compared to nine decimals; exp and ln differ in the last bits between engines
 NAMES = ["sacrebleu", "spBleu", "chrf", "chrfpp", "meteor"]
@@ -90,17 +91,30 @@ def chrf_sql(name: str, overlaps: list[str]) -> str:
         FROM {name}_pr)"""
 
 
-def meteor_sql(name: str, source: str, by: str, tokens=tokens_13a_sql) -> str:
-    """CTE ``name_score(grp, score)``: the alignment as a join of k-th last occurrences."""
+def meteor_sql(name: str, source: str, by: str, tokens=tokens_13a_sql, second: str | None = None) -> str:
+    """CTE ``name_score(grp, score)``: the alignment as a join of k-th last occurrences.
+
+    ``second`` is an expression over ``tok``: a second stage that matches what the first left free by it.
+    """
+    both = f"""
+    {name}_f AS (
+        SELECT id, side, pos, tok, row_number() OVER (PARTITION BY id, side, tok ORDER BY pos DESC) AS k FROM (
+            SELECT id, side, pos, {second} AS tok FROM {name}_k x WHERE NOT EXISTS (
+                SELECT 1 FROM {name}_e e WHERE e.id = x.id AND x.pos = CASE x.side WHEN 'h' THEN e.hp ELSE e.rp END)) y),
+    {name}_a AS (
+        SELECT * FROM {name}_e UNION ALL
+        SELECT a.id, a.pos, b.pos FROM {name}_f a JOIN {name}_f b
+            ON a.id = b.id AND a.tok = b.tok AND a.k = b.k AND a.side = 'h' AND b.side = 'r'),""" if second else f"""
+    {name}_a AS (SELECT * FROM {name}_e),"""
     side = """SELECT id, '{s}' AS side, unnest(range(1, len({s}) + 1)) AS pos, lower(unnest({s})) AS tok FROM {name}_t"""
     return f"""
     {name}_t AS (SELECT id, {by} AS grp, {tokens('prediction')} AS h, {tokens('reference')} AS r FROM {source}),
     {name}_k AS (
         SELECT *, row_number() OVER (PARTITION BY id, side, tok ORDER BY pos DESC) AS k
         FROM ({side.format(s='h', name=name)} UNION ALL {side.format(s='r', name=name)}) u),
-    {name}_a AS (
+    {name}_e AS (
         SELECT a.id, a.pos AS hp, b.pos AS rp FROM {name}_k a JOIN {name}_k b
-            ON a.id = b.id AND a.tok = b.tok AND a.k = b.k AND a.side = 'h' AND b.side = 'r'),
+            ON a.id = b.id AND a.tok = b.tok AND a.k = b.k AND a.side = 'h' AND b.side = 'r'),{both}
     {name}_c AS (
         SELECT id, count(*) AS m, sum(CASE WHEN hp = php + 1 AND rp = prp + 1 THEN 0 ELSE 1 END) AS ch FROM (
             SELECT id, hp, rp, lag(hp) OVER w AS php, lag(rp) OVER w AS prp FROM {name}_a
@@ -142,9 +156,9 @@ def register(add) -> None:
     one("m5_meteor", metric("meteor"), meteor_sql("m", "pairs", "lang"), "m")
 
     def m5_stages(t):
-        """METEOR with a second stage: words that differ in case-free form match on their first five letters."""
-        pairs = t.pairs.withColumn("hyp_tokens", tokens_13a(F.col("prediction"))) \
-            .withColumn("ref_tokens", tokens_13a(F.col("reference")))
+        """METEOR with a second stage: words left free match without a final s."""
+        pairs = settle(t.pairs.withColumn("hyp_tokens", tokens_13a(F.col("prediction")))
+                       .withColumn("ref_tokens", tokens_13a(F.col("reference"))), "tokens")
         words = pairs.select(F.explode(F.concat("hyp_tokens", "ref_tokens")).alias("token"))
         mapping = words.select(F.lower("token").alias("token")).distinct() \
             .withColumn("canonical", F.regexp_replace("token", "s$", ""))
@@ -152,7 +166,8 @@ def register(add) -> None:
         m = Meteor(stages=(("hyp_tokens_canonical", "ref_tokens_canonical"),))
         return rounded(evaluate(staged, [m], ["lang"]))
 
-    add("m5_meteor_with_stems", m5_stages)
+    add("m5_meteor_with_stems", m5_stages, f"""WITH {meteor_sql("m", "pairs", "lang", second="regexp_replace(tok, 's$', '')")}
+        SELECT grp AS lang, round(score, {DIGITS}) AS meteor FROM m_score""")
     add("m6_registry", lambda t: rounded(evaluate(t.pairs, metrics(["sacrebleu", "chrf++"]))
                                          .withColumnRenamed("chrf++", "chrfpp")),
         f"""WITH {bleu_sql("b", "pairs", "1", tokens_13a_sql)}, {overlap_sql("co", "pairs", "1", chars_sql, 6)},

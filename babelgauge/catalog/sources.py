@@ -149,18 +149,18 @@ def register(add) -> None:
                 ELSE 'train' END AS part, 'translate English to French: ' || en AS source, fr AS target
         FROM corpus""")
     add("a16_sample_counts", lambda t: results.write_sample_counts(
-        corpora.train_test(t.corpus), work_path(t.spark, "samples"), max_samples=150),
-        """SELECT part, least(count(*), 150) AS samples FROM (SELECT CASE WHEN
+        corpora.train_test(t.corpus), work_path(t.spark, "samples")),
+        """SELECT part, count(*) AS samples FROM (SELECT CASE WHEN
             ('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 7))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS part
             FROM corpus) s GROUP BY part""")
 
     def j1(t):
-        en = t.benchmark.select(F.col("item_id").alias("idx"), F.col("text").alias("sentence"))
-        fr = t.documents.select(F.col("doc_id").alias("idx"), F.col("text").alias("sentence"))
-        return corpora.flat(corpora.zip_monolingual(en, fr))
+        said = t.conversations.withColumn("idx", F.expr("conv_id * 1000 + turn div 2")).withColumnRenamed("text", "sentence")
+        return corpora.flat(corpora.zip_monolingual(said.where("role = 'user'"), said.where("role <> 'user'")))
 
-    add("j1_monolingual_zip", j1, """SELECT b.item_id AS id, b.text AS en, d.text AS fr
-        FROM benchmark b JOIN documents d ON b.item_id = d.doc_id""")
+    add("j1_monolingual_zip", j1, """WITH said AS (SELECT conv_id * 1000 + turn // 2 AS id, role, text FROM conversations)
+        SELECT id, a.text AS en, b.text AS fr FROM (SELECT * FROM said WHERE role = 'user') a
+        FULL JOIN (SELECT * FROM said WHERE role <> 'user') b USING (id)""")
     add("h1_union_versions", lambda t: profile(results.union_versions(t.fragments)),
         f"SELECT {PROFILE} FROM runs_all GROUP BY model_name")
     add("h2_distinct", lambda t: profile(fill_missing(results.union_versions(t.fragments)).dropDuplicates()),

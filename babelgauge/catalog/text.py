@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from babelgauge.catalog.quality import tokens_13a_sql, words_sql
 from babelgauge.functions import models
-from babelgauge.functions.text import as_references, pieces, strip, tokens_13a, word_count
+from babelgauge.functions.text import as_references, pieces, strip, text_length, tokens_13a, word_count
 from babelgauge.operators import runs as R
 from babelgauge.operators.analysis import ecdf
-from babelgauge.operators.batching import (attention_mask, batch_token_counts, pad_batches, token_length, truncate,
-                                           unmask, with_batches)
+from babelgauge.operators.batching import (attention_mask, batch_token_counts, pad_batches, renumbered, token_length,
+                                           truncate, unmask, with_batches)
 from babelgauge.operators.quality import evaluate, metric
 from babelgauge.operators.sweep import filtered_corpus_sizes, resolve_sizes, skip_empty, expand, QUALITY_AXES
 from babelgauge.operators.triage import is_memory_failure
@@ -103,7 +103,7 @@ def register(add) -> None:
     runs("b17_threshold", lambda d: d.where(F.col("encoder_throughput") < 1000), "encoder_throughput < 1000")
     add("b18_split_check", lambda t: R.split_check(t.clean, ["dataset_name"]),
         """SELECT dataset_name, count(*) FILTER (WHERE dataset_size = 1) AS single,
-            count(*) FILTER (WHERE dataset_size <> 1) AS multi, count(*) AS runs,
+            count(*) FILTER (WHERE dataset_size IS DISTINCT FROM 1) AS multi, count(*) AS runs,
             count(*) FILTER (WHERE dataset_size = 1) / CAST(count(*) AS DOUBLE) AS single_share, true AS adds_up
         FROM clean GROUP BY dataset_name""")
     add("b19_model_routing", lambda t: t.runs.groupBy(
@@ -140,9 +140,8 @@ def register(add) -> None:
         .agg(F.count("*").alias("n")),
         """SELECT TRY_CAST(dataset_size AS BIGINT) AS dataset_size, CAST(beam_size AS INTEGER) AS beam_size, count(*) AS n
         FROM failure_records GROUP BY ALL""")
-    add("b23_parameter_count", lambda t: t.runs.join(
-        t.runs.groupBy("model_name").agg(F.max("total_params").alias("params")), "model_name")
-        .groupBy("model_name", "params").agg(F.count("*").alias("n")),
+    add("b23_parameter_count", lambda t: t.runs.groupBy("model_name").agg(
+        F.max("total_params").alias("params"), F.count("*").alias("n")),
         "SELECT model_name, max(total_params) AS params, count(*) AS n FROM runs GROUP BY model_name")
     add("b24_loss_history", lambda t: t.events.withColumn("loss", F.get_json_object("props", "$.k"))
         .where(F.col("loss").isNotNull()).select("event_id", F.col("loss").cast("double").alias("loss")),
@@ -188,6 +187,11 @@ def register(add) -> None:
     add("c4_batches", lambda t: with_batches(t.token_ids, 32).groupBy("batch_id").agg(
         F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")),
         f"""SELECT batch_id, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM ({ids}) b GROUP BY batch_id""")
+    add("c4_filtered_batches", lambda t: with_batches(renumbered(t.token_ids.where(F.size("ids") % 3 != 0)
+                                                                 .withColumn("doc", F.col("idx"))), 32).groupBy("batch_id").agg(
+        F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")),
+        """SELECT n // 32 AS batch_id, count(*) AS n, min(idx) AS first_doc, max(idx) AS last_doc FROM (
+            SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS n FROM token_ids WHERE len(ids) % 3 <> 0) k GROUP BY 1""")
     add("c5_padding", lambda t: pad_batches(with_batches(t.token_ids, 32)).select(
         "idx", "batch_id", F.size("ids").cast("long").alias("width"), digest(F.col("ids")).alias("digest")),
         f"""SELECT idx, batch_id, w AS width, md5(array_to_string(list_transform(ids, lambda x: CAST(x AS VARCHAR)), ' ')
@@ -205,9 +209,9 @@ def register(add) -> None:
         t.token_ids.withColumn("ids", unmask(F.col("ids"))), 32)),
         f"""SELECT batch_id, CAST(sum(len(list_filter(ids, lambda x: x <> 0 AND x <> -100))) AS BIGINT) AS n_tokens
         FROM ({ids}) b GROUP BY batch_id""")
-    add("c11_token_lengths", lambda t: t.corpus.select("id", F.least(F.size(tokens_13a(F.col("en"))), F.lit(256))
-                                                       .cast("long").alias("length")),
-        f"SELECT id, least(len({tokens_13a_sql('en')}), 256) AS length FROM corpus")
+    add("c11_token_lengths", lambda t: t.corpus.select("id", text_length(F.col("en")).alias("length"),
+                                                       text_length(F.col("en"), cut=256).alias("cut_length")),
+        f"SELECT id, len({tokens_13a_sql('en')}) AS length, least(len({tokens_13a_sql('en')}), 256) AS cut_length FROM corpus")
     add("c12_memory_failures", lambda t: t.failures.groupBy(
         "sweep_id", is_memory_failure(F.col("message")).alias("memory")).agg(F.count("*").alias("n")),
         """SELECT sweep_id, lower(message) LIKE '%out of memory%' AS memory, count(*) AS n FROM failures GROUP BY ALL""")
@@ -221,14 +225,19 @@ def register(add) -> None:
     def w6(t):
         one = t.corpus.select(F.lit("corpus").alias("dataset"), F.col("en").alias("text"))
         two = t.documents.select(F.lit("documents").alias("dataset"), "text")
-        sized = one.union(two).withColumn("length", F.least(F.size(tokens_13a(F.col("text"))), F.lit(256)))
-        return ecdf(sized, ["length"], ["dataset"]).select("dataset", "value", "n", F.round("ecdf", 12).alias("ecdf"))
+        sized = one.union(two).select("dataset", text_length(F.col("text")).alias("length"),
+                                      text_length(F.col("text"), cut=256).alias("cut_length"))
+        return ecdf(sized, ["length", "cut_length"], ["dataset"]).select(
+            "dataset", "column", "value", "n", F.round("ecdf", 12).alias("ecdf"))
 
     add("w6_ecdf_two_corpora", w6, f"""WITH sized AS (
-            SELECT 'corpus' AS dataset, least(len({tokens_13a_sql('en')}), 256) AS value FROM corpus UNION ALL
-            SELECT 'documents', least(len({tokens_13a_sql('text')}), 256) FROM documents)
-        SELECT DISTINCT dataset, CAST(value AS DOUBLE) AS value, count(*) OVER (PARTITION BY dataset, value) AS n,
-            round(cume_dist() OVER (PARTITION BY dataset ORDER BY value), 12) AS ecdf FROM sized""")
+            SELECT 'corpus' AS dataset, len({tokens_13a_sql('en')}) AS value FROM corpus UNION ALL
+            SELECT 'documents', len({tokens_13a_sql('text')}) FROM documents),
+        lengths AS (SELECT dataset, 'length' AS "column", value FROM sized UNION ALL
+            SELECT dataset, 'cut_length', least(value, 256) FROM sized)
+        SELECT DISTINCT dataset, "column", CAST(value AS DOUBLE) AS value,
+            count(*) OVER (PARTITION BY dataset, "column", value) AS n,
+            round(cume_dist() OVER (PARTITION BY dataset, "column" ORDER BY value), 12) AS ecdf FROM lengths""")
     add("u2_row_predicate", lambda t: t.corpus.where(word_count(F.col("en")) <= 30).select("id"),
         "SELECT id FROM corpus WHERE len(string_split(en, ' ')) <= 30")
     add("u3_per_value", lambda t: t.documents.select("doc_id", word_count(F.col("text")).alias("words")),

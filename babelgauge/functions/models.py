@@ -20,8 +20,6 @@ FORWARD_LOGS = {
     "facebook/nllb-200-distilled-1.3B": "nllb_latencies.csv",
     "facebook/nllb-200-distilled-600M": "nllb_latencies.csv",
     "facebook/nllb-200-1.3B": "nllb_latencies.csv",
-    "./opus_switch_model_8/checkpoint-1500": "switch_latencies.csv",
-    "./opus_switch_model_16/checkpoint-6000": "switch_latencies.csv",
     "google/switch_16_finetuned": "switch_latencies.csv",
 }
 # Classes whose forward passes count as encoder calls, and the task prefix.
@@ -73,11 +71,6 @@ def task_prefix(model: Column, src: Column, tgt: Column) -> Column:
     return F.when(takes, F.lit(TASK_PREFIX)).otherwise(F.lit(""))
 
 
-def offload_ratio(use_offload: Column, ratio: Column, default: float = 0.9) -> Column:
-    """The effective memory ratio: the default when offloading without one, as given otherwise."""
-    return F.when(F.coalesce(use_offload, F.lit(False)), F.coalesce(ratio, F.lit(default))).otherwise(ratio)
-
-
 def result_file(model: Column, dataset: Column, use_offload: Column, ratio: Column) -> Column:
     """``model_dataset[_archer_ratio]_metrics.csv``."""
     offload = F.when(F.coalesce(use_offload, F.lit(False)),

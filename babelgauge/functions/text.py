@@ -65,6 +65,12 @@ def tokens_13a(text: Column) -> Column:
     return pieces(text)
 
 
+def text_length(text: Column, cut: int | None = None) -> Column:
+    """Number of 13a tokens, at most ``cut`` if that is given."""
+    length = F.size(tokens_13a(text)).cast("long")
+    return length if cut is None else F.least(length, F.lit(cut).cast("long"))
+
+
 def characters(text: Column) -> Column:
     """Single characters, without white space."""
     return F.filter(F.split(F.regexp_replace(text, SPACE, ""), ""), lambda c: c != "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from babelgauge.operators.ordering import cumulative_counts, null_safe_join, quantiles
 
@@ -66,47 +67,78 @@ def grouped_interval(df: DataFrame, measures: Sequence[str], by: Sequence[str])
         .select(*by, "column", "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
-def bootstrap_interval(df: DataFrame, measure: str, by: Sequence[str], row_key: Sequence[str | Column],
+PRIME = 268435399  # below 2^28, so that products of two residues are exact
+POISSON = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815]  # shares of 0, 0 to 1, ...
+
+
+def resample_mixers(samples: int) -> list[tuple[int, int]]:
+    """Multiplier and addend of every resample: a row's draw is ``(row * multiplier + addend) % PRIME / PRIME``."""
+    return [((s * 1103515245 + 12345) % PRIME, (s * 214013 + 2531011) % PRIME) for s in range(1, samples + 1)]
+
+
+def bootstrap_interval(df: DataFrame, measure: str, by: Sequence[str], row_key: Sequence[str],
                        samples: int = 200) -> DataFrame:
     """Mean per group with a Poisson-bootstrap 95 % interval.
 
-    Every row draws a Poisson(1) weight per resample from a hash of its key: all resamples are sums of one
-    aggregation, combined on the map side, and a recomputed task draws the same weights.
+    Every row draws a Poisson(1) weight per resample from a digest of its key (columns that read the same as text
+    everywhere: integers and strings). An Arrow batch adds up its resamples at once and emits one row per group and
+    resample; these are summed on the map side again. A recomputed task draws the same weights.
     """
-    poisson = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815]
-    draw = F.pmod(F.xxhash64("_row", "_sample"), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum((F.when(F.col("_draw") > t, 1).otherwise(0) for t in poisson), F.lit(0))
-    rows = df.where(F.col(measure).isNotNull()).select(*by, F.col(measure).alias("_value"),
-                                                       F.xxhash64(*row_key).alias("_row"))
-    drawn = rows.withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))) \
-        .withColumn("_draw", draw).withColumn("_weight", weight)
-    # one row per group and resample leaves a task, however many rows came in
-    means = drawn.groupBy(*by, "_sample").agg(
-        (F.sum(F.col("_weight") * F.col("_value")) / F.nullif(F.sum("_weight"), F.lit(0))).alias("_mean"))
-    sorted_means = means.groupBy(*by).agg(F.sort_array(F.collect_list("_mean")).alias("_b"))  # ``samples`` numbers
-    plain = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_value").alias("mean"))
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in row_key])
+    row = F.conv(F.substring(F.md5(key.cast("binary")), 1, 7), 16, 10).cast("long")
+    keys = [f"_by{i}" for i in range(len(by))]
+    rows = df.where(F.col(measure).isNotNull()).select(
+        *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(measure).cast("double").alias("_value"), row.alias("_row"))
+    mixers = resample_mixers(samples)
+
+    def resample(batches):
+        import numpy as np
+        import pandas as pd
+
+        factor, addend = (np.array(x, np.int64) for x in zip(*mixers))
+        for batch in batches:
+            group = batch.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(batch), int)
+            if not len(batch):
+                continue
+            draw = (batch["_row"].to_numpy()[:, None] * factor + addend) % PRIME / PRIME
+            weight = np.searchsorted(POISSON, draw, side="left").astype(np.float64)
+            sums = np.zeros((2, group.max() + 1, samples))
+            np.add.at(sums[0], group, weight)
+            np.add.at(sums[1], group, weight * batch["_value"].to_numpy()[:, None])
+            heads = batch[keys].iloc[pd.Series(group).drop_duplicates().index] if keys else pd.DataFrame(index=[0])
+            out = heads.loc[heads.index.repeat(samples)].reset_index(drop=True)
+            yield out.assign(_sample=np.tile(np.arange(samples), len(heads)), _weight=sums[0].ravel(), _sum=sums[1].ravel())
+
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([StructField(k, types[k]) for k in keys]).add("_sample", "long").add("_weight", "double").add("_sum", "double")
+    means = rows.mapInPandas(resample, schema).groupBy(*keys, "_sample").agg(
+        (F.sum("_sum") / F.nullif(F.sum("_weight"), F.lit(0.0))).alias("_mean"))
+    sorted_means = means.groupBy(*keys).agg(F.sort_array(F.collect_list("_mean")).alias("_b"))  # ``samples`` numbers
+    plain = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_value").alias("mean"))
 
     def at(share: float) -> Column:
         return F.get("_b", F.floor((F.size("_b") - 1) * F.lit(share)).cast("int"))
 
-    return plain.join(sorted_means, list(by)).select(*by, "n", "mean", at(0.025).alias("low"), at(0.975).alias("high"))
+    joined = null_safe_join(plain, sorted_means, keys) if keys else plain.crossJoin(sorted_means)  # one row each
+    return joined.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", "mean", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 100, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over the range of every column, with plain and cumulative counts.
 
-    The running count is over at most ``bins`` rows per column. Empty bins have no row.
+    The ranges are one row per group, made by a first pass; the second pass bins on the map side, so at most ``bins``
+    rows per group and task are shuffled. Empty bins have no row.
     """
     from pyspark.sql import Window
 
     keys = [*by, "column"]
-    counts = unpivot(df, columns, by).where("value IS NOT NULL").groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    edges = counts.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    values = unpivot(df, columns, by).where("value IS NOT NULL")
+    edges = values.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     width = (F.col("high") - F.col("low")) / F.lit(bins)
     number = F.when(F.col("high") == F.col("low"), F.lit(0)) \
         .otherwise(F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(bins - 1)))
-    binned = counts.join(edges, keys).withColumn("bin", number.cast("long")) \
-        .groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    binned = null_safe_join(values, edges, keys).withColumn("bin", number.cast("long")) \
+        .groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     running = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     return binned.select(*keys, "bin", "n", F.sum("n").over(running).alias("cumulative"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from babelgauge.operators.ordering import running_sum
+
 PAD, LABEL_MASK = 0, -100  # fixed values
 
 
@@ -12,6 +14,12 @@ def with_batches(df: DataFrame, batch_size: int, idx: str = "idx") -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(idx) / batch_size).cast("long"))
 
 
+def renumbered(df: DataFrame, idx: str = "idx") -> DataFrame:
+    """The rows left after a filter numbered 0, 1, 2, ... in order of ``idx``, so that batches are full again."""
+    counted = running_sum(df, [], idx, F.lit(1), "_number")
+    return counted.withColumn(idx, (F.col("_number") - 1).cast("long")).drop("_number")
+
+
 def unmask(ids: Column, pad: int = PAD) -> Column:
     """Label ids with the loss mask replaced by the pad id."""
     return F.transform(ids, lambda x: F.when(x == LABEL_MASK, F.lit(pad)).otherwise(x))

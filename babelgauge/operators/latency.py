@@ -49,12 +49,12 @@ def throughput(forward_log: DataFrame, tokens: DataFrame) -> DataFrame:
     """Tokens per second and layer. ``tokens(run_id, encoder_tokens, decoder_tokens)``.
 
     ``mean_based`` divides the token total by the mean call (the recorded definition, which grows with the
-    number of calls); ``sum_based`` divides by the total time and is a rate.
+    number of calls); ``sum_based`` divides by the total time and is a rate. A run without a log has nulls.
     """
     latency = forward_log.groupBy("run_id").agg(*[
         f(of_layer(layer, F.col("latency_s"))).alias(f"{layer}_{kind}")
         for layer in LAYERS for kind, f in (("mean", F.avg), ("sum", F.sum))])
-    return tokens.join(latency, "run_id").select("run_id", *[
+    return tokens.join(latency, "run_id", "left").select("run_id", *[
         (F.col(f"{layer}_tokens") / F.col(f"{layer}_{kind}")).alias(f"{layer}_{kind}_based")
         for layer in LAYERS for kind in ("mean", "sum")])
 
@@ -70,7 +70,7 @@ def batch_check(forward_log: DataFrame, batch_tokens: DataFrame) -> DataFrame:
 
 
 def end_to_end(forward_log: DataFrame, rows: DataFrame) -> DataFrame:
-    """Whole-run latency and rows per second. ``rows(run_id, n_rows)``."""
+    """Whole-run latency and rows per second. ``rows(run_id, n_rows)``. A run without a log has nulls."""
     spent = forward_log.groupBy("run_id").agg(F.sum("latency_s").alias("latency_s"))
-    return rows.join(spent, "run_id").select("run_id", "n_rows", "latency_s",
+    return rows.join(spent, "run_id", "left").select("run_id", "n_rows", "latency_s",
                                              (F.col("n_rows") / F.col("latency_s")).alias("rows_per_s"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from babelgauge.session import settle
 
 BLOCK_WIDTH = 1 << 20  # order positions per block, for integer sequence columns
-BLOCKS = 128            # blocks per column, for value columns
+BLOCK_VALUES = 1 << 16   # distinct values per block, about, for value columns
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str,
@@ -44,14 +44,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def value_blocks(counts: DataFrame, blocks: int = BLOCKS) -> dict[str, list[float]]:
+def value_blocks(counts: DataFrame, block_values: int = BLOCK_VALUES) -> dict[str, list[float]]:
     """Bounds that cut the distinct values of every ``column`` into about equal blocks.
 
-    At most ``blocks`` numbers per measured column come to the driver. They only balance the work: any bounds
-    give the same results, so a rough quantile is good enough.
+    There are as many blocks as the values need, and one number per block comes to the driver. They only balance
+    the work: any bounds give the same results, so a rough quantile is good enough.
     """
+    blocks = 8 + counts.count() // block_values
     probabilities = [i / blocks for i in range(1, blocks)]
-    found = counts.groupBy("column").agg(F.percentile_approx("value", probabilities, 1000).alias("bounds")).collect()
+    found = counts.groupBy("column").agg(F.percentile_approx("value", probabilities, 10 * blocks).alias("bounds")).collect()
     return {row["column"]: sorted(set(row["bounds"])) for row in found}
 
 

@@ -10,12 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from babelgauge.schemas import RUN_COLUMNS
-
-
-def tie_key(columns: Sequence[str] = RUN_COLUMNS) -> Column:
-    return F.struct(*columns)
-
 
 def best_rows(df: DataFrame, by: Sequence[str | Column], order: Column, descending: bool = True,
               columns: Sequence[str] | None = None) -> DataFrame:
@@ -56,16 +50,33 @@ def top_k(df: DataFrame, order: Column, k: int, descending: bool = True) -> Data
     return df.orderBy(first, *[F.col(c) for c in df.columns]).limit(k)
 
 
-def extremes(df: DataFrame, higher_is_better: dict[str, bool]) -> DataFrame:
-    """Best and worst row by every measure, as ``measure, kind, value`` and the row."""
+def top_k_per_metric(df: DataFrame, orders: dict[str, tuple[Column, Column, int]]) -> DataFrame:
+    """The best rows for several measures from one scan: ``metric`` and the row.
+
+    ``orders`` names, per metric, the condition its rows must meet, the value (higher is better) and k. Rows without
+    a value are left out. A row is one candidate per metric; tasks keep k each before anything is shuffled.
+    """
+    from pyspark.sql import Window
+
     row = F.struct(*df.columns)
-    aggregates = []
+    entries = [F.struct(F.lit(m).alias("metric"), F.when(kept, value.cast("double")).alias("value"), F.lit(k).alias("k"))
+               for m, (kept, value, k) in orders.items()]
+    long = df.select(row.alias("_row"), F.explode(F.array(*entries)).alias("_m")).where("_m.value IS NOT NULL") \
+        .select("_m.metric", "_m.value", "_m.k", "_row")
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "_row"))
+    most = max(k for _, _, k in orders.values())
+    return long.withColumn("place", place).where((F.col("place") <= most)).where("place <= k") \
+        .select("metric", "place", "_row.*")
+
+
+def extremes(df: DataFrame, higher_is_better: dict[str, bool], best: int = 1, worst: int = 2) -> DataFrame:
+    """The best and worst rows by every measure, as ``measure, kind, place`` and the row. Rows without a value of the
+    measure are neither."""
+    orders = {}
     for measure, higher in higher_is_better.items():
-        low = F.min_by(row, F.struct(F.col(measure), row))
-        high = F.min_by(row, F.struct(-F.col(measure), row))
-        for kind, picked in (("best", high if higher else low), ("worst", low if higher else high)):
-            aggregates.append(picked.alias(f"{measure}|{kind}"))
-    wide = df.agg(*aggregates)
-    entries = [F.struct(F.lit(m).alias("measure"), F.lit(kind).alias("kind"), F.col(f"{m}|{kind}").alias("_row"))
-               for m in higher_is_better for kind in ("best", "worst")]
-    return wide.select(F.explode(F.array(*entries)).alias("_e")).select("_e.measure", "_e.kind", "_e._row.*")
+        for kind, k in (("best", best), ("worst", worst)):
+            value = F.col(measure) if higher == (kind == "best") else -F.col(measure)
+            orders[f"{measure}|{kind}"] = (F.lit(True), value, k)
+    found = top_k_per_metric(df, orders)
+    parts = F.split("metric", r"\|")
+    return found.select(parts[0].alias("measure"), parts[1].alias("kind"), "place", *df.columns)

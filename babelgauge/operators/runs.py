@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from babelgauge.functions.models import short_name
 
-MAX_BEAM, MAX_GEN = 32, 128  # fixed values: the outlier caps
+MAX_BEAM, MAX_GEN = 32, 128  # fixed values: the outlier caps of the studies
 
 
 def fill_missing(runs: DataFrame) -> DataFrame:
@@ -14,13 +14,17 @@ def fill_missing(runs: DataFrame) -> DataFrame:
     return runs.na.fill(False, ["use_archer"])
 
 
-def cap_outliers(runs: DataFrame) -> DataFrame:
-    return runs.where((F.col("beam_size") <= MAX_BEAM) & (F.col("max_gen_length") <= MAX_GEN))
+def cap_outliers(runs: DataFrame, beam: int | None = MAX_BEAM, gen: int | None = MAX_GEN) -> DataFrame:
+    """Runs within the caps; ``None`` is no cap."""
+    for column, cap in (("beam_size", beam), ("max_gen_length", gen)):
+        if cap is not None:
+            runs = runs.where(F.col(column) <= cap)
+    return runs
 
 
-def clean_runs(runs: DataFrame) -> DataFrame:
+def clean_runs(runs: DataFrame, beam: int | None = MAX_BEAM, gen: int | None = MAX_GEN) -> DataFrame:
     """Fill, cap and deduplicate. The caps come first so that they reach the scan."""
-    return fill_missing(cap_outliers(runs)).dropDuplicates()
+    return fill_missing(cap_outliers(runs, beam, gen)).dropDuplicates()
 
 
 def short_names(runs: DataFrame) -> DataFrame:
@@ -28,10 +32,10 @@ def short_names(runs: DataFrame) -> DataFrame:
 
 
 def without(runs: DataFrame, **values) -> DataFrame:
-    """Chained inequality filters; a list excludes each of its values."""
+    """Chained inequality filters; a list excludes each of its values. Rows without a value stay."""
     for column, value in values.items():
         for v in value if isinstance(value, list) else [value]:
-            runs = runs.where(F.col(column) != v)
+            runs = runs.where(~F.col(column).eqNullSafe(v))
     return runs
 
 
@@ -48,14 +52,10 @@ def ratio_set_or_resident() -> Column:
     return (ratio.isNotNull() & (ratio != 0)) | ~F.coalesce("use_archer", F.lit(False))
 
 
-def sentence_mode() -> Column:
-    return F.when(F.col("dataset_size") == 1, "single").otherwise("multi")
-
-
 def split_check(runs: DataFrame, by: list[str]) -> DataFrame:
     """Single- and multi-sentence runs, their shares, and whether the parts add up to the whole."""
     counted = runs.groupBy(*by).agg(F.count_if(F.col("dataset_size") == 1).alias("single"),
-                                    F.count_if(F.col("dataset_size") != 1).alias("multi"),
+                                    F.count_if(~F.col("dataset_size").eqNullSafe(1)).alias("multi"),
                                     F.count("*").alias("runs"))
     return counted.select(*by, "single", "multi", "runs", (F.col("single") / F.col("runs")).alias("single_share"),
                           (F.col("single") + F.col("multi") == F.col("runs")).alias("adds_up"))

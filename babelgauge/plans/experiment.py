@@ -18,13 +18,14 @@ def assemble_results(config: DataFrame, corpus_sizes: DataFrame, pairs: DataFram
     ``config(run_id, ...)`` holds the settings, ``corpus_sizes(run_id, dataset_size,
     dataset_size_after_filter_wrt_input_len)``, ``pairs(run_id, prediction, reference, gen_len)``,
     ``tokens(run_id, encoder_tokens, decoder_tokens)``. Everything is aggregated to one row per run before the
-    joins, so the joins are small.
+    joins, so the joins are small. Every run of ``config`` has a row; what was not recorded for it is null.
     """
     quality = evaluate(pairs, metrics, ["run_id"], gen_len=F.col("gen_len"))
     latency = forward_log.groupBy("run_id").agg(
         *[F.avg(of_layer(layer, F.col("latency_s"))).alias(f"{layer}_latency_s") for layer in LAYERS])
-    joined = config.join(corpus_sizes, "run_id").join(quality, "run_id").join(tokens, "run_id") \
-        .join(latency, "run_id")
+    joined = config
+    for part in (corpus_sizes, quality, tokens, latency):
+        joined = joined.join(part, "run_id", "left")
     for layer in LAYERS:
         joined = joined.withColumn(f"{layer}_throughput", F.col(f"{layer}_tokens") / F.col(f"{layer}_latency_s"))
     return joined.select("run_id", *RUN_COLUMNS)

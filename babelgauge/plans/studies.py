@@ -68,14 +68,19 @@ def ratio_study(runs: DataFrame, model: str = "switch_16_finetuned", ceiling: fl
 
 
 def sparse_model_study(runs: DataFrame, model: str = "nllb-moe-54b") -> DataFrame:
-    """Best and worst rows of a sparse model by every speed measure."""
+    """The best row and the two worst of a sparse model by every speed measure."""
     kept = only(without(short_names(runs), beam_size=8), model_name=model, dataset_name="wmt14")
     return extremes(kept, BETTER)
 
 
-def length_profile(corpus: DataFrame) -> dict[str, DataFrame]:
-    """Word counts of a corpus: summary, histogram and shares under the usual marks."""
+def length_profile(corpus: DataFrame, part: str) -> DataFrame:
+    """Word counts of a corpus: its ``summary``, ``histogram`` or ``shares`` under the usual marks."""
     counted = with_word_counts(corpus)
     columns = ["word_count_en", "word_count_fr"]
-    return {"summary": describe(counted, columns), "histogram": histogram(counted, columns),
-            "shares": shares_at_most(counted, columns, LENGTH_MARKS)}
+    if part == "summary":
+        return describe(counted, columns)
+    if part == "histogram":
+        return histogram(counted, columns)
+    if part == "shares":
+        return shares_at_most(counted, columns, LENGTH_MARKS)
+    raise ValueError(f"unknown part {part!r}")

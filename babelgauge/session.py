@@ -22,6 +22,7 @@ def get_spark(app: str = "babelgauge", cores: int | None = None, **conf: str) ->
         "spark.sql.shuffle.partitions": str(max(cores, 8)),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "12g",
+        "spark.babelgauge.textTasks": str(2 * cores),  # test tables are small
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -46,6 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
+_PACKAGE_AT: set[str] = set()  # applications whose workers have the package
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run, also where it is not installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _PACKAGE_AT:
+        spark.sparkContext.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
+        _PACKAGE_AT.add(app)
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -61,19 +73,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_input_tasks(df: DataFrame, task_bytes: int = 16 << 20) -> int | None:
-    """How many tasks a *small* stored table needs to keep the cores busy; none for a large one.
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table of texts, in as many tasks as ``spark.babelgauge.textTasks`` asks for.
 
-    A file with a single row group is one task however many cores there are. Beyond ``task_bytes`` per core the
-    scan has splits enough, and shuffling the texts once more would only cost.
+    A file with a single row group is one task however many cores there are, so small test tables are worth dealing
+    out; whoever makes the session says so. Without the setting the scan is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return cores * 2 if size < cores * task_bytes else None
-
-
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet table of texts, repartitioned only while it is small."""
     df = spark.read.parquet(path)
-    tasks = small_input_tasks(df)
-    return df.repartition(tasks) if tasks else df
+    tasks = spark.conf.get("spark.babelgauge.textTasks", None)
+    return df.repartition(int(tasks)) if tasks else df

@@ -43,14 +43,18 @@ def first_sentences(corpus: DataFrame, size: int, key: str = "id") -> DataFrame:
 def granted_sizes(corpus: DataFrame, requested: list[int | str]) -> DataFrame:
     """``requested, granted, clamped`` for wanted corpus sizes; ``"all"`` asks for everything.
 
-    A request beyond the corpus is clamped and flagged (rather than only warned about).
+    A request beyond the corpus is clamped and flagged (rather than only warned about). Anything but ``"all"`` and
+    whole numbers from 0 on is an error.
     """
+    sizes = [None if r == "all" else int(r) if isinstance(r, str) else r for r in requested]
+    if any(size is not None and (not isinstance(size, int) or size < 0) for size in sizes):
+        raise ValueError(f"corpus sizes are whole numbers or 'all': {requested}")
     total = corpus.agg(F.count("*").alias("n"))
-    wanted = F.explode(F.array(*[F.lit(str(r)) for r in requested])).alias("requested")
-    size = F.try_to_number("requested", F.lit("999999999999")).cast("long")
-    return total.select("n", wanted).select(
-        "requested", F.least(F.coalesce(size, F.col("n")), F.col("n")).alias("granted"),
-        F.coalesce(size > F.col("n"), F.lit(False)).alias("clamped"))
+    wanted = [F.struct(F.lit(str(r)).alias("requested"), F.lit(size).cast("decimal(38,0)").alias("size"))
+              for r, size in zip(requested, sizes)]
+    return total.select("n", F.explode(F.array(*wanted)).alias("w")).select(
+        "w.requested", F.least(F.coalesce("w.size", "n"), "n").cast("long").alias("granted"),
+        F.coalesce(F.col("w.size") > F.col("n"), F.lit(False)).alias("clamped"))
 
 
 def split_size(name: str, requested: int | str) -> tuple[int, bool]:
@@ -62,10 +66,10 @@ def split_size(name: str, requested: int | str) -> tuple[int, bool]:
 
 
 def zip_monolingual(en: DataFrame, fr: DataFrame, key: str = "idx", text: str = "sentence") -> DataFrame:
-    """Two corpora aligned by position, as one parallel corpus."""
+    """Two corpora aligned by position, as one parallel corpus. A position that one side lacks has a null there."""
     left = en.select(F.col(key).alias("id"), F.col(text).alias("en"))
     right = fr.select(F.col(key).alias("id"), F.col(text).alias("fr"))
-    return parallel(left.join(right, "id"))
+    return parallel(left.join(right, "id", "full"))
 
 
 def with_word_counts(table: DataFrame) -> DataFrame:

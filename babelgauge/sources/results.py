@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from babelgauge.functions.models import canonical_dataset, short_name
-from babelgauge.schemas import MISSING_BY_VERSION, run_schema
+from babelgauge.schemas import run_schema
 
 
 def read_results(spark: SparkSession, path: str | list[str], version: int = 24) -> DataFrame:
@@ -16,20 +18,27 @@ def read_results(spark: SparkSession, path: str | list[str], version: int = 24)
 
 
 def read_result_folder(spark: SparkSession, path: str, pattern: str = "*metric*") -> DataFrame:
-    """All result files of a folder whose names match, whatever their version; missing columns are null.
+    """All result files of a folder whose names match. Columns go by name, in any order; missing ones are null.
 
-    Files are told apart by their header line. Each version is then one scan with its own schema (CSV columns
-    go by position, so one schema cannot read them all), united by name.
+    Files with the same header are one scan with that header's schema (CSV columns go by position, so one schema
+    cannot read them all), united by name. A column that result rows do not have is an error, never dropped.
     """
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
-    headers = {",".join(run_schema(v).names): v for v in MISSING_BY_VERSION}
-    found = lines.where(F.col("value").isin(list(headers))) \
-        .select("value", F.col("_metadata.file_path").alias("file")).distinct().collect()  # one row per file
-    files: dict[int, list[str]] = {}
-    for row in found:
-        files.setdefault(headers[row["value"]], []).append(row["file"])
-    return union_versions([read_results(spark, paths, version) for version, paths in sorted(files.items())],
-                          empty=spark.createDataFrame([], run_schema()))
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"),
+                          F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    firsts = placed.groupBy("file").agg(F.min_by("value", "place").alias("header")).collect()  # one row per file
+    files: dict[tuple[str, ...], list[str]] = {}
+    for row in firsts:
+        files.setdefault(tuple(name.strip() for name in next(csv.reader([row["header"]]))), []).append(row["file"])
+    known = {field.name: field for field in run_schema().fields}
+    frames = []
+    for header, paths in sorted(files.items()):
+        if set(header) - set(known) or len(set(header)) < len(header):
+            raise ValueError(f"not a result file header: {header} in {paths}")
+        schema = StructType([known[name] for name in header])
+        frames.append(spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True)
+                      .option("ignoreTrailingWhiteSpace", True).csv(paths))
+    return union_versions(frames, empty=spark.createDataFrame([], run_schema()))
 
 
 def union_versions(frames: Sequence[DataFrame], empty: DataFrame | None = None) -> DataFrame:
@@ -57,9 +66,7 @@ def read_result_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(run_schema().add("dataset", "string").add("model", "string")).parquet(path)
 
 
-def write_sample_counts(parts: DataFrame, path: str, max_samples: int | None = None) -> DataFrame:
+def write_sample_counts(parts: DataFrame, path: str) -> DataFrame:
     """Append one row per split with the number of samples used, as train and eval reports do."""
-    n = F.count("*") if max_samples is None else F.least(F.count("*"), F.lit(max_samples))
-    counts = parts.groupBy("part").agg(n.cast("long").alias("samples"))
-    counts.write.mode("append").parquet(path)
+    parts.groupBy("part").agg(F.count("*").alias("samples")).write.mode("append").parquet(path)
     return parts.sparkSession.read.schema("part string, samples long").parquet(path)

@@ -23,4 +23,4 @@ def test_matches_sql(spark, con, key):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"e12_bootstrap_interval", "m5_meteor_with_stems"}
+    assert set(QUERIES) == set(SQL)

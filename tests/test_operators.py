@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from babelgauge.functions import models
-from babelgauge.operators import analysis, batching, inference, latency, ordering, ranking, sweep, triage, vocabulary
+from babelgauge.operators import analysis, batching, inference, latency, ordering, ranking, runs, sweep, triage, vocabulary
 from babelgauge.schemas import EXPERIMENT_KEYS, RUN_COLUMNS, run_schema
 from babelgauge.session import work_path
 from babelgauge.sources import corpora, logs, results
@@ -95,22 +95,106 @@ def test_budget_lets_twenty_errors_pass(spark):
     assert "continue" not in actions[actions.index("abort"):]
 
 
+SMALL_SWEEP = {"dataset_size": [1, None], "max_gen_length": [32, 64], "max_input_seq_length": [-1], "beam_size": [1],
+               "model_name": ["t5-base"], "dataset_name": ["wmt14", "flores200"],
+               "tokenizer_padding_setting": ["do_not_pad"], "use_archer": False, "device_memory_ratio": None}
+
+
 def test_sweep_sizes(spark):
-    assert sweep.sweep_grid(spark, sweep.QUALITY_SWEEP).count() == 648
-    assert sweep.sweep_grid(spark, sweep.LARGE_SWEEP).count() == 80
-    assert sweep.sweep_grid(spark, sweep.SPEED_AXES).count() == 32
-    moe = sweep.derive(sweep.RATIO_SWEEP, model_name=["facebook/nllb-moe-54b"])
+    assert sweep.sweep_grid(spark, SMALL_SWEEP).count() == 8
+    assert sweep.sweep_grid(spark, sweep.QUALITY_AXES).count() == 108
+    moe = sweep.derive(SMALL_SWEEP, model_name=["facebook/nllb-moe-54b"], device_memory_ratio=0.9, dataset_name=["wmt14"])
     row = sweep.resolve_sizes(sweep.sweep_grid(spark, moe)).where("dataset_size > 1").first()
     assert (row.model_name, row.dataset_size, row.device_memory_ratio) == ("facebook/nllb-moe-54b", 3000, 0.9)
     with pytest.raises(KeyError):
-        sweep.derive(sweep.RATIO_SWEEP, beams=[1])
+        sweep.derive(SMALL_SWEEP, beams=[1])
 
 
 def test_recorded_runs_compare_missing_ratios_as_equal(spark):
-    planned = sweep.resolve_sizes(sweep.sweep_grid(spark, sweep.DISTILLED_SWEEP)).select(*EXPERIMENT_KEYS)
+    planned = sweep.resolve_sizes(sweep.sweep_grid(spark, SMALL_SWEEP)).select(*EXPERIMENT_KEYS)
     done = planned.where("dataset_name = 'wmt14'")
-    assert [r.dataset_name for r in sweep.unrecorded(planned, done).collect()] == ["flores200"]
-    assert [r.dataset_name for r in sweep.already_recorded(planned, done).collect()] == ["wmt14"]
+    assert {r.dataset_name for r in sweep.unrecorded(planned, done).collect()} == {"flores200"}
+    assert {r.dataset_name for r in sweep.already_recorded(planned, done).collect()} == {"wmt14"}
+
+
+def test_runs_with_unknown_limits_stay(spark):
+    planned = spark.createDataFrame([(15,), (30,), (7,)], "max_input_seq_length long")
+    sizes = spark.createDataFrame([(15, 0), (30, 4)], "max_input_seq_length long, n long")
+    got = {(r.max_input_seq_length, r.n) for r in sweep.skip_empty(planned, sizes).collect()}
+    assert got == {(30, 4), (7, None)}
+
+
+def test_corpus_sizes_are_numbers_or_all(spark):
+    corpus = spark.range(5)
+    got = {r.requested: (r.granted, r.clamped) for r in corpora.granted_sizes(corpus, [3, "all", "10000000000000"]).collect()}
+    assert got == {"3": (3, False), "all": (5, False), "10000000000000": (5, True)}
+    for bad in ("al", "-5", -5, "12.5", 1.5):
+        with pytest.raises(ValueError):
+            corpora.granted_sizes(corpus, [bad])
+
+
+def test_zip_keeps_positions_without_a_partner(spark):
+    en = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "idx long, sentence string")
+    got = {(r.id, r.en, r.fr) for r in corpora.flat(corpora.zip_monolingual(en, en.where("idx > 0"))).collect()}
+    assert got == {(0, "a", None), (1, "b", "b"), (2, "c", "c")}
+
+
+def test_missing_values_are_not_dropped(spark):
+    runs_ = spark.createDataFrame([(None, None), (0.9, 1), (0.3, 7)], "device_memory_ratio double, dataset_size long")
+    assert {r[0] for r in runs.without(runs_, device_memory_ratio=0.9).collect()} == {None, 0.3}
+    row = runs.split_check(runs_, []).first()
+    assert (row.single, row.multi, row.adds_up) == (1, 2, True)
+    capped = spark.createDataFrame([(64, 512), (4, 128)], "beam_size long, max_gen_length long")
+    assert runs.cap_outliers(capped, beam=None, gen=None).count() == 2 and runs.cap_outliers(capped).count() == 1
+
+
+def test_null_groups_and_single_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 3.0), ("a", None)], "g string, x double").withColumn("id", F.monotonically_increasing_id())
+    assert {r.g for r in analysis.bootstrap_interval(df, "x", ["g"], ["id"]).collect()} == {None, "a"}
+    assert analysis.bootstrap_interval(df, "x", [], ["id"]).first().n == 3
+    assert {(r.g, r.bin, r.n) for r in analysis.histogram(df, ["x"], 2, ["g"]).collect()} == {(None, 0, 1), (None, 1, 1), ("a", 0, 1)}
+
+
+def test_missing_measures_are_neither_best_nor_worst(spark):
+    df = spark.createDataFrame([("a", 0.5), ("b", None), ("c", 0.1), ("d", 0.3)], "m string, s double")
+    got = {(r.kind, r.place, r.m) for r in ranking.extremes(df, {"s": True}).collect()}
+    assert got == {("best", 1, "a"), ("worst", 1, "c"), ("worst", 2, "d")}
+
+
+def test_result_files_go_by_name(spark, tmp_path):
+    names = RUN_COLUMNS
+    row = {n: "1" for n in names} | {"use_archer": "true"}
+    layouts = {"a_metrics.csv": names, "b_metrics.csv": names[::-1], "c_metrics.csv": names[:20]}
+    for file, columns in layouts.items():
+        (tmp_path / file).write_text(",".join(columns) + "\n" + ",".join(row[c] for c in columns) + "\n")
+    (tmp_path / "d_metrics.csv").write_text(", ".join(f'"{c}"' for c in names) + "\n" + ",".join(row[c] for c in names) + "\n")
+    (tmp_path / "notes.csv").write_text("something else\n1\n")
+    merged = results.read_result_folder(spark, str(tmp_path)).collect()
+    assert len(merged) == 4 and all(r.model_name == "1" and r.use_archer and r.chrf == 1.0 for r in merged)
+    assert sum(r.decoder_throughput is None for r in merged) == 1
+    (tmp_path / "e_metrics.csv").write_text(",".join([*names, "comet"]) + "\n")
+    with pytest.raises(ValueError, match="comet"):
+        results.read_result_folder(spark, str(tmp_path))
+
+
+def test_runs_without_a_log_stay(spark):
+    log = spark.createDataFrame([(1, 0, "encoder", 0.5)], "run_id long, call_seq long, layer_type string, latency_s double")
+    tokens = spark.createDataFrame([(1, 40, 60, 3), (2, 1, 1, 1)], "run_id long, encoder_tokens long, decoder_tokens long, n_rows long")
+    assert {r.run_id: r.encoder_sum_based for r in latency.throughput(log, tokens).collect()} == {1: 80.0, 2: None}
+    assert {r.run_id: r.rows_per_s for r in latency.end_to_end(log, tokens).collect()} == {1: 6.0, 2: None}
+
+
+def test_batches_are_full_after_a_filter(spark):
+    kept = spark.range(500).where("id % 3 = 1").select(F.col("id").alias("idx"))
+    sizes = [r["count"] for r in batching.with_batches(batching.renumbered(kept), 32).groupBy("batch_id").count().orderBy("batch_id").collect()]
+    assert sizes == [32] * 5 + [7]
+
+
+def test_repeated_text_keys_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c")], "id long, text string")
+    vocab = vocabulary.build_vocabulary(df, F.split("text", " "))
+    with pytest.raises(PySparkException):
+        vocabulary.encode(df, "id", F.split("text", " "), vocab).collect()
 
 
 def test_names_and_routing(spark):
