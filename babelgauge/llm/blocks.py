@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from babelgauge.session import settle
+from babelgauge.session import settle, share_package
 
 BLOCK_BYTES = 8 << 20  # text of a block; one longer document is a block of its own
 BLOCK_SCHEMA = "block long, body binary"
@@ -54,6 +54,8 @@ def unpack_arrays(body: bytes) -> dict[str, np.ndarray]:
 def as_blocks(docs: DataFrame, *columns: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The named columns (the last one is the text) in blocks of bounded bytes, as a written table."""
 
+    share_package(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from babelgauge.llm.blocks import text_bytes
+from babelgauge.session import share_package
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -138,6 +139,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows and null ``doc_id`` come back as they are; an empty table gives no rows.
     """
 
+    share_package(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict(batch.column(1), model)
@@ -151,6 +154,8 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.05) -> DataF
     """The documents, all columns, whose language is told with at least this score. ``und`` goes."""
     at = docs.columns.index("text")
 
+    share_package(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict(batch.column(at), model)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelgauge.llm.blocks import text_bytes, word_hashes
-from babelgauge.session import settle
+from babelgauge.session import settle, share_package
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 GROUP = 384  # rests partitioned together
@@ -190,6 +190,8 @@ def windows_for(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """Every document's ids, with ``end_id`` after them, cut into full windows and a rest: rows of ``PIECE_SCHEMA``."""
 
+    share_package(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from babelgauge.session import settle
+from babelgauge.session import settle, share_package
 
 DEPTH = 3  # leading tokens on the path
 FIELD = "<*>"
@@ -102,6 +102,7 @@ _GONE, _COUNT, _DOC = "__lines_gone", "__lines_count", "__lines_doc"  # beside a
 
 def _stripped(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """The documents without the lines in ``drops``, and the number of lines each has lost."""
+    share_package(docs.sparkSession)
     joined = docs.withColumn(_DOC, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
     joined = joined.join(drops.select(F.col("doc").alias(_DOC), F.col("gone").alias(_GONE)), _DOC, "left").select(*[F.col(f"`{c}`") for c in docs.columns], _GONE)
     at = docs.columns.index("text")

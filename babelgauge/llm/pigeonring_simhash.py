@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelgauge.llm.components import components
-from babelgauge.session import settle
+from babelgauge.session import settle, share_package
 
 SEGMENTS, WIDTH = 16, 4  # of the ring; WIDTH bits each
 MOST_EQUAL = 12  # segments in a key
@@ -56,6 +56,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, text_hash, fp`` (the 64 bits as a signed long) of every document, one Arrow pass."""
+    share_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

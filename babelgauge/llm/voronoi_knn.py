@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from babelgauge.session import settle
+from babelgauge.session import settle, share_package
 
 PIVOTS = 48
 GROUP_QUERIES = 4096  # queries of a group, at most twice that
@@ -74,6 +74,7 @@ def top_products(embeddings: DataFrame, queries, k: int = 10, pivots: int = PIVO
 
     To the driver: the pivots, at most ``pivots`` vectors of each length, and summaries of at most pivots x k numbers.
     """
+    share_package(embeddings.sparkSession)
     rows = settle(whole_vectors(embeddings).withColumn("dim", F.size("v")).withColumn("query", queries), "vectors")
     parts = [_search(rows.where(F.col("dim") == r["dim"]), k, pivots, r["dim"]) for r in rows.select("dim").distinct().orderBy("dim").collect()]
     if not parts:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelgauge.llm.repeats import index_among
+from babelgauge.session import share_package
 
 GRAM, WINDOW = 24, 128
 CHUNK = 1 << 20  # code points hashed together
@@ -117,6 +118,7 @@ def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     A null text is empty. A single document is its own neighbour. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    share_package(spark)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     steps = [i / ranges for i in range(1, ranges)]
