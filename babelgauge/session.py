@@ -33,6 +33,11 @@ def get_spark(app: str = "babelgauge", cores: int | None = None, **conf: str) ->
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -42,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
@@ -51,9 +56,12 @@ _PACKAGE_AT: set[str] = set()  # applications whose workers have the package
 
 
 def share_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run, also where it is not installed."""
+    """Let the Python workers of a local session import this package from any working folder.
+
+    On a cluster the submitter ships it, as with every package (``--py-files``, or a path all executors have).
+    """
     app = spark.sparkContext.applicationId
-    if app not in _PACKAGE_AT:
+    if app not in _PACKAGE_AT and is_local(spark):
         spark.sparkContext.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
         _PACKAGE_AT.add(app)
 
