@@ -83,7 +83,7 @@ def register(add) -> None:
     def st2(t):
         path = work_path(t.spark, "tail-latency")
         streaming.run_to_table(streaming.tail_latency(events_stream(t)), path).awaitTermination()
-        return rounded(t.spark.read.parquet(f"{path}/table"), mean_latency_s=12)
+        return rounded(streaming.read_table(t.spark, path), mean_latency_s=12)
 
     add("st2_tail_latency", st2, """SELECT layer_type, round(avg(latency_s), 12) AS mean_latency_s, count(*) AS calls
         FROM forward_log GROUP BY layer_type""")

@@ -89,7 +89,7 @@ SHARED = {
             batch_size, dataset_size, CAST(32 * batch_size AS BIGINT) AS max_gen_length, batch_size AS beam_size,
             CAST(CASE WHEN dataset_size = 'all' THEN -1 ELSE 15 END AS BIGINT) AS max_input_seq_length,
             CASE WHEN sweep_id < 10 THEN 'do_not_pad' ELSE 'no_pad_fill' END AS tokenizer_padding_setting,
-            CASE WHEN seq < 5000 THEN 'wmt14' ELSE 'flores200' END AS dataset_name
+            CASE WHEN seq < 5000 THEN 'wmt14' ELSE 'flores200' END AS dataset_name, message
         FROM failures""",
     "run_config": """
         SELECT run_id, CASE WHEN run_id < 7 THEN 't5-base' WHEN run_id < 14 THEN 'facebook/nllb-200-distilled-600M'

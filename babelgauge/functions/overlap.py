@@ -1,9 +1,9 @@
 """Per-row sufficient statistics of prediction/reference pairs, as Arrow functions.
 
 A text pair is one row, so its n-grams never have to leave the row: matching is map-side work and only a
-handful of counts per row reaches the shuffle. The functions work on whole Arrow batches (integer codes and
-one sort per order), not row by row, in slices of at most ``SLICE`` symbols so that memory stays flat
-whatever the batch holds.
+handful of counts per row reaches the shuffle. The functions work on runs of rows (integer codes and one sort
+per order), not row by row. A batch is cut into pieces of about ``SLICE`` symbols before anything is made of it,
+so memory stays flat whatever the batch holds.
 """
 
 from __future__ import annotations
@@ -30,16 +30,27 @@ class Side:
 
     def __init__(self, codes: np.ndarray, lengths: np.ndarray):
         self.codes, self.lengths = codes, lengths
-        self.ends = np.concatenate(([0], np.cumsum(lengths)))
-
-    def rows(self, start: int, stop: int) -> Side:
-        return Side(self.codes[self.ends[start]:self.ends[stop]], self.lengths[start:stop])
 
     @property
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lengths)), self.lengths)
 
 
+def _pieces(*arrays: pa.Array) -> Iterator[list[pa.Array]]:
+    """The arrays in row ranges of at most SLICE tokens or bytes; a longer single row is a range of its own."""
+    measured = [pc.list_value_length(a) if pa.types.is_list(a.type) else pc.binary_length(a) for a in arrays]
+    ends = np.concatenate(([0], np.cumsum(sum(pc.fill_null(m, 0).to_numpy(zero_copy_only=False).astype(np.int64) for m in measured))))
+    start = 0
+    while start < len(arrays[0]):
+        stop = max(int(np.searchsorted(ends, ends[start] + SLICE, side="right")) - 1, start + 1)
+        yield [a.slice(start, stop - start) for a in arrays]
+        start = stop
+
+
+def _joined(parts: list[pa.Array]) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+
 def _token_sides(arrays: tuple[pa.Array, ...], lower: bool = False) -> tuple[list[Side], int]:
     """Token lists as codes over one shared dictionary."""
     encoded = pa.concat_arrays([array.flatten() for array in arrays]).dictionary_encode()
@@ -71,15 +82,6 @@ def _character_sides(*arrays: pa.Array) -> tuple[list[Side], int]:
     return sides, max(len(present), 1)
 
 
-def _slices(a: Side, b: Side) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most SLICE symbols; a longer single row is a range of its own."""
-    ends, start = a.ends + b.ends, 0
-    while start < len(a.lengths):
-        stop = max(int(np.searchsorted(ends, ends[start] + SLICE, side="right")) - 1, start + 1)
-        yield start, stop
-        start = stop
-
-
 def _clipped(hyp: Side, ref: Side, alphabet: int, orders: int) -> np.ndarray:
     """Clipped n-gram matches: rows x orders."""
     rows = len(hyp.lengths)
@@ -114,9 +116,7 @@ def _clipped(hyp: Side, ref: Side, alphabet: int, orders: int) -> np.ndarray:
 def _counts(sides: list[Side], alphabet: int, orders: int) -> pa.Array:
     """Per row: the matches of every order, then the two lengths."""
     hyp, ref = sides
-    parts = [_clipped(hyp.rows(*r), ref.rows(*r), alphabet, orders) for r in _slices(hyp, ref)]
-    matches = np.concatenate(parts) if parts else np.zeros((0, orders), np.int64)
-    table = np.column_stack((matches, hyp.lengths, ref.lengths))
+    table = np.column_stack((_clipped(hyp, ref, alphabet, orders), hyp.lengths, ref.lengths))
     offsets = pa.array(np.arange(len(table) + 1) * (orders + 2), pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.array(table.ravel()))
 
@@ -126,7 +126,7 @@ def token_overlap(prediction: Column, reference: Column, orders: int) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def token_overlap_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        return _counts(*_token_sides((hyp, ref)), orders)
+        return _joined([_counts(*_token_sides(tuple(piece)), orders) for piece in _pieces(hyp, ref)])
 
     return token_overlap_udf(prediction, reference)
 
@@ -136,7 +136,7 @@ def character_overlap(prediction: Column, reference: Column, orders: int) -> Col
 
     @F.arrow_udf("array<bigint>")
     def character_overlap_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        return _counts(*_character_sides(hyp, ref), orders)
+        return _joined([_counts(*_character_sides(*piece), orders) for piece in _pieces(hyp, ref)])
 
     return character_overlap_udf(prediction, reference)
 
@@ -183,14 +183,13 @@ def alignment(*token_pairs: tuple[Column, Column]) -> Column:
     stage sees the tokens that earlier stages left free. All stages must have equal token counts. Case is ignored.
     """
 
+    def aligned(piece: list[pa.Array]) -> pa.Array:
+        sides, alphabet = _token_sides(tuple(piece), lower=True)
+        table = np.column_stack((_align(list(zip(sides[::2], sides[1::2])), alphabet), sides[0].lengths, sides[1].lengths))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * 4, pa.int32()), pa.array(table.ravel()))
+
     @F.arrow_udf("array<bigint>")
     def alignment_udf(*arrays: pa.Array) -> pa.Array:
-        sides, alphabet = _token_sides(arrays, lower=True)
-        hyp, ref = sides[0], sides[1]
-        parts = [_align([(h.rows(*r), s.rows(*r)) for h, s in zip(sides[::2], sides[1::2])], alphabet)
-                 for r in _slices(hyp, ref)]
-        counts = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
-        table = np.column_stack((counts, hyp.lengths, ref.lengths))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * 4, pa.int32()), pa.array(table.ravel()))
+        return _joined([aligned(piece) for piece in _pieces(*arrays)])
 
     return alignment_udf(*[column for pair in token_pairs for column in pair])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -21,25 +21,39 @@ def translate_batches(corpus: DataFrame, translate: Translate, batch_size: int,
     """``idx, run_id, batch_id, prediction, latency_s`` (of the batch call).
 
     Batches are fixed by ``idx``, as in a sequential run, so they hold the same rows however the input is
-    partitioned; a batch is at most ``batch_size`` rows, so no task holds more than it asked for. Write the
-    result to a table before deriving both predictions and the log from it: the function is expensive.
+    partitioned. Tasks get ranges of batches in order and cut them from their stream of rows; a batch is at most
+    ``batch_size`` rows (rows without ``idx`` too, whose batch has no number). Write the result to a table before
+    deriving both predictions and the log from it: the function is expensive.
     """
 
     def call(batch: pd.DataFrame) -> pd.DataFrame:
         import time
 
-        ordered = batch.sort_values("idx")
         start = time.perf_counter()
-        predictions = translate(ordered["text"].fillna("").tolist())
+        predictions = translate(batch["text"].fillna("").tolist())
         spent = time.perf_counter() - start
-        if len(predictions) != len(ordered):
-            raise ValueError(f"{len(predictions)} predictions for {len(ordered)} sentences")
-        return pd.DataFrame({"idx": ordered["idx"], "run_id": run_id, "batch_id": ordered["batch_id"],
+        if len(predictions) != len(batch):
+            raise ValueError(f"{len(predictions)} predictions for {len(batch)} sentences")
+        return pd.DataFrame({"idx": batch["idx"].astype("Int64"), "run_id": run_id, "batch_id": batch["batch_id"].astype("Int64"),
                              "prediction": predictions, "latency_s": spent})
 
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            new = held["batch_id"].ne(held["batch_id"].shift()) & ~(held["batch_id"].isna() & held["batch_id"].shift().isna())
+            run = new.cumsum()
+            part = run.astype(str) + "-" + (held.groupby(run).cumcount() // batch_size).astype(str)
+            edges = [*part.drop_duplicates().index, len(held)]
+            for start, stop in zip(edges[:-2], edges[1:-1]):  # the last batch may go on in the next frame
+                yield call(held.iloc[start:stop])
+            held = held.iloc[edges[-2]:].reset_index(drop=True) if len(held) else None
+        if held is not None and len(held):
+            yield call(held)
+
     rows = with_batches(corpus.select(F.col(idx).cast("long").alias("idx"), F.col(text).alias("text")), batch_size)
-    return rows.groupBy("batch_id").applyInPandas(
-        call, "idx long, run_id long, batch_id long, prediction string, latency_s double")
+    return rows.repartitionByRange("batch_id").sortWithinPartitions("batch_id", "idx").mapInPandas(
+        cut, "idx long, run_id long, batch_id long, prediction string, latency_s double")
 
 
 def forward_log(translated: DataFrame, layer_type: str = "encoder") -> DataFrame:

@@ -19,7 +19,6 @@ FAILURE_DDL = """
     model_name string, batch_size long, dataset_size string, max_gen_length long, beam_size long,
     max_input_seq_length long, tokenizer_padding_setting string, dataset_name string
 """
-FORWARD_FILE_DDL = "layer_type string, latency_s double"
 FORWARD_DDL = "run_id long, call_seq long, layer_type string, latency_s double"
 QUALITY_COLUMNS = ["sacrebleu", "spBleu", "chrf", "chrfpp", "meteor"]
 SPEED_COLUMNS = ["encoder_latency_s", "decoder_latency_s", "encoder_throughput", "decoder_throughput"]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from babelgauge.schemas import FAILURE_DDL, FORWARD_DDL, FORWARD_FILE_DDL, schema_of
+from babelgauge.schemas import FAILURE_DDL, FORWARD_DDL, schema_of
 
 
 def read_forward_files(spark: SparkSession, path: str) -> DataFrame:
-    """Header-less ``layer_type, latency_s`` files."""
-    return spark.read.schema(FORWARD_FILE_DDL).csv(path)
+    """Header-less ``layer_type, latency_s`` files; also those with a column before these two."""
+    rows = spark.read.schema("a string, b string, c string").csv(path)
+    short = F.col("c").isNull()
+    return rows.select(F.when(short, F.col("a")).otherwise(F.col("b")).alias("layer_type"),
+                       F.when(short, F.col("b")).otherwise(F.col("c")).cast("double").alias("latency_s"))
 
 
 def append_forward_log(log: DataFrame, path: str) -> None:
@@ -45,21 +48,45 @@ TEXT_ENTRIES = [("model_name", "model_name", ": "), ("Batch_size", "batch_size",
                 ("dataset_name", "dataset_name", "= ")]
 
 
+# The lines around a record, and what a warning starts with.
+RECORD, TRACE, RULE, DONE = ("ERROR: Exception occured during runtime!", "Full traceback message:", "**********",
+                             "End of traceback message")
+WARNING = "WARNING! Number of total encoded tokens and number of encoder forward passes are not equal."
+
+
 def failure_text() -> Column:
-    """The ``Hyperparameters: ...`` line of a failure record."""
-    entries = [F.concat(F.lit(label + separator), F.col(column).cast("string"))
+    """The ``Hyperparameters: ...`` line of a failure record. A null is written as ``None``."""
+    entries = [F.concat(F.lit(label + separator), F.coalesce(F.col(column).cast("string"), F.lit("None")))
                for label, column, separator in TEXT_ENTRIES]
     return F.concat(F.lit("Hyperparameters: "), F.concat_ws(", ", *entries))
 
 
 def write_failure_texts(failures: DataFrame, path: str) -> None:
-    failures.select(failure_text().alias("value")).write.mode("append").text(path)
+    """Failure records with their traceback (column ``message``) as text."""
+    lines = F.concat_ws("\n", F.lit(RECORD), failure_text(), F.lit(TRACE), F.concat(F.lit(RULE), F.coalesce("message", F.lit(""))),
+                        F.lit(RULE), F.lit(DONE))
+    failures.select(lines.alias("value")).write.mode("append").text(path)
+
+
+def write_warning_texts(runs: DataFrame, path: str) -> None:
+    """Warnings that batches and forward passes do not match, one line each."""
+    runs.select(F.concat(F.lit(WARNING), failure_text()).alias("value")).write.mode("append").text(path)
 
 
 def read_failure_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Failure records back from the text logs; lines of any other kind (tracebacks) are skipped."""
-    lines = spark.read.text(path).where(F.col("value").startswith("Hyperparameters: "))
-    types = {field.name: field.dataType for field in schema_of(FAILURE_DDL)}
-    return lines.select(*[
-        F.regexp_extract("value", rf"{label}{separator}([^,]*?)\s*(,|$)", 1).cast(types[column]).alias(column)
-        for label, column, separator in TEXT_ENTRIES])
+    """Failures and warnings back from the text logs: ``kind`` (error or warning), the settings, and ``message``.
+
+    A record goes from one record line to the next, whatever lies between (tracebacks, warnings). Settings are found
+    by their labels in order, so commas inside a value are kept.
+    """
+    records = spark.read.option("lineSep", RECORD + "\n").text(path)
+    trace = F.regexp_extract("value", rf"(?s){TRACE}\n\*{{10}}(.*?)\n?\*{{10}}", 1)
+    each = records.select(trace.alias("trace"), F.explode(F.regexp_extract_all(
+        "value", F.lit(r"([^\n]*)Hyperparameters: [^\n]*"), F.lit(0))).alias("line"))
+    pattern = "".join(rf"(?:, dataset_size_after[^:]*: \d+)?,? ?{label}{separator}(.*?)" for label, _, separator in TEXT_ENTRIES)
+    types = {field.name: field.dataType for field in schema_of(FAILURE_DDL).fields}
+    warned = F.col("line").startswith("WARNING")
+    values = [F.nullif(F.regexp_extract("line", rf"Hyperparameters:{pattern}\s*$", i + 1), F.lit("None")).cast(types[column])
+              .alias(column) for i, (_, column, _) in enumerate(TEXT_ENTRIES)]
+    return each.select(F.when(warned, "warning").otherwise("error").alias("kind"), *values,
+                       F.when(~warned, F.nullif("trace", F.lit(""))).alias("message"))

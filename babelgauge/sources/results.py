@@ -29,7 +29,7 @@ def read_result_folder(spark: SparkSession, path: str, pattern: str = "*metric*"
     firsts = placed.groupBy("file").agg(F.min_by("value", "place").alias("header")).collect()  # one row per file
     files: dict[tuple[str, ...], list[str]] = {}
     for row in firsts:
-        files.setdefault(tuple(name.strip() for name in next(csv.reader([row["header"]]))), []).append(row["file"])
+        files.setdefault(tuple(name.strip() for name in next(csv.reader([row["header"]], skipinitialspace=True))), []).append(row["file"])
     known = {field.name: field for field in run_schema().fields}
     frames = []
     for header, paths in sorted(files.items()):

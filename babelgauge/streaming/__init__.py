@@ -19,23 +19,31 @@ def running_statistics(pairs: DataFrame, metrics: Sequence[Metric], by: Sequence
 def run_to_table(stream: DataFrame, path: str, mode: str = "complete") -> StreamingQuery:
     """Process what is available and keep the current result as a Parquet table below ``path``.
 
-    Complete results replace the table; appended results go through the transactional file sink.
+    A complete result is a new version beside the ones before (``read_table`` takes the newest), so a reader never
+    finds a half-written or missing table; appended results go through the transactional file sink.
     """
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/_state")
     if mode == "append":
         return writer.outputMode("append").format("parquet").option("path", f"{path}/table").start()
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
+    def add_version(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
-    return writer.outputMode("complete").foreachBatch(replace).start()
+    return writer.outputMode("complete").foreachBatch(add_version).start()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete result below ``path``."""
+    versions = spark.read.parquet(f"{path}/table")
+    newest = versions.agg(F.max("batch")).first()[0]
+    return versions.where(F.col("batch") == newest).drop("batch")
 
 
 def stream_scores(spark: SparkSession, pairs: DataFrame, metrics: Sequence[Metric], by: Sequence[str]) -> DataFrame:
     """Scores after all available micro-batches; equal to the batch result."""
     path = work_path(spark, "stream-scores")
     run_to_table(running_statistics(pairs, metrics, by), path).awaitTermination()
-    return scores(spark.read.parquet(f"{path}/table"), metrics, by)
+    return scores(read_table(spark, path), metrics, by)
 
 
 def tail_latency(log: DataFrame) -> DataFrame:

@@ -79,12 +79,13 @@ def test_tokenisers_against_brute_force(spark):
         assert (a, b, c) == (brute.tokens_13a(text), brute.chrf_words(text), text.strip())
 
 
-def test_overflow_guard_renumbers(spark, monkeypatch):
+def test_overflow_guard_renumbers(spark):
     """Large alphabets take the re-numbering path and give the same counts."""
     rng = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(20000)]
-    pairs = [(" ".join(rng.choices(vocabulary, k=3000)), " ".join(rng.choices(vocabulary, k=3000))) for _ in range(8)]
+    vocabulary = [f"w{i}" for i in range(60000)]
+    pairs = [(" ".join(rng.choices(vocabulary, k=3000)), " ".join(rng.choices(vocabulary, k=3000))) for _ in range(20)]
     pairs = [(h, h[:9000] + r) for h, r in pairs]
+    assert len({w for p in pairs for t in p for w in t.split()}) ** 4 * len(pairs) * 2 >= 1 << 62
     assert score(spark, pairs, ["sacrebleu"])["sacrebleu"] == pytest.approx(brute.bleu(pairs))
 
 
@@ -95,7 +96,27 @@ def test_slices_do_not_change_counts(monkeypatch):
     h, r = (pa.array([p[i] for p in pairs]) for i in (0, 1))
     whole = overlap._counts(*overlap._character_sides(h, r), 6).to_pylist()
     monkeypatch.setattr(overlap, "SLICE", 40)
-    assert overlap._counts(*overlap._character_sides(h, r), 6).to_pylist() == whole
+    pieces = list(overlap._pieces(h, r))
+    assert len(pieces) > 5
+    assert overlap._joined([overlap._counts(*overlap._character_sides(*p), 6) for p in pieces]).to_pylist() == whole
+
+
+def test_memory_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = pa.array([" ".join(f"w{i * j % 977}" for j in range(2000)) for i in range(1500)])  # 9 MB on each side
+
+    def most(rows):
+        tracemalloc.start()
+        for piece in overlap._pieces(text.slice(0, rows), text.slice(0, rows)):
+            overlap._counts(*overlap._character_sides(*piece), 6)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    assert most(1500) < 1.3 * most(500)
 
 
 def test_meteor_stages(spark):

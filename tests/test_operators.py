@@ -238,15 +238,35 @@ def test_result_folder_mixes_versions(spark):
 
 
 def test_failure_texts_round_trip(spark):
-    row = ("facebook/nllb-moe-54b", 32, "all", 128, 4, -1, "do_not_pad", "wmt14")
-    df = spark.createDataFrame([row], "model_name string, batch_size long, dataset_size string, max_gen_length long, "
-                               "beam_size long, max_input_seq_length long, tokenizer_padding_setting string, dataset_name string")
+    rows = [("facebook/nllb-moe-54b", 32, "all", 128, 4, -1, "do_not_pad", "wmt14", "Traceback:\n  a line\nCUDA out of memory"),
+            ("t5, large", 1, None, 20, 1, 15, "no_pad_fill", "flores200", "TypeError")]
+    df = spark.createDataFrame(rows, "model_name string, batch_size long, dataset_size string, max_gen_length long, beam_size long, "
+                               "max_input_seq_length long, tokenizer_padding_setting string, dataset_name string, message string")
     path = work_path(spark, "texts")
     logs.write_failure_texts(df, path)
-    line = spark.read.text(path).first()[0]
-    assert line == ("Hyperparameters: model_name: facebook/nllb-moe-54b, Batch_size: 32, dataset_size: all, max_gen_length: 128, "
-                    "beam_size: 4, max_input_seq_length: -1, tokenizer_padding_setting: do_not_pad, dataset_name= wmt14")
-    assert tuple(logs.read_failure_texts(spark, path).first()) == row
+    lines = {r[0] for r in spark.read.text(path).collect()}
+    assert ("Hyperparameters: model_name: facebook/nllb-moe-54b, Batch_size: 32, dataset_size: all, max_gen_length: 128, "
+            "beam_size: 4, max_input_seq_length: -1, tokenizer_padding_setting: do_not_pad, dataset_name= wmt14") in lines
+    logs.write_warning_texts(df, path)
+    back = {tuple(r) for r in logs.read_failure_texts(spark, path).collect()}
+    assert back == {("error", *r) for r in rows} | {("warning", *r[:-1], None) for r in rows}
+
+
+def test_warning_without_line_break_and_filtered_size(spark, tmp_path):
+    line = ("WARNING! Something.Hyperparameters: model_name: t5-base, Batch_size: 8, dataset_size: 3000, "
+            "dataset_size_after_filter_wrt_input_len: 1370 max_gen_length: 128, beam_size: 4, max_input_seq_length: 15, "
+            "tokenizer_padding_setting: do_not_pad, dataset_name= wmt14 \n")
+    (tmp_path / "t5.txt").write_text(line + "ERROR: Exception occured during runtime!\nother text\n")
+    assert [tuple(r) for r in logs.read_failure_texts(spark, str(tmp_path)).collect()] == [
+        ("warning", "t5-base", 8, "3000", 128, 4, 15, "do_not_pad", "wmt14", None)]
+
+
+def test_rows_without_position_are_batched_too(spark):
+    df = spark.createDataFrame([(None, f"s{i}") for i in range(7)] + [(i, "the x") for i in range(5)], "idx long, source string")
+    done = inference.translate_batches(df, lambda s: [f"{len(s)}"] * len(s), 3).collect()
+    assert sorted(r.prediction for r in done if r.idx is None) == ["1", "3", "3", "3", "3", "3", "3"]
+    assert sorted((r.idx, r.batch_id, r.prediction) for r in done if r.idx is not None) == [
+        (0, 0, "3"), (1, 0, "3"), (2, 0, "3"), (3, 1, "2"), (4, 1, "2")]
 
 
 def test_throughput_definitions(spark):
