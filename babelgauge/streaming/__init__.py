@@ -51,9 +51,24 @@ def tail_latency(log: DataFrame) -> DataFrame:
     return log.groupBy("layer_type").agg(F.avg("latency_s").alias("mean_latency_s"), F.count("*").alias("calls"))
 
 
-def windowed_latency(log: DataFrame, width: str = "1 day", lateness: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Mean latency per layer and time window; windows close ``lateness`` behind the newest call."""
-    return log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness) \
-        .groupBy(F.window(time, width), "layer_type") \
+def _per_window(log: DataFrame, width: str, time: str) -> DataFrame:
+    return log.groupBy(F.window(time, width), "layer_type") \
         .agg(F.avg("latency_s").alias("mean_latency_s"), F.count("*").alias("calls")) \
         .select(F.col("window.start").alias("window_start"), "layer_type", "mean_latency_s", "calls")
+
+
+def windowed_latency(log: DataFrame, width: str = "1 day", lateness: str = "1 hour", time: str = "ts") -> DataFrame:
+    """Mean latency per layer and time window; windows close ``lateness`` behind the newest call."""
+    timed = log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    return _per_window(timed, width, time)
+
+
+def open_windows(log: DataFrame, width: str = "1 day", lateness: str = "1 hour", time: str = "ts") -> DataFrame:
+    """The windows that are not closed yet, from the stored calls: those that end less than ``lateness`` behind the
+    newest call. Only calls that can lie in one are read on."""
+    timed = log.withColumn(time, F.col(time).cast("timestamp"))
+    newest = timed.agg(F.max(time)).first()[0]
+    if newest is None:
+        return _per_window(timed, width, time)
+    mark = F.lit(newest) - F.expr(f"INTERVAL {lateness}")
+    return _per_window(timed.where(F.window(time, width)["end"] > mark), width, time)
