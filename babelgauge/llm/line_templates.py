@@ -6,86 +6,163 @@ being variable from the start. Lines in one leaf are generalised position by pos
 constant tokens (``similarity`` of all, and ``constants`` at least); else the line stands for itself. Templates that
 recur in ``min_docs`` documents are dropped from all documents but the smallest that holds them.
 
-The tree prunes before anything is generalised: only hashes of lines and leaves are shuffled, and a leaf with too few
-documents is done. The text of a line is fetched, once for each distinct line, only in leaves that hold several different
-lines and enough documents.
+The tree prunes before anything is generalised. One pass over the blocks of documents (see ``blocks``) parses all lines
+to two hashes, leaf and line; only these are shuffled, once for each document and line, and a leaf with too few documents
+is done. Tokens (hashes as well) are asked for from one block that holds the line, once for each distinct line, and only
+in leaves that hold several lines and enough documents. Blocks then get the list of lines to drop.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from babelgauge.session import settle, share_package
+from babelgauge.llm import blocks as B
+from babelgauge.session import settle
 
 DEPTH = 3  # leading tokens on the path
-FIELD = "<*>"
+BLOCK_BYTES = 4 << 20  # text of a block; parsing takes about 30 times that
+FIELD = np.uint64(0)  # stands for a variable field among token hashes
 _LAST = (1 << 63) - 1  # a null doc_id counts as larger than all others
+_LINE, _LEAF = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_DIGIT = np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
+
+
+class Lines:
+    """The lines of a block's texts that are not blank: their documents, numbers, tokens and hashes."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array) -> None:
+        data, offsets = B.text_bytes(texts)
+        starts, ends, at = B.word_spans(data, offsets)
+        digits = np.flatnonzero(_DIGIT[data])
+        self.tokens = B.word_hashes(data, starts, ends)
+        self.tokens[np.searchsorted(digits, ends) > np.searchsorted(digits, starts)] = FIELD
+        feeds = np.flatnonzero(data == 0x0A)
+        doc = np.repeat(np.arange(len(ids)), np.diff(at))
+        line = np.searchsorted(feeds, starts) + doc  # of all texts one after another; a text ends its last line
+        self.first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))[: len(line)]
+        self.sizes = np.diff(np.append(self.first, len(line)))
+        self.row = doc[self.first]  # the text that holds the line
+        self.number = line[self.first] - self.row - np.searchsorted(feeds, offsets[:-1])[self.row]
+        self.doc = B.signed(ids)[0][self.row]
+        place = (np.arange(len(line)) - np.repeat(self.first, self.sizes)).astype(np.uint64)
+        mixed = B.mix(self.tokens ^ (place * _LINE))
+        self.line = np.add.reduceat(mixed, self.first) if len(line) else mixed
+        leaf = B.mix(self.sizes.astype(np.uint64) ^ _LEAF)
+        for j in range(DEPTH):
+            has = self.sizes > j
+            leaf[has] = B.mix(leaf[has] * _LINE + self.tokens[self.first[has] + j])
+        self.leaf = leaf
+        self.counts = np.diff(np.searchsorted(feeds, offsets)) + 1  # lines of each text, blank ones too
+
+
+def _held(blocks: DataFrame) -> DataFrame:
+    """``block, doc, leaf, line`` for every line of every document, once."""
 
-
-def masked(line: Column) -> Column:
-    """The line's tokens with single spaces; tokens with a digit become variable fields."""
-    spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", FIELD)
-
-
-def _leaf(shape: Column) -> Column:
-    return F.xxhash64(F.size(F.split(shape, " ")), F.substring_index(shape, " ", DEPTH))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """Every line that is not blank: its document, number, shape, and the hashes of shape and leaf."""
-    told = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
-    each = told.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    shaped = each.select("doc", "at", masked(F.col("line")).alias("shape")).where("shape != ''")
-    return shaped.withColumns({"line": F.xxhash64("shape"), "leaf": _leaf(F.col("shape"))})
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5) -> DataFrame:
-    """``line, template, n_docs, keeper`` for every line shape whose template recurs in ``min_docs`` documents.
-
-    ``line`` and ``template`` are 64-bit hashes; ``keeper`` is the smallest document (a null id counts as the largest).
-    """
-    held = settle(_lines(docs).select("leaf", "line", "doc").distinct(), "line-holders")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
+                table = B.unpack(body.as_py())
+                x = Lines(table.column(0), table.column(table.num_columns - 1))
+                rows = np.unique(np.stack([x.doc, x.leaf.view(np.int64), x.line.view(np.int64)], axis=1), axis=0) if len(x.doc) else np.zeros((0, 3), np.int64)
+                columns = [pa.array(np.full(len(rows), block)), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "doc", "leaf", "line"])
+
+    return settle(blocks.mapInArrow(run, "block long, doc long, leaf long, line long"), "line-holders")
+
+
+def _tokens(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``leaf, line, tokens`` of the wanted lines ``(block, leaf, line)``, each from the block named."""
+    schema = "leaf long, line long, tokens array<long>"
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return empty
+        table = B.unpack(left.column("body")[0].as_py())
+        x = Lines(table.column(0), table.column(table.num_columns - 1))
+        keys = B.mix(x.leaf) ^ x.line
+        order = np.argsort(keys, kind="stable")
+        leaf, line = (right.column(c).to_numpy().view(np.uint64) for c in ("leaf", "line"))
+        at = order[np.searchsorted(keys[order], B.mix(leaf) ^ line)]
+        sizes = x.sizes[at]
+        bounds = np.append(0, np.cumsum(sizes))
+        flat = x.tokens[np.arange(bounds[-1]) - np.repeat(bounds[:-1] - x.first[at], sizes)].view(np.int64)
+        tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+        return pa.Table.from_arrays([pa.array(leaf.view(np.int64)), pa.array(line.view(np.int64)), tokens], names=["leaf", "line", "tokens"])
+
+    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
+
+
+def _recurring(blocks: DataFrame, held: DataFrame, min_docs: int, similarity: float, constants: int) -> DataFrame:
+    """``leaf, line, template, n_docs, keeper`` for every line whose template recurs in ``min_docs`` documents."""
     leaves = held.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    held = settle(held.join(leaves, "leaf", "left_semi"), "leaf-holders")
-    per_line = settle(held.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "line-documents")
+    held = settle(held.join(leaves, "leaf", "left_semi").groupBy("leaf", "line", "doc").agg(F.min("block").alias("block")), "leaf-holders")
+    per_line = settle(held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("block").alias("block")), "line-documents")
     varied = per_line.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
-    wanted = per_line.join(varied, "leaf", "left_semi")
-
-    # one text for each distinct line of those leaves, and its tokens after the path
-    shapes = _lines(docs).select("leaf", "line", "shape").join(varied, "leaf", "left_semi")
-    texts = shapes.groupBy("leaf", "line").agg(F.min("shape").alias("shape")).join(wanted, ["leaf", "line"])
-    texts = settle(texts.select("leaf", "line", "docs", F.split("shape", " ").alias("tokens")).where(F.size("tokens") >= constants), "line-texts")
-    tokens = texts.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= DEPTH)
-    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != FIELD))
+    wanted = settle(per_line.join(varied, "leaf", "left_semi"), "varied-lines")
+
+    found = _tokens(blocks, wanted.select("block", "leaf", "line")).where(F.size("tokens") >= constants)
+    texts = settle(found.join(wanted.select("leaf", "line", "docs"), ["leaf", "line"]), "line-tokens")
+    tokens = texts.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token")).where((F.col("place") >= DEPTH) & (F.col("token") != int(FIELD)))
+    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
     kept = tokens.join(common.select("leaf", "place", "token"), ["leaf", "place", "token"], "left_semi")
     kept = kept.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("kept"))
-    formed = texts.select("leaf", "line", "tokens").join(kept, ["leaf", "line"], "left")
-    path = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda t: (t["place"] < DEPTH) & (t["token"] != FIELD))
-    all_kept = F.concat(path, F.coalesce("kept", F.array().cast("array<struct<place:int,token:string>>")))
-    enough = (F.size(all_kept) >= F.ceil(F.size("tokens") * F.lit(similarity))) & (F.size(all_kept) >= constants)
+    formed = texts.select("leaf", "line", F.size("tokens").alias("size"), F.slice("tokens", 1, DEPTH).alias("path")).join(kept, ["leaf", "line"], "left")
+    path = F.filter(F.transform("path", lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda t: t["token"] != int(FIELD))
+    all_kept = F.concat(path, F.coalesce("kept", F.array().cast("array<struct<place:int,token:bigint>>")))
+    enough = (F.size(all_kept) >= F.ceil(F.col("size") * F.lit(similarity))) & (F.size(all_kept) >= constants)
     general = formed.where(enough).select("leaf", "line", F.xxhash64("leaf", F.lit("template"), all_kept).alias("template"))
 
-    named = per_line.join(general, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("template", F.xxhash64("leaf", "line")).alias("template"))
-    named = settle(named, "line-templates")
+    named = settle(per_line.join(general, ["leaf", "line"], "left").select("leaf", "line", F.coalesce("template", F.xxhash64("leaf", "line")).alias("template")), "line-templates")
     holders = held.join(named, ["leaf", "line"]).select("template", "doc").distinct()
-    found = holders.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    return settle(named.join(found, "template").select("line", "leaf", "template", "n_docs", "keeper"), "recurring-lines")
-
-
-def _drops(docs: DataFrame, min_docs: int, similarity: float, constants: int) -> DataFrame:
-    """``doc, gone``: the numbers of the lines each document loses. Only documents that lose any."""
-    found = recurring_lines(docs, min_docs, similarity, constants)
-    hit = _lines(docs).select("doc", "at", "line", "leaf").join(found.select("line", "leaf", "keeper"), ["line", "leaf"]).where("doc != keeper")
-    return hit.groupBy("doc").agg(F.collect_set("at").alias("gone"))
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5) -> DataFrame:
+    recurring = holders.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    return settle(named.join(recurring, "template").select("leaf", "line", "template", "n_docs", "keeper"), "recurring-lines")
+
+
+_COUNT, _DROPPED = "__lines", "__lines_dropped"  # beside any columns of the documents
+
+
+def _stripped(docs: DataFrame, min_docs: int, similarity: float, constants: int, block_bytes: int) -> DataFrame:
+    """The documents, all columns, without recurring lines, with the number of lines each had and has lost."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    blocks = B.as_blocks(docs.select(*[F.col(f"`{c}`") for c in ("doc_id", *others, "text")]), "doc_id", *others, "text", block_bytes=block_bytes)
+    held = _held(blocks)
+    found = _recurring(blocks, held, min_docs, similarity, constants)
+    drops = held.join(found.select("leaf", "line", "keeper"), ["leaf", "line"]).where("doc != keeper").select("block", "doc", "leaf", "line")
+    schema = StructType([*docs.schema.fields]).add(_COUNT, "integer").add(_DROPPED, "integer")
+    empty, names = to_arrow_schema(schema).empty_table(), docs.columns
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return empty
+        table = B.unpack(left.column("body")[0].as_py())
+        texts = table.column(table.num_columns - 1)
+        x = Lines(table.column(0), texts)
+        doc, leaf, line = (right.column(c).to_numpy().view(np.uint64) for c in ("doc", "leaf", "line"))
+        gone = np.isin(B.mix(x.leaf ^ B.mix(x.doc.view(np.uint64))) ^ x.line, B.mix(leaf ^ B.mix(doc)) ^ line)
+        dropped = np.bincount(x.row[gone], minlength=len(texts))
+        counts = np.where(pa.compute.is_valid(texts).to_numpy(zero_copy_only=False), x.counts, 0)
+        out = texts.to_pylist()
+        edges = np.searchsorted(x.row, np.arange(len(out) + 1))
+        for i in np.flatnonzero(dropped).tolist():
+            part = slice(edges[i], edges[i + 1])
+            away = set(x.number[part][gone[part]].tolist())
+            out[i] = "\n".join([t for j, t in enumerate(out[i].split("\n")) if j not in away])
+        columns = {c: table.column(j) for j, c in enumerate(["doc_id", *others])} | {"text": pa.array(out, pa.string())}
+        return pa.Table.from_arrays([*(columns[c] for c in names), pa.array(counts, pa.int32()), pa.array(dropped, pa.int32())], names=[*names, _COUNT, _DROPPED])
+
+    return blocks.groupBy("block").cogroup(drops.groupBy("block")).applyInArrow(run, schema)
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns, without lines whose template recurs.
 
     ``docs`` needs ``doc_id`` and ``text``. Lines end at line feeds; blank lines are never dropped, and what is left
@@ -94,38 +171,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, similarity: float =
     all rows with a null id, which counts as the largest. A null text stays null; a document that loses all lines keeps
     an empty text. An empty table gives no rows. Lines are told apart by 64 hash bits within their leaf.
     """
-    return _stripped(docs, _drops(docs, min_docs, similarity, constants)).drop(_COUNT)
+    return _stripped(docs, min_docs, similarity, constants, block_bytes).drop(_COUNT, _DROPPED)
 
 
-_GONE, _COUNT, _DOC = "__lines_gone", "__lines_count", "__lines_doc"  # beside any columns of the documents
-
-
-def _stripped(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """The documents without the lines in ``drops``, and the number of lines each has lost."""
-    share_package(docs.sparkSession)
-    joined = docs.withColumn(_DOC, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    joined = joined.join(drops.select(F.col("doc").alias(_DOC), F.col("gone").alias(_GONE)), _DOC, "left").select(*[F.col(f"`{c}`") for c in docs.columns], _GONE)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = batch.column(batch.num_columns - 1)
-            texts, lost = batch.column(at).to_pylist(), [0] * batch.num_rows
-            for i in range(batch.num_rows):
-                if gone[i].is_valid and texts[i] is not None:
-                    out = set(gone[i].as_py())
-                    lines = texts[i].split("\n")
-                    kept = [line for j, line in enumerate(lines) if j not in out]
-                    texts[i], lost[i] = "\n".join(kept), len(lines) - len(kept)
-            columns = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int32())], names=[*batch.schema.names[:-1], _COUNT])
-
-    schema = StructType([*docs.schema.fields]).add(_COUNT, "integer")
-    return joined.mapInArrow(run, schema)
-
-
-def line_dedup(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped``: every document's text after ``drop_recurring_lines``, and its line counts."""
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _stripped(told.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0))), _drops(docs, min_docs, similarity, constants))
-    return found.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col(_COUNT).cast("long").alias("n_dropped"))
+    found = _stripped(told, min_docs, similarity, constants, block_bytes)
+    return found.select("doc_id", "text", F.col(_COUNT).cast("long").alias("n_lines"), F.col(_DROPPED).cast("long").alias("n_dropped"))
