@@ -55,11 +55,20 @@ def shared_folder(spark: SparkSession) -> str:
 _PACKAGE_AT: set[str] = set()  # applications whose workers have the package
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 512 rows for whole texts, unless the session asks for a size of its own: the default of 10,000
+    texts is held several times over, in the JVM's buffers and in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "512")
+
+
 def share_package(spark: SparkSession) -> None:
     """Let the Python workers of a local session import this package from any working folder.
 
     On a cluster the submitter ships it, as with every package (``--py-files``, or a path all executors have).
     """
+    _small_batches(spark)
     app = spark.sparkContext.applicationId
     if app not in _PACKAGE_AT and is_local(spark):
         spark.sparkContext.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
