@@ -83,11 +83,15 @@ def fit(docs: DataFrame, trains: Column, settings: Settings = Settings()) -> Mod
     """A model from ``text`` and ``lang`` of the documents for which ``trains`` holds.
 
     The sample is the documents with the smallest hashes of ``doc_id`` in each language, so it does not depend on the
-    table's order. To the driver: at most ``per_language`` texts of at most ``longest`` characters for each language.
+    table's order. One row for each language is broadcast, and ``per_language`` identifiers of each. To the driver: at most ``per_language`` texts of at most ``longest`` characters for each language.
     """
     usable = trains & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= settings.longest) & F.col("text").rlike(r"\p{L}")
     told = docs.where(usable).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(9), F.col("doc_id")).alias("draw"), F.col("text").alias("text"))
-    chosen = told.select("lang", "doc_id", "draw").distinct()
+    # of each language only draws small enough to hold four times the sample are ranked, so no task ranks a language
+    counts = told.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
+    small = told.select("lang", "doc_id", "draw").join(F.broadcast(counts), "lang").where(share * F.col("n") < 4.0 * settings.per_language + 64)
+    chosen = small.select("lang", "doc_id", "draw").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= settings.per_language)
     same = F.col("t.lang").eqNullSafe(F.col("c.lang")) & F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))
@@ -145,6 +149,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             names, scores = predict(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+        column_of.cache_clear()  # workers go on to other tasks
 
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return told.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -160,5 +165,6 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.05) -> DataF
         for batch in batches:
             names, scores = predict(batch.column(at), model)
             yield batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (scores >= least), pa.bool_()))
+        column_of.cache_clear()  # workers go on to other tasks
 
     return docs.mapInArrow(run, docs.schema)
