@@ -23,7 +23,7 @@ from babelgauge.llm.repeats import index_among
 from babelgauge.session import share_package
 
 GRAM, WINDOW = 24, 128
-CHUNK = 1 << 20  # code points hashed together
+CHUNK = 1 << 18  # code points hashed together
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _BASE = 0x5851F42D4C957F2D
 _PLACE = np.uint64((1 << 28) - 1)
@@ -158,7 +158,8 @@ def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
                 "near_next": pa.array([likeness(sets[i], sets[i + 1]) for i in range(n)], pa.float64()),
             })
 
-        for batch in batches:
+        few = (batch.slice(i, 64) for batch in batches for i in range(0, batch.num_rows, 64))  # texts as Python strings are few
+        for batch in few:
             for at, is_guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if at != range_:
                     rows, size, range_, done = [], 0, at, False
