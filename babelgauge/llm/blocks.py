@@ -141,7 +141,10 @@ def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[int, pa.R
             return empty
         right = right.sort_by("bucket")
         replies = [unpack_arrays(body.as_py()) for body in right.column("body")]
-        return use(left.column("block")[0].as_py(), unpack(left.column("body")[0].as_py()), replies)
+        try:
+            return use(left.column("block")[0].as_py(), unpack(left.column("body")[0].as_py()), replies)
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

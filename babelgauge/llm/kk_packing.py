@@ -27,8 +27,8 @@ from babelgauge.session import settle, share_package
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 GROUP = 384  # rests partitioned together
 GRIT, GRIT_SHARE = 32, 40  # one rest in so many is cut into pieces of 32 ids, with which windows become level
-SLICE = 8 << 20  # bytes of text encoded together
-CACHED = 1 << 20  # encoded words kept per worker
+SLICE = 4 << 20  # bytes of text encoded together
+CACHED = 1 << 19  # encoded words kept per worker
 #: Fixed by GPT-2's byte-level scheme: the words that byte pairs are merged in.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -27,7 +27,7 @@ from babelgauge.llm import blocks as B
 from babelgauge.session import settle
 
 DEPTH = 3  # leading tokens on the path
-BLOCK_BYTES = 4 << 20  # text of a block; parsing takes about 30 times that
+BLOCK_BYTES = 2 << 20  # text of a block; parsing takes about 30 times that
 FIELD = np.uint64(0)  # stands for a variable field among token hashes
 _LAST = (1 << 63) - 1  # a null doc_id counts as larger than all others
 _LINE, _LEAF = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -104,7 +104,8 @@ def _tokens(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
 def _recurring(blocks: DataFrame, held: DataFrame, min_docs: int, similarity: float, constants: int) -> DataFrame:
     """``leaf, line, template, n_docs, keeper`` for every line whose template recurs in ``min_docs`` documents."""
     leaves = held.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    held = settle(held.join(leaves, "leaf", "left_semi").groupBy("leaf", "line", "doc").agg(F.min("block").alias("block")), "leaf-holders")
+    once = held.groupBy("leaf", "line", "doc").agg(F.min("block").alias("block"))
+    held = settle(once.join(leaves, "leaf", "left_semi"), "leaf-holders")  # nothing else by leaf here, so hot leaves can be split
     per_line = settle(held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("block").alias("block")), "line-documents")
     varied = per_line.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
     wanted = settle(per_line.join(varied, "leaf", "left_semi"), "varied-lines")
@@ -143,6 +144,7 @@ def _stripped(docs: DataFrame, min_docs: int, similarity: float, constants: int,
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty
+        pa.default_memory_pool().release_unused()  # of the block before
         table = B.unpack(left.column("body")[0].as_py())
         texts = table.column(table.num_columns - 1)
         x = Lines(table.column(0), texts)
