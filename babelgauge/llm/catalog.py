@@ -21,7 +21,7 @@ def op1_voronoi_knn(spark: SparkSession, folder: str) -> DataFrame:
 def op2_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.line_templates import line_dedup
 
-    found = line_dedup(table(spark, folder, "documents"), min_docs=3, similarity=0.8)
+    found = line_dedup(table(spark, folder, "documents"), min_docs=2, support=3, similarity=0.8)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -2,14 +2,14 @@
 
 A line is parsed along a tree of fixed depth: by its number of tokens, then by its leading tokens, tokens with digits
 being variable from the start. Lines in one leaf are generalised position by position: a token that fewer than
-``min_docs`` documents hold at its place is a variable field. What remains is the line's template, if it keeps enough
-constant tokens (``similarity`` of all, and ``constants`` at least); else the line stands for itself. Templates that
-recur in ``min_docs`` documents are dropped from all documents but the smallest that holds them.
+``support`` documents hold at its place is a variable field. What remains is the line's template, if it keeps enough
+constant tokens (``similarity`` of all, and ``constants`` at least); else the line stands for itself. Lines and templates
+that recur in ``min_docs`` documents are dropped from all documents but the smallest that holds them.
 
 The tree prunes before anything is generalised. One pass over the blocks of documents (see ``blocks``) parses all lines
 to two hashes, leaf and line; only these are shuffled, once for each document and line, and a leaf with too few documents
 is done. Tokens (hashes as well) are asked for from one block that holds the line, once for each distinct line, and only
-in leaves that hold several lines and enough documents. Blocks then get the list of lines to drop.
+in leaves that hold several lines and documents enough for a support. Blocks then get the list of lines to drop.
 """
 
 from __future__ import annotations
@@ -101,19 +101,20 @@ def _tokens(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, schema)
 
 
-def _recurring(blocks: DataFrame, held: DataFrame, min_docs: int, similarity: float, constants: int) -> DataFrame:
+def _recurring(blocks: DataFrame, held: DataFrame, min_docs: int, support: int, similarity: float, constants: int) -> DataFrame:
     """``leaf, line, template, n_docs, keeper`` for every line whose template recurs in ``min_docs`` documents."""
     leaves = held.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     once = held.groupBy("leaf", "line", "doc").agg(F.min("block").alias("block"))
     held = settle(once.join(leaves, "leaf", "left_semi"), "leaf-holders")  # nothing else by leaf here, so hot leaves can be split
     per_line = settle(held.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("block").alias("block")), "line-documents")
-    varied = per_line.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
+    supported = held.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= support).select("leaf")
+    varied = per_line.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf").join(supported, "leaf", "left_semi")
     wanted = settle(per_line.join(varied, "leaf", "left_semi"), "varied-lines")
 
     found = _tokens(blocks, wanted.select("block", "leaf", "line")).where(F.size("tokens") >= constants)
     texts = settle(found.join(wanted.select("leaf", "line", "docs"), ["leaf", "line"]), "line-tokens")
     tokens = texts.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token")).where((F.col("place") >= DEPTH) & (F.col("token") != int(FIELD)))
-    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= support)
     kept = tokens.join(common.select("leaf", "place", "token"), ["leaf", "place", "token"], "left_semi")
     kept = kept.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("kept"))
     formed = texts.select("leaf", "line", F.size("tokens").alias("size"), F.slice("tokens", 1, DEPTH).alias("path")).join(kept, ["leaf", "line"], "left")
@@ -131,12 +132,12 @@ def _recurring(blocks: DataFrame, held: DataFrame, min_docs: int, similarity: fl
 _COUNT, _DROPPED = "__lines", "__lines_dropped"  # beside any columns of the documents
 
 
-def _stripped(docs: DataFrame, min_docs: int, similarity: float, constants: int, block_bytes: int) -> DataFrame:
+def _stripped(docs: DataFrame, min_docs: int, support: int, similarity: float, constants: int, block_bytes: int) -> DataFrame:
     """The documents, all columns, without recurring lines, with the number of lines each had and has lost."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     blocks = B.as_blocks(docs.select(*[F.col(f"`{c}`") for c in ("doc_id", *others, "text")]), "doc_id", *others, "text", block_bytes=block_bytes)
     held = _held(blocks)
-    found = _recurring(blocks, held, min_docs, similarity, constants)
+    found = _recurring(blocks, held, min_docs, support, similarity, constants)
     drops = held.join(found.select("leaf", "line", "keeper"), ["leaf", "line"]).where("doc != keeper").select("block", "doc", "leaf", "line")
     schema = StructType([*docs.schema.fields]).add(_COUNT, "integer").add(_DROPPED, "integer")
     empty, names = to_arrow_schema(schema).empty_table(), docs.columns
@@ -164,20 +165,20 @@ def _stripped(docs: DataFrame, min_docs: int, similarity: float, constants: int,
     return blocks.groupBy("block").cogroup(drops.groupBy("block")).applyInArrow(run, schema)
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5, block_bytes: int = BLOCK_BYTES, support: int = 3) -> DataFrame:
     """The documents, all columns, without lines whose template recurs.
 
     ``docs`` needs ``doc_id`` and ``text``. Lines end at line feeds; blank lines are never dropped, and what is left
-    keeps its line feeds. A template that at least ``min_docs`` documents hold stays in the smallest of them (all its
-    lines there) and goes from the others. A document is told by its ``doc_id``: repeated rows are one document, as are
+    keeps its line feeds. A line or template that at least ``min_docs`` documents hold stays in the smallest of them (all
+    its lines there) and goes from the others; ``support`` only decides which tokens are constant. A document is told by its ``doc_id``: repeated rows are one document, as are
     all rows with a null id, which counts as the largest. A null text stays null; a document that loses all lines keeps
     an empty text. An empty table gives no rows. Lines are told apart by 64 hash bits within their leaf.
     """
-    return _stripped(docs, min_docs, similarity, constants, block_bytes).drop(_COUNT, _DROPPED)
+    return _stripped(docs, min_docs, support, similarity, constants, block_bytes).drop(_COUNT, _DROPPED)
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 3, similarity: float = 0.8, constants: int = 5, block_bytes: int = BLOCK_BYTES, support: int = 3) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped``: every document's text after ``drop_recurring_lines``, and its line counts."""
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _stripped(told, min_docs, similarity, constants, block_bytes)
+    found = _stripped(told, min_docs, support, similarity, constants, block_bytes)
     return found.select("doc_id", "text", F.col(_COUNT).cast("long").alias("n_lines"), F.col(_DROPPED).cast("long").alias("n_dropped"))

@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template recurs; ``n_chars`` is that of the text left."""
-    return drop_recurring_lines(docs, min_docs=3, similarity=0.8).withColumn("n_chars", F.length("text").cast("long"))
+    return drop_recurring_lines(docs, min_docs=2, support=3, similarity=0.8).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,6 +112,20 @@ def test_variable_fields_are_generalised(spark):
     assert got[0] == lines[0][1] and got[1] == got[2] == got[3] == "" and got[9] == lines[4][1]
 
 
+def test_lines_of_two_documents_go(spark, tmp_path):
+    """The queries keep a line that two documents share in the smaller one only; variable fields still need three."""
+    import corpus_pipeline
+    from babelgauge.llm.catalog import op2_line_templates
+
+    texts = {1: "one line of its own\nthe quick brown fox jumps over the lazy dog", 2: "the quick  brown fox jumps over the lazy dog\nlast line here",
+             3: "the cat sat on a mat with ann today", 4: "the cat sat on a mat with bob today"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_dropped for r in op2_line_templates(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert kept == texts | {2: "last line here"}
+
+
 # --- SimHash -----------------------------------------------------------------------------------------------------------
 
 
