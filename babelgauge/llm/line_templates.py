@@ -3,7 +3,8 @@
 A line is parsed along a tree of fixed depth: by its number of tokens, then by its leading tokens, tokens with digits
 being variable from the start. Lines in one leaf are generalised position by position: a token that fewer than
 ``support`` documents hold at its place is a variable field. What remains is the line's template, if it keeps enough
-constant tokens (``similarity`` of all, and ``constants`` at least); else the line stands for itself. Lines and templates
+constant tokens (``similarity`` of all, and ``constants`` at least); else the line stands for itself, with its digits
+unless the line without them keeps that many. Lines and templates
 that recur in ``min_docs`` documents are dropped from all documents but the smallest that holds them.
 
 The tree prunes before anything is generalised. One pass over the blocks of documents (see ``blocks``) parses all lines
@@ -38,11 +39,12 @@ _DIGIT[0x30:0x3A] = True
 class Lines:
     """The lines of a block's texts that are not blank: their documents, numbers, tokens and hashes."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array) -> None:
+    def __init__(self, ids: pa.Array, texts: pa.Array, similarity: float, constants: int) -> None:
         data, offsets = B.text_bytes(texts)
         starts, ends, at = B.word_spans(data, offsets)
         digits = np.flatnonzero(_DIGIT[data])
-        self.tokens = B.word_hashes(data, starts, ends)
+        words = B.word_hashes(data, starts, ends)
+        self.tokens = words.copy()
         self.tokens[np.searchsorted(digits, ends) > np.searchsorted(digits, starts)] = FIELD
         feeds = np.flatnonzero(data == 0x0A)
         doc = np.repeat(np.arange(len(ids)), np.diff(at))
@@ -53,8 +55,11 @@ class Lines:
         self.number = line[self.first] - self.row - np.searchsorted(feeds, offsets[:-1])[self.row]
         self.doc = B.signed(ids)[0][self.row]
         place = (np.arange(len(line)) - np.repeat(self.first, self.sizes)).astype(np.uint64)
-        mixed = B.mix(self.tokens ^ (place * _LINE))
-        self.line = np.add.reduceat(mixed, self.first) if len(line) else mixed
+        self.line = np.zeros(0, np.uint64)
+        if len(line):  # named by all tokens where those without digits are too few
+            masked, whole = (np.add.reduceat(B.mix(t ^ (place * _LINE)), self.first) for t in (self.tokens, words))
+            stay = np.add.reduceat((self.tokens != FIELD).astype(np.int64), self.first)
+            self.line = np.where((stay >= np.ceil(self.sizes * similarity)) & (stay >= constants), masked, whole)
         leaf = B.mix(self.sizes.astype(np.uint64) ^ _LEAF)
         for j in range(DEPTH):
             has = self.sizes > j
@@ -63,14 +68,14 @@ class Lines:
         self.counts = np.diff(np.searchsorted(feeds, offsets)) + 1  # lines of each text, blank ones too
 
 
-def _held(blocks: DataFrame) -> DataFrame:
+def _held(blocks: DataFrame, similarity: float, constants: int) -> DataFrame:
     """``block, doc, leaf, line`` for every line of every document, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
                 table = B.unpack(body.as_py())
-                x = Lines(table.column(0), table.column(table.num_columns - 1))
+                x = Lines(table.column(0), table.column(table.num_columns - 1), similarity, constants)
                 rows = np.unique(np.stack([x.doc, x.leaf.view(np.int64), x.line.view(np.int64)], axis=1), axis=0) if len(x.doc) else np.zeros((0, 3), np.int64)
                 columns = [pa.array(np.full(len(rows), block)), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "doc", "leaf", "line"])
@@ -78,7 +83,7 @@ def _held(blocks: DataFrame) -> DataFrame:
     return settle(blocks.mapInArrow(run, "block long, doc long, leaf long, line long"), "line-holders")
 
 
-def _tokens(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+def _tokens(blocks: DataFrame, wanted: DataFrame, similarity: float, constants: int) -> DataFrame:
     """``leaf, line, tokens`` of the wanted lines ``(block, leaf, line)``, each from the block named."""
     schema = "leaf long, line long, tokens array<long>"
     empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
@@ -87,7 +92,7 @@ def _tokens(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
         if not right.num_rows:
             return empty
         table = B.unpack(left.column("body")[0].as_py())
-        x = Lines(table.column(0), table.column(table.num_columns - 1))
+        x = Lines(table.column(0), table.column(table.num_columns - 1), similarity, constants)
         keys = B.mix(x.leaf) ^ x.line
         order = np.argsort(keys, kind="stable")
         leaf, line = (right.column(c).to_numpy().view(np.uint64) for c in ("leaf", "line"))
@@ -111,7 +116,7 @@ def _recurring(blocks: DataFrame, held: DataFrame, min_docs: int, support: int,
     varied = per_line.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf").join(supported, "leaf", "left_semi")
     wanted = settle(per_line.join(varied, "leaf", "left_semi"), "varied-lines")
 
-    found = _tokens(blocks, wanted.select("block", "leaf", "line")).where(F.size("tokens") >= constants)
+    found = _tokens(blocks, wanted.select("block", "leaf", "line"), similarity, constants).where(F.size("tokens") >= constants)
     texts = settle(found.join(wanted.select("leaf", "line", "docs"), ["leaf", "line"]), "line-tokens")
     tokens = texts.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token")).where((F.col("place") >= DEPTH) & (F.col("token") != int(FIELD)))
     common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= support)
@@ -136,7 +141,7 @@ def _stripped(docs: DataFrame, min_docs: int, support: int, similarity: float, c
     """The documents, all columns, without recurring lines, with the number of lines each had and has lost."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     blocks = B.as_blocks(docs.select(*[F.col(f"`{c}`") for c in ("doc_id", *others, "text")]), "doc_id", *others, "text", block_bytes=block_bytes)
-    held = _held(blocks)
+    held = _held(blocks, similarity, constants)
     found = _recurring(blocks, held, min_docs, support, similarity, constants)
     drops = held.join(found.select("leaf", "line", "keeper"), ["leaf", "line"]).where("doc != keeper").select("block", "doc", "leaf", "line")
     schema = StructType([*docs.schema.fields]).add(_COUNT, "integer").add(_DROPPED, "integer")
@@ -148,7 +153,7 @@ def _stripped(docs: DataFrame, min_docs: int, support: int, similarity: float, c
         pa.default_memory_pool().release_unused()  # of the block before
         table = B.unpack(left.column("body")[0].as_py())
         texts = table.column(table.num_columns - 1)
-        x = Lines(table.column(0), texts)
+        x = Lines(table.column(0), texts, similarity, constants)
         doc, leaf, line = (right.column(c).to_numpy().view(np.uint64) for c in ("doc", "leaf", "line"))
         gone = np.isin(B.mix(x.leaf ^ B.mix(x.doc.view(np.uint64))) ^ x.line, B.mix(leaf ^ B.mix(doc)) ^ line)
         dropped = np.bincount(x.row[gone], minlength=len(texts))

@@ -126,6 +126,18 @@ def test_lines_of_two_documents_go(spark, tmp_path):
     assert kept == texts | {2: "last line here"}
 
 
+def test_lines_of_numbers_stay(spark):
+    """Digits are fields only where the other tokens make a template; equal lines of numbers still go."""
+    own = [["2019 41 7", "Chapter 4", "1 2.50 3 4.75 5", "in 1990 the price was 7", "a b c 1 2", "a b c d 1 2"],
+           ["1873 9 2", "Chapter 9", "6 7.25 8 9.10 0", "in 1991 the price was 8", "a b c 3 4", "a b c d 3 4"],
+           ["1 2 3", "Chapter 11", "0 0.00 0 0.00 1", "in 1992 the price was 9", "a b c 5 6", "a b c d 5 6"]]
+    shared, form = "10 20 30 40 50 60", "see page {} of the yearly report on water and air"
+    docs = [(i, "\n".join([*x, shared, form.format(i)])) for i, x in enumerate(own)]
+    for min_docs in (2, 3):
+        got = {r.doc_id: r.text.split("\n") for r in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_docs=min_docs).collect()}
+        assert got == {0: [*own[0], shared, form.format(0)], 1: own[1], 2: own[2]}
+
+
 # --- SimHash -----------------------------------------------------------------------------------------------------------
 
 
