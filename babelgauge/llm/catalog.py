@@ -60,7 +60,7 @@ def op6_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
 def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     from babelgauge.llm.winnowing import edited_neighbours
 
-    return edited_neighbours(table(spark, folder, "documents"), gram=24, window=128)
+    return edited_neighbours(table(spark, folder, "documents"), gram=16, window=32)
 
 
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from babelgauge.llm.repeats import index_among
 from babelgauge.session import share_package
 
-GRAM, WINDOW = 24, 128
+GRAM, WINDOW = 16, 32
 CHUNK = 1 << 18  # code points hashed together
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _BASE = 0x5851F42D4C957F2D

@@ -424,6 +424,15 @@ def test_winnowing_by_hand(rows):
     assert set(a[1].tolist()) & set(b[1].tolist())  # the match guarantee
 
 
+def test_short_texts_match(rows):
+    """Half a text of 94 code points is enough for a common hash."""
+    a, b = rows[20][1], rows[21][1]
+    for n in range(94, 302):
+        text = a[n : 2 * n]
+        first, edited = winnow([text, text[: n - n // 2] + b[: n // 2]])
+        assert set(first[1].tolist()) & set(edited[1].tolist())
+
+
 # --- language ----------------------------------------------------------------------------------------------------------
 
 
