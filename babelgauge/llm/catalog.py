@@ -86,6 +86,12 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_odd_sketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from babelgauge.llm.odd_sketch_dedup import near_duplicate_sets
+
+    return near_duplicate_sets(table(spark, folder, "documents"), words=5, percent=85)
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP8_SQL = rf"""
@@ -102,6 +108,24 @@ FROM d LEFT JOIN n USING (r)
 """
 
 
+OP13_SQL = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5
+    THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+g AS MATERIALIZED (SELECT min(r) AS g, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+u AS MATERIALIZED (SELECT g, n, unnest(s) AS x FROM g),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT a.g AS a, b.g AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c
+    FROM u a JOIN u b ON a.x = b.x AND a.g <> b.g GROUP BY a.g, b.g) p WHERE 100 * c >= 85 * (m + n - c)),
+t AS (SELECT g AS a, g AS b FROM g UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+d AS (SELECT g.g, s.doc_id FROM s JOIN g USING (s)),
+m AS (SELECT t.a AS g, min(d.doc_id) AS m FROM t JOIN d ON t.b = d.g GROUP BY t.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE m END AS component_id,
+  doc_id IS NOT DISTINCT FROM CASE WHEN len(s) = 0 THEN doc_id ELSE m END AS kept
+FROM s LEFT JOIN g USING (s) LEFT JOIN m USING (g)
+"""
+
 OP1_SQL = """
 WITH x AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
@@ -118,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_voronoi_knn": OP1_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op1_voronoi_knn": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op13_odd_sketch_dedup": OP13_SQL}
