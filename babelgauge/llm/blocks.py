@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from babelgauge.session import settle, share_package
+from babelgauge.llm.work import give_back, settle, share_package, tidy
 
 BLOCK_BYTES = 8 << 20  # text of a block; one longer document is a block of its own
 BLOCK_SCHEMA = "block long, body binary"
@@ -84,7 +84,7 @@ def as_blocks(docs: DataFrame, *columns: str, block_bytes: int = BLOCK_BYTES) ->
         if held:
             yield block()
 
-    return settle(docs.select(*[F.col(c) for c in columns]).mapInArrow(cut, BLOCK_SCHEMA), "blocks")
+    return settle(docs.select(*[F.col(c) for c in columns]).mapInArrow(tidy(cut), BLOCK_SCHEMA), "blocks")
 
 
 def bucket_count(blocks: DataFrame) -> int:
@@ -110,7 +110,7 @@ def send(blocks: DataFrame, write: Callable[[pa.RecordBatch], Iterator[tuple[int
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
                 yield from mail(block, write(unpack(body.as_py())))
 
-    return blocks.mapInArrow(run, MAIL_SCHEMA)
+    return blocks.mapInArrow(tidy(run), MAIL_SCHEMA)
 
 
 def mail(block: int, letters: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +127,8 @@ def answer(letters: DataFrame, settle_bucket: Callable[[int, list[int], list[dic
         asked = table.column("block").to_pylist()
         arrays = [unpack_arrays(body.as_py()) for body in table.column("body")]
         out = list(settle_bucket(bucket, asked, arrays))
+        del arrays
+        give_back()
         return pa.table({"bucket": pa.array([bucket] * len(out), pa.int64()), "block": pa.array([b for b, _ in out], pa.int64()), "body": pa.array([x for _, x in out], pa.binary())})
 
     return letters.groupBy("bucket").applyInArrow(run, MAIL_SCHEMA)
@@ -144,7 +146,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[int, pa.R
         try:
             return use(left.column("block")[0].as_py(), unpack(left.column("body")[0].as_py()), replies)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
