@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from babelgauge.operators.ordering import running_sum
@@ -14,9 +16,10 @@ def with_batches(df: DataFrame, batch_size: int, idx: str = "idx") -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(idx) / batch_size).cast("long"))
 
 
-def renumbered(df: DataFrame, idx: str = "idx") -> DataFrame:
-    """The rows left after a filter numbered 0, 1, 2, ... in order of ``idx``, so that batches are full again."""
-    counted = running_sum(df, [], idx, F.lit(1), "_number")
+def renumbered(df: DataFrame, idx: str = "idx", keys: Sequence[str] = ()) -> DataFrame:
+    """The rows left after a filter numbered 0, 1, 2, ... in order of ``idx`` (within ``keys``), so that batches are full
+    again."""
+    counted = running_sum(df, list(keys), idx, F.lit(1), "_number")
     return counted.withColumn(idx, (F.col("_number") - 1).cast("long")).drop("_number")
 
 
@@ -45,8 +48,8 @@ def attention_mask(ids: Column, pad: int = PAD) -> Column:
     return F.transform(ids, lambda x: (x != pad).cast("int"))
 
 
-def batch_token_counts(batched: DataFrame, pad: int = PAD) -> DataFrame:
-    return batched.groupBy("batch_id").agg(F.sum(token_length(F.col("ids"), pad)).alias("n_tokens"))
+def batch_token_counts(batched: DataFrame, pad: int = PAD, keys: Sequence[str] = ()) -> DataFrame:
+    return batched.groupBy(*keys, "batch_id").agg(F.sum(token_length(F.col("ids"), pad)).alias("n_tokens"))
 
 
 def truncate(tokens: Column, padding: str | None = None, cap: int = 512) -> Column:
