@@ -7,30 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from babelgauge.operators.ordering import cumulative_counts, null_safe_join, quantiles
+from babelgauge.operators.ordering import bracketed_counts, cumulative_counts, null_safe_join, quantiles
+from babelgauge.session import settle
+
+SKETCH = 1000  # the sketch's ranks are off by at most 1 / SKETCH of the rows
+BRACKET = 2.5 / SKETCH
 
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles and max of every column, one row per column.
 
-    Exact quartiles come from blocked running counts, so they need no task that holds a whole column;
-    ``exact=False`` uses the quantile sketch in a single pass.
+    One pass gives the moments and a quantile sketch. For exact quartiles a second pass counts single values only in
+    the narrow brackets that the sketch leaves (``BRACKET`` of all rows around each quartile) and everything between
+    them as one; ranks come from range partitions, so no task holds a column. ``exact=False`` ends with the sketch.
     """
-    keys = [*by, "column"]
+    keys, wanted = [*by, "column"], [0.25, 0.5, 0.75]
+    values = unpivot(df, columns, by)
+    asked = wanted if not exact else [max(0.0, p - BRACKET) for p in wanted] + [min(1.0, p + BRACKET) for p in wanted]
+    summed = values.groupBy(*keys).agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"), F.percentile_approx("value", asked, SKETCH).alias("q"))
+    basic = [*keys, "count", "mean", "std", "min"]
     if not exact:
-        sketch = F.percentile_approx("value", [0.25, 0.5, 0.75], 10000)
-        return unpivot(df, columns, by).groupBy(*keys).agg(
-            F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"), F.max("value").alias("max"), sketch.alias("q")) \
-            .selectExpr(*keys, "count", "mean", "std", "min", "q[0] AS q_25", "q[1] AS q_50", "q[2] AS q_75", "max")
-    counted = cumulative_counts(df, columns, by)
-    basic = counted.groupBy(*keys).agg(F.sum("n").alias("count"), F.expr("sum(n * value) / sum(n)").alias("mean"),
-                                       F.min("value").alias("min"), F.max("value").alias("max"))
-    centred = null_safe_join(counted, basic.select(*keys, "mean"), keys)  # one row per group on the right
-    spread = centred.groupBy(*keys).agg(
-        F.expr("sqrt(sum(n * pow(value - mean, 2D)) / nullif(sum(n) - 1, 0))").alias("std"))
-    quartiles = quantiles(counted, [0.25, 0.5, 0.75], by)
-    return null_safe_join(null_safe_join(basic, spread, keys), quartiles, keys)
+        return summed.selectExpr(*basic, "q[0] AS q_25", "q[1] AS q_50", "q[2] AS q_75", "max")
+    summed = settle(summed, "summary")
+    brackets = summed.where("count > 0").select(*keys, F.slice("q", 1, 3).alias("low"), F.slice("q", 4, 3).alias("high"))
+    counted = bracketed_counts(values.where("value IS NOT NULL"), keys, brackets, wanted)
+    found = null_safe_join(summed.drop("q"), quantiles(counted, wanted, by), keys)
+    return found.select(*basic, "q_25", "q_50", "q_75", "max")
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
