@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+from babelgauge.functions.stems import porter
 from babelgauge.functions.text import SPACE_POINTS
 
 # Workers get this module with the function, so they need no installed copy of the package.
@@ -51,18 +52,19 @@ def _joined(parts: list[pa.Array]) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 
 
-def _token_sides(arrays: tuple[pa.Array, ...], lower: bool = False) -> tuple[list[Side], int]:
-    """Token lists as codes over one shared dictionary."""
+def _token_sides(arrays: tuple[pa.Array, ...], lower: bool = False) -> tuple[list[Side], pa.Array]:
+    """Token lists as codes over one shared dictionary, and that dictionary."""
     encoded = pa.concat_arrays([array.flatten() for array in arrays]).dictionary_encode()
-    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    codes, words = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
     if lower:
-        codes = pc.utf8_lower(encoded.dictionary).dictionary_encode().indices.to_numpy().astype(np.int64)[codes]
+        folded = pc.utf8_lower(words).dictionary_encode()
+        codes, words = folded.indices.to_numpy().astype(np.int64)[codes], folded.dictionary
     sides, at = [], 0
     for array in arrays:
         lengths = pc.fill_null(pc.list_value_length(array), 0).to_numpy().astype(np.int64)
         sides.append(Side(codes[at:at + lengths.sum()], lengths))
         at += lengths.sum()
-    return sides, max(len(encoded.dictionary), 1)
+    return sides, words
 
 
 def _character_sides(*arrays: pa.Array) -> tuple[list[Side], int]:
@@ -126,7 +128,8 @@ def token_overlap(prediction: Column, reference: Column, orders: int) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def token_overlap_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        return _joined([_counts(*_token_sides(tuple(piece)), orders) for piece in _pieces(hyp, ref)])
+        coded = (_token_sides(tuple(piece)) for piece in _pieces(hyp, ref))
+        return _joined([_counts(sides, max(len(words), 1), orders) for sides, words in coded])
 
     return token_overlap_udf(prediction, reference)
 
@@ -141,6 +144,48 @@ def character_overlap(prediction: Column, reference: Column, orders: int) -> Col
     return character_overlap_udf(prediction, reference)
 
 
+def _common(hyp: np.ndarray, ref: np.ndarray) -> int:
+    """Length of the longest common subsequence: one addition of long integers for each token (a bit for each opposite)."""
+    places: dict[int, int] = {}
+    for i, code in enumerate(ref.tolist()):
+        places[code] = places.get(code, 0) | 1 << i
+    row = whole = (1 << len(ref)) - 1
+    for code in hyp.tolist():
+        if code in places:
+            met = row & places[code]
+            row = ((row + met) | (row - met)) & whole
+    return len(ref) - row.bit_count()
+
+
+def common_subsequence(prediction: Column, reference: Column) -> Column:
+    """``array<long>`` of two ``array<string>`` columns: length of the longest common subsequence, both lengths."""
+
+    def counted(piece: list[pa.Array]) -> pa.Array:
+        (hyp, ref), _ = _token_sides(tuple(piece))
+        h, r = (np.append(0, np.cumsum(side.lengths)) for side in (hyp, ref))
+        found = [_common(hyp.codes[h[i]:h[i + 1]], ref.codes[r[i]:r[i + 1]]) for i in range(len(hyp.lengths))]
+        table = np.column_stack((np.array(found, np.int64), hyp.lengths, ref.lengths))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * 3, pa.int32()), pa.array(table.ravel()))
+
+    @F.arrow_udf("array<bigint>")
+    def common_subsequence_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        return _joined([counted(piece) for piece in _pieces(hyp, ref)])
+
+    return common_subsequence_udf(prediction, reference)
+
+
+def own_numbers(prediction: Column, reference: Column, row, fields: int) -> Column:
+    """``array<double>``: what a user's function counts in every row."""
+
+    @F.arrow_udf("array<double>")
+    def own_numbers_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        found = [np.asarray(row(h.to_pylist(), r.to_pylist()), np.float64).reshape(-1, fields) for h, r in _pieces(hyp, ref)]
+        table = np.concatenate(found) if found else np.zeros((0, fields))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * fields, pa.int32()), pa.array(table.ravel()))
+
+    return own_numbers_udf(prediction, reference)
+
+
 def _occurrence(key: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... for the repeated values of ``key``, in order of appearance."""
     order = np.argsort(key, kind="stable")
@@ -176,16 +221,27 @@ def _align(stages: list[tuple[Side, Side]], alphabet: int) -> np.ndarray:
     return np.stack((np.bincount(row, minlength=rows), np.bincount(row[start], minlength=rows)), axis=1)
 
 
-def alignment(*token_pairs: tuple[Column, Column]) -> Column:
+def _stem_sides(sides: list[Side], words: pa.Array) -> list[Side]:
+    """The same tokens as codes of their stems: the dictionary is stemmed, no token leaves its row."""
+    stems = pa.array([porter(word) for word in words.to_pylist()], pa.string()).dictionary_encode()
+    code = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return [Side(code[side.codes], side.lengths) for side in sides]
+
+
+def alignment(*token_pairs: tuple[Column, Column], stem: bool = False) -> Column:
     """``array<long>`` (matches, chunks, both lengths) of an alignment that pairs tokens from the end.
 
     Every pair of ``array<string>`` columns is one stage (surface forms, then stems or synonym classes); a
     stage sees the tokens that earlier stages left free. All stages must have equal token counts. Case is ignored.
+    ``stem`` adds a stage of Porter stems right after the surface forms.
     """
 
     def aligned(piece: list[pa.Array]) -> pa.Array:
-        sides, alphabet = _token_sides(tuple(piece), lower=True)
-        table = np.column_stack((_align(list(zip(sides[::2], sides[1::2])), alphabet), sides[0].lengths, sides[1].lengths))
+        sides, words = _token_sides(tuple(piece), lower=True)
+        stages = list(zip(sides[::2], sides[1::2]))
+        if stem:
+            stages.insert(1, tuple(_stem_sides(sides[:2], words)))
+        table = np.column_stack((_align(stages, max(len(words), 1)), sides[0].lengths, sides[1].lengths))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * 4, pa.int32()), pa.array(table.ravel()))
 
     @F.arrow_udf("array<bigint>")

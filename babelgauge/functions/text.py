@@ -90,6 +90,11 @@ def chrf_words(text: Column) -> Column:
     return F.flatten(F.transform(pieces(text), split_off))
 
 
+def rouge_words(text: Column) -> Column:
+    """Runs of letters a-z and digits of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def sentencepiece_tokenizer(model_path: str) -> Callable[[Column], Column]:
     """A tokeniser backed by a SentencePiece model that every executor can read.
 
@@ -117,11 +122,16 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {
 
 
 def tokenizer(name: str | Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """Look a tokeniser up by name; ``spm:<path>`` loads a SentencePiece model; a function is used as it is."""
+    """Look a tokeniser up by name; ``ranks:<path>`` cuts words by a file of byte-pair ranks, ``spm:<path>`` loads a
+    SentencePiece model; a function is used as it is."""
     if callable(name):
         return name
+    if name.startswith("ranks:"):
+        from babelgauge.functions.subwords import subword_tokenizer
+
+        return subword_tokenizer(name[6:])
     if name.startswith("spm:"):
         return sentencepiece_tokenizer(name[4:])
     if name not in TOKENIZERS:
-        raise ValueError(f"unknown tokenizer {name!r}; known: {sorted(TOKENIZERS)} or spm:<path>")
+        raise ValueError(f"unknown tokenizer {name!r}; known: {sorted(TOKENIZERS)}, ranks:<path> or spm:<path>")
     return TOKENIZERS[name]

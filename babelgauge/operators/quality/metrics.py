@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, functions as F
 
 from babelgauge.functions import overlap
-from babelgauge.functions.text import chrf_words, tokenizer
+from babelgauge.functions.text import chrf_words, rouge_words, tokenizer
 
 Tokenizer = str | Callable[[Column], Column]
 HYP, REF = "_prediction", "_reference"
@@ -149,8 +149,8 @@ class ChrF(Metric):
 class Meteor(Metric):
     """Mean of sentence scores: harmonic mean of unigram precision and recall with a fragmentation penalty.
 
-    ``stages`` names further columns holding (prediction, reference) token arrays, e.g. stems or synonym
-    classes as made by ``canonical_tokens``; each stage matches what the earlier ones left free.
+    ``stem`` adds a stage of Porter stems. ``stages`` names further columns holding (prediction, reference) token arrays,
+    e.g. synonym classes as made by ``canonical_tokens``; each stage matches what the earlier ones left free.
     """
 
     name: str = "meteor"
@@ -159,6 +159,7 @@ class Meteor(Metric):
     beta: float = 3.0
     gamma: float = 0.5
     stages: tuple[tuple[str, str], ...] = field(default=())
+    stem: bool = False
 
     def tokens(self) -> dict[str, Column]:
         return token_columns(self.tokenize) | {c: F.col(c) for pair in self.stages for c in pair}
@@ -166,7 +167,7 @@ class Meteor(Metric):
     def overlaps(self) -> dict[str, Column]:
         hyp, ref = token_columns(self.tokenize)
         pairs = [(hyp, ref), *self.stages]
-        return {self.part("aligned"): overlap.alignment(*[(F.col(h), F.col(r)) for h, r in pairs])}
+        return {self.part("aligned"): overlap.alignment(*[(F.col(h), F.col(r)) for h, r in pairs], stem=self.stem)}
 
     def counts(self) -> dict[str, str]:
         matches, chunks, hyp_len, ref_len = (f"{self.part('aligned')}[{i}]" for i in range(4))
@@ -177,3 +178,43 @@ class Meteor(Metric):
 
     def score(self) -> str:
         return f"{self.part('sum')} / {self.part('rows')}"
+
+
+@dataclass(frozen=True)
+class RougeL(Metric):
+    """Mean of sentence scores, 0 to 1: F-measure of the longest common subsequence of the words (letters a-z and digits)."""
+
+    name: str = "rougeL"
+
+    def tokens(self) -> dict[str, Column]:
+        return token_columns(rouge_words)
+
+    def overlaps(self) -> dict[str, Column]:
+        hyp, ref = token_columns(rouge_words)
+        return {self.part("common"): overlap.common_subsequence(F.col(hyp), F.col(ref))}
+
+    def counts(self) -> dict[str, str]:
+        common, hyp_len, ref_len = (f"{self.part('common')}[{i}]" for i in range(3))
+        # 2PR / (P + R) with P = common / hyp_len and R = common / ref_len
+        return {"sum": f"if({common} > 0, 2D * {common} / ({hyp_len} + {ref_len}), 0D)", "rows": "1L"}
+
+    def score(self) -> str:
+        return f"{self.part('sum')} / {self.part('rows')}"
+
+
+@dataclass(frozen=True)
+class OwnMetric(Metric):
+    """A user's metric: numbers for each row from a function over a batch, and a formula over their sums."""
+
+    fields: tuple[str, ...]
+    row: Callable[[list[str], list[str]], object]
+    formula: str
+
+    def overlaps(self) -> dict[str, Column]:
+        return {self.part("numbers"): overlap.own_numbers(F.col(HYP), F.col(REF), self.row, len(self.fields))}
+
+    def counts(self) -> dict[str, str]:
+        return {field: f"{self.part('numbers')}[{i}]" for i, field in enumerate(self.fields)}
+
+    def score(self) -> str:
+        return self.formula.format(**{field: self.part(field) for field in self.fields})
