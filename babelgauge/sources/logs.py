@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from babelgauge.schemas import FAILURE_DDL, FORWARD_DDL, schema_of
+from babelgauge.sources.tables import Table
 
 
 def read_forward_files(spark: SparkSession, path: str) -> DataFrame:
@@ -15,20 +16,18 @@ def read_forward_files(spark: SparkSession, path: str) -> DataFrame:
                        F.when(short, F.col("b")).otherwise(F.col("c")).cast("double").alias("latency_s"))
 
 
-def append_forward_log(log: DataFrame, path: str) -> None:
-    """Add the calls of one or more runs to the log table."""
-    log.select("call_seq", "layer_type", "latency_s", "run_id") \
-        .hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
+def append_forward_log(log: DataFrame, path: str, batch: tuple[str, int] | None = None) -> bool:
+    """Add the calls of one or more runs to the log table. A batch the table has already is not added again."""
+    return Table(log.sparkSession, path).append(log.select(*schema_of(FORWARD_DDL).names), batch, F.col("run_id"))
 
 
-def reset_forward_log(log: DataFrame, path: str) -> None:
+def reset_forward_log(log: DataFrame, path: str, batch: tuple[str, int] | None = None) -> bool:
     """Replace the calls of exactly the runs in ``log``; all other runs stay as they are."""
-    log.select("call_seq", "layer_type", "latency_s", "run_id").hint("rebalance", "run_id").write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return Table(log.sparkSession, path).replace_parts(log.select(*schema_of(FORWARD_DDL).names), F.col("run_id"), batch)
 
 
 def read_forward_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FORWARD_DDL).parquet(path)
+    return Table(spark, path).read(FORWARD_DDL)
 
 
 def append_failures(failures: DataFrame, path: str) -> None:
@@ -62,9 +61,10 @@ def failure_text() -> Column:
 
 
 def write_failure_texts(failures: DataFrame, path: str) -> None:
-    """Failure records with their traceback (column ``message``) as text."""
-    lines = F.concat_ws("\n", F.lit(RECORD), failure_text(), F.lit(TRACE), F.concat(F.lit(RULE), F.coalesce("message", F.lit(""))),
-                        F.lit(RULE), F.lit(DONE))
+    """Failure records with their traceback (column ``message``) as text. The message is one line of JSON, so whatever it
+    holds (rules, record lines, settings) cannot be taken for a part of the log."""
+    message = F.concat(F.lit(RULE), F.to_json(F.struct("message")))
+    lines = F.concat_ws("\n", F.lit(RECORD), failure_text(), F.lit(TRACE), message, F.lit(RULE), F.lit(DONE))
     failures.select(lines.alias("value")).write.mode("append").text(path)
 
 
@@ -76,17 +76,21 @@ def write_warning_texts(runs: DataFrame, path: str) -> None:
 def read_failure_texts(spark: SparkSession, path: str) -> DataFrame:
     """Failures and warnings back from the text logs: ``kind`` (error or warning), the settings, and ``message``.
 
-    A record goes from one record line to the next, whatever lies between (tracebacks, warnings). Settings are found
-    by their labels in order, so commas inside a value are kept.
+    A record goes from one record line to the next, whatever lies between (warnings). Settings are read from the lines
+    outside the traceback and found by their labels in order, so commas inside a value are kept. Messages are JSON as
+    written here, or the raw text of older logs.
     """
     records = spark.read.option("lineSep", RECORD + "\n").text(path)
-    trace = F.regexp_extract("value", rf"(?s){TRACE}\n\*{{10}}(.*?)\n?\*{{10}}", 1)
+    body = rf"(?s)\n?{TRACE}\n\*{{10}}(.*?)\n?\*{{10}}(?:\n{DONE}|$|\n)"
+    trace = F.regexp_extract("value", body, 1)
+    outside = F.regexp_replace("value", body, "\n")
     each = records.select(trace.alias("trace"), F.explode(F.regexp_extract_all(
-        "value", F.lit(r"([^\n]*)Hyperparameters: [^\n]*"), F.lit(0))).alias("line"))
+        outside, F.lit(r"([^\n]*)Hyperparameters: [^\n]*"), F.lit(0))).alias("line"))
     pattern = "".join(rf"(?:, dataset_size_after[^:]*: \d+)?,? ?{label}{separator}(.*?)" for label, _, separator in TEXT_ENTRIES)
     types = {field.name: field.dataType for field in schema_of(FAILURE_DDL).fields}
     warned = F.col("line").startswith("WARNING")
     values = [F.nullif(F.regexp_extract("line", rf"Hyperparameters:{pattern}\s*$", i + 1), F.lit("None")).cast(types[column])
               .alias(column) for i, (_, column, _) in enumerate(TEXT_ENTRIES)]
-    return each.select(F.when(warned, "warning").otherwise("error").alias("kind"), *values,
-                       F.when(~warned, F.nullif("trace", F.lit(""))).alias("message"))
+    quoted = F.col("trace").rlike(r"^\{.*\}$")
+    message = F.when(quoted, F.get_json_object("trace", "$.message")).otherwise(F.nullif("trace", F.lit("")))
+    return each.select(F.when(warned, "warning").otherwise("error").alias("kind"), *values, F.when(~warned, message).alias("message"))

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from babelgauge.functions.models import canonical_dataset, short_name
 from babelgauge.schemas import run_schema
+from babelgauge.session import settle
+from babelgauge.sources.tables import Table
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def read_results(spark: SparkSession, path: str | list[str], version: int = 24) -> DataFrame:
@@ -17,28 +24,84 @@ def read_results(spark: SparkSession, path: str | list[str], version: int = 24)
     return spark.read.schema(run_schema(version)).option("header", True).option("enforceSchema", False).csv(path)
 
 
+NOT_A_HEADER = "not a result file header"
+
+
+def _cells(line: str) -> list[str]:
+    return [cell.strip() for cell in next(csv.reader([line], skipinitialspace=True), [])]
+
+
+def _places(header: list[str], names: Sequence[str], file: str) -> list[int]:
+    """Where every result column stands in a file's rows; -1 for those it does not have."""
+    if set(header) - set(names) or len(set(header)) < len(header):
+        raise ValueError(f"{NOT_A_HEADER}: {header} in {file}")
+    return [header.index(name) if name in header else -1 for name in names]
+
+
+def _picked(line: str, places: list[int]) -> list[str | None]:
+    cells = _cells(line)
+    return [(cells[p] or None) if 0 <= p < len(cells) else None for p in places]
+
+
+def _parsed(names: Sequence[str]):
+    """An Arrow function over the lines of files (value, file, start): rows by name. ``header`` is a file's first line;
+    ``later`` a line of a part of a file whose header another task has read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, places = None, None
+        for batch in batches:
+            out = []
+            for line, file, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if file != current:
+                    current, places = file, None
+                    if start == 0:
+                        places = _places(_cells(line), names, file)
+                        out.append((file, line, None, *[None] * len(names)))
+                        continue
+                if not line.strip():
+                    continue
+                out.append((file, None, line, *[None] * len(names)) if places is None else (file, None, None, *_picked(line, places)))
+            columns = [pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * (3 + len(names))
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "header", "later", *names])
+
+    return run
+
+
+def _parsed_later(names: Sequence[str]):
+    """The same over (file, header, later): lines that have been given their header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_picked(line, _places(_cells(header), names, file)) for file, header, line in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            columns = [pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * len(names)
+            yield pa.RecordBatch.from_arrays(columns, names=list(names))
+
+    return run
+
+
 def read_result_folder(spark: SparkSession, path: str, pattern: str = "*metric*") -> DataFrame:
     """All result files of a folder whose names match. Columns go by name, in any order; missing ones are null.
 
-    Files with the same header are one scan with that header's schema (CSV columns go by position, so one schema
-    cannot read them all), united by name. A column that result rows do not have is an error, never dropped.
+    One scan, whatever the number of files and headers: a task reads a file's first line and then its rows by name. Only a
+    file so large that it is read in several parts needs more: the lines of its later parts are joined to its header.
+    Values that do not fit a column's type are null. A column that result rows do not have is an error, never dropped.
+    The result is a written table.
     """
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
-    placed = lines.select("value", F.col("_metadata.file_path").alias("file"),
-                          F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
-    firsts = placed.groupBy("file").agg(F.min_by("value", "place").alias("header")).collect()  # one row per file
-    files: dict[tuple[str, ...], list[str]] = {}
-    for row in firsts:
-        files.setdefault(tuple(name.strip() for name in next(csv.reader([row["header"]], skipinitialspace=True))), []).append(row["file"])
-    known = {field.name: field for field in run_schema().fields}
-    frames = []
-    for header, paths in sorted(files.items()):
-        if set(header) - set(known) or len(set(header)) < len(header):
-            raise ValueError(f"not a result file header: {header} in {paths}")
-        schema = StructType([known[name] for name in header])
-        frames.append(spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True)
-                      .option("ignoreTrailingWhiteSpace", True).csv(paths))
-    return union_versions(frames, empty=spark.createDataFrame([], run_schema()))
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    fields = run_schema().fields
+    names = [f.name for f in fields]
+    texts = ", ".join(f"`{name}` string" for name in names)
+    try:
+        found = settle(placed.mapInArrow(_parsed(names), f"file string, header string, later string, {texts}"), "result-files")
+    except PySparkException as error:
+        if NOT_A_HEADER in str(error):
+            raise ValueError(next(line for line in str(error).splitlines() if NOT_A_HEADER in line).strip()) from error
+        raise
+    headers = found.where("header IS NOT NULL").select("file", "header")
+    later = found.where("later IS NOT NULL").select("file", "later").join(headers, "file").select("file", "header", "later")
+    rows = found.where("header IS NULL AND later IS NULL").select(*names).union(later.mapInArrow(_parsed_later(names), texts))
+    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def union_versions(frames: Sequence[DataFrame], empty: DataFrame | None = None) -> DataFrame:
@@ -49,21 +112,27 @@ def union_versions(frames: Sequence[DataFrame], empty: DataFrame | None = None)
     return merged
 
 
-def write_results(runs: DataFrame, path: str, mode: str = "append", fmt: str = "parquet") -> None:
-    """Append to (or overwrite) a result table laid out by dataset and model.
+def write_results(runs: DataFrame, path: str, mode: str = "append", batch: tuple[str, int] | None = None) -> bool:
+    """Append to (or overwrite) a result table laid out by dataset and model; readers see all of it or nothing.
 
-    The rebalance hint gives every partition value a few files of even size: a hot model is split over
-    several tasks and a rare one does not cost a file per task.
+    ``batch`` (a writer and its batch number) makes a retried append harmless. The rebalance hint gives every part a few
+    files of even size: a hot model is split over several tasks and a rare one does not cost a file per task.
     """
-    out = runs.withColumn("dataset", canonical_dataset(F.col("dataset_name"))) \
-        .withColumn("model", short_name(F.col("model_name"))).hint("rebalance", "dataset", "model")
-    writer = out.write.mode(mode).partitionBy("dataset", "model").format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    out = runs.withColumn("dataset", canonical_dataset(F.col("dataset_name"))).withColumn("model", short_name(F.col("model_name")))
+    table, part = Table(runs.sparkSession, path), result_part(F.col("dataset"), F.col("model"))
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return table.append(out, batch, part) if mode == "append" else table.replace(out, batch, part)
+
+
+def result_part(dataset: Column, model: Column) -> Column:
+    return F.concat_ws("|", F.coalesce(dataset, F.lit("")), F.coalesce(model, F.lit("")))
 
 
-def read_result_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table made by ``write_results``; filters on dataset and model prune folders."""
-    return spark.read.schema(run_schema().add("dataset", "string").add("model", "string")).parquet(path)
+def read_result_table(spark: SparkSession, path: str, dataset: str | None = None, model: str | None = None) -> DataFrame:
+    """A table made by ``write_results``, all of it or one dataset and model (only their folders are read)."""
+    parts = [f"{dataset}|{model}"] if dataset is not None and model is not None else None
+    return Table(spark, path).read(run_schema().add("dataset", "string").add("model", "string"), parts)
 
 
 def write_sample_counts(parts: DataFrame, path: str) -> DataFrame:
