@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from babelgauge.catalog.quality import (ALL_JOINS, ALL_SCORES, DIGITS, NAMES, OPTIONS, all_metrics_sql, bleu_sql,
                                         meteor_sql, rounded, tokens_13a_sql)
+from babelgauge.catalog.standin import BATCH, stand_in, tries_sql
 from babelgauge.functions.text import as_references, word_count
 from babelgauge.operators import sweep as S
+from babelgauge.operators.batching import PAD, batch_token_counts, renumbered
+from babelgauge.operators.inference import forward_log, predictions, run_batches
 from babelgauge.operators.quality import metrics
 from babelgauge.operators.triage import next_batch_size, spend_budget, triage
 from babelgauge.plans.experiment import assemble_results
 from babelgauge.schemas import EXPERIMENT_KEYS, RUN_COLUMNS
+from babelgauge.session import settle
 from babelgauge.streaming import stream_scores
 
 KEYS = ", ".join(EXPERIMENT_KEYS)
@@ -88,33 +92,43 @@ def register(add) -> None:
             WHEN other_errors <= 20 THEN 'continue' ELSE 'abort' END AS action FROM spent""")
 
     def x1(t):
+        """Length filter, full batches, the model with its failures, both layers' log, token counts, result rows."""
         limit = F.col("max_input_seq_length")
-        limited = t.pairs.join(t.run_config.select("run_id", "max_input_seq_length"), "run_id") \
+        limited = t.pairs.select("id", "run_id", "reference").join(t.run_config.select("run_id", "max_input_seq_length"), "run_id") \
             .withColumn("kept", (limit == -1) | (word_count(F.col("reference")) <= limit))
         sizes = limited.groupBy("run_id").agg(
             F.count("*").alias("dataset_size"), F.count_if("kept").alias("dataset_size_after_filter_wrt_input_len"))
-        kept = limited.where("kept").withColumn("gen_len", word_count(F.col("prediction")))
-        rows = assemble_results(t.run_config, sizes, kept, t.run_tokens, t.forward_log, metrics(NAMES, **OPTIONS))
+        kept = settle(renumbered(limited.where("kept").select("run_id", F.col("id").alias("idx"), "reference"), keys=["run_id"]), "kept")
+        events = settle(run_batches(kept, stand_in, BATCH, text="reference"), "events")
+        done = predictions(events).join(kept, ["run_id", "idx"])
+        ids = F.transform(F.split("reference", " ", -1), lambda w: F.when(F.length(w) <= 2, F.lit(PAD)).otherwise(F.length(w)))
+        gen_len = word_count(F.col("prediction"))
+        read = batch_token_counts(done.withColumn("ids", ids), keys=["run_id"]).groupBy("run_id").agg(F.sum("n_tokens").alias("encoder_tokens"))
+        tokens = read.join(done.groupBy("run_id").agg(F.sum(gen_len).alias("decoder_tokens")), "run_id")
+        rows = assemble_results(t.run_config, sizes, done.withColumn("gen_len", gen_len), tokens, forward_log(events), metrics(NAMES, **OPTIONS))
         exact = rounded(rows, [*NAMES, "gen_len"])
-        return exact.select("run_id", *[F.round(c, 12 if "latency" in c else 4).alias(c) if c.startswith(
+        return exact.select("run_id", *[F.round(c, 9 if "latency" in c else 4).alias(c) if c.startswith(
             ("encoder", "decoder")) else F.col(c) for c in RUN_COLUMNS])
 
     add("x1_result_rows", x1, f"""WITH
         limited AS (SELECT p.*, max_input_seq_length = -1
                 OR len(string_split(reference, ' ')) <= max_input_seq_length AS kept
             FROM pairs p JOIN run_config USING (run_id)),
-        kept AS (SELECT * FROM limited WHERE kept), {all_metrics_sql('kept', 'run_id')},
+        given AS (SELECT id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY id) - 1 AS n, reference AS text FROM limited WHERE kept),
+        {tries_sql('given')},
+        kept AS (SELECT id, run_id, text AS reference, p AS prediction FROM said), {all_metrics_sql('kept', 'run_id')},
         sizes AS (SELECT run_id, count(*) AS dataset_size, count(*) FILTER (WHERE kept)
             AS dataset_size_after_filter_wrt_input_len FROM limited GROUP BY run_id),
-        gen AS (SELECT run_id, round(avg(len(string_split(prediction, ' '))), {DIGITS}) AS gen_len FROM kept GROUP BY run_id),
+        gen AS (SELECT run_id, round(avg(len(string_split(prediction, ' '))), {DIGITS}) AS gen_len,
+            sum(len(string_split(prediction, ' '))) AS decoder_tokens,
+            sum(len(list_filter(string_split(reference, ' '), lambda w: length(w) > 2))) AS encoder_tokens FROM kept GROUP BY run_id),
         scored AS (SELECT grp AS run_id, {ALL_SCORES} FROM {ALL_JOINS}),
-        lat AS (SELECT run_id, avg(latency_s) FILTER (WHERE layer_type = 'encoder') AS e,
-            avg(latency_s) FILTER (WHERE layer_type = 'decoder') AS d FROM forward_log GROUP BY run_id)
-        SELECT c.*, s.* EXCLUDE (run_id), q.* EXCLUDE (run_id), gen_len, round(e, 12) AS encoder_latency_s,
-            round(d, 12) AS decoder_latency_s, round(encoder_tokens / e, 4) AS encoder_throughput,
+        lat AS (SELECT run_id, avg(e) AS e, avg(d) AS d FROM calls GROUP BY run_id)
+        SELECT c.*, s.* EXCLUDE (run_id), q.* EXCLUDE (run_id), gen_len, round(e, 9) AS encoder_latency_s,
+            round(d, 9) AS decoder_latency_s, round(encoder_tokens / e, 4) AS encoder_throughput,
             round(decoder_tokens / d, 4) AS decoder_throughput
         FROM run_config c LEFT JOIN sizes s USING (run_id) LEFT JOIN scored q USING (run_id) LEFT JOIN gen USING (run_id)
-            LEFT JOIN lat USING (run_id) LEFT JOIN run_tokens USING (run_id)""")
+            LEFT JOIN lat USING (run_id)""")
     add("st1_streamed_scores", lambda t: rounded(stream_scores(
         t.spark, pairs_stream(t), metrics(["sacrebleu", "meteor"]), ["lang"])),
         f"""WITH {bleu_sql("b", "pairs", "lang", tokens_13a_sql)}, {meteor_sql("m", "pairs", "lang")}

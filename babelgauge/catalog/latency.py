@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from babelgauge import streaming
 from babelgauge.operators import latency as L
 from babelgauge.operators.batching import token_length, unmask
-from babelgauge.operators.inference import translate_batches, word_map
-from babelgauge.session import work_path
-
-TRANSLATIONS = {"the": "le", "and": "et", "of": "de", "to": "a"}  # the stand-in model of the inference query
+from babelgauge.catalog.standin import BATCH, stand_in, tries_sql
+from babelgauge.operators import inference
+from babelgauge.operators.triage import triage
+from babelgauge.session import settle, work_path
 
 
 def rounded(df, **digits):
@@ -69,25 +69,61 @@ def register(add) -> None:
         """SELECT run_id, n_rows, round(s, 9) AS latency_s, round(n_rows / s, 9) AS rows_per_s
         FROM run_tokens LEFT JOIN (SELECT run_id, sum(latency_s) AS s FROM forward_log GROUP BY run_id) l USING (run_id)""")
 
-    def u1(t):
+    def translated(t):
+        """Run 7: all documents through the stand-in model, failures and all."""
         source = t.documents.select(F.col("doc_id").alias("idx"), F.col("text").alias("source"))
-        done = translate_batches(source, word_map(TRANSLATIONS), batch_size=32, run_id=7)
-        return done.select("idx", "run_id", "batch_id", F.md5("prediction").alias("digest"),
-                           (F.col("latency_s") >= 0).alias("timed"))
-
-    mapped = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TRANSLATIONS.items())
-    add("u1_batched_map", u1, f"""SELECT doc_id AS idx, CAST(7 AS BIGINT) AS run_id, doc_id // 32 AS batch_id,
-            md5(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE w {mapped} ELSE w END), ' '))
-            AS digest, true AS timed FROM documents""")
+        return settle(inference.translate_batches(source, stand_in, BATCH, run_id=7), "events")
+
+    given = "given AS (SELECT CAST(7 AS BIGINT) AS run_id, doc_id AS n, text FROM documents)"
+    add("u1_batched_map", lambda t: inference.predictions(translated(t)).select(
+        "idx", "run_id", "batch_id", F.md5("prediction").alias("digest")),
+        f"""WITH {given}, {tries_sql('given')} SELECT n AS idx, run_id, batch_id, md5(p) AS digest FROM said""")
+    spent = """spent AS (SELECT *, CAST(sum(CASE WHEN next_batch_size IS NULL THEN 1 ELSE 0 END)
+            OVER (PARTITION BY run_id ORDER BY idx, batch_size DESC) AS BIGINT) AS other_errors
+        FROM (SELECT *, CASE WHEN message LIKE '%out of memory%' AND batch_size > 1
+            THEN CASE WHEN batch_size > 2 THEN batch_size // 4 ELSE 1 END END AS next_batch_size FROM failed) f)"""
+    action = "CASE WHEN next_batch_size IS NOT NULL THEN 'reduce' WHEN other_errors <= 20 THEN 'continue' ELSE 'abort' END"
+    add("u1_failures", lambda t: triage(inference.failures(translated(t))).select(
+        F.col("sweep_id").alias("run_id"), "batch_id", "idx", "batch_size", "message", "next_batch_size", "action"),
+        f"""WITH {given}, {tries_sql('given')}, {spent}
+        SELECT run_id, batch_id, idx, batch_size, message, next_batch_size, {action} AS action FROM spent""")
+    add("u1_calls", lambda t: rounded(inference.forward_log(translated(t)).groupBy("run_id", "layer_type").agg(
+        F.count("*").alias("calls"), F.sum("latency_s").alias("latency_s")), latency_s=6),
+        f"""WITH {given}, {tries_sql('given')} SELECT run_id, layer_type, count(*) AS calls, round(sum(s), 6) AS latency_s FROM (
+            SELECT run_id, 'encoder' AS layer_type, e AS s FROM calls UNION ALL SELECT run_id, 'decoder', d FROM calls) l GROUP BY ALL""")
+    add("u1_within_budget", lambda t: inference.predictions(inference.within_budget(translated(t), budget=3)).select("run_id", "idx"),
+        f"""WITH {given}, {tries_sql('given')}, {spent},
+            ended AS (SELECT run_id, min(idx) AS e FROM spent WHERE next_batch_size IS NULL AND other_errors > 3 GROUP BY run_id)
+        SELECT run_id, n AS idx FROM said LEFT JOIN ended USING (run_id) WHERE e IS NULL OR n < e""")
 
     def st2(t):
         path = work_path(t.spark, "tail-latency")
-        streaming.run_to_table(streaming.tail_latency(events_stream(t)), path).awaitTermination()
-        return rounded(streaming.read_table(t.spark, path), mean_latency_s=12)
+        tail = streaming.tail_latency(events_stream(t))
+        streaming.run_to_table(tail, path).awaitTermination()
+        return rounded(streaming.read_table(t.spark, path, tail.schema), mean_latency_s=12)
 
     add("st2_tail_latency", st2, """SELECT layer_type, round(avg(latency_s), 12) AS mean_latency_s, count(*) AS calls
         FROM forward_log GROUP BY layer_type""")
 
+    def j2_online(t):
+        """The log and the batch counts as two file streams of several micro-batches, which come in any order."""
+        calls, counts, path = (work_path(t.spark, n) for n in ("call-stream", "count-stream", "zipped"))
+        log = t.forward_log.select("run_id", "call_seq", "layer_type", "latency_s", F.col("ts").cast("timestamp").alias("ts"))
+        first = log.agg(F.min("ts")).first()[0]
+        late = t.batch_tokens.select("run_id", "batch_idx", "n_tokens", (F.lit(first) + F.expr("INTERVAL 1 HOUR") * F.col("batch_idx")).alias("ts"))
+        end = t.spark.sql("SELECT -1L AS run_id, 0L AS call_seq, 'encoder' AS layer_type, 0D AS latency_s, TIMESTAMP '2100-01-01' AS ts")
+        log.repartition(3, "call_seq").write.parquet(calls)
+        end.write.mode("append").parquet(calls)
+        late.repartition(3, "batch_idx").write.parquet(counts)
+        read = t.spark.readStream.option("maxFilesPerTrigger", 2)
+        zipped = streaming.zip_online(read.schema(log.schema).parquet(calls), read.schema(late.schema).parquet(counts), "3650 days", "1 day")
+        streaming.run_to_table(zipped, path, "append").awaitTermination()
+        return t.spark.read.schema(zipped.schema).parquet(f"{path}/table").where("run_id >= 0")
+
+    add("j2_online_zip", j2_online, """SELECT c.run_id, c.call_seq, c.batch_idx, c.latency_s, b.n_tokens, b.run_id IS NOT NULL AS matched FROM (
+            SELECT run_id, call_seq, latency_s, row_number() OVER (PARTITION BY run_id ORDER BY ts, call_seq) - 1 AS batch_idx
+            FROM forward_log WHERE layer_type = 'encoder') c LEFT JOIN batch_tokens b USING (run_id, batch_idx)""")
+
     def st2_windows(t):
         path = work_path(t.spark, "window-latency")
         closed = streaming.windowed_latency(events_stream(t))

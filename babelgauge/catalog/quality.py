@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from babelgauge.catalog.standin import words_in_place
+from babelgauge.functions.stems import STEP_2, STEP_3, STEP_4
 from babelgauge.functions.text import word_count
-from babelgauge.operators.quality import (Meteor, evaluate, metric, metrics, row_statistics, scores, sum_statistics)
+from babelgauge.operators.quality import (Meteor, evaluate, metric, metrics, register_metric, row_statistics, scores,
+                                          sum_statistics, unregister_metric)
 from babelgauge.operators.vocabulary import canonical_tokens
 from babelgauge.functions.text import tokens_13a
 from babelgauge.session import settle
@@ -91,15 +94,46 @@ def chrf_sql(name: str, overlaps: list[str]) -> str:
         FROM {name}_pr)"""
 
 
-def meteor_sql(name: str, source: str, by: str, tokens=tokens_13a_sql, second: str | None = None) -> str:
+def stems_sql(words: str) -> str:
+    """CTEs up to ``stems (w, stem)``: Porter's rules as one regular expression for each condition."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    some, one, more, vowel = f"^({c})?{v}{c}", f"^({c})?{v}{c}({v})?$", f"^({c})?{v}{c}{v}{c}", f"^({c})?[aeiouy]"
+    short = f"^{c}[aeiouy][^aeiouwxy]$"
+
+    def rules(pairs, condition):
+        cases = "".join(f""" WHEN ends_with(s, '{a}') THEN CASE WHEN regexp_matches(s[:-{len(a) + 1}], '{condition}') {more_}
+            THEN s[:-{len(a) + 1}] || '{b}' ELSE s END""" for a, b, more_ in sorted(pairs, key=lambda p: -len(p[0])))
+        return f"CASE{cases} ELSE s END"
+
+    left = "CASE WHEN ends_with(s, 'ed') THEN s[:-3] ELSE s[:-4] END"
+    steps = [
+        "CASE WHEN ends_with(s, 'sses') OR ends_with(s, 'ies') THEN s[:-3] WHEN ends_with(s, 's') AND NOT ends_with(s, 'ss') THEN s[:-2] ELSE s END",
+        f"""CASE WHEN ends_with(s, 'eed') THEN CASE WHEN regexp_matches(s[:-4], '{some}') THEN s[:-2] ELSE s END
+            WHEN (ends_with(s, 'ed') OR ends_with(s, 'ing')) AND regexp_matches({left}, '{vowel}') THEN
+                CASE WHEN regexp_matches({left}, '(at|bl|iz)$') THEN {left} || 'e'
+                WHEN ({left})[-1] = ({left})[-2] AND regexp_matches({left}, '[^aeiouylsz]$') THEN ({left})[:-2]
+                WHEN regexp_matches({left}, '{short}') THEN {left} || 'e' ELSE {left} END ELSE s END""",
+        f"CASE WHEN ends_with(s, 'y') AND regexp_matches(s[:-2], '{vowel}') THEN s[:-2] || 'i' ELSE s END",
+        rules([(a, b, "") for a, b in STEP_2], some), rules([(a, b, "") for a, b in STEP_3], some),
+        rules([(a, "", "AND regexp_matches(s, '[st]ion$')" if a == "ion" else "") for a in STEP_4], more),
+        f"""CASE WHEN ends_with(s, 'e') AND (regexp_matches(s[:-2], '{more}') OR (regexp_matches(s[:-2], '{one}')
+            AND NOT regexp_matches(s[:-2], '{short}'))) THEN s[:-2] ELSE s END""",
+        f"CASE WHEN ends_with(s, 'll') AND regexp_matches(s, '{more}') THEN s[:-2] ELSE s END"]
+    ctes = [f"stem_0 AS (SELECT DISTINCT w, w AS s FROM {words} x)"]
+    ctes += [f"stem_{i} AS (SELECT w, CASE WHEN length(w) < 3 THEN w ELSE {step} END AS s FROM stem_{i - 1})" for i, step in enumerate(steps, 1)]
+    return ", ".join([*ctes, f"stems AS (SELECT w, s AS stem FROM stem_{len(steps)})"])
+
+
+def meteor_sql(name: str, source: str, by: str, tokens=tokens_13a_sql, second: str | None = None, join: str = "") -> str:
     """CTE ``name_score(grp, score)``: the alignment as a join of k-th last occurrences.
 
-    ``second`` is an expression over ``tok``: a second stage that matches what the first left free by it.
+    ``second`` is an expression over ``tok`` (and the columns of ``join``): a second stage that matches what the first left
+    free by it.
     """
     both = f"""
     {name}_f AS (
         SELECT id, side, pos, tok, row_number() OVER (PARTITION BY id, side, tok ORDER BY pos DESC) AS k FROM (
-            SELECT id, side, pos, {second} AS tok FROM {name}_k x WHERE NOT EXISTS (
+            SELECT id, side, pos, {second} AS tok FROM {name}_k x {join} WHERE NOT EXISTS (
                 SELECT 1 FROM {name}_e e WHERE e.id = x.id AND x.pos = CASE x.side WHEN 'h' THEN e.hp ELSE e.rp END)) y),
     {name}_a AS (
         SELECT * FROM {name}_e UNION ALL
@@ -143,6 +177,9 @@ def rounded(df, columns=NAMES):
     return df.select(*[F.round(c, DIGITS).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+SPACES_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+
 def register(add) -> None:
     def one(key, m, ctes, name):
         add(key, lambda t: rounded(evaluate(t.pairs, [m], ["lang"]), [m.name]),
@@ -155,8 +192,11 @@ def register(add) -> None:
         + overlap_sql("wo", "pairs", "lang", chrf_words_sql, 2) + "," + chrf_sql("c", ["co", "wo"]), "c")
     one("m5_meteor", metric("meteor"), meteor_sql("m", "pairs", "lang"), "m")
 
-    def m5_stages(t):
-        """METEOR with a second stage: words left free match without a final s."""
+    one("m5_meteor_with_stems", metric("meteor", stem=True), stems_sql(f"(SELECT lower(unnest({tokens_13a_sql('prediction')})) AS w FROM pairs UNION "
+        f"SELECT lower(unnest({tokens_13a_sql('reference')})) FROM pairs)") + "," + meteor_sql("m", "pairs", "lang", second="stem", join="JOIN stems ON w = tok"), "m")
+
+    def m5_classes(t):
+        """METEOR with a second stage of word classes from a table: a word and the same word with a final s."""
         pairs = settle(t.pairs.withColumn("hyp_tokens", tokens_13a(F.col("prediction")))
                        .withColumn("ref_tokens", tokens_13a(F.col("reference"))), "tokens")
         words = pairs.select(F.explode(F.concat("hyp_tokens", "ref_tokens")).alias("token"))
@@ -166,8 +206,40 @@ def register(add) -> None:
         m = Meteor(stages=(("hyp_tokens_canonical", "ref_tokens_canonical"),))
         return rounded(evaluate(staged, [m], ["lang"]))
 
-    add("m5_meteor_with_stems", m5_stages, f"""WITH {meteor_sql("m", "pairs", "lang", second="regexp_replace(tok, 's$', '')")}
+    add("m5_meteor_with_classes", m5_classes, f"""WITH {meteor_sql("m", "pairs", "lang", second="regexp_replace(tok, 's$', '')")}
         SELECT grp AS lang, round(score, {DIGITS}) AS meteor FROM m_score""")
+    lcs = """RECURSIVE words AS (SELECT id, regexp_extract_all(lower(en), '[a-z0-9]+') AS h, regexp_extract_all(lower(fr), '[a-z0-9]+') AS r FROM corpus),
+        lcs AS (SELECT id, h, r, 0 AS i, list_transform(r, lambda x: 0) AS row FROM words UNION ALL
+            SELECT id, h, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: greatest(row[j], list_max(list_transform(
+                range(1, j + 1), lambda k: CASE WHEN r[k] = h[i + 1] THEN coalesce(row[k - 1], 0) + 1 ELSE 0 END)))) FROM lcs WHERE i < len(h))"""
+    add("m10_rouge_l", lambda t: evaluate(t.corpus.select(F.col("en").alias("prediction"), F.col("fr").alias("reference")),
+                                          [metric("rouge")]).select(F.round("rougeL", DIGITS).alias("rougeL")),
+        f"""WITH {lcs} SELECT round(avg(CASE WHEN len(h) + len(r) = 0 THEN 0 ELSE 2e0 * coalesce(row[-1], 0) / (len(h) + len(r)) END), {DIGITS}) AS "rougeL"
+        FROM lcs WHERE i = len(h)""")
+    add("m10_rouge_l_long", lambda t: rounded(evaluate(t.pairs, [metric("rouge")], ["lang"]), ["rougeL"]))
+    def u4(t):
+        """A metric of one's own: the share of words that stand at their place."""
+        register_metric("in_place", ["hits", "words"], words_in_place, "{hits} / nullif({words}, 0D)",
+                        [("a b c", "a c b"), ("", "x"), ("one two", "one two three"), ("x", "")])
+        try:
+            return rounded(evaluate(t.pairs, metrics(["in_place", "sacrebleu"]), ["lang"]), ["in_place", "sacrebleu"])
+        finally:
+            unregister_metric("in_place")
+
+    add("u4_own_metric", u4, f"""WITH {bleu_sql("b", "pairs", "lang", tokens_13a_sql)},
+        w AS (SELECT lang, string_split(trim(prediction, {SPACES_SQL}), ' ') AS h, string_split(trim(reference, {SPACES_SQL}), ' ') AS r FROM pairs),
+        s AS (SELECT lang, sum(len(list_filter(range(1, least(len(h), len(r)) + 1), lambda i: h[i] = r[i]))) AS hits,
+            sum(greatest(len(h), len(r))) AS words FROM w GROUP BY lang)
+        SELECT lang, round(hits / words, {DIGITS}) AS in_place, round(score, {DIGITS}) AS sacrebleu FROM s JOIN b_score ON grp = lang""")
+
+    def m2_pieces(t):
+        """BLEU over the pieces of a published vocabulary."""
+        import public_tokenizers
+
+        m = metric("spBleu", tokenize=f"ranks:{public_tokenizers.path('byte_bpe_multi_50k.tiktoken')}")
+        return rounded(evaluate(t.pairs, [m], ["lang"]))
+
+    add("m2_published_pieces", m2_pieces)
     add("m6_registry", lambda t: rounded(evaluate(t.pairs, metrics(["sacrebleu", "chrf++"]))
                                          .withColumnRenamed("chrf++", "chrfpp")),
         f"""WITH {bleu_sql("b", "pairs", "1", tokens_13a_sql)}, {overlap_sql("co", "pairs", "1", chars_sql, 6)},

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from babelgauge.functions.models import canonical_dataset, pair_configuration, task_prefix
-from babelgauge.operators.inference import forward_log, translate_batches, word_map
+from babelgauge.catalog.standin import BATCH, stand_in, tries_sql
+from babelgauge.operators.inference import failure_records, forward_log, translate_batches
 from babelgauge.operators.ranking import best_rows
 from babelgauge.operators.runs import cap_outliers, fill_missing
 from babelgauge.schemas import RUN_COLUMNS
@@ -82,11 +83,12 @@ def register(add) -> None:
         FROM forward_log GROUP BY layer_type""")
 
     def a9(t):
-        path = work_path(t.spark, "metric_files")
+        """Four schema versions in folders of their own, and files beside them that are no result files."""
+        path = work_path(t.spark, "files")
         for i, fragment in enumerate(t.fragments):
             fragment.write.option("header", True).csv(f"{path}/{i}")
-        merged = results.read_result_folder(t.spark, path, pattern="part-*.csv")
-        return profile(merged)
+        t.forward_log.select("layer_type", "latency_s").write.json(f"{path}/latencies")
+        return profile(results.read_result_folder(t.spark, path, pattern="part-*.csv"))
 
     add("a9_result_folder", a9, f"SELECT {PROFILE} FROM runs_all GROUP BY model_name")
 
@@ -105,12 +107,11 @@ def register(add) -> None:
     def a11(t):
         path = work_path(t.spark, "call-log")
         source = t.documents.select(F.col("doc_id").alias("idx"), F.col("text").alias("source"))
-        logs.append_forward_log(forward_log(translate_batches(source, word_map({}), 32, run_id=3)), path)
-        return logs.read_forward_log(t.spark, path).select("run_id", "call_seq", "layer_type",
-                                                           (F.col("latency_s") >= 0).alias("timed"))
+        logs.append_forward_log(forward_log(translate_batches(source, stand_in, BATCH, run_id=3)), path)
+        return logs.read_forward_log(t.spark, path).select("run_id", "layer_type", F.round("latency_s", 9).alias("latency_s"))
 
-    add("a11_log_append", a11, """SELECT DISTINCT CAST(3 AS BIGINT) AS run_id, doc_id // 32 AS call_seq,
-        'encoder' AS layer_type, true AS timed FROM documents""")
+    add("a11_log_append", a11, f"""WITH given AS (SELECT CAST(3 AS BIGINT) AS run_id, doc_id AS n, text FROM documents), {tries_sql('given')}
+        SELECT run_id, 'encoder' AS layer_type, round(e, 9) AS latency_s FROM calls UNION ALL SELECT run_id, 'decoder', round(d, 9) FROM calls""")
 
     def a12(t):
         path = work_path(t.spark, "reset-log")
@@ -129,6 +130,19 @@ def register(add) -> None:
         return logs.read_failures(t.spark, path).groupBy("model_name", "dataset_size", "batch_size", "dataset_name") \
             .agg(F.count("*").alias("n"), F.sum("max_gen_length").alias("gen"))
 
+    def a13_records(t):
+        """The failures of the batched map, with the settings of their run, through the failure log."""
+        path = work_path(t.spark, "batch-failures")
+        source = t.documents.select(F.col("doc_id").alias("idx"), F.col("text").alias("source"))
+        config = t.run_config.where("run_id = 3").withColumn("dataset_size", F.lit("all"))
+        records = failure_records(translate_batches(source, stand_in, BATCH, run_id=3), config)
+        logs.append_failures(records, path)
+        return logs.read_failures(t.spark, path).groupBy("model_name", "dataset_size", "batch_size", "max_input_seq_length") \
+            .agg(F.count("*").alias("n"))
+
+    add("a13_batch_failures", a13_records, f"""WITH given AS (SELECT CAST(3 AS BIGINT) AS run_id, doc_id AS n, text FROM documents), {tries_sql('given')}
+        SELECT model_name, 'all' AS dataset_size, f.batch_size, max_input_seq_length, count(*) AS n
+        FROM failed f LEFT JOIN run_config USING (run_id) GROUP BY ALL""")
     add("a13_failure_sink", a13, """SELECT model_name, dataset_size, batch_size, dataset_name, count(*) AS n,
             CAST(sum(max_gen_length) AS BIGINT) AS gen
         FROM (SELECT * FROM failure_records UNION ALL SELECT * FROM failure_records WHERE dataset_size = 'all') u

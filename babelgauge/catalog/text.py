@@ -140,9 +140,11 @@ def register(add) -> None:
         .agg(F.count("*").alias("n")),
         """SELECT TRY_CAST(dataset_size AS BIGINT) AS dataset_size, CAST(beam_size AS INTEGER) AS beam_size, count(*) AS n
         FROM failure_records GROUP BY ALL""")
-    add("b23_parameter_count", lambda t: t.runs.groupBy("model_name").agg(
-        F.max("total_params").alias("params"), F.count("*").alias("n")),
-        "SELECT model_name, max(total_params) AS params, count(*) AS n FROM runs GROUP BY model_name")
+    add("b23_parameter_count", lambda t: R.with_parameter_count(
+        t.runs.drop("total_params"), t.run_config.select("model_name", "total_params"))
+        .groupBy("model_name", "total_params").agg(F.count("*").alias("n")),
+        """SELECT model_name, m.total_params, count(*) AS n FROM runs r LEFT JOIN (SELECT model_name, max(total_params) AS total_params
+            FROM run_config GROUP BY model_name) m USING (model_name) GROUP BY ALL""")
     add("b24_loss_history", lambda t: t.events.withColumn("loss", F.get_json_object("props", "$.k"))
         .where(F.col("loss").isNotNull()).select("event_id", F.col("loss").cast("double").alias("loss")),
         """SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS loss FROM events
@@ -166,7 +168,8 @@ def register(add) -> None:
             FROM (SELECT DISTINCT token FROM words) d
             UNION ALL SELECT unnest(['<pad>', '</s>', '<unk>']), unnest([0, 1, 2]))"""
     add("c3_vocabulary", lambda t: build_vocabulary(t.pairs, pieces(F.col("reference"))),
-        f"WITH {vocabulary} SELECT token, id FROM vocab")
+        f"""WITH {vocabulary} SELECT token, id, coalesce(n, 0) AS n FROM vocab
+        LEFT JOIN (SELECT token, count(*) AS n FROM words GROUP BY token) w USING (token)""")
 
     def encoded(t):
         vocab = build_vocabulary(t.pairs, pieces(F.col("reference")))
@@ -187,11 +190,11 @@ def register(add) -> None:
     add("c4_batches", lambda t: with_batches(t.token_ids, 32).groupBy("batch_id").agg(
         F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")),
         f"""SELECT batch_id, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM ({ids}) b GROUP BY batch_id""")
-    add("c4_filtered_batches", lambda t: with_batches(renumbered(t.token_ids.where(F.size("ids") % 3 != 0)
-                                                                 .withColumn("doc", F.col("idx"))), 32).groupBy("batch_id").agg(
-        F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")),
-        """SELECT n // 32 AS batch_id, count(*) AS n, min(idx) AS first_doc, max(idx) AS last_doc FROM (
-            SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS n FROM token_ids WHERE len(ids) % 3 <> 0) k GROUP BY 1""")
+    add("c4_filtered_batches", lambda t: with_batches(renumbered(
+        t.documents.where(corpora.within_length(F.col("text"), 300)).select(F.col("doc_id").alias("idx"), F.col("doc_id").alias("doc"))),
+        32).groupBy("batch_id").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")),
+        """SELECT n // 32 AS batch_id, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id,
+            row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE len(string_split(text, ' ')) <= 300) k GROUP BY 1""")
     add("c5_padding", lambda t: pad_batches(with_batches(t.token_ids, 32)).select(
         "idx", "batch_id", F.size("ids").cast("long").alias("width"), digest(F.col("ids")).alias("digest")),
         f"""SELECT idx, batch_id, w AS width, md5(array_to_string(list_transform(ids, lambda x: CAST(x AS VARCHAR)), ' ')

@@ -14,8 +14,8 @@ from babelgauge.operators.ordering import running_sum
 from babelgauge.plans.studies import merged_runs
 from babelgauge.session import read_spread
 
-TEXT_TABLES = ["documents", "benchmark"]  # read with enough partitions for text work
-TABLES = ["documents", "benchmark", "conversations", "events", "lineitem"]
+TEXT_TABLES = ["documents"]  # read with enough partitions for text work
+TABLES = ["documents", "conversations", "events", "lineitem"]
 
 # name -> SQL that both engines read the same way
 SHARED = {
@@ -167,8 +167,8 @@ def with_views(sql: str) -> str:
     if not ctes:
         return sql
     body = sql.strip()
-    if re.match(r"WITH\s", body):
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    if found := re.match(r"WITH\s+(RECURSIVE\s)?", body):
+        return f"WITH {found[1] or ''}" + ",\n".join(ctes) + ",\n" + body[found.end():]
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from babelgauge.functions.models import short_name
+from babelgauge.operators.ordering import null_safe_join
 
 MAX_BEAM, MAX_GEN = 32, 128  # fixed values: the outlier caps of the studies
 
@@ -59,3 +60,12 @@ def split_check(runs: DataFrame, by: list[str]) -> DataFrame:
                                     F.count("*").alias("runs"))
     return counted.select(*by, "single", "multi", "runs", (F.col("single") / F.col("runs")).alias("single_share"),
                           (F.col("single") + F.col("multi") == F.col("runs")).alias("adds_up"))
+
+
+def with_parameter_count(runs: DataFrame, models: DataFrame) -> DataFrame:
+    """``runs`` with ``total_params`` of their model from the model dimension ``models (model_name, total_params)``.
+
+    A model that is listed more than once counts as its largest; one that is not listed has none, and its runs stay.
+    """
+    largest = models.groupBy("model_name").agg(F.max("total_params").alias("total_params"))
+    return null_safe_join(runs, largest, ["model_name"], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,32 +54,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
-_PACKAGE_AT: set[str] = set()  # applications whose workers have the package
+_WORK: dict[str, list[str]] = {}  # paths handed out, by application
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 512 rows for whole texts, unless the session asks for a size of its own: the default of 10,000
-    texts is held several times over, in the JVM's buffers and in each worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "512")
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _WORK.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def share_package(spark: SparkSession) -> None:
-    """Let the Python workers of a local session import this package from any working folder.
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside when it ends. Results that are read later must be written inside:
+    a query's DataFrame reads its intermediate tables when it runs.
 
-    On a cluster the submitter ships it, as with every package (``--py-files``, or a path all executors have).
+    ``with work_scope(spark): query(spark, folder).write.parquet(out)``
     """
-    _small_batches(spark)
-    app = spark.sparkContext.applicationId
-    if app not in _PACKAGE_AT and is_local(spark):
-        spark.sparkContext.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
-        _PACKAGE_AT.add(app)
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    paths = _WORK.setdefault(spark.sparkContext.applicationId, [])
+    before = len(paths)
+    try:
+        yield
+    finally:
+        for path in paths[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del paths[before:]
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

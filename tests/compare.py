@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from pathlib import Path
 
 import duckdb
 
@@ -12,14 +13,12 @@ from babelgauge.catalog import oracle_sql, queries
 from babelgauge.session import get_spark
 
 ROOT = "/root/testdata"
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-          "conversations").split()
 
 
 def database(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    for path in sorted(Path(folder).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
 
 

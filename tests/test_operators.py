@@ -190,11 +190,20 @@ def test_batches_are_full_after_a_filter(spark):
     assert sizes == [32] * 5 + [7]
 
 
-def test_repeated_text_keys_are_an_error(spark):
-    df = spark.createDataFrame([(1, "a b"), (1, "c")], "id long, text string")
-    vocab = vocabulary.build_vocabulary(df, F.split("text", " "))
-    with pytest.raises(PySparkException):
-        vocabulary.encode(df, "id", F.split("text", " "), vocab).collect()
+@pytest.mark.parametrize("heavy", [0, 3, 1 << 16])
+def test_lookups_with_and_without_a_map(spark, monkeypatch, heavy):
+    """Repeated keys, unknown and null tokens, null and empty arrays; whatever share of the tokens the tasks know."""
+    monkeypatch.setattr(vocabulary, "HEAVY", heavy)
+    rows = [(1, "a b a c"), (1, "c d"), (2, ""), (3, None), (4, "z a z"), (5, " ".join("abcdefgh" * 50)), (None, "b")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    vocab = vocabulary.build_vocabulary(df.where("id <> 4 OR id IS NULL"), words)
+    id_of = {r.token: r.id for r in vocab.collect()}
+    assert {r.token: r.n for r in vocab.collect()}["a"] == 52
+    got = sorted((r.id or 0, r.ids) for r in vocabulary.encode(df, "id", words, vocab).collect())
+    assert got == sorted((i or 0, [id_of.get(w, 2) for w in (t or "").split()]) for i, t in rows)
+    back = vocabulary.decode(vocabulary.encode(df, "id", words, vocab), "id", F.col("ids"), vocab).collect()
+    assert sorted((r.id or 0, r.text) for r in back) == sorted((i or 0, " ".join(w for w in (t or "").split() if w in id_of)) for i, t in rows)
 
 
 def test_names_and_routing(spark):
@@ -264,8 +273,9 @@ def test_warning_without_line_break_and_filtered_size(spark, tmp_path):
 def test_rows_without_position_are_batched_too(spark):
     df = spark.createDataFrame([(None, f"s{i}") for i in range(7)] + [(i, "the x") for i in range(5)], "idx long, source string")
     done = inference.translate_batches(df, lambda s: [f"{len(s)}"] * len(s), 3).collect()
-    assert sorted(r.prediction for r in done if r.idx is None) == ["1", "3", "3", "3", "3", "3", "3"]
-    assert sorted((r.idx, r.batch_id, r.prediction) for r in done if r.idx is not None) == [
+    loose = [r.prediction for r in done if r.kind == "prediction" and r.idx is None]
+    assert len(loose) == 7 and set(loose) <= {"1", "2", "3"} and all(r.batch_id is None for r in done if r.kind == "prediction" and r.idx is None)
+    assert sorted((r.idx, r.batch_id, r.prediction) for r in done if r.kind == "prediction" and r.idx is not None) == [
         (0, 0, "3"), (1, 0, "3"), (2, 0, "3"), (3, 1, "2"), (4, 1, "2")]
 
 
@@ -289,8 +299,45 @@ def test_ranking_breaks_ties_by_the_row(spark):
 def test_batched_map(spark):
     df = spark.range(70).select(F.col("id").alias("idx"), F.concat(F.lit("the "), F.col("id")).alias("source"))
     done = inference.translate_batches(df, inference.word_map({"the": "le"}), 32, run_id=5).cache()
-    assert {r.idx: r.prediction for r in done.collect()} == {i: f"le {i}" for i in range(70)}
+    assert {r.idx: r.prediction for r in inference.predictions(done).collect()} == {i: f"le {i}" for i in range(70)}
     log = inference.forward_log(done).orderBy("call_seq").collect()
-    assert [(r.run_id, r.call_seq, r.layer_type) for r in log] == [(5, i, "encoder") for i in range(3)]
-    with pytest.raises(PySparkException):
-        inference.translate_batches(df, lambda sentences: [], 32).collect()
+    assert [(r.run_id, r.call_seq >> inference.CALL_BITS, r.layer_type) for r in log] == [(5, i, "encoder") for i in range(3)]
+    short = inference.translate_batches(df, lambda sentences: [], 32)
+    assert inference.predictions(short).count() == 0  # a function that loses rows fails for each of them
+    assert {r.message for r in inference.failures(short).collect()} == {"ValueError: 0 predictions for 1 sentences"}
+
+
+def test_failing_calls(spark):
+    """A function that fails on long batches and on one poison row: every other row is predicted, once."""
+    from babelgauge.operators.triage import next_batch_size
+
+    def moody(texts, timer):
+        if len(texts) > 3:
+            raise RuntimeError("CUDA out of memory")
+        if "poison" in texts:
+            raise ValueError("bad input")
+        if "huge" in texts:
+            raise MemoryError("out of memory")
+        with timer("encoder"):
+            out = [t.upper() for t in texts]
+        timer.record("decoder", 0.5)
+        timer.record("decoder", 0.25)
+        return out
+
+    texts = [(r, i, f"t{i}") for r in (1, 2) for i in range(40)] + [(1, 40, "poison"), (2, 40, "huge"), (None, 0, "no run")]
+    df = spark.createDataFrame(texts, "run_id long, idx long, source string").repartition(5)
+    events = inference.run_batches(df, moody, 16).cache()
+    got = sorted((r.run_id or 0, r.idx, r.prediction) for r in inference.predictions(events).collect())
+    assert got == sorted((r or 0, i, t.upper()) for r, i, t in texts if t not in ("poison", "huge"))
+    failed = inference.failures(events)
+    told = failed.select("*", next_batch_size(F.col("batch_size"), F.col("message")).alias("next")).orderBy("sweep_id", "seq").collect()
+    memory = [(r.sweep_id, r.idx, r.batch_size, r.next) for r in told if "memory" in r.message]
+    assert memory[:5] == [(1, 0, 16, 4), (1, 0, 4, 1), (1, 4, 4, 1), (1, 8, 4, 1), (1, 12, 4, 1)]
+    assert [(r.sweep_id, r.idx, r.next) for r in told if r.message == "ValueError: bad input"] == [(1, 40, None)]
+    assert (2, 40, 1, None) in memory
+    calls = inference.forward_log(events).where("run_id = 1").orderBy("call_seq").collect()
+    assert [c.layer_type for c in calls[:3]] == ["encoder", "decoder", "decoder"] and len({c.call_seq for c in calls}) == len(calls)
+    again = inference.run_batches(df.repartition(2), moody, 16)
+    assert sorted(map(str, inference.failures(again).collect())) == sorted(map(str, failed.collect()))  # repeatable
+    kept = inference.predictions(inference.within_budget(events, budget=0))
+    assert {(r.run_id, r.n) for r in kept.groupBy("run_id").agg(F.count("*").alias("n")).collect()} == {(1, 40), (2, 40), (None, 1)}

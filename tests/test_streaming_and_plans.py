@@ -61,3 +61,28 @@ def test_windows_stay_inside_blocks(spark):
     for key in ("j2_batch_zip", "w8_error_budget"):
         windows = [line for line in plan(spark, key).split("== Physical Plan ==")[1].splitlines() if "Window [" in line]
         assert windows and all("_block" in line for line in windows)
+
+
+def test_calls_and_counts_in_any_order_zip_as_the_batch_does(spark):
+    """Later calls come first, counts before and after their calls, one count never; a run of decoder calls only."""
+    from babelgauge.operators import latency
+
+    calls, counts, out = (work_path(spark, name) for name in ("calls", "counts", "zipped"))
+    schema = "run_id long, call_seq long, layer_type string, latency_s double, ts timestamp"
+    log = spark.sql(f"""SELECT id % 3 AS run_id, id AS call_seq, CASE WHEN id % 3 = 2 OR id % 5 = 1 THEN 'decoder' ELSE 'encoder' END AS layer_type,
+        id / 8 AS latency_s, TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts FROM range(60)""")
+    numbered = latency.number_encoder_calls(log)
+    told = numbered.where("batch_idx <> 4").selectExpr("run_id", "batch_idx", "batch_idx * 7 AS n_tokens")
+    timed = told.join(log.selectExpr("run_id", "call_seq", "ts").join(numbered, ["run_id", "call_seq"]).select("run_id", "batch_idx", "ts"), ["run_id", "batch_idx"])
+    end = spark.sql("SELECT -1L AS run_id, 0L AS call_seq, 'encoder' AS layer_type, 0D AS latency_s, TIMESTAMP '2024-03-01' AS ts")
+    for where in ("call_seq >= 30", "call_seq < 30"):
+        log.where(where).coalesce(1).write.mode("append").parquet(calls)
+    end.coalesce(1).write.mode("append").parquet(calls)
+    for where in ("batch_idx % 2 = 1", "batch_idx % 2 = 0"):
+        timed.select("run_id", "batch_idx", "n_tokens", "ts").where(where).coalesce(1).write.mode("append").parquet(counts)
+    read = spark.readStream.option("maxFilesPerTrigger", 1)
+    zipped = streaming.zip_online(read.schema(schema).parquet(calls), read.schema("run_id long, batch_idx long, n_tokens long, ts timestamp").parquet(counts), "1 day", "1 hour")
+    streaming.run_to_table(zipped, out, "append").awaitTermination()
+    got = {(r.run_id, r.batch_idx, r.call_seq, r.latency_s, r.n_tokens, r.matched) for r in spark.read.parquet(f"{out}/table").where("run_id >= 0").collect()}
+    want = {(r.run_id, r.batch_idx, r.call_seq, r.latency_s, r.n_tokens, r.n_tokens is not None) for r in latency.zip_batches(log, told).collect()}
+    assert got == want and sum(not w[-1] for w in want) == 2
