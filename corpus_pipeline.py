@@ -19,32 +19,50 @@ from babelgauge.session import work_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Those without a letter, without text, or unlike any language go."""
+    """Documents whose language can be told. Those without a letter, without text, or unlike any language go.
+
+    Null ids, languages and sources stay as they are, and so do repeated rows and texts of any length (judged whole). If no
+    document has a language, nothing is unlike: every text with a letter stays.
+    """
     return keep_identified(docs, fit(docs, F.lit(True)), least=0.05)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template recurs; ``n_chars`` is that of the text left."""
+    """All documents, without lines whose template recurs; ``n_chars`` is that of the text left (null for a null text).
+
+    A line stays in the smallest ``doc_id`` that holds it (null counts as the largest; rows with equal ids keep theirs).
+    Empty texts stay empty, and a text may lose all its lines. Repeated rows are treated alike.
+    """
     return drop_recurring_lines(docs, min_docs=2, support=3, similarity=0.8).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest ``doc_id``, null last.
+
+    Null, empty and blank texts have the same fingerprint and are one group; of repeated rows one stays.
+    """
     return keep_one_of_each(docs, shingle=3, distance=3)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, each at most twice.
+
+    The null source is one of its own, the last. Null and empty texts have no words and add none to their source. Repeated
+    rows are drawn one by one. Reruns take the same rows.
+    """
     return take_mix(docs, weights=(3, 1, 2), share=1.5, most=2.0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids in sequences of at most 2048."""
+    """The documents' token ids in sequences of at most 2048, every copy of a document with its end id.
+
+    A null or empty text is its end id alone; texts of any length are cut freely, and no id is lost.
+    """
     return pack_documents(docs, tokenizer_path(), capacity=2048, end_id=1)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
-ORACLE_SQL = None  # model fitting, XXH64, random rounding and tokenizing are not SQL; the tests hold a brute-force version
+ORACLE_SQL = None  # model fitting, XXH64, random rounding and tokenizing are not SQL; the tests compare the stages with plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
