@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from babelgauge.session import settle
+from babelgauge.llm.repeats import salted_join
+from babelgauge.llm.work import settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = both.where("b <= a")
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = both.join(least, "a")
+    linked = salted_join(both, least, ["a"], "b")  # all edges of a large star end in one node
     moved = linked.where("b > a" if large else "b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.union(least.select("a", F.col("m").alias("b")))

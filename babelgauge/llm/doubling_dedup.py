@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from babelgauge.llm import blocks as B
-from babelgauge.session import settle
+from babelgauge.llm.work import settle
 
 KEPT_SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 _CHECK_BASE = 0xD1342543DE82EF95

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from babelgauge.llm.repeats import index_among, numbered_repeats
-from babelgauge.session import settle
+from babelgauge.llm.work import settle
 
 CELL_ROWS = 1024
 

@@ -6,28 +6,26 @@ landmark texts, whitened by the landmarks' own kernel matrix, and one-versus-res
 for each language there. As all steps after presence are linear, landmarks and weights fold into one matrix, and a batch
 of documents is scored by one matrix product.
 
-The model is fitted on a bounded sample (``Settings``: so many training documents of each language, none longer than so
-many characters); all documents are then scored in one pass over their whole texts, without a shuffle.
+The model is fitted on a bounded sample (``Settings``: so many training documents of each language, of long ones so many
+characters); all documents are then scored in one pass over their whole texts, without a shuffle.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from babelgauge.llm.blocks import text_bytes
-from babelgauge.session import share_package
+from babelgauge.llm.work import give_back, settle, share_package, tidy
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _SECOND, _THIRD = 1 << 8, (1 << 8) + (1 << 16)
 _CODES = _THIRD + (1 << 24)
 ROWS = 256  # documents scored together
@@ -39,6 +37,8 @@ class Settings:
     per_language: int = 256  # training documents of each language
     landmarks: int = 48  # of these, landmarks
     longest: int = 20_000  # characters of a training document
+    most_texts: int = 8192  # training documents of all languages
+    most_landmarks: int = 768
     ridge: float = 1e-2
 
 
@@ -79,29 +79,46 @@ def presence(texts: list[np.ndarray], grams: bytes) -> np.ndarray:
     return out / np.maximum(norm, 1)
 
 
+def sample(docs: DataFrame, trains: Column, settings: Settings) -> list[Row]:
+    """The rows that the model is fitted on: ``lang, rank, text``, ranked from 1 within each language.
+
+    Of each language the distinct (``doc_id``, text) with the smallest hashes, those no longer than ``longest`` first; a
+    longer text is cut to that, for the fit only. Only hashes small enough to hold four times the sample (by an estimate of
+    how many there are) are ranked, so no task ranks a language.
+    """
+    usable = trains & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    told = docs.where(usable).select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.lit(9), F.col("doc_id"), F.col("text")).alias("draw"), F.col("text").cast("string").alias("text"))
+    long = F.length("text") > settings.longest
+    narrow = told.select("lang", "draw", long.alias("long"))
+    many = narrow.groupBy("lang", "long").agg(F.approx_count_distinct("draw").alias("n"))  # two rows a language
+    share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
+    small = narrow.join(many, ["lang", "long"]).where(share * F.col("n") < 4.0 * settings.per_language + 64)
+    drawn = small.groupBy("lang", "draw").agg(F.min("long").alias("long"))
+    place = Window.partitionBy("lang").orderBy("long", "draw")
+    chosen = settle(drawn.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= settings.per_language).select("lang", "draw", "rank"), "drawn")
+    languages = chosen.select("lang").distinct().count()
+    each = max(2, min(settings.per_language, settings.most_texts // max(languages, 1)))
+    few = chosen.where(F.col("rank") <= each)  # at most most_texts rows
+    start = F.regexp_extract("text", r"(?s)^.*?(\p{L}.*)$", 1)  # a cut text keeps its letters
+    cut = F.when(long, F.substring(start, 1, settings.longest)).otherwise(F.col("text"))
+    picked = told.join(F.broadcast(few), ["lang", "draw"]).groupBy("lang", "rank").agg(F.min(cut).alias("text"))
+    return picked.orderBy("lang", "rank").collect()
+
+
 def fit(docs: DataFrame, trains: Column, settings: Settings = Settings()) -> Model:
     """A model from ``text`` and ``lang`` of the documents for which ``trains`` holds.
 
-    The sample is the documents with the smallest hashes of ``doc_id`` in each language, so it does not depend on the
-    table's order. One row for each language is broadcast, and ``per_language`` identifiers of each. To the driver: at most ``per_language`` texts of at most ``longest`` characters for each language.
+    The sample does not depend on the table's order. Every language that has a text with a letter is learned, whatever its
+    texts' lengths and however often their ids repeat or are null. To the driver: at most ``most_texts`` texts of at most
+    ``longest`` characters (two for each language, if there are more languages), of which ``most_landmarks`` are landmarks.
     """
-    usable = trains & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= settings.longest) & F.col("text").rlike(r"\p{L}")
-    told = docs.where(usable).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(9), F.col("doc_id")).alias("draw"), F.col("text").alias("text"))
-    # of each language only draws small enough to hold four times the sample are ranked, so no task ranks a language
-    counts = told.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
-    small = told.select("lang", "doc_id", "draw").join(F.broadcast(counts), "lang").where(share * F.col("n") < 4.0 * settings.per_language + 64)
-    chosen = small.select("lang", "doc_id", "draw").distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= settings.per_language)
-    same = F.col("t.lang").eqNullSafe(F.col("c.lang")) & F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))
-    picked = told.alias("t").join(F.broadcast(chosen.alias("c")), same).groupBy("c.lang", "c.doc_id", "c.rank").agg(F.min("t.text").alias("text"))
-    rows = picked.orderBy("lang", "rank").collect()
+    rows = sample(docs, trains, settings)
     if not rows:
         return Model((), b"", np.zeros((0, 0)))
     languages = tuple(sorted({r["lang"] for r in rows}))
     texts = [np.frombuffer(r["text"].encode(), np.uint8) for r in rows]
-    marks = [t for t, r in zip(texts, rows) if r["rank"] <= settings.landmarks]
+    marked = max(1, min(settings.landmarks, settings.most_landmarks // len(languages)))
+    marks = [t for t, r in zip(texts, rows) if r["rank"] <= marked]
     seen = np.zeros(_CODES, bool)
     for text in marks:
         for codes in gram_codes(text):
@@ -121,11 +138,12 @@ def fit(docs: DataFrame, trains: Column, settings: Settings = Settings()) -> Mod
 
 
 def predict(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
-    """The language of every text and its score, clipped to 0 to 1. Null texts and texts without a letter: ``und``, 0."""
+    """The language of every text and its score, clipped to 0 to 1. Null texts and texts without a letter (Unicode class L):
+    ``und``, 0."""
     data, offsets = text_bytes(column)
     names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
     texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-    known = [i for i, t in enumerate(texts) if len(t) and model.languages and _LETTER.search(t.tobytes().decode())]
+    known = [i for i, t in enumerate(texts) if len(t) and model.languages and any(map(str.isalpha, t.tobytes().decode()))]
     for at in range(0, len(known), ROWS):
         rows = known[at : at + ROWS]
         score = presence([texts[i] for i in rows], model.grams) @ model.weights
@@ -152,19 +170,28 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         column_of.cache_clear()  # workers go on to other tasks
 
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return told.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return told.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.05) -> DataFrame:
-    """The documents, all columns, whose language is told with at least this score. ``und`` goes."""
-    at = docs.columns.index("text")
+    """The documents, all columns, whose language is told with at least this score. ``und`` goes.
 
+    Null texts and texts without a letter go; so do texts unlike every language. With a model that learnt no language (no
+    labels) nothing is unlike: every text with a letter stays. Repeated rows, null ``doc_id`` and other columns stay as
+    they are; only the texts go through Python.
+    """
     share_package(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = predict(batch.column(at), model)
-            yield batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (scores >= least), pa.bool_()))
-        column_of.cache_clear()  # workers go on to other tasks
-
-    return docs.mapInArrow(run, docs.schema)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+
+    def stays(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for column in texts:
+                names, scores = predict(column, model)
+                yield pa.array((np.array(names, object) != UNKNOWN) & (scores >= least), pa.bool_())
+        finally:
+            column_of.cache_clear()  # workers go on to other tasks
+            give_back()
+
+    judged = F.arrow_udf(stays, "boolean")
+    return docs.where(judged(F.col("text").cast("string")))

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from babelgauge.llm import blocks as B
-from babelgauge.session import settle
+from babelgauge.llm.work import give_back, settle, tidy
 
 DEPTH = 3  # leading tokens on the path
 BLOCK_BYTES = 2 << 20  # text of a block; parsing takes about 30 times that
@@ -80,7 +80,7 @@ def _held(blocks: DataFrame, similarity: float, constants: int) -> DataFrame:
                 columns = [pa.array(np.full(len(rows), block)), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "doc", "leaf", "line"])
 
-    return settle(blocks.mapInArrow(run, "block long, doc long, leaf long, line long"), "line-holders")
+    return settle(blocks.mapInArrow(tidy(run), "block long, doc long, leaf long, line long"), "line-holders")
 
 
 def _tokens(blocks: DataFrame, wanted: DataFrame, similarity: float, constants: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _stripped(docs: DataFrame, min_docs: int, support: int, similarity: float, c
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty
-        pa.default_memory_pool().release_unused()  # of the block before
+        give_back()  # of the block before
         table = B.unpack(left.column("body")[0].as_py())
         texts = table.column(table.num_columns - 1)
         x = Lines(table.column(0), texts, similarity, constants)

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelgauge.llm.components import components
-from babelgauge.session import settle, share_package
+from babelgauge.llm.repeats import salted_join
+from babelgauge.llm.work import settle, share_package, tidy
 
 SEGMENTS, WIDTH = 16, 4  # of the ring; WIDTH bits each
 MOST_EQUAL = 12  # segments in a key
@@ -69,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     text = F.col("text").cast("string")
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return told.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return told.mapInArrow(tidy(run), "doc_id long, text_hash long, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -208,18 +209,19 @@ def linked_pairs(fps: DataFrame, distance: int) -> DataFrame:
         link_bucket(fps, np.arange(len(values)), [b for b in range(64) if same >> b & 1], segment, distance, forest)
         return [(int(values[a]), int(values[b])) for a, b in forest.links]
 
-    keyed = fps.select("fp").mapInArrow(spread, "key long, fp long")
-    return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(solve, "a long, b long")
+    keyed = fps.select("fp").mapInArrow(tidy(spread), "key long, fp long")
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(tidy(solve), "a long, b long")
 
 
 def _groups(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
-    """``doc_id, text_hash, fp, group``: the fingerprint that names each document's group, a written table."""
+    """``row, doc_id, text_hash, fp, group``: the fingerprint that names each document's group, a written table."""
     if not 1 <= distance <= 3:
         raise ValueError("distance must be 1, 2 or 3")
-    found = settle(fingerprints(docs, shingle), "fingerprints")
+    found = settle(fingerprints(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     distinct = settle(found.select("fp").distinct(), "distinct-fingerprints")
     roots = components(linked_pairs(distinct, distance)).where("node != root").select(F.col("node").alias("fp"), F.col("root").alias("group"))
-    return settle(found.join(roots, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "simhash-groups")
+    grouped = salted_join(found, roots, ["fp"], "row", how="left")  # a fingerprint may be that of any share of the rows
+    return settle(grouped.withColumn("group", F.coalesce("group", "fp")), "simhash-groups")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
@@ -232,7 +234,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Data
     """
     found = _groups(docs, shingle, distance)
     least = found.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "group").select("doc_id", "fp", "component_id")
+    return salted_join(found, least, ["group"], "row").select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
@@ -244,7 +246,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Da
     found = _groups(docs, shingle, distance)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = found.groupBy("group").agg(F.min(place).alias("best"))
-    judged = found.join(best, "group").withColumn("stays", place == F.col("best"))
+    judged = salted_join(found, best, ["group"], "row").withColumn("stays", place == F.col("best"))
     losers = judged.where(~F.col("stays")).select("doc_id", "text_hash").distinct()
     again = judged.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     kept = _without(docs, losers)

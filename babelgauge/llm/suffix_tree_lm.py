@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelgauge.llm import blocks as B
-from babelgauge.session import settle
+from babelgauge.llm.work import settle, tidy
 
 END = 0x0A  # stands for the end of a text, and for what precedes one; words contain neither it nor the space
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double"
@@ -175,7 +175,7 @@ def suffix_tree_scores(docs: DataFrame, held_out, settings: TreeSettings = TreeS
         at = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(np.append(at, [-1, -2])), "n": pa.array(np.append(pairs[at], [tokens, texts]))})
 
-    sums = blocks.mapInArrow(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most 65,538 rows
+    sums = blocks.mapInArrow(tidy(pair_counts), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most 65,538 rows
     found = {r["pair"]: r["n"] for r in sums}
     texts = int(found.pop(-2, 0))  # each has one end
     train_tokens = int(found.pop(-1, 0)) + texts
@@ -216,7 +216,7 @@ def suffix_tree_scores(docs: DataFrame, held_out, settings: TreeSettings = TreeS
             n = sum(int(B.unpack_arrays(body.as_py())["types"][0]) for body in batch.column("body"))
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    types = answers.where("block = -1").select("body").mapInArrow(count_types, "n long").agg(F.sum("n")).first()[0] or 0
+    types = answers.where("block = -1").select("body").mapInArrow(tidy(count_types), "n long").agg(F.sum("n")).first()[0] or 0
 
     def score(block: int, batch: pa.RecordBatch, replies: list[dict[str, np.ndarray]]) -> pa.Table:
         t = Texts(batch, s.depth)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from babelgauge.session import settle, share_package
+from babelgauge.llm.work import settle, share_package, tidy
 
 PIVOTS = 48
 GROUP_QUERIES = 4096  # queries of a group, at most twice that
@@ -103,7 +103,7 @@ def _search(rows: DataFrame, k: int, n_pivots: int, dim: int) -> DataFrame:
                 names=["vec_id", "v", "query", "cell", "far", "q_cell", "q_far"],
             )
 
-    found = settle(rows.select("vec_id", "v", "query").mapInArrow(assign, "vec_id long, v array<long>, query boolean, cell int, far double, q_cell int, q_far double"), "voronoi")
+    found = settle(rows.select("vec_id", "v", "query").mapInArrow(tidy(assign), "vec_id long, v array<long>, query boolean, cell int, far double, q_cell int, q_far double"), "voronoi")
 
     # summaries: at most pivots x (k + 1) rows
     nearest = Window.partitionBy("cell").orderBy("far", "vec_id")

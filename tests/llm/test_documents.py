@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from babelgauge.llm.catalog import tokenizer_path
 from babelgauge.llm.doubling_dedup import remove_repeats
 from babelgauge.llm.hash_ring import ring, shard_documents, walk
-from babelgauge.llm.kernel_language import UNKNOWN, Settings, fit, identify, keep_identified
+from babelgauge.llm.kernel_language import UNKNOWN, Settings, fit, identify, keep_identified, sample
 from babelgauge.llm.kk_packing import Encoder, differencing, pack_documents, windows_for
 from babelgauge.llm.line_templates import drop_recurring_lines, line_dedup
 from babelgauge.llm.pigeonring_simhash import Forest, budgets, keep_one_of_each, link_bucket, simhash_groups
 from babelgauge.llm.pivotal_mix import mix_sources, take_mix
 from babelgauge.llm.suffix_tree_lm import suffix_tree_scores
-from babelgauge.llm.winnowing import as_string, edited_neighbours, likeness, winnow
+from babelgauge.llm.winnowing import as_string, edited_neighbours, likeness, ordered_ranges, winnow
+from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 2**63 - 1
@@ -60,7 +61,7 @@ def test_repeated_windows(docs, rows, window, seed, block_bytes):
 # --- line dedup --------------------------------------------------------------------------------------------------------
 
 
-def expected_lines(rows, min_docs=3, similarity=0.8, constants=5):
+def expected_lines(rows, min_docs=3, similarity=0.8, constants=5, support=3):
     def shape(line):
         return re.sub(r"[^ ]*[0-9][^ ]*", "<*>", re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" "))
 
@@ -81,7 +82,7 @@ def expected_lines(rows, min_docs=3, similarity=0.8, constants=5):
         enough = len(set().union(*(holders[s] for s in shapes))) >= min_docs and len(shapes) > 1
         for s in shapes:
             tokens = s.split(" ")
-            kept = tuple((i, t) for i, t in enumerate(tokens) if t != "<*>" and (i < 3 or held[i, t] >= min_docs))
+            kept = tuple((i, t) for i, t in enumerate(tokens) if t != "<*>" and (i < 3 or held[i, t] >= support))
             general = enough and len(tokens) >= constants and len(kept) >= max(constants, math.ceil(len(tokens) * similarity))
             template[s] = (leaf, kept) if general else (leaf, s)
     found = defaultdict(set)
@@ -366,6 +367,30 @@ def test_shards(docs, rows):
     same([tuple(r) for r in got], [tuple(r) for r in shard_documents(docs.repartition(2), shards=8).collect()])
 
 
+def test_walk_against_single_rows():
+    """Row by row: each takes the first node clockwise whose shard has room, nearer rows before those that come around."""
+    rng = np.random.default_rng(4)
+    for shards, nodes, n in ((3, 4, 50), (8, 16, 333), (2, 1, 9)):
+        on_ring = ring(shards, nodes)
+        places = sorted(rng.integers(-(2**63), 2**63, n).tolist())
+        arcs = [sum(p < place for p, _ in on_ring) % len(on_ring) for place in places]
+        room = [n // shards + (s < n % shards) for s in range(shards)]
+        want, left, waiting = {}, list(room), []
+        for turn in range(2 * len(on_ring)):
+            arc = turn % len(on_ring)
+            if turn < len(on_ring):
+                waiting += [(arc, rank) for rank in range(arcs.count(arc))]
+            shard = on_ring[arc][1]
+            for row in list(waiting):
+                if left[shard]:
+                    left[shard] -= 1
+                    want[row] = (shard, room[shard] - left[shard] - 1)
+                    waiting.remove(row)
+        got = {(arc, low + i): (shard, slot + i) for arc, low, high, shard, slot in walk([arcs.count(a) for a in range(len(on_ring))], [s for _, s in on_ring], room)
+               for i in range(high - low)}
+        assert got == want and len(got) == n
+
+
 def test_walk_moves_little():
     nodes = ring(8, 64)
     rng = np.random.default_rng(2)
@@ -414,6 +439,20 @@ def test_fingerprints(docs, rows):
             assert (r.near_edited, r.near_next) == (likeness(*sets[:2]), likeness(sets[0], sets[2]))
 
 
+def test_equal_ids_are_several_ranges(spark):
+    """A third of the rows without an id, another under one id: no range holds more than a few shares, and all is right."""
+    rows = [(None, prose(i, 9)) for i in range(400)] + [(77, prose(1000 + i, 9)) for i in range(400)] + [(i, prose(2000 + i, 9)) for i in range(-200, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    of, nulls = ordered_ranges(df.withColumn("hash", F.xxhash64("text")), 8)
+    told = df.withColumn("hash", F.xxhash64("text")).withColumn("range", of)
+    sizes = {r["range"]: r["count"] for r in told.groupBy("range").count().collect()}
+    assert max(sizes.values()) < 3 * 150 and len(sizes) >= 8
+    order = [(r.doc_id, r.text) for r in told.orderBy(F.col("doc_id").desc_nulls_last(), F.col("hash").desc()).collect()]
+    got = Counter((r.doc_id, r.edited_sha256) for r in edited_neighbours(df).collect())
+    assert got == Counter((d, hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest())
+                          for (d, t), (_, nxt) in zip(order, order[1:] + order[:1]))
+
+
 def test_winnowing_by_hand(rows):
     texts = [t or "" for _, t, *_ in rows if len(t or "") < 3000] + ["ab" * 200, "a" * 100]
     for gram, window in ((24, 128), (5, 4)):
@@ -451,6 +490,73 @@ def test_language(spark, docs, rows, nothing):
     assert {r.lang_pred for r in identify(docs, fit(nothing, F.lit(True))).collect()} == {UNKNOWN}
 
 
+def grams_of(text):
+    data = text.encode()
+    return {data[i : i + n] for n in (1, 2, 3) for i in range(len(data) - n + 1)}
+
+
+def test_language_against_plain_kernels(spark):
+    """Sets of n-grams, the kernel of every pair, Nystroem features and the ridge equations, all written out."""
+    settings = Settings(per_language=12, landmarks=5)
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sample(real, F.lit(True), settings)
+    names = sorted({r.lang for r in rows})
+    marks = [grams_of(r.text) for r in rows if r["rank"] <= 5]
+    known = set().union(*marks)
+
+    def kernel(a, b):
+        return len(a & b & known) / math.sqrt(max(len(a & known), 1) * max(len(b & known), 1))
+
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(gram)
+    good = values > 1e-6 * values.max()
+    whiten = vectors[:, good] / np.sqrt(values[good])
+    feature = lambda text: np.array([kernel(grams_of(text), m) for m in marks]) @ whiten
+    x = np.array([feature(r.text) for r in rows])
+    y = np.array([[r.lang == n for n in names] for r in rows], float)
+    weight = np.diag(1 / (len(names) * y.mean(axis=0)[y.argmax(axis=1)]))
+    beta = np.linalg.inv(x.T @ weight @ x + settings.ridge * len(rows) * np.eye(x.shape[1])) @ x.T @ weight @ y
+    model = fit(real, F.lit(True), settings)
+    assert list(model.languages) == names
+    texts = {r.doc_id: r.text for r in real.limit(60).collect()}
+    for r in identify(real, model).where(F.col("doc_id").isin(list(texts))).collect():
+        score = feature(texts[r.doc_id]) @ beta
+        best = np.sort(score)
+        assert r.score == pytest.approx(min(max(best[-1], 0), 1), abs=2e-3)
+        assert best[-1] - best[-2] < 4e-3 or r.lang_pred == names[int(score.argmax())]
+
+
+def test_every_language_is_learnt(spark):
+    """Repeated and null ids, and texts that are all long, shut no language out; signs that are no letters are und."""
+    english = [(i, prose(i, 40), "en") for i in range(3000)]
+    one_id = [(7, "le " + prose(5000 + i, 40).replace("a", "ou"), "fr") for i in range(3000)]
+    long = [(10_000 + i, "wz " * 10 + ("kzw " + prose(9000 + i, 4).replace("e", "zz") + " ") * 1500, "xx") for i in range(8)]
+    nulls = [(None, "qy " * 30 + str(i), "yy") for i in range(5)]
+    docs = spark.createDataFrame(english + one_id + long + nulls, "doc_id long, text string, lang string").repartition(8)
+    settings = Settings(per_language=32, landmarks=8)
+    model = fit(docs, F.lit(True), settings)
+    assert model.languages == ("en", "fr", "xx", "yy")
+    assert max(len(r.text) for r in sample(docs, F.lit(True), settings)) <= settings.longest
+    got = identify(docs.where("lang = 'xx'"), model).collect()
+    assert {r.lang_pred for r in got} == {"xx"}
+    signs = spark.createDataFrame([(1, "²"), (2, "Ⅷ"), (3, "² é"), (4, "٣ 12")], "doc_id long, text string")
+    assert [r.lang_pred == UNKNOWN for r in identify(signs, model).orderBy("doc_id").collect()] == [True, True, False, True]
+
+
+def test_bounds_of_the_fit(spark):
+    docs = spark.createDataFrame([(i, f"{prose(i, 9)} q{i % 40}", f"l{i % 40}") for i in range(800)], "doc_id long, text string, lang string")
+    rows = sample(docs, F.lit(True), Settings(per_language=16, most_texts=120))
+    assert len(rows) == 120 and len({r.lang for r in rows}) == 40
+    assert len(fit(docs, F.lit(True), Settings(most_texts=120, most_landmarks=40)).languages) == 40
+
+
+def test_nothing_learnt_keeps_documents(spark, docs, nothing):
+    kept = keep_identified(docs, fit(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)))
+    assert kept.columns == docs.columns
+    assert kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count() > 50
+    assert keep_identified(nothing, fit(nothing, F.lit(True))).count() == 0
+
+
 # --- empty tables ------------------------------------------------------------------------------------------------------
 
 
