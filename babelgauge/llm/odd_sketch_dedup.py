@@ -28,14 +28,14 @@ from babelgauge.llm import blocks as B
 from babelgauge.llm.components import components
 from babelgauge.llm.pigeonring_simhash import Forest
 from babelgauge.llm.repeats import salted_join
-from babelgauge.session import settle
+from babelgauge.llm.work import give_back, settle, tidy
 
 BANDS, ROWS = 28, 4  # a pair at 0.85 shares no band with a probability of (1 - 0.85 ** 4) ** 28 = 1.3e-9
 SAMPLES = BANDS * ROWS
 BITS = 256  # of a sketch
 MISS = 1e-9
 HOT = 1 << 12  # sets in a bucket from which it is a star
-PART_BYTES = 8 << 20  # sets that are searched together
+PART_BYTES = 2 << 20  # sets that are searched together
 BLOCK_BYTES = 2 << 20
 PIVOTS = 8
 SLICE = 1 << 17  # shingles that are sampled together
@@ -149,9 +149,9 @@ def sketch_rows(blocks: DataFrame, words: int) -> DataFrame:
                     [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), docs.column(0).cast(pa.int64()), pa.array(np.diff(found.at).astype(np.int64)),
                      pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), _binary(bands), _binary(odd)],
                     names=["block", "row", "doc_id", "n_shingles", "s1", "s2", "bands", "sketch"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
-    return blocks.mapInArrow(run, SKETCH_SCHEMA)
+    return blocks.mapInArrow(tidy(run), SKETCH_SCHEMA)
 
 
 def matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
@@ -212,7 +212,7 @@ def candidate_links(sets: DataFrame, flips: int) -> DataFrame:
         for batch in batches:
             bands = matrix(batch.column("bands"), np.int64, BANDS)
             for i in range(BANDS):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(bands[:, i]), "node": batch.column("node"), "sketch": batch.column("sketch")})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(bands[:, i]), "node": batch.column("node")})
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "key"):
@@ -227,12 +227,14 @@ def candidate_links(sets: DataFrame, flips: int) -> DataFrame:
             if found:
                 yield _pairs(found)
 
-    spread_sets = sets.select("node", "bands", "sketch").mapInArrow(spread, "key long, node long, sketch binary")
-    met = settle(spread_sets.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).where("members > 1"), "bands")
-    again = spread_sets.join(met, "key")
-    star = again.where(F.col("members") > HOT).select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b")
-    small = again.where(F.col("members") <= HOT).select("key", "node", "sketch")
-    return small.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "a long, b long").union(star).distinct()
+    # what is dealt by band is only names: sketches join the few that share one
+    spread_sets = sets.select("node", "bands").mapInArrow(tidy(spread), "key long, node long")
+    shared = spread_sets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = settle(spread_sets.join(shared, "key"), "bands")
+    hot = met.where(F.col("members") > HOT)
+    star = hot.join(hot.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b")
+    small = met.where(F.col("members") <= HOT).join(sets.select("node", "sketch"), "node").select("key", "node", "sketch")
+    return small.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(solve), "a long, b long").union(star).distinct()
 
 
 class Part:
@@ -278,10 +280,9 @@ def _search(members: DataFrame, flips: int, percent: int) -> DataFrame:
                 found = forest_of(part.nodes, part.near)
                 if found:
                     yield _pairs(found)
-            pa.default_memory_pool().release_unused()
 
     told = members.select("group", "part", "node", "sketch", "shingles")
-    return told.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(solve, "a long, b long").distinct()
+    return told.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(tidy(solve), "a long, b long").distinct()
 
 
 def near_duplicate_sets(docs: DataFrame, words: int = 5, percent: int = 85, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -321,7 +322,7 @@ def near_duplicate_sets(docs: DataFrame, words: int = 5, percent: int = 85, bloc
             found = Shingles(texts, words)
             bodies = [found.of(i).tobytes() for i in range(right.num_rows)]
         out = pa.table([*[right.column(c) for c in names[:-1]], pa.array(bodies, pa.binary())], names=names)
-        pa.default_memory_pool().release_unused()
+        give_back()
         return out
 
     full = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "node long, group long, part long, parts long, sketch binary, shingles binary")
