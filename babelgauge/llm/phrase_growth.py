@@ -61,47 +61,61 @@ class Words:
         self.keys = B.mix(B.word_hashes(self.data, self.starts, self.ends) + B.mix(named)[self.lang])
 
 
-def asked_words(blocks: DataFrame) -> DataFrame:
-    """``block, lang, word, key, c``: the distinct words of every block and language with their counts."""
+def parsed(blocks: DataFrame) -> DataFrame:
+    """``block, body, words``, written: every block as numbers of its own distinct words (0 between pieces), and these
+    words with language and count. Texts are read this once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
                 w = Words(B.unpack(body.as_py()))
-                keys, at, counts = np.unique(w.keys, return_index=True, return_counts=True)
+                keys, at, code, counts = np.unique(w.keys, return_index=True, return_inverse=True, return_counts=True)
+                numbers = np.insert((code + 1).astype(np.uint32), np.flatnonzero(w.new_piece), np.uint32(0))
                 sizes = w.ends[at] - w.starts[at]
                 offsets = np.append(0, np.cumsum(sizes))
                 letters = np.repeat(w.starts[at] - offsets[:-1], sizes) + np.arange(offsets[-1])
                 words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(w.data[letters]))
-                langs = w.langs.dictionary.take(pa.array(w.lang[at]))
-                for i in range(0, len(at), 1 << 15):
-                    part = slice(i, i + (1 << 15))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[part]), block)), langs[part].cast(pa.string()), words[part].cast(pa.string()),
-                                                      pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["block", "lang", "word", "key", "c"])
+                named = pa.RecordBatch.from_arrays([w.langs.dictionary.take(pa.array(w.lang[at])).cast(pa.string()), words, pa.array(counts)], names=["lang", "word", "c"])
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "body": pa.array([B.pack_arrays(ids=numbers)], pa.binary()),
+                                                  "words": pa.array([B.pack(named)], pa.binary())})
             give_back()
 
-    return blocks.mapInArrow(tidy(run), "block long, lang string, word string, key long, c long")
+    return settle(blocks.mapInArrow(tidy(run), "block long, body binary, words binary"), "parsed")
+
+
+def asked_words(blocks: DataFrame) -> DataFrame:
+    """``block, lang, word, key, c``: the distinct words of every block and language, their number there and count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("words")):
+                named = B.unpack(body.as_py())
+                for i in range(0, named.num_rows, 1 << 15):
+                    part = named.slice(i, 1 << 15)
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), part.column(0), part.column(1).cast(pa.string()),
+                                                      pa.array(np.arange(i + 1, i + n + 1)), part.column(2)], names=["block", "lang", "word", "key", "c"])
+
+    return blocks.select("block", "words").mapInArrow(tidy(run), "block long, lang string, word string, key long, c long")
 
 
 def numbered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks of word numbers: 0 for rare words and between pieces, one after another only where something is."""
+    """Blocks of word numbers of the whole corpus: 0 for rare words and between pieces, one after another only where
+    something is."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers = np.zeros(0, np.uint32)
         if left.num_rows and right.num_rows:
-            w = Words(B.unpack(left.column("body")[0].as_py()))
-            keys = right.column("key").to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            keys, ids = keys[order], right.column("id").to_numpy()[order].astype(np.uint32)
-            at = np.minimum(np.searchsorted(keys, w.keys), len(keys) - 1)
-            found = np.where(keys[at] == w.keys, ids[at], np.uint32(0))
-            numbers = np.insert(found, np.flatnonzero(w.new_piece), np.uint32(0))
+            own = B.unpack_arrays(left.column("body")[0].as_py())["ids"]
+            table = np.zeros(int(own.max(initial=0)) + 1, np.uint32)
+            table[right.column("key").to_numpy()] = right.column("id").to_numpy().astype(np.uint32)
+            numbers = table[own]
             numbers = numbers[(numbers > 0) | np.append(True, numbers[:-1] > 0)]
         block = left.column("block") if left.num_rows else right.column("block").slice(0, 1)
         give_back()
         return pa.table({"block": block, "body": pa.array([B.pack_arrays(ids=numbers)] * len(block), pa.binary())})
 
-    return settle(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, B.BLOCK_SCHEMA), "numbered")
+    return settle(blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, B.BLOCK_SCHEMA), "numbered")
 
 
 def grams(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,21 +131,36 @@ def grams(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def letters_of(hi: np.ndarray, lo: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Distinct phrases with their counts, dealt to buckets by a hash."""
-    drawn = B.mix(hi ^ B.mix(lo + np.uint64(1)))
-    order = np.lexsort((lo, hi, drawn))
-    hi, lo, drawn = hi[order], lo[order], drawn[order]
+    """Distinct phrases with their counts, dealt to buckets by a hash, in order in each."""
+    bucket = (B.mix(hi ^ B.mix(lo + np.uint64(1))) >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.uint32)
+    order = np.lexsort((lo, hi)) if lo.any() else np.argsort(hi)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    hi, lo, bucket = hi[order], lo[order], bucket[order]
     first = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))[: len(hi)])
     counts = np.diff(np.append(first, len(hi))).astype(np.uint32)
-    hi, lo, drawn = hi[first], lo[first], drawn[first]
-    for bucket, part in B.deal(drawn, buckets):
-        columns = {"hi": hi[part], "c": counts[part]} | ({"lo": lo[part]} if lo[part].any() else {})
-        yield bucket, B.pack_arrays(**columns)
+    hi, lo, bucket = hi[first], lo[first], bucket[first]
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
+    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        part = slice(start, stop)
+        yield int(bucket[start]), _packed(hi[part], lo[part], c=counts[part])
+
+
+def _packed(hi: np.ndarray, lo: np.ndarray, **more: np.ndarray) -> bytes:
+    """Names word by word: sorted columns of small numbers compress well."""
+    low = np.uint64(0xFFFFFFFF)
+    words = {"w1": hi >> np.uint64(32), "w2": hi & low, "w3": lo >> np.uint64(32), "w4": lo & low}
+    return B.pack_arrays(**{k: v.astype(np.uint32) for k, v in words.items() if k < "w3" or v.any()}, **more)
+
+
+def _names(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(len(a["w1"]), np.uint64)
+    w1, w2, w3, w4 = (a[k].astype(np.uint64) if k in a else none for k in ("w1", "w2", "w3", "w4"))
+    return w1 << np.uint64(32) | w2, w3 << np.uint64(32) | w4
 
 
 def _read(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = B.unpack_arrays(body)
-    return a["hi"], a["lo"] if "lo" in a else np.zeros(len(a["hi"]), np.uint64), a["c"]
+    return *_names(a), a["c"]
 
 
 def totals(letters: DataFrame, least: int) -> DataFrame:
@@ -166,7 +195,7 @@ def told(letters: DataFrame, flagged: DataFrame) -> DataFrame:
                 place = find(hi, lo, mine[0], mine[1])
                 if (place >= 0).any():
                     place = place[place >= 0]
-                    out.append((bucket, block, B.pack_arrays(hi=hi[place], lo=lo[place], flag=flag[place])))
+                    out.append((bucket, block, _packed(hi[place], lo[place], flag=flag[place])))
         give_back()
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.int64()), "body": pa.array([x[2] for x in out], pa.binary())})
 
@@ -197,7 +226,8 @@ def grown(blocks: DataFrame, answers: DataFrame, length: int, buckets: int) -> D
 
     def use(block: int, batch: pa.RecordBatch, replies: list[dict[str, np.ndarray]]) -> pa.Table:
         ids = batch.column("ids").to_numpy(zero_copy_only=False)
-        hi, lo, flag = (np.concatenate([r[c] for r in replies]) if replies else np.zeros(0, t) for c, t in (("hi", np.uint64), ("lo", np.uint64), ("flag", np.int8)))
+        names = [(*_names(r), r["flag"]) for r in replies] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8))]
+        hi, lo, flag = (np.concatenate(x) for x in zip(*names))
         order = np.lexsort((lo, hi))
         hi, lo, flag = hi[order], lo[order], flag[order]
         marks = np.zeros(len(ids) + 1, np.int8)
@@ -231,17 +261,18 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
 
     A null language is ``und`` (together with documents that say ``und``); a null or empty text has no words. Repeated
     rows count as often as they are there; texts of any length are read whole. Languages without candidates have no rows;
-    an empty table gives none. ``frontier`` is how many two-word phrases of a language are expanded first (twice ``top``
-    if not given); it does not change the result. In a block (some MB of text) words are told apart by 64-bit hashes.
+    an empty table gives none. ``frontier`` is how many two-word phrases of a language are expanded first (32 times
+    ``top`` if not given); it does not change the result. In a block (some MB of text) words are told apart by 64-bit hashes.
     """
-    frontier = frontier or 2 * top
+    frontier = frontier or 32 * top
     blocks = B.as_blocks(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "lang", "text", block_bytes=block_bytes)
     buckets = B.bucket_count(blocks)
-    asked = settle(asked_words(blocks), "words")
+    own = parsed(blocks)
+    asked = asked_words(own)
     n = settle(asked.groupBy("lang").agg(F.sum("c").alias("n")), "sizes")  # one row a language
     counted = asked.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     words = _numbers(counted)
-    encoded = numbered(blocks, asked.join(words, ["lang", "word"]).select("block", "key", "id"))
+    encoded = numbered(own, asked.join(words, ["lang", "word"]).select("block", "key", "id"))
 
     def pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         _, hi, lo = grams(batch.column("ids").to_numpy(zero_copy_only=False), 2)
