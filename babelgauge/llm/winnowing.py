@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from babelgauge.llm.repeats import index_among
-from babelgauge.session import share_package
+from babelgauge.llm.work import share_package, tidy
 
 GRAM, WINDOW = 16, 32
 CHUNK = 1 << 18  # code points hashed together
@@ -107,6 +107,30 @@ def likeness(a: set[int], b: set[int]) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
+def ordered_ranges(told: DataFrame, ranges: int) -> tuple[Column, int]:
+    """The range of every row of ``told (doc_id, text, hash)``, 0 holding the largest ids, and the first range of null ids.
+
+    Bounds come from a quantile sketch. An identifier (or null) that alone is more than a range's share of the rows has
+    ranges of its own, even stretches of the text hashes, by which equal ids are ordered.
+    """
+    steps = [k / ranges for k in range(1, ranges)] or [0.5]
+    counted = told.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), 10 * ranges).alias("cuts")).first()
+    share = max(1, -(-counted["n"] // ranges))
+    hot = {r["doc_id"]: -(-r["n"] // share) for r in told.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > share).collect()}  # fewer than ranges
+    ids = [x for x in hot if x is not None]
+    bounds = sorted({*(counted["cuts"] or []), *ids, *(x - 1 for x in ids if x > -(2**63))})
+    segment_of = {x: len(bounds) - sum(b < x for b in bounds) for x in ids} | {None: len(bounds) + 1}
+    pieces = {segment_of[x]: n for x, n in hot.items()}
+    starts = [0]
+    for segment in range(len(bounds) + 1):
+        starts.append(starts[-1] + pieces.get(segment, 1))
+    segment = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.lit(len(bounds)) - index_among(F.col("doc_id"), bounds))
+    start = F.get(F.array(*map(F.lit, starts)), segment)
+    many = F.get(F.array(*[F.lit(pieces.get(k, 1)) for k in range(len(starts))]), segment)
+    place = F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * many)  # descending hashes: the largest first
+    return (start + many - 1 - F.least(place, many - 1)).cast("int"), starts[-1]
+
+
 def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of every text and of the text edited with its neighbour, and how alike they are.
 
@@ -115,28 +139,30 @@ def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     last ``n // 2`` code points replaced by the first as many of the next document (or all it has). Returns ``doc_id,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, one row per input row.
 
-    A null text is empty. A single document is its own neighbour. An empty table gives no rows.
+    A null text is empty. A single document is its own neighbour. An empty table gives no rows. Ranges of the order are
+    the tasks; ids that many rows share are several ranges, rows equal in id and text are neighbours in one.
     """
     spark = docs.sparkSession
     share_package(spark)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = told.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps or [0.5])), 10 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    last = len(cuts) + 1  # the range of null ids; range 0 has the largest ids
-    of = F.when(F.col("doc_id").isNull(), last).otherwise(F.lit(len(cuts)) - index_among(F.col("doc_id"), cuts))
-    dealt = told.withColumn("range", of.cast("int"))
-    tops = {r["range"]: r["top"] for r in dealt.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # one per range
+    told = told.withColumn("hash", F.xxhash64("text"))
+    of, _ = ordered_ranges(told, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = told.withColumn("range", of)
+    found = dealt.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("top")).collect()  # one row per range
+    tops = {r["range"]: r["top"] for r in found}
     order = sorted(tops)
-    before = {r: order[i - 1] for i, r in enumerate(order)}  # the last range comes before the first
-    hosts = F.create_map(*[F.lit(x) for r in order for x in (r, before[r])]) if order else F.create_map(F.lit(0), F.lit(0))
-    firsts = F.create_map(*[F.lit(x) for r in order for x in (r, tops[r] if tops[r] is not None else 0)]) if order else F.create_map(F.lit(0), F.lit(0))
-    guest = F.col("doc_id").eqNullSafe(F.when(F.col("range") != last, firsts[F.col("range")]))
-    own = F.struct(F.col("range").alias("at"), F.lit(False).alias("guest"))
-    both = F.when(guest, F.array(own, F.struct(hosts[F.col("range")].alias("at"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    sent = dealt.select("doc_id", "text", F.explode(both).alias("to")).select("to.at", "to.guest", "doc_id", "text")
-    ordered = sent.repartitionById(last + 1, F.col("at")).sortWithinPartitions("at", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
+    size = (order[-1] if order else 0) + 1
+    before = {r: order[k - 1] for k, r in enumerate(order)}  # the last range comes before the first
+
+    def by_range(values: dict[int, int]) -> Column:
+        return F.get(F.array(*[F.lit(values.get(r, 0)).cast("long") for r in range(size)]), F.col("range"))
+
+    top_id = by_range({r: t["doc_id"] or 0 for r, t in tops.items()})
+    guest = (F.col("doc_id").isNull() | (F.col("doc_id") == top_id)) & (F.col("hash") == by_range({r: t["hash"] for r, t in tops.items()}))
+    own = F.struct(F.col("range").cast("long").alias("at"), F.lit(False).alias("guest"))
+    both = F.when(guest, F.array(own, F.struct(by_range(before).alias("at"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    sent = dealt.select("doc_id", "text", "hash", F.explode(both).alias("to")).select(F.col("to.at").cast("int").alias("at"), "to.guest", "doc_id", "text", "hash")
+    ordered = sent.repartitionById(size, F.col("at")).sortWithinPartitions("at", "guest", F.col("doc_id").desc_nulls_last(), F.col("hash").desc()).drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int | None, str]] = []  # waiting, in order; the last one waits for its neighbour
@@ -172,4 +198,4 @@ def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
                         yield out()
                         rows, size, done = rows[-1:], len(text), is_guest
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return ordered.mapInArrow(tidy(run), SCHEMA)
