@@ -51,6 +51,7 @@ TEXT_ENTRIES = [("model_name", "model_name", ": "), ("Batch_size", "batch_size",
 RECORD, TRACE, RULE, DONE = ("ERROR: Exception occured during runtime!", "Full traceback message:", "**********",
                              "End of traceback message")
 WARNING = "WARNING! Number of total encoded tokens and number of encoder forward passes are not equal."
+WARNINGS = 20_000  # lines of a file of warnings
 
 
 def failure_text() -> Column:
@@ -69,8 +70,10 @@ def write_failure_texts(failures: DataFrame, path: str) -> None:
 
 
 def write_warning_texts(runs: DataFrame, path: str) -> None:
-    """Warnings that batches and forward passes do not match, one line each."""
-    runs.select(F.concat(F.lit(WARNING), failure_text()).alias("value")).write.mode("append").text(path)
+    """Warnings that batches and forward passes do not match, one line each. Between two record lines, or in a file without
+    any, a reader takes all of them as one record, so files hold ``WARNINGS`` lines at most."""
+    runs.select(F.concat(F.lit(WARNING), failure_text()).alias("value")) \
+        .write.mode("append").option("maxRecordsPerFile", WARNINGS).text(path)
 
 
 def read_failure_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -84,8 +87,10 @@ def read_failure_texts(spark: SparkSession, path: str) -> DataFrame:
     body = rf"(?s)\n?{TRACE}\n\*{{10}}(.*?)\n?\*{{10}}(?:\n{DONE}|$|\n)"
     trace = F.regexp_extract("value", body, 1)
     outside = F.regexp_replace("value", body, "\n")
-    each = records.select(trace.alias("trace"), F.explode(F.regexp_extract_all(
-        outside, F.lit(r"([^\n]*)Hyperparameters: [^\n]*"), F.lit(0))).alias("line"))
+    # both are taken from a record once, below the explode: above it they would search the whole record for every line
+    found = records.select(trace.alias("trace"), F.regexp_extract_all(
+        outside, F.lit(r"([^\n]*)Hyperparameters: [^\n]*"), F.lit(0)).alias("lines"))
+    each = found.select("trace", F.explode("lines").alias("line"))
     pattern = "".join(rf"(?:, dataset_size_after[^:]*: \d+)?,? ?{label}{separator}(.*?)" for label, _, separator in TEXT_ENTRIES)
     types = {field.name: field.dataType for field in schema_of(FAILURE_DDL).fields}
     warned = F.col("line").startswith("WARNING")

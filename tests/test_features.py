@@ -252,3 +252,20 @@ def test_messages_cannot_be_taken_for_the_log(spark):
     back = logs.read_failure_texts(spark, path).collect()
     assert sorted((r.batch_size, r.message or "") for r in back if r.kind == "error") == [(i, m or "") for i, m in enumerate(messages)]
     assert sum(r.kind == "warning" for r in back) == 2 and {r.model_name for r in back} == {"t5-base"}
+
+
+def test_failure_texts_search_a_record_once(spark, monkeypatch):
+    """Many warnings between two record lines: the record is searched below the explode, and files of warnings are short."""
+    monkeypatch.setattr(logs, "WARNINGS", 100)
+    path = work_path(spark, "many-warnings")
+    df = spark.range(350).selectExpr("concat('m', id) AS model_name", "id AS batch_size", "'all' AS dataset_size", "1L AS max_gen_length",
+                                     "2L AS beam_size", "-1L AS max_input_seq_length", "'x, y' AS tokenizer_padding_setting", "'d' AS dataset_name",
+                                     "CASE WHEN id % 2 = 0 THEN 'why' END AS message").coalesce(1)
+    logs.write_failure_texts(df.limit(5), path)
+    logs.write_warning_texts(df, path)
+    assert spark.read.option("lineSep", logs.RECORD + "\n").text(path).where(F.col("value").startswith("WARNING")).count() == 4
+    back = logs.read_failure_texts(spark, path)
+    assert sorted((r.kind, r.model_name, r.message) for r in back.collect()) == sorted(
+        [("warning", f"m{i}", None) for i in range(350)] + [("error", f"m{i}", None if i % 2 else "why") for i in range(5)])
+    above = back._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "(?s)" not in above, "the search for the traceback runs for every line"
