@@ -341,3 +341,37 @@ def test_failing_calls(spark):
     assert sorted(map(str, inference.failures(again).collect())) == sorted(map(str, failed.collect()))  # repeatable
     kept = inference.predictions(inference.within_budget(events, budget=0))
     assert {(r.run_id, r.n) for r in kept.groupBy("run_id").agg(F.count("*").alias("n")).collect()} == {(1, 40), (2, 40), (None, 1)}
+
+
+def test_best_rows_by_metric_sort_few_rows(spark):
+    """Only rows that can be among the best of their batch are copied for every metric; ties, nulls and NaN stand as they did."""
+    from babelgauge.operators.ranking import _leaders, best_per_metric, extremes, top_k_per_metric
+
+    nan = float("nan")
+    odd = [(None, 1, nan, 1.0), (None, 2, 7.0, None), (None, 3, 7.0, nan), ("z", 4, None, nan), ("y", 5, nan, None)]
+    rows = [("ab"[i % 2], i, float(i * 37 % 101), float(i * 53 % 89) if i % 3 else None) for i in range(2000)] + odd
+    df = spark.createDataFrame(rows, "g string, id long, p double, q double")
+    assert _leaders(df, [(F.col("p"), 1), (F.col("q"), 2)], ["g"]).count() < 400
+
+    def down(v):  # as Spark sorts: NaN first
+        return (0, 0) if v != v else (1, -v)
+
+    def low(v):  # by the negative value NaN comes last
+        return (1, 0) if v != v else (0, -v)
+
+    for by in ([], ["g"]):
+        want = set()
+        for group in {r[0] for r in rows} if by else {"all"}:
+            for m, at in (("p", 2), ("q", 3)):
+                there = [r for r in rows if r[at] is not None and (not by or r[0] == group)]
+                if there:
+                    best = min(there, key=lambda r: (low(r[at]), r[0] is not None, r[0] or "", r[1]))
+                    want.add((m, repr(min((r[at] for r in there), key=down)), best[1]))
+        assert {(r.metric, repr(r.value), r.id) for r in best_per_metric(df, ["p", "q"], by).collect()} == want
+    found = top_k_per_metric(df, {"p": (F.col("id") > 1, F.col("p"), 3), "q": (F.lit(True), -F.col("q"), 2)}).collect()
+    for m, at, sign, k, least in (("p", 2, 1, 3, 2), ("q", 3, -1, 2, 0)):
+        there = sorted((r for r in rows if r[at] is not None and r[1] >= least),
+                       key=lambda r: (down(sign * r[at]), r[0] is not None, r[0] or "", r[1]))[:k]
+        assert sorted((r.place, r.id) for r in found if r.metric == m) == [(i + 1, r[1]) for i, r in enumerate(there)]
+    for result in (best_per_metric(df, ["p", "q"], ["g"]), extremes(df, {"p": True, "q": False})):
+        assert "MapInArrow" in result._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
