@@ -18,12 +18,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from babelgauge.functions.stems import porter
-from babelgauge.functions.text import SPACE_POINTS
+from babelgauge.functions.text import CLEAN_13A, PUNCTUATION, SPACE_CHARACTERS, SPACE_POINTS
 
 # Workers get this module with the function, so they need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE = 1 << 21
+SLICE = 1 << 18  # symbols whose arrays stay in the cache of a core
 
 
 class Side:
@@ -52,16 +52,121 @@ def _joined(parts: list[pa.Array]) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 
 
-def _token_sides(arrays: tuple[pa.Array, ...], lower: bool = False) -> tuple[list[Side], pa.Array]:
-    """Token lists as codes over one shared dictionary, and that dictionary."""
-    encoded = pa.concat_arrays([array.flatten() for array in arrays]).dictionary_encode()
+# What a byte means to the tokenisers. All their marks, and the neighbours that they ask for, are ASCII.
+BLANK, APART, DIGIT, POINT, HYPHEN, MARK = 1, 2, 4, 8, 16, 32
+BYTES = np.zeros(256, np.uint8)
+for _characters, _kind in (("".join(chr(p) for p in SPACE_POINTS if p < 0x80), BLANK), ("!\"#$%&()*+/:;<=>?@[\\]^_`{|}~", APART),
+                           ("0123456789", DIGIT), (".,", POINT), ("-", HYPHEN), (PUNCTUATION, MARK)):
+    BYTES[np.frombuffer(_characters.encode(), np.uint8)] |= _kind
+WIDE_BLANKS = [chr(p).encode() for p in SPACE_POINTS if p >= 0x80]
+LEADS = sorted({blank[0] for blank in WIDE_BLANKS})
+
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, and where every text begins (with the end of the last)."""
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    offsets = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def _blanks(data: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which bytes are white space; a wide blank is two or three of them."""
+    blank = (kinds & BLANK) > 0
+    if (data >= 0x80).any():
+        for lead in LEADS:
+            at = np.flatnonzero(data == lead)
+            for wide in (w for w in WIDE_BLANKS if w[0] == lead):
+                found = at[at + len(wide) <= len(data)]
+                for i, byte in enumerate(wide[1:], 1):
+                    found = found[data[found + i] == byte]
+                for i in range(len(wide)):
+                    blank[found + i] = True
+    return blank
+
+
+def _cut_13a(kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the mteval 13a rules put a blank in front of a byte. ``first`` marks where texts begin.
+
+    A rule reads its neighbours as the rules before have left them, and no character twice: of neighbouring points every
+    other one is taken as "after no digit", from the first or the second, by what stands before them.
+    """
+    size = len(kinds)
+    cut = np.zeros(size + 1, bool)
+    digit = (kinds & DIGIT) > 0
+
+    def apart(at: np.ndarray) -> None:
+        cut[at] = True
+        cut[at + 1] = True
+
+    def after_digit(at: np.ndarray) -> np.ndarray:
+        return ~first[at] & digit[at - 1]
+
+    apart(np.flatnonzero(kinds & APART))
+    point = np.flatnonzero(kinds & POINT)
+    opens = np.ones(len(point), bool)
+    opens[1:] = (point[1:] != point[:-1] + 1) | first[point[1:]]
+    start = point[opens][np.cumsum(opens) - 1]
+    taken = ((point - start) % 2 == 0) ^ after_digit(start)
+    beyond = np.minimum(point + 1, size - 1)
+    before_digit = (point + 1 < size) & ~first[beyond] & digit[beyond]
+    apart(point[taken | ~before_digit])
+    hyphen = np.flatnonzero(kinds & HYPHEN)
+    apart(hyphen[after_digit(hyphen)])
+    return cut[:size]
+
+
+def _split(texts: pa.Array, rule: str) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of texts by ``rule`` (``13a`` or ``chrf``) end to end, and how many each text has: what the column
+    expressions ``tokens_13a`` and ``chrf_words`` make, from byte classes instead of regular expressions."""
+    data, offsets = _raw(pc.fill_null(texts, ""))
+    if rule == "13a" and any((data == ord(sign)).any() for sign in "<&\n"):  # nothing to clean without these
+        texts = pc.utf8_rtrim(texts, SPACE_CHARACTERS)
+        for old, new in CLEAN_13A:
+            texts = pc.replace_substring(texts, old, new)
+        data, offsets = _raw(pc.fill_null(texts, ""))
+    kinds = BYTES[data]
+    blank = _blanks(data, kinds)
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    first = first[:-1]
+    begins = first.copy()
+    begins[1:] |= blank[:-1]
+    if rule == "13a":
+        begins |= _cut_13a(kinds, first)
+    kept = ~blank
+    start = np.flatnonzero(begins & kept)
+    gone = np.append(0, np.cumsum(blank, dtype=np.int64))
+    letters, at, rows = data[kept], start - gone[start], offsets - gone[offsets]
+    if rule == "chrf" and len(at):  # one trailing, else one leading mark of words of more than a character
+        end = np.append(at[1:], len(letters))
+        mark = (kinds[kept] & MARK) > 0
+        trailing = mark[end - 1] & (end - at > 1)
+        leading = mark[at] & (end - at > 1) & ~trailing
+        at = np.sort(np.concatenate((at, end[trailing] - 1, at[leading] + 1)))
+    ends = np.append(at, len(letters))
+    tokens = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    return tokens, np.diff(np.searchsorted(at, rows))
+
+
+def _flat(array: pa.Array, rule: str | None) -> tuple[pa.Array, np.ndarray]:
+    """Tokens end to end and how many each row has, of token lists or of texts."""
+    if pa.types.is_list(array.type):
+        return array.flatten().cast(pa.large_string()), pc.fill_null(pc.list_value_length(array), 0).to_numpy().astype(np.int64)
+    return _split(array, rule)
+
+
+def _token_sides(arrays: tuple[pa.Array, ...], lower: bool = False, rule: str | None = None) -> tuple[list[Side], pa.Array]:
+    """Token lists, or texts that ``rule`` splits, as codes over one shared dictionary, and that dictionary."""
+    flat = [_flat(array, rule) for array in arrays]
+    encoded = pa.concat_arrays([tokens for tokens, _ in flat]).dictionary_encode()
     codes, words = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
     if lower:
         folded = pc.utf8_lower(words).dictionary_encode()
         codes, words = folded.indices.to_numpy().astype(np.int64)[codes], folded.dictionary
     sides, at = [], 0
-    for array in arrays:
-        lengths = pc.fill_null(pc.list_value_length(array), 0).to_numpy().astype(np.int64)
+    for _, lengths in flat:
         sides.append(Side(codes[at:at + lengths.sum()], lengths))
         at += lengths.sum()
     return sides, words
@@ -71,8 +176,9 @@ def _character_sides(*arrays: pa.Array) -> tuple[list[Side], int]:
     """Strings as character codes over one shared alphabet, white space left out."""
     texts = [pc.fill_null(array, "") for array in arrays]
     points = [np.frombuffer("".join(a.to_pylist()).encode("utf-32-le"), np.uint32) for a in texts]
-    present = np.flatnonzero(sum(np.bincount(p, minlength=0x110000) for p in points))
-    table = np.zeros(0x110000, np.int64)
+    size = max([int(p.max()) + 1 for p in points if len(p)], default=0)
+    present = np.flatnonzero(sum(np.bincount(p, minlength=size) for p in points))
+    table = np.zeros(max(size, max(SPACE_POINTS) + 1), np.int64)
     table[present] = np.arange(1, len(present) + 1)
     table[SPACE_POINTS] = 0
     sides = []
@@ -85,7 +191,49 @@ def _character_sides(*arrays: pa.Array) -> tuple[list[Side], int]:
 
 
 def _clipped(hyp: Side, ref: Side, alphabet: int, orders: int) -> np.ndarray:
-    """Clipped n-gram matches: rows x orders."""
+    """Clipped n-gram matches: rows x orders.
+
+    Where row, gram and side fit a 64-bit number, one sort serves all orders: shorter grams are beginnings of longer ones.
+    Many symbols are first numbered within their row.
+    """
+    rows = len(hyp.lengths)
+    codes, row = np.concatenate((hyp.codes, ref.codes)), np.concatenate((hyp.row, ref.row))
+    room = 62 - max(rows - 1, 0).bit_length()
+    if len(codes) and alphabet.bit_length() * orders > room:
+        held, place = np.unique(row * alphabet + codes, return_inverse=True)
+        place = place - np.searchsorted(held, np.arange(rows) * alphabet)[row]
+        if (int(place.max()) + 1).bit_length() * orders <= room:
+            codes, alphabet = place, int(place.max()) + 1
+    if alphabet.bit_length() * orders > room:
+        return _clipped_by_order(hyp, ref, alphabet, orders)
+    bits, size = alphabet.bit_length(), len(hyp.codes)
+    side = np.repeat((0, 1), (size, len(ref.codes)))
+    # every text is followed by zeros, which no symbol is, so that no gram runs into the next text
+    at = np.arange(len(codes)) + (row + side * rows) * (orders - 1)
+    spaced = np.zeros(len(codes) + 2 * rows * (orders - 1) + orders - 1, np.int64)
+    spaced[at] = codes + 1
+    grams = spaced[:len(spaced) - orders + 1].copy()
+    for i in range(1, orders):
+        grams <<= bits
+        grams |= spaced[i:len(spaced) - orders + 1 + i]
+    key = ((row << (bits * orders) | grams[at]) << 1) | side
+    key.sort()
+    change = key[1:] ^ key[:-1]
+    in_ref = np.append(0, np.cumsum(key & 1, dtype=np.int32))
+    out = np.zeros((rows, orders), np.int64)
+    for order in range(1, orders + 1):
+        shift = 1 + bits * (orders - order)
+        bounds = np.concatenate(([0], np.flatnonzero(change >= 1 << shift) + 1, [len(key)]))
+        first = key[bounds[:-1][:len(key)]] >> shift
+        theirs = np.diff(in_ref[bounds])[:len(first)]
+        found = np.minimum(theirs, np.diff(bounds)[:len(first)] - theirs)
+        met = np.flatnonzero((found > 0) & (first & ((1 << bits) - 1) > 0))
+        out[:, order - 1] = np.bincount(first[met] >> (bits * order), weights=found[met], minlength=rows)
+    return out
+
+
+def _clipped_by_order(hyp: Side, ref: Side, alphabet: int, orders: int) -> np.ndarray:
+    """The same with a sort for every order, for any number of symbols."""
     rows = len(hyp.lengths)
     codes = np.concatenate((hyp.codes, ref.codes))
     row = np.concatenate((hyp.row, ref.row))
@@ -123,12 +271,13 @@ def _counts(sides: list[Side], alphabet: int, orders: int) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(table.ravel()))
 
 
-def token_overlap(prediction: Column, reference: Column, orders: int) -> Column:
-    """``array<long>`` of two ``array<string>`` columns: clipped n-gram matches of order 1..n, both lengths."""
+def token_overlap(prediction: Column, reference: Column, orders: int, rule: str | None = None) -> Column:
+    """``array<long>`` of two ``array<string>`` columns: clipped n-gram matches of order 1..n, both lengths. With a ``rule``
+    (``13a``, ``chrf``) of two string columns, which are split in the same pass."""
 
     @F.arrow_udf("array<bigint>")
     def token_overlap_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        coded = (_token_sides(tuple(piece)) for piece in _pieces(hyp, ref))
+        coded = (_token_sides(tuple(piece), rule=rule) for piece in _pieces(hyp, ref))
         return _joined([_counts(sides, max(len(words), 1), orders) for sides, words in coded])
 
     return token_overlap_udf(prediction, reference)
@@ -228,16 +377,16 @@ def _stem_sides(sides: list[Side], words: pa.Array) -> list[Side]:
     return [Side(code[side.codes], side.lengths) for side in sides]
 
 
-def alignment(*token_pairs: tuple[Column, Column], stem: bool = False) -> Column:
+def alignment(*token_pairs: tuple[Column, Column], stem: bool = False, rule: str | None = None) -> Column:
     """``array<long>`` (matches, chunks, both lengths) of an alignment that pairs tokens from the end.
 
     Every pair of ``array<string>`` columns is one stage (surface forms, then stems or synonym classes); a
     stage sees the tokens that earlier stages left free. All stages must have equal token counts. Case is ignored.
-    ``stem`` adds a stage of Porter stems right after the surface forms.
+    ``stem`` adds a stage of Porter stems right after the surface forms. String columns are split by ``rule``.
     """
 
     def aligned(piece: list[pa.Array]) -> pa.Array:
-        sides, words = _token_sides(tuple(piece), lower=True)
+        sides, words = _token_sides(tuple(piece), lower=True, rule=rule)
         stages = list(zip(sides[::2], sides[1::2]))
         if stem:
             stages.insert(1, tuple(_stem_sides(sides[:2], words)))

@@ -30,11 +30,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-def cut(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a word's pieces: of all neighbours the pair with the lowest rank is joined, the leftmost first.
+SHORT = 48  # bytes
 
-    Neighbours wait in a heap and know each other by links, so a long word takes n log n steps.
-    """
+
+def cut(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word's pieces: of all neighbours the pair with the lowest rank is joined, the leftmost first."""
+    return _cut_short(word, ranks) if len(word) <= SHORT else _cut_long(word, ranks)
+
+
+def _cut_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Few pieces are looked through for every join, which is quicker than to keep them in order."""
+    none = 1 << 62
+    parts = [word[i:i + 1] for i in range(len(word))]
+    joins = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while joins and (least := min(joins)) < none:
+        i = joins.index(least)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del joins[i]
+        if i:
+            joins[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if i < len(joins):
+            joins[i] = ranks.get(parts[i] + parts[i + 1], none)
+    return [ranks[part] for part in parts]
+
+
+def _cut_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Neighbours wait in a heap and know each other by links, so a long word takes n log n steps."""
     ends = list(range(1, len(word) + 1))  # of the piece that begins here; 0 for a piece that was joined
     left = list(range(-1, len(word) - 1))
     heap: list[tuple[int, int, int]] = []
@@ -65,6 +86,13 @@ def cut(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _cutter(path: str) -> Callable[[str], tuple[int, ...]]:
+    """``cut`` by a rank file for a word with the blank before it. A worker meets its frequent words in every batch."""
+    ranks = read_ranks(path)
+    return lru_cache(maxsize=1 << 16)(lambda word: tuple(cut(b" " + word.encode(), ranks)))
+
+
 def subword_tokenizer(path: str) -> Callable[[Column], Column]:
     """A tokeniser over a rank file (base64 of the piece, blank, rank; every byte is a piece) that executors can read.
 
@@ -74,9 +102,8 @@ def subword_tokenizer(path: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<string>")
     def subwords(words: pa.Array) -> pa.Array:
-        ranks = read_ranks(path)
         encoded = words.flatten().dictionary_encode()
-        found = [cut(b" " + word.encode(), ranks) for word in encoded.dictionary.to_pylist()]
+        found = list(map(_cutter(path), encoded.dictionary.to_pylist()))
         sizes = np.array([len(f) for f in found], np.int64)
         ids = np.array([i for f in found for i in f], np.int64)
         codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

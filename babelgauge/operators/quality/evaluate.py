@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,10 +27,25 @@ def row_statistics(pairs: DataFrame, metrics: Sequence[Metric], keep: Sequence[s
         for name, column in m.overlaps().items():
             overlaps.setdefault(name, column)
         counts |= {m.part(part): formula for part, formula in m.counts().items()}
+    counts = _shared(overlaps, counts)
     return texts.select(*names, *_named(tokens)).select(*names, *_named(overlaps)) \
         .selectExpr(*names, *[f"{formula} AS {name}" for name, formula in counts.items()])
 
 
+def _shared(overlaps: dict[str, Column], counts: dict[str, str]) -> dict[str, str]:
+    """``counts`` with the character overlaps of lower orders read from the highest one, which holds them; those are dropped."""
+    orders = sorted(int(found[1]) for name in overlaps if (found := re.fullmatch(r"_overlap_char_(\d+)", name)))
+    for low in orders[:-1]:
+        del overlaps[f"_overlap_char_{low}"]
+
+        def place(found: re.Match) -> str:
+            i = int(found[1])
+            return f"_overlap_char_{orders[-1]}[{i if i < low else i - low + orders[-1]}]"  # after the matches both lengths
+
+        counts = {name: re.sub(rf"\b_overlap_char_{low}\[(\d+)\]", place, formula) for name, formula in counts.items()}
+    return counts
+
+
 def _named(columns: dict[str, Column]) -> list[Column]:
     return [column.alias(name) for name, column in columns.items()]
 

@@ -51,7 +51,13 @@ def label(tokenize: Tokenizer) -> str:
     return "".join(c if c.isalnum() else "_" for c in text)
 
 
+# Tokenisers that are a rule over byte classes: texts go to the overlap function as they are and are split there.
+RULES = {"13a": "13a", chrf_words: "chrf"}
+
+
 def token_columns(tokenize: Tokenizer) -> dict[str, Column]:
+    if tokenize in RULES:
+        return {HYP: F.col(HYP), REF: F.col(REF)}
     split = tokenizer(tokenize)
     return {f"{side}_{label(tokenize)}": split(F.col(side)) for side in (HYP, REF)}
 
@@ -78,7 +84,7 @@ class Bleu(Metric):
         if self.tokenize == "char":
             return {self._overlap(): overlap.character_overlap(F.col(HYP), F.col(REF), self.orders)}
         hyp, ref = token_columns(self.tokenize)
-        return {self._overlap(): overlap.token_overlap(F.col(hyp), F.col(ref), self.orders)}
+        return {self._overlap(): overlap.token_overlap(F.col(hyp), F.col(ref), self.orders, RULES.get(self.tokenize))}
 
     def counts(self) -> dict[str, str]:
         counted = self._overlap()
@@ -116,7 +122,7 @@ class ChrF(Metric):
         out = {f"_overlap_char_{self.char_order}": overlap.character_overlap(F.col(HYP), F.col(REF), self.char_order)}
         if self.word_order:
             hyp, ref = token_columns(chrf_words)
-            out[f"_overlap_word_{self.word_order}"] = overlap.token_overlap(F.col(hyp), F.col(ref), self.word_order)
+            out[f"_overlap_word_{self.word_order}"] = overlap.token_overlap(F.col(hyp), F.col(ref), self.word_order, RULES[chrf_words])
         return out
 
     def _orders(self) -> list[tuple[str, int, int]]:
@@ -167,7 +173,8 @@ class Meteor(Metric):
     def overlaps(self) -> dict[str, Column]:
         hyp, ref = token_columns(self.tokenize)
         pairs = [(hyp, ref), *self.stages]
-        return {self.part("aligned"): overlap.alignment(*[(F.col(h), F.col(r)) for h, r in pairs], stem=self.stem)}
+        return {self.part("aligned"): overlap.alignment(*[(F.col(h), F.col(r)) for h, r in pairs], stem=self.stem,
+                                                         rule=RULES.get(self.tokenize))}
 
     def counts(self) -> dict[str, str]:
         matches, chunks, hyp_len, ref_len = (f"{self.part('aligned')}[{i}]" for i in range(4))

@@ -1,7 +1,9 @@
 """Metrics: hand-computed goldens, brute force, and invariance of sums."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,60 @@ def test_sentencepiece_model(spark, tmp_path):
     expected = brute.bleu([(r.prediction, r.reference) for r in pairs.collect()],
                           lambda t: processor.encode(t, out_type=str))
     assert got == pytest.approx(expected)
+
+
+def test_byte_rules_are_the_tokenisers(spark):
+    """Texts split by byte classes give the tokens of the column expressions, whatever stands next to what."""
+    import pyarrow as pa
+
+    from babelgauge.functions import overlap
+    from babelgauge.functions.text import SPACE_CHARACTERS, chrf_words, tokens_13a
+
+    draw = random.Random(7)
+    signs = [*"ab01..,,--<>&;'\"!/ \n", "é", "中", "😀", " ", " ", "　", "\x85", "\x1c", "&quot;", "<skipped>", "-\n", "&amp;lt;"]
+    texts = [None, "", " ", ".", "1", "-", "1.", ".1", "1-", "1,000.5", "..,.5", "0..,.5", "a-\nb", *SPACE_CHARACTERS,
+             *("".join(draw.choices(signs, k=draw.randint(1, 12))) for _ in range(4000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    for rule, expression in (("13a", tokens_13a), ("chrf", chrf_words)):
+        want = [list(r.w or []) for r in df.select("i", expression(F.col("t")).alias("w")).orderBy("i").collect()]
+        for array in (pa.array(texts, pa.string()), pa.array(["1.,", *texts], pa.large_string()).slice(1)):
+            tokens, lengths = overlap._split(array, rule)
+            ends = np.append(0, np.cumsum(lengths))
+            got = [tokens[int(a):int(b)].to_pylist() for a, b in zip(ends, ends[1:])]
+            assert got == want, next((t, g, w) for t, g, w in zip(texts, got, want) if g != w)
+
+
+def test_grams_of_all_orders_from_one_sort():
+    """Equal to a sort for every order, where the gram fits a number and where it does not."""
+    from babelgauge.functions import overlap
+
+    rng = np.random.default_rng(3)
+    for trial in range(300):
+        rows, alphabet, orders = int(rng.integers(0, 6)), int(rng.choice([1, 2, 60, 3000, 1 << 20])), int(rng.choice([1, 2, 4, 6]))
+        sides = []
+        for _ in range(2):
+            lengths = rng.integers(0, 60, rows)
+            sides.append(overlap.Side(rng.integers(0, alphabet, lengths.sum()), lengths))
+        assert (overlap._clipped(*sides, alphabet, orders) == overlap._clipped_by_order(*sides, alphabet, orders)).all()
+
+
+def test_texts_are_split_where_they_are_compared(spark):
+    """No token list goes to the workers, and one pass over the characters serves all orders."""
+    df = spark.createDataFrame([("a b c d, e", "a b c x, e")], "prediction string, reference string")
+    plan = evaluate(df, metrics(["sacrebleu", "spBleu", "chrf", "chrf++", "meteor"], spBleu={"tokenize": "char"})) \
+        ._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "regexp_replace" not in plan
+    assert len(set(re.findall(r"character_overlap_udf\([^)]*\)#\d+", plan))) == 1
+
+
+def test_short_and_long_words_are_cut_alike():
+    from babelgauge.functions import subwords
+
+    rng = np.random.default_rng(5)
+    ranks = {bytes([i]): i for i in range(256)}
+    for n in range(2, 6):
+        for _ in range(60):
+            ranks.setdefault(bytes(rng.choice(list(b"abc "), n).tolist()), len(ranks))
+    for _ in range(500):
+        word = bytes(rng.choice(list(b"abcd "), rng.integers(1, 40)).tolist())
+        assert subwords._cut_short(word, ranks) == subwords._cut_long(word, ranks)
