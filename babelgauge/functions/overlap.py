@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from babelgauge.functions.stems import porter
+from babelgauge.functions.subwords import cut, load_ranks
 from babelgauge.functions.text import CLEAN_13A, PUNCTUATION, SPACE_CHARACTERS, SPACE_POINTS
 
 # Workers get this module with the function, so they need no installed copy of the package.
@@ -118,8 +119,9 @@ def _cut_13a(kinds: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _split(texts: pa.Array, rule: str) -> tuple[pa.Array, np.ndarray]:
-    """The tokens of texts by ``rule`` (``13a`` or ``chrf``) end to end, and how many each text has: what the column
-    expressions ``tokens_13a`` and ``chrf_words`` make, from byte classes instead of regular expressions."""
+    """The tokens of texts by ``rule`` (``13a``, ``chrf``, else between white space) end to end, and how many each text has:
+    what the column expressions ``tokens_13a``, ``chrf_words`` and ``pieces`` make, from byte classes instead of regular
+    expressions."""
     data, offsets = _raw(pc.fill_null(texts, ""))
     if rule == "13a" and any((data == ord(sign)).any() for sign in "<&\n"):  # nothing to clean without these
         texts = pc.utf8_rtrim(texts, SPACE_CHARACTERS)
@@ -172,6 +174,37 @@ def _token_sides(arrays: tuple[pa.Array, ...], lower: bool = False, rule: str |
     return sides, words
 
 
+KNOWN = 1 << 17  # words that a task keeps with what was made of them; most occurrences are of few
+
+
+def _made(words: pa.Array, make, known: dict) -> list:
+    """``make`` of every word. ``known`` keeps results from batch to batch."""
+    if len(known) > KNOWN:
+        known.clear()
+    out = []
+    for word in words.to_pylist():
+        found = known.get(word)
+        if found is None:
+            found = known[word] = make(word)
+        out.append(found)
+    return out
+
+
+def _piece_sides(sides: list[Side], words: pa.Array, ranks: dict[bytes, int], known: dict) -> tuple[list[Side], int]:
+    """The words as codes of their subword pieces, and how many pieces there are: the dictionary is cut, not the texts."""
+    found = _made(words, lambda word: cut(b" " + word.encode(), ranks), known)
+    sizes = np.array([len(f) for f in found], np.int64)
+    pieces, codes = np.unique(np.array([i for f in found for i in f], np.int64), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for side in sides:
+        each = sizes[side.codes]
+        ends = np.append(0, np.cumsum(each))
+        at = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[side.codes], each)
+        out.append(Side(codes[at].astype(np.int64), np.diff(ends[np.append(0, np.cumsum(side.lengths))])))
+    return out, len(pieces)
+
+
 def _character_sides(*arrays: pa.Array) -> tuple[list[Side], int]:
     """Strings as character codes over one shared alphabet, white space left out."""
     texts = [pc.fill_null(array, "") for array in arrays]
@@ -273,12 +306,23 @@ def _counts(sides: list[Side], alphabet: int, orders: int) -> pa.Array:
 
 def token_overlap(prediction: Column, reference: Column, orders: int, rule: str | None = None) -> Column:
     """``array<long>`` of two ``array<string>`` columns: clipped n-gram matches of order 1..n, both lengths. With a ``rule``
-    (``13a``, ``chrf``) of two string columns, which are split in the same pass."""
+    (``13a``, ``chrf``, ``ranks:<path>``) of two string columns, which are split in the same pass."""
+    path = rule[6:] if rule and rule.startswith("ranks:") else None
+    ranks: dict[bytes, int] = {}
+    known: dict[str, list[int]] = {}
+
+    def coded(piece: list[pa.Array]) -> tuple[list[Side], int]:
+        sides, words = _token_sides(tuple(piece), rule=rule)
+        if path is None:
+            return sides, len(words)
+        if not ranks:
+            ranks.update(load_ranks(path))
+        return _piece_sides(sides, words, ranks, known)
 
     @F.arrow_udf("array<bigint>")
     def token_overlap_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        coded = (_token_sides(tuple(piece), rule=rule) for piece in _pieces(hyp, ref))
-        return _joined([_counts(sides, max(len(words), 1), orders) for sides, words in coded])
+        found = map(coded, _pieces(hyp, ref))
+        return _joined([_counts(sides, max(alphabet, 1), orders) for sides, alphabet in found])
 
     return token_overlap_udf(prediction, reference)
 
@@ -370,9 +414,9 @@ def _align(stages: list[tuple[Side, Side]], alphabet: int) -> np.ndarray:
     return np.stack((np.bincount(row, minlength=rows), np.bincount(row[start], minlength=rows)), axis=1)
 
 
-def _stem_sides(sides: list[Side], words: pa.Array) -> list[Side]:
+def _stem_sides(sides: list[Side], words: pa.Array, known: dict[str, str]) -> list[Side]:
     """The same tokens as codes of their stems: the dictionary is stemmed, no token leaves its row."""
-    stems = pa.array([porter(word) for word in words.to_pylist()], pa.string()).dictionary_encode()
+    stems = pa.array(_made(words, porter, known), pa.string()).dictionary_encode()
     code = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     return [Side(code[side.codes], side.lengths) for side in sides]
 
@@ -385,11 +429,13 @@ def alignment(*token_pairs: tuple[Column, Column], stem: bool = False, rule: str
     ``stem`` adds a stage of Porter stems right after the surface forms. String columns are split by ``rule``.
     """
 
+    known: dict[str, str] = {}
+
     def aligned(piece: list[pa.Array]) -> pa.Array:
         sides, words = _token_sides(tuple(piece), lower=True, rule=rule)
         stages = list(zip(sides[::2], sides[1::2]))
         if stem:
-            stages.insert(1, tuple(_stem_sides(sides[:2], words)))
+            stages.insert(1, tuple(_stem_sides(sides[:2], words, known)))
         table = np.column_stack((_align(stages, max(len(words), 1)), sides[0].lengths, sides[1].lengths))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * 4, pa.int32()), pa.array(table.ravel()))
 

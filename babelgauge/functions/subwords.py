@@ -19,9 +19,8 @@ from babelgauge.functions.text import pieces
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@lru_cache(maxsize=2)
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Pieces and their ranks from lines of base64 and number; read once per worker."""
+def load_ranks(path: str) -> dict[bytes, int]:
+    """Pieces and their ranks from lines of base64 and number."""
     import os
 
     from pyspark import SparkFiles
@@ -30,6 +29,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
+@lru_cache(maxsize=2)
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The same, read once per worker."""
+    return load_ranks(path)
+
+
 SHORT = 48  # bytes
 
 
@@ -86,13 +91,6 @@ def _cut_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=2)
-def _cutter(path: str) -> Callable[[str], tuple[int, ...]]:
-    """``cut`` by a rank file for a word with the blank before it. A worker meets its frequent words in every batch."""
-    ranks = read_ranks(path)
-    return lru_cache(maxsize=1 << 16)(lambda word: tuple(cut(b" " + word.encode(), ranks)))
-
-
 def subword_tokenizer(path: str) -> Callable[[Column], Column]:
     """A tokeniser over a rank file (base64 of the piece, blank, rank; every byte is a piece) that executors can read.
 
@@ -102,8 +100,9 @@ def subword_tokenizer(path: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<string>")
     def subwords(words: pa.Array) -> pa.Array:
+        ranks = read_ranks(path)
         encoded = words.flatten().dictionary_encode()
-        found = list(map(_cutter(path), encoded.dictionary.to_pylist()))
+        found = [cut(b" " + word.encode(), ranks) for word in encoded.dictionary.to_pylist()]
         sizes = np.array([len(f) for f in found], np.int64)
         ids = np.array([i for f in found for i in f], np.int64)
         codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

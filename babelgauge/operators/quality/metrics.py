@@ -55,8 +55,14 @@ def label(tokenize: Tokenizer) -> str:
 RULES = {"13a": "13a", chrf_words: "chrf"}
 
 
-def token_columns(tokenize: Tokenizer) -> dict[str, Column]:
-    if tokenize in RULES:
+def rule(tokenize: Tokenizer) -> str | None:
+    ranked = isinstance(tokenize, str) and tokenize.startswith("ranks:")
+    return tokenize if ranked else RULES.get(tokenize)
+
+
+def token_columns(tokenize: Tokenizer, ranked: bool = True) -> dict[str, Column]:
+    """The columns that hold the two sides' tokens, or their texts where a rule splits these (with ``ranked`` into pieces too)."""
+    if tokenize in RULES or (ranked and rule(tokenize) is not None):
         return {HYP: F.col(HYP), REF: F.col(REF)}
     split = tokenizer(tokenize)
     return {f"{side}_{label(tokenize)}": split(F.col(side)) for side in (HYP, REF)}
@@ -84,7 +90,7 @@ class Bleu(Metric):
         if self.tokenize == "char":
             return {self._overlap(): overlap.character_overlap(F.col(HYP), F.col(REF), self.orders)}
         hyp, ref = token_columns(self.tokenize)
-        return {self._overlap(): overlap.token_overlap(F.col(hyp), F.col(ref), self.orders, RULES.get(self.tokenize))}
+        return {self._overlap(): overlap.token_overlap(F.col(hyp), F.col(ref), self.orders, rule(self.tokenize))}
 
     def counts(self) -> dict[str, str]:
         counted = self._overlap()
@@ -122,7 +128,7 @@ class ChrF(Metric):
         out = {f"_overlap_char_{self.char_order}": overlap.character_overlap(F.col(HYP), F.col(REF), self.char_order)}
         if self.word_order:
             hyp, ref = token_columns(chrf_words)
-            out[f"_overlap_word_{self.word_order}"] = overlap.token_overlap(F.col(hyp), F.col(ref), self.word_order, RULES[chrf_words])
+            out[f"_overlap_word_{self.word_order}"] = overlap.token_overlap(F.col(hyp), F.col(ref), self.word_order, rule(chrf_words))
         return out
 
     def _orders(self) -> list[tuple[str, int, int]]:
@@ -168,10 +174,10 @@ class Meteor(Metric):
     stem: bool = False
 
     def tokens(self) -> dict[str, Column]:
-        return token_columns(self.tokenize) | {c: F.col(c) for pair in self.stages for c in pair}
+        return token_columns(self.tokenize, ranked=False) | {c: F.col(c) for pair in self.stages for c in pair}
 
     def overlaps(self) -> dict[str, Column]:
-        hyp, ref = token_columns(self.tokenize)
+        hyp, ref = token_columns(self.tokenize, ranked=False)
         pairs = [(hyp, ref), *self.stages]
         return {self.part("aligned"): overlap.alignment(*[(F.col(h), F.col(r)) for h, r in pairs], stem=self.stem,
                                                          rule=RULES.get(self.tokenize))}

@@ -223,3 +223,21 @@ def test_short_and_long_words_are_cut_alike():
     for _ in range(500):
         word = bytes(rng.choice(list(b"abcd "), rng.integers(1, 40)).tolist())
         assert subwords._cut_short(word, ranks) == subwords._cut_long(word, ranks)
+
+
+def test_pieces_are_cut_in_the_overlap_pass(spark, tmp_path):
+    """Ranks give BLEU the same counts as a column of pieces, and METEOR still has its column."""
+    import base64
+
+    from babelgauge.functions.subwords import subword_tokenizer
+
+    ranks = [bytes([i]) for i in range(256)] + [b" a", b"ab", b" ab", b"cab"]
+    path = tmp_path / "few.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(ranks)))
+    draw = random.Random(3)
+    df = table(spark, [("".join(draw.choices("abc  ", k=draw.randint(0, 30))), "".join(draw.choices("abc  ", k=20))) for _ in range(60)])
+    split = subword_tokenizer(str(path))
+    for kind in ("spBleu", "meteor"):
+        one, other = (evaluate(df, [metric(kind, tokenize=how)], ["id"]).orderBy("id").collect() for how in (f"ranks:{path}", split))
+        assert [r[1] for r in one] == [r[1] for r in other]
+    assert "subwords" not in evaluate(df, [metric("spBleu", tokenize=f"ranks:{path}")])._jdf.queryExecution().optimizedPlan().toString()
