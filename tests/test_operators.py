@@ -375,3 +375,34 @@ def test_best_rows_by_metric_sort_few_rows(spark):
         assert sorted((r.place, r.id) for r in found if r.metric == m) == [(i + 1, r[1]) for i, r in enumerate(there)]
     for result in (best_per_metric(df, ["p", "q"], ["g"]), extremes(df, {"p": True, "q": False})):
         assert "MapInArrow" in result._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
+
+
+def test_look_up_carries_places(spark, monkeypatch):
+    """Entries are places in the map or among the row's questions until they are answered, in parts of bounded size."""
+    monkeypatch.setattr(vocabulary, "HEAVY", 3)
+    monkeypatch.setattr(vocabulary, "SLICE", 4)
+    table = spark.createDataFrame([(w, w.upper() if w != "d" else None, 9 - i) for i, w in enumerate("abcdefg")], "token string, canonical string, n long")
+    lists = [["a", "g", "a", "x"], [], None, [None, "d", "e", "e", "f", "x", "y"], ["a", "b", "c"], ["x"]]
+    rows = [(i // 2 if i else None, w, i) for i, w in enumerate(lists)] * 2
+    df = spark.createDataFrame(rows, "id long, w array<string>, i long").coalesce(1)
+    known = {w: w.upper() for w in "abcefg"}
+
+    def values(other):
+        return sorted([(i, None if w is None else [known.get(x) or other(x) for x in w]) for _, w, i in rows], key=repr)
+
+    plain = vocabulary.look_up(df, F.col("w"), table, "token", "canonical", "out")
+    assert plain.columns == ["id", "w", "i", "out"]
+    assert sorted([(r.i, r.out) for r in plain.collect()], key=repr) == values(lambda x: None)
+    found = vocabulary.canonical_tokens(df, "id", ["w"], table, keep=False)
+    assert found.columns == ["id", "i", "w_canonical"]
+    assert sorted([(r.i, r.w_canonical) for r in found.collect()], key=repr) == values(lambda x: x)
+
+
+def test_lookups_shuffle_no_tokens(spark):
+    """Rows are joined to their answers without the token arrays; only questions and answers carry strings."""
+    table = spark.createDataFrame([("a", "A", 1)], "token string, canonical string, n long")
+    df = spark.createDataFrame([(1, ["a", "b"], ["c"])], "id long, h array<string>, r array<string>")
+    out = vocabulary.canonical_tokens(df, "id", ["h", "r"], table, keep=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    rows = [line for line in plan.splitlines() if "_place" in line and "Relation" in line]
+    assert rows and all(not any(f"{c}#" in line.replace("_asked#", "").replace("_place#", "") for c in ("h", "r", "_lowered", "_known")) for line in rows)
