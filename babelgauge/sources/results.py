@@ -6,12 +6,15 @@ import csv
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from babelgauge.functions.models import canonical_dataset, short_name
+from babelgauge.functions.text import SPACE_CHARACTERS
 from babelgauge.schemas import run_schema
 from babelgauge.session import settle
 from babelgauge.sources.tables import Table
@@ -43,26 +46,51 @@ def _picked(line: str, places: list[int]) -> list[str | None]:
     return [(cells[p] or None) if 0 <= p < len(cells) else None for p in places]
 
 
+def _columns(lines: pa.Array, places: list[int]) -> list[pa.Array]:
+    """``_picked`` of many lines of one file, a column for each name. Only lines with a quote need the reader of CSV."""
+    cells = pc.split_pattern(lines, ",")
+    lengths = pc.list_value_length(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, start = pc.utf8_trim(cells.flatten(), SPACE_CHARACTERS), np.cumsum(lengths) - lengths
+    flat = pc.if_else(pc.equal(flat, ""), pa.scalar(None, pa.string()), flat)
+    out = [flat.take(pa.array(start + p, mask=p >= lengths)) if p >= 0 else pa.nulls(len(lines), pa.string()) for p in places]
+    quoted = pc.match_substring(lines, '"')
+    if pc.any(quoted).as_py():
+        picked = [_picked(line, places) for line in lines.filter(quoted).to_pylist()]
+        out = [pc.replace_with_mask(column, quoted, pa.array(values, pa.string())) for column, values in zip(out, zip(*picked))]
+    return out
+
+
 def _parsed(names: Sequence[str]):
     """An Arrow function over the lines of files (value, file, start): rows by name. ``header`` is a file's first line;
     ``later`` a line of a part of a file whose header another task has read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, places = None, None
+
+        def rows(file: str, lines: pa.Array, header: bool = False) -> pa.RecordBatch:
+            empty = pa.nulls(len(lines), pa.string())
+            known = not header and places is not None
+            columns = _columns(lines, places) if known else [empty] * len(names)
+            labels = [pa.array([file] * len(lines), pa.string()), lines if header else empty, empty if header or known else lines]
+            return pa.RecordBatch.from_arrays([*labels, *columns], names=["file", "header", "later", *names])
+
         for batch in batches:
-            out = []
-            for line, file, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            lines, starts = batch.column(0).cast(pa.string()), batch.column(2)
+            files = batch.column(1).dictionary_encode()
+            code = files.indices.to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)] if len(code) else []
+            for at, stop in zip(bounds, bounds[1:]):
+                file = batch.column(1)[at].as_py()
                 if file != current:
                     current, places = file, None
-                    if start == 0:
-                        places = _places(_cells(line), names, file)
-                        out.append((file, line, None, *[None] * len(names)))
-                        continue
-                if not line.strip():
-                    continue
-                out.append((file, None, line, *[None] * len(names)) if places is None else (file, None, None, *_picked(line, places)))
-            columns = [pa.array(c, pa.string()) for c in zip(*out)] if out else [pa.array([], pa.string())] * (3 + len(names))
-            yield pa.RecordBatch.from_arrays(columns, names=["file", "header", "later", *names])
+                    if starts[at].as_py() == 0:
+                        places = _places(_cells(lines[at].as_py()), names, file)
+                        yield rows(file, lines.slice(at, 1), header=True)
+                        at += 1
+                part = lines.slice(at, stop - at)
+                part = part.filter(pc.not_equal(pc.utf8_trim(part, SPACE_CHARACTERS), ""))
+                if len(part):
+                    yield rows(file, part)
 
     return run
 

@@ -269,3 +269,20 @@ def test_failure_texts_search_a_record_once(spark, monkeypatch):
         [("warning", f"m{i}", None) for i in range(350)] + [("error", f"m{i}", None if i % 2 else "why") for i in range(5)])
     above = back._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "(?s)" not in above, "the search for the traceback runs for every line"
+
+
+def test_result_lines_are_parsed_as_columns():
+    """Whole batches of lines give what the CSV reader gives line by line, quotes, blanks and short lines included."""
+    import pyarrow as pa
+
+    lines = ["a,b,c", ' a , "b, c" ,d', "a", "", ",,", "a,,c,d", '"x ""y""",z', " a\t,　,b ", '"",b', "a,'b',c", 'a"b,c,d"e']
+    lines = lines * 3 + ["plain,line,only"]
+    for places in ([0, 1, 2], [2, -1, 0], [3]):
+        want = [results._picked(line, places) for line in lines]
+        got = results._columns(pa.array(["skipped", *lines]).slice(1), places)
+        assert [list(row) for row in zip(*(column.to_pylist() for column in got))] == want
+    names = ["a", "b"]
+    batch = pa.RecordBatch.from_pydict({"value": ["b,a", "1,2", " ", '"3",4', "5,6", "a", "7"], "file": ["f"] * 4 + ["g"] + ["h"] * 2, "start": [0] * 4 + [9] + [0] * 2})
+    out = [tuple(row.values()) for found in results._parsed(names)(iter([batch.slice(0, 3), batch.slice(3)])) for row in found.to_pylist()]
+    assert out == [("f", "b,a", None, None, None), ("f", None, None, "2", "1"), ("f", None, None, "4", "3"), ("g", None, "5,6", None, None),
+                   ("h", "a", None, None, None), ("h", None, None, "7", None)]
