@@ -32,6 +32,8 @@ END = 0x0A  # stands for the end of a text, and for what precedes one; words con
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+_SIGNS = np.where(B.SPACE, np.uint8(0x20), _LOWER)
+_ENDS = np.uint64(END * 0x0101010101010101)
 
 
 @dataclass(frozen=True)
@@ -43,15 +45,14 @@ class TreeSettings:
 
 def tokens_only(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts as lower-cased words with single spaces, each followed by END; and the n + 1 offsets."""
-    n, words, lengths = len(offsets) - 1, np.diff(at), ends - starts
-    doc_of, empty = np.repeat(np.arange(n), words), words == 0
-    slot = lengths + 1  # a word and the sign after it
-    begin = np.cumsum(slot) - slot + np.cumsum(empty)[doc_of]
-    out = np.full(int(slot.sum() + empty.sum()), 0x20, np.uint8)
-    letters = np.flatnonzero(~B.SPACE[data])
-    inner = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(begin, lengths) + inner] = _LOWER[data[letters]]
-    bounds = np.append(0, np.cumsum(np.bincount(doc_of, weights=slot, minlength=n).astype(np.int64) + empty))
+    words = np.diff(at)
+    letters = np.append(0, np.cumsum(ends - starts))[at]
+    bounds = np.append(0, np.cumsum(np.diff(letters) + words + (words == 0)))
+    signed = np.insert(data, offsets[1:], END)  # so that every word has a sign after it
+    kept = ~B.SPACE[signed]
+    kept[1:] |= kept[:-1].copy()  # the first sign after a word stays
+    kept[(offsets[1:] + np.arange(len(words)))[words == 0]] = True
+    out = _SIGNS[signed[kept]]
     out[bounds[1:] - 1] = END
     return out, bounds
 
@@ -62,7 +63,7 @@ class Texts:
     def __init__(self, batch: pa.RecordBatch, depth: int) -> None:
         data, offsets = B.text_bytes(batch.column(2))
         starts, ends, self.at = B.word_spans(data, offsets)
-        self.words = B.word_hashes(_LOWER[data], starts, ends)
+        self.raw = data, starts, ends
         self.bytes, self.bounds = tokens_only(data, offsets, starts, ends, self.at)
         self.ids, self.trains = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
         self.sizes = np.diff(self.bounds)
@@ -70,16 +71,31 @@ class Texts:
 
     def grams(self) -> np.ndarray:
         """For every byte: its context, the latest byte in the highest place, and the byte itself in the lowest."""
-        n = len(self.bytes)
-        out = self.bytes.astype(np.uint64)
-        before = np.arange(n) - np.repeat(self.bounds[:-1], self.sizes)  # bytes of the text before this one
-        for back in range(1, self.depth + 1):
-            shifted = np.full(n, END, np.uint64)
-            shifted[back:] = self.bytes[: n - back] if back < n else 0
-            shifted[before < back] = END
-            out |= shifted << np.uint64(8 * (self.depth + 1 - back))
+        n, depth = len(self.bytes), self.depth
+        padded = np.full(n + 8, END, np.uint8)
+        padded[depth : depth + n] = self.bytes
+        # eight bytes read at a time, one byte further for every gram: the first depth of them are its context
+        out = np.ndarray(n, "<u8", padded, strides=(1,)).astype(np.uint64)
+        for before in range(min(depth, int(self.sizes.max(initial=0)))):  # bytes of the text before this one
+            at = self.bounds[:-1][self.sizes > before] + before
+            old = np.uint64(8 * (depth - before))
+            out[at] = (out[at] >> old << old) | (_ENDS & ((np.uint64(1) << old) - np.uint64(1)))
+        out <<= np.uint64(64 - 8 * depth)  # nothing but the context
+        out >>= np.uint64(56 - 8 * depth)
+        out |= self.bytes
         return out
 
+    def words(self) -> np.ndarray:
+        data, starts, ends = self.raw
+        return B.word_hashes(_LOWER[data], starts, ends)
+
+    def pair_counts(self) -> np.ndarray:
+        """How often each byte comes after each byte in training documents, 256 x 256 end to end."""
+        before = np.append(np.uint8(END), self.bytes[:-1])
+        before[self.bounds[:-1]] = END
+        pairs = (before.astype(np.uint16) << 8 | self.bytes)[self.training_bytes()]
+        return np.bincount(pairs, minlength=1 << 16)
+
     def training_bytes(self) -> np.ndarray:
         return np.repeat(self.trains, self.sizes)
 
@@ -87,6 +103,12 @@ class Texts:
         return np.repeat(self.trains, np.diff(self.at))
 
 
+def placed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values as they come, and the place of every value among them. Hashed, as most values come often."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def counted(values: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order and how many of each are in training documents."""
     keys, counts = np.unique(values[training], return_counts=True)
@@ -103,6 +125,13 @@ def subtree_bucket(grams: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     return (B.mix(root) % np.uint64(buckets)).astype(np.int64)
 
 
+def by_bucket(keys: np.ndarray, depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of keys bucket after bucket, in order within each, and the buckets' n + 1 offsets."""
+    of = subtree_bucket(keys, depth, buckets)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(buckets + 1))
+
+
 def single_byte_model(pairs: np.ndarray, pull: float) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed distributions after each single byte (256 x 256), and their unsmoothed counts."""
     total = pairs.sum(axis=0)
@@ -169,7 +198,7 @@ def suffix_tree_scores(docs: DataFrame, held_out, settings: TreeSettings = TreeS
         for batch in batches:
             for body in batch.column("body"):
                 t = Texts(B.unpack(body.as_py()), 1)
-                pairs += np.bincount(t.grams()[t.training_bytes()].astype(np.int64), minlength=1 << 16)
+                pairs += t.pair_counts()
                 texts += int(t.trains.sum())
                 tokens += int(np.diff(t.at)[t.trains].sum())
         at = np.flatnonzero(pairs)
@@ -186,13 +215,11 @@ def suffix_tree_scores(docs: DataFrame, held_out, settings: TreeSettings = TreeS
     def ask(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         t = Texts(batch, s.depth)
         keys, counts = counted(t.grams(), t.training_bytes())
-        of = subtree_bucket(keys, s.depth, buckets)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(buckets + 1))
+        order, edges = by_bucket(keys, s.depth, buckets)
         for b in np.flatnonzero(np.diff(edges)):
             part = order[edges[b] : edges[b + 1]]
             yield int(b), B.pack_arrays(key=keys[part], n=counts[part])
-        keys, counts = counted(t.words, t.training_words())
+        keys, counts = counted(t.words(), t.training_words())
         for b, part in B.deal(keys, buckets):
             yield buckets + b, B.pack_arrays(key=keys[part], n=counts[part])
 
@@ -207,7 +234,7 @@ def suffix_tree_scores(docs: DataFrame, held_out, settings: TreeSettings = TreeS
         for block, a in zip(asked, arrays):
             mine = value[inverse[at : at + len(a["key"])]]
             at += len(mine)
-            yield block, B.pack_arrays(n=mine) if words else B.pack_arrays(key=a["key"], log=mine)
+            yield block, B.pack_arrays(n=mine) if words else B.pack_arrays(log=mine)
 
     answers = settle(B.answer(B.send(blocks, ask), settle_keys), "scores")
 
@@ -220,14 +247,17 @@ def suffix_tree_scores(docs: DataFrame, held_out, settings: TreeSettings = TreeS
 
     def score(block: int, batch: pa.RecordBatch, replies: list[dict[str, np.ndarray]]) -> pa.Table:
         t = Texts(batch, s.depth)
-        of_grams = [r for r in replies if "log" in r]
-        keys = np.concatenate([r["key"] for r in of_grams])
-        logs = np.concatenate([r["log"] for r in of_grams])
-        order = np.argsort(keys)
-        each = logs[order][np.searchsorted(keys[order], t.grams())]
+        keys, place = placed(t.grams())
+        rank = np.argsort(keys)
+        order, _ = by_bucket(keys[rank], s.depth, buckets)
+        logs = np.empty(len(keys))
+        logs[rank[order]] = np.concatenate([r["log"] for r in replies if "log" in r])  # in the order they were asked for
+        each = logs[place]
         n_words = np.diff(t.at)
-        of_words = [r["n"] for r in replies if "log" not in r]
-        c = np.concatenate(of_words)[np.searchsorted(np.unique(t.words), t.words)] if of_words else np.zeros(0, np.int64)
+        words, place = placed(t.words())
+        c = np.empty(len(words), np.int64)
+        c[np.argsort(words)] = np.concatenate([c[:0], *[r["n"] for r in replies if "n" in r]])
+        c = c[place]
         total = np.add.reduceat(each, t.bounds[:-1])
         sums = np.concatenate([np.zeros((2, 1)), np.cumsum([c > 0, np.log10(c + 1.0)], axis=1)], axis=1)[:, t.at]
         known, known_log = np.diff(sums, axis=1)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -313,6 +314,31 @@ def test_scores(docs, rows):
         before = scores
 
 
+def test_suffix_tree_grams():
+    """Token texts, grams and byte pairs from whole blocks against plain ones; every gram finds its value without a search."""
+    from babelgauge.llm.suffix_tree_lm import Texts, placed
+
+    rng = np.random.default_rng(5)
+    texts = [None, "", " \n", "aB", " \u00e9a  B\t", "x", *["".join(rng.choice(list("aB \n.\u00e9"), n)) for n in rng.integers(0, 12, 80)]]
+    trains = [i % 3 != 0 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "trains": pa.array(trains), "text": pa.array(texts, pa.string())})
+    plain = [(" ".join(WORD.findall(lower(t))) + "\n").encode() for t in texts]
+    for depth in (2, 5, 7):
+        t = Texts(batch, depth)
+        assert t.bytes.tobytes() == b"".join(plain)
+        assert t.bounds.tolist() == [0, *np.cumsum([len(x) for x in plain])]
+        want = []
+        for text in plain:
+            led = b"\n" * depth + text
+            want += [int.from_bytes(led[i - depth : i], "little") << 8 | led[i] for i in range(depth, len(led))]
+        assert t.grams().tolist() == want
+        distinct, place = placed(t.grams())
+        assert distinct[place].tolist() == want and len(distinct) == len(set(want))
+    pairs = Counter(p for text, train in zip(plain, trains) if train for p in zip(b"\n" + text, text))
+    counts = t.pair_counts().reshape(256, 256)
+    assert {(int(a), int(b)): int(counts[a, b]) for a, b in np.argwhere(counts)} == pairs
+
+
 def test_suffix_tree_by_hand():
     """Every probability against a plain dictionary version of the tree."""
     from babelgauge.llm.suffix_tree_lm import TreeSettings, single_byte_model, tree_probabilities
