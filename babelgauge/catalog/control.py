@@ -19,6 +19,7 @@ from babelgauge.session import settle
 from babelgauge.streaming import stream_scores
 
 KEYS = ", ".join(EXPERIMENT_KEYS)
+TASK_ROWS = 8192  # texts of a task; merged shuffle partitions make little more than one task for each core, and those are uneven
 PRIOR = """prior AS (SELECT DISTINCT model_name, replace(dataset_name, 'facebook/flores', 'flores200') AS dataset_name,
         dataset_size, max_gen_length, beam_size, max_input_seq_length, tokenizer_padding_setting,
         coalesce(use_archer, false) AS use_archer, device_memory_ratio
@@ -94,18 +95,24 @@ def register(add) -> None:
     def x1(t):
         """Length filter, full batches, the model with its failures, both layers' log, token counts, result rows."""
         limit = F.col("max_input_seq_length")
-        limited = t.pairs.select("id", "run_id", "reference").join(t.run_config.select("run_id", "max_input_seq_length"), "run_id") \
+        config = settle(t.run_config, "config")  # its size is then known, and while it is small texts are not dealt to runs
+        limited = t.pairs.select("id", "run_id", "reference").join(config.select("run_id", "max_input_seq_length"), "run_id") \
             .withColumn("kept", (limit == -1) | (word_count(F.col("reference")) <= limit))
         sizes = limited.groupBy("run_id").agg(
             F.count("*").alias("dataset_size"), F.count_if("kept").alias("dataset_size_after_filter_wrt_input_len"))
         kept = settle(renumbered(limited.where("kept").select("run_id", F.col("id").alias("idx"), "reference"), keys=["run_id"]), "kept")
-        events = settle(run_batches(kept, stand_in, BATCH, text="reference"), "events")
-        done = predictions(events).join(kept, ["run_id", "idx"])
+        tasks = kept.count() // TASK_ROWS
+        many = tasks > t.spark.sparkContext.defaultParallelism  # else the session's merging of partitions does
+        events = settle(run_batches(kept, stand_in, BATCH, text="reference", tasks=tasks if many else None), "events")
+        said = predictions(events)
+        if many:
+            said, kept = (side.repartition(tasks, "run_id", "idx") for side in (said, kept))
+        done = said.join(kept, ["run_id", "idx"])
         ids = F.transform(F.split("reference", " ", -1), lambda w: F.when(F.length(w) <= 2, F.lit(PAD)).otherwise(F.length(w)))
         gen_len = word_count(F.col("prediction"))
         read = batch_token_counts(done.withColumn("ids", ids), keys=["run_id"]).groupBy("run_id").agg(F.sum("n_tokens").alias("encoder_tokens"))
         tokens = read.join(done.groupBy("run_id").agg(F.sum(gen_len).alias("decoder_tokens")), "run_id")
-        rows = assemble_results(t.run_config, sizes, done.withColumn("gen_len", gen_len), tokens, forward_log(events), metrics(NAMES, **OPTIONS))
+        rows = assemble_results(config, sizes, done.withColumn("gen_len", gen_len), tokens, forward_log(events), metrics(NAMES, **OPTIONS))
         exact = rounded(rows, [*NAMES, "gen_len"])
         return exact.select("run_id", *[F.round(c, 9 if "latency" in c else 4).alias(c) if c.startswith(
             ("encoder", "decoder")) else F.col(c) for c in RUN_COLUMNS])

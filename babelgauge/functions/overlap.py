@@ -164,14 +164,11 @@ def _token_sides(arrays: tuple[pa.Array, ...], lower: bool = False, rule: str |
     flat = [_flat(array, rule) for array in arrays]
     encoded = pa.concat_arrays([tokens for tokens, _ in flat]).dictionary_encode()
     codes, words = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
-    if lower:
-        folded = pc.utf8_lower(words).dictionary_encode()
-        codes, words = folded.indices.to_numpy().astype(np.int64)[codes], folded.dictionary
     sides, at = [], 0
     for _, lengths in flat:
         sides.append(Side(codes[at:at + lengths.sum()], lengths))
         at += lengths.sum()
-    return sides, words
+    return _folded(sides, words) if lower else (sides, words)
 
 
 KNOWN = 1 << 17  # words that a task keeps with what was made of them; most occurrences are of few
@@ -327,6 +324,24 @@ def token_overlap(prediction: Column, reference: Column, orders: int, rule: str
     return token_overlap_udf(prediction, reference)
 
 
+def overlap_and_alignment(prediction: Column, reference: Column, orders: int, rule: str) -> Column:
+    """``token_overlap`` of two string columns followed by the matches and chunks of their ``alignment``: split once."""
+
+    def counted(piece: list[pa.Array]) -> pa.Array:
+        sides, words = _token_sides(tuple(piece), rule=rule)
+        folded, small = _folded(sides, words)
+        hyp, ref = sides
+        table = np.column_stack((_clipped(hyp, ref, max(len(words), 1), orders), hyp.lengths, ref.lengths,
+                                 _align([tuple(folded)], max(len(small), 1))))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * (orders + 4), pa.int32()), pa.array(table.ravel()))
+
+    @F.arrow_udf("array<bigint>")
+    def overlap_and_alignment_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        return _joined([counted(piece) for piece in _pieces(hyp, ref)])
+
+    return overlap_and_alignment_udf(prediction, reference)
+
+
 def character_overlap(prediction: Column, reference: Column, orders: int) -> Column:
     """The same over the characters of two string columns, white space left out."""
 
@@ -379,15 +394,22 @@ def own_numbers(prediction: Column, reference: Column, row, fields: int) -> Colu
     return own_numbers_udf(prediction, reference)
 
 
-def _occurrence(key: np.ndarray) -> np.ndarray:
-    """0, 1, 2, ... for the repeated values of ``key``, in order of appearance."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    at = np.arange(len(key))
-    start = np.maximum.accumulate(np.where(np.concatenate((key[:1] == key[:1], ordered[1:] != ordered[:-1])), at, 0))
-    out = np.empty(len(key), np.int64)
-    out[order] = at - start
-    return out
+def _paired(hyp: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal keys on both sides: the first of a key with the first, the second with the second, and so on."""
+    keys = np.concatenate((hyp, ref))
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()).bit_length() + bits > 62:
+        keys = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    key = keys << bits | np.arange(len(keys))  # the place behind the key: one sort of numbers, the predictions first
+    key.sort()
+    place = key & ((1 << bits) - 1)
+    key >>= bits
+    starts = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+    size = np.diff(np.append(starts, len(key)))
+    mine = np.add.reduceat(place < len(hyp), starts, dtype=np.int64) if len(starts) else size
+    pairs = np.minimum(mine, size - mine)
+    first = np.repeat(starts - np.cumsum(pairs) + pairs, pairs) + np.arange(pairs.sum())
+    return place[first], place[first + np.repeat(mine, pairs)] - len(hyp)
 
 
 def _align(stages: list[tuple[Side, Side]], alphabet: int) -> np.ndarray:
@@ -396,24 +418,26 @@ def _align(stages: list[tuple[Side, Side]], alphabet: int) -> np.ndarray:
     rows = len(hyp.lengths)
     target = np.full(len(hyp.codes), -1, np.int64)
     taken = np.zeros(len(ref.codes), bool)
+    hyp_row, ref_row = hyp.row, ref.row
     for h, r in stages:
         h_free, r_free = np.flatnonzero(target < 0)[::-1], np.flatnonzero(~taken)[::-1]
-        keys = np.concatenate((hyp.row[h_free] * alphabet + h.codes[h_free],
-                               ref.row[r_free] * alphabet + r.codes[r_free]))
-        same = np.unique(keys, return_inverse=True)[1].astype(np.int64)
-        h_key, r_key = same[:len(h_free)], same[len(h_free):]
-        width = len(keys) + 1
-        _, h_at, r_at = np.intersect1d(h_key * width + _occurrence(h_key), r_key * width + _occurrence(r_key),
-                                       assume_unique=True, return_indices=True)
+        h_at, r_at = _paired(hyp_row[h_free] * alphabet + h.codes[h_free], ref_row[r_free] * alphabet + r.codes[r_free])
         target[h_free[h_at]] = r_free[r_at]
         taken[r_free[r_at]] = True
     at = np.flatnonzero(target >= 0)
-    to, row = target[at], hyp.row[at]
+    to, row = target[at], hyp_row[at]
     start = np.ones(len(at), bool)
     start[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (to[1:] != to[:-1] + 1)
     return np.stack((np.bincount(row, minlength=rows), np.bincount(row[start], minlength=rows)), axis=1)
 
 
+def _folded(sides: list[Side], words: pa.Array) -> tuple[list[Side], pa.Array]:
+    """The same tokens without case."""
+    folded = pc.utf8_lower(words).dictionary_encode()
+    codes = folded.indices.to_numpy().astype(np.int64)
+    return [Side(codes[side.codes], side.lengths) for side in sides], folded.dictionary
+
+
 def _stem_sides(sides: list[Side], words: pa.Array, known: dict[str, str]) -> list[Side]:
     """The same tokens as codes of their stems: the dictionary is stemmed, no token leaves its row."""
     stems = pa.array(_made(words, porter, known), pa.string()).dictionary_encode()

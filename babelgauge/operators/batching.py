@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from babelgauge.operators.ordering import running_sum
 
 PAD, LABEL_MASK = 0, -100  # fixed values
+BLOCK = 1 << 16  # places in the order that are numbered together: the rows hold texts
 
 
 def with_batches(df: DataFrame, batch_size: int, idx: str = "idx") -> DataFrame:
@@ -19,7 +20,7 @@ def with_batches(df: DataFrame, batch_size: int, idx: str = "idx") -> DataFrame:
 def renumbered(df: DataFrame, idx: str = "idx", keys: Sequence[str] = ()) -> DataFrame:
     """The rows left after a filter numbered 0, 1, 2, ... in order of ``idx`` (within ``keys``), so that batches are full
     again."""
-    counted = running_sum(df, list(keys), idx, F.lit(1), "_number")
+    counted = running_sum(df, list(keys), idx, F.lit(1), "_number", F.floor(F.col(idx) / BLOCK))
     return counted.withColumn(idx, (F.col("_number") - 1).cast("long")).drop("_number")
 
 

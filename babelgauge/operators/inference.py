@@ -94,7 +94,7 @@ def translate_piece(translate: Translate, texts: list[str], size: int, timed: bo
             yield "prediction", row, prediction
 
 
-def run_batches(corpus: DataFrame, translate: Translate, batch_size: int, text: str = "source") -> DataFrame:
+def run_batches(corpus: DataFrame, translate: Translate, batch_size: int, text: str = "source", tasks: int | None = None) -> DataFrame:
     """The events (``EVENTS``) of all batches of ``corpus (run_id, idx, <text>)``.
 
     ``translate(texts)`` or ``translate(texts, timer)`` gives one prediction for each text; with a timer it records the
@@ -102,26 +102,32 @@ def run_batches(corpus: DataFrame, translate: Translate, batch_size: int, text:
     hold the same rows however the input is partitioned, and failures and retries repeat; a text that is null is empty.
     Tasks get units of ``UNIT`` whole batches by a hash and cut them from their sorted rows, so neither a long run nor
     one with many rows is one task. Rows without ``idx`` are dealt as they come, a bounded number together; their
-    batches have no number.
+    batches have no number. ``tasks`` sets their number, as with ``repartition``; else it is left to the session.
 
     Kinds of events: ``prediction`` (idx, prediction), ``call`` (layer_type, latency_s) of attempts that succeeded, and
     ``failure`` (idx of the first row, batch_size tried, message). ``call_seq`` orders the events of a run.
     """
     timed = len(inspect.signature(translate).parameters) > 1
 
-    def events(batch: pd.DataFrame) -> pd.DataFrame:
-        run, number = batch["run_id"].iloc[0], batch["batch_id"].iloc[0]
-        idx = batch["idx"].tolist()
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    types = {c: "Int64" for c in ("run_id", "batch_id", "call_seq", "idx", "batch_size")} | {"latency_s": "float64"}
+
+    def events(held: pd.DataFrame, edges: list[int]) -> pd.DataFrame:
+        """What comes of the batches that begin at the edges (the last edge is their end)."""
+        runs, numbers, idx = (held[c].astype(object).where(held[c].notna(), None).tolist() for c in ("run_id", "batch_id", "idx"))
+        texts = held["text"].fillna("").tolist()
         out = []
-        for i, (kind, row, *rest) in enumerate(translate_piece(translate, batch["text"].fillna("").tolist(), batch_size, timed)):
-            seq = None if pd.isna(number) else (int(number) << CALL_BITS) + i
-            told = {"prediction": {"idx": idx[row], "prediction": rest[0]},
-                    "call": {"layer_type": rest[0], "latency_s": rest[-1]},
-                    "failure": {"idx": idx[row], "batch_size": rest[0], "message": rest[-1]}}[kind]
-            out.append({"kind": kind, "run_id": run, "batch_id": number, "call_seq": seq, **told})
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")], dtype=object)
-        whole = ["run_id", "batch_id", "call_seq", "idx", "batch_size"]
-        return frame.astype({c: "Int64" for c in whole} | {"latency_s": "float64"})
+        for start, stop in zip(edges[:-1], edges[1:]):
+            run, number = runs[start], numbers[start]
+            for i, (kind, row, *rest) in enumerate(translate_piece(translate, texts[start:stop], batch_size, timed)):
+                head = kind, run, number, None if number is None else (int(number) << CALL_BITS) + i
+                if kind == "prediction":
+                    out.append((*head, idx[start + row], rest[0], None, None, None, None))
+                elif kind == "call":
+                    out.append((*head, None, None, rest[0], rest[-1], None, None))
+                else:
+                    out.append((*head, idx[start + row], None, None, None, rest[0], rest[-1]))
+        return pd.DataFrame(out, columns=names, dtype=object).astype(types)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -135,17 +141,17 @@ def run_batches(corpus: DataFrame, translate: Translate, batch_size: int, text:
             run = keys.ne(keys.shift()).any(axis=1).cumsum()
             part = run * (1 << 20) + held.groupby(run).cumcount() // batch_size
             edges = [*part.drop_duplicates().index, len(held)]
-            for start, stop in zip(edges[:-2], edges[1:-1]):  # the last batch may go on in the next frame
-                yield events(held.iloc[start:stop])
+            if len(edges) > 2:  # the last batch may go on in the next frame
+                yield events(held, edges[:-1])
             held = held.iloc[edges[-2]:].reset_index(drop=True)
         if held is not None and len(held):
-            yield events(held)
+            yield events(held, [0, len(held)])
 
     rows = with_batches(corpus.select(F.col("run_id").cast("long").alias("run_id"), F.col("idx").cast("long").alias("idx"),
                                       F.col(text).alias("text")), batch_size)
     loose = -1 - F.floor(F.monotonically_increasing_id() / (UNIT * batch_size))
     unit = F.when(F.col("idx").isNull(), loose).otherwise(F.floor(F.col("batch_id") / UNIT))
-    dealt = rows.withColumn("unit", unit).repartition("run_id", "unit").sortWithinPartitions("run_id", "unit", "batch_id", "idx", "text")
+    dealt = rows.withColumn("unit", unit).repartition(*([tasks] if tasks else []), "run_id", "unit").sortWithinPartitions("run_id", "unit", "batch_id", "idx", "text")
     return dealt.select("run_id", "batch_id", "idx", "text").mapInPandas(cut, EVENTS)
 
 

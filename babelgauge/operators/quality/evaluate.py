@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from babelgauge.functions.text import strip
-from babelgauge.operators.quality.metrics import HYP, REF, Metric
+from babelgauge.operators.quality.metrics import HYP, REF, Bleu, Meteor, Metric
 
 
 def row_statistics(pairs: DataFrame, metrics: Sequence[Metric], keep: Sequence[str | Column] = (),
@@ -27,7 +27,7 @@ def row_statistics(pairs: DataFrame, metrics: Sequence[Metric], keep: Sequence[s
         for name, column in m.overlaps().items():
             overlaps.setdefault(name, column)
         counts |= {m.part(part): formula for part, formula in m.counts().items()}
-    counts = _shared(overlaps, counts)
+    counts = _split_once(metrics, overlaps, _shared(overlaps, counts))
     return texts.select(*names, *_named(tokens)).select(*names, *_named(overlaps)) \
         .selectExpr(*names, *[f"{formula} AS {name}" for name, formula in counts.items()])
 
@@ -46,6 +46,24 @@ def _shared(overlaps: dict[str, Column], counts: dict[str, str]) -> dict[str, st
     return counts
 
 
+def _split_once(metrics: Sequence[Metric], overlaps: dict[str, Column], counts: dict[str, str]) -> dict[str, str]:
+    """``counts`` with METEOR's alignment read from the pass of a BLEU that splits texts by the same rule; its own is dropped."""
+    for meteor in metrics:
+        if not isinstance(meteor, Meteor) or not meteor.plain():
+            continue
+        bleu = next((m for m in metrics if isinstance(m, Bleu) and m.tokenize == meteor.tokenize), None)
+        own = meteor.part("aligned")
+        if bleu is None or own not in overlaps:
+            continue
+        del overlaps[own]
+        shared, orders = next(iter(bleu.overlaps())), bleu.orders
+        overlaps[shared] = bleu.with_alignment()
+        place = [orders + 2, orders + 3, orders, orders + 1]  # matches, chunks and the two lengths
+        counts = {name: re.sub(rf"\b{own}\[(\d)\]", lambda found: f"{shared}[{place[int(found[1])]}]", formula)
+                  for name, formula in counts.items()}
+    return counts
+
+
 def _named(columns: dict[str, Column]) -> list[Column]:
     return [column.alias(name) for name, column in columns.items()]
 

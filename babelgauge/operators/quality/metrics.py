@@ -92,6 +92,10 @@ class Bleu(Metric):
         hyp, ref = token_columns(self.tokenize)
         return {self._overlap(): overlap.token_overlap(F.col(hyp), F.col(ref), self.orders, rule(self.tokenize))}
 
+    def with_alignment(self) -> Column:
+        """The overlap and, after it, the alignment of a METEOR that splits the texts by the same rule."""
+        return overlap.overlap_and_alignment(F.col(HYP), F.col(REF), self.orders, RULES[self.tokenize])
+
     def counts(self) -> dict[str, str]:
         counted = self._overlap()
         out = {"hyp_len": f"{counted}[{self.orders}]", "ref_len": f"{counted}[{self.orders + 1}]"}
@@ -182,6 +186,10 @@ class Meteor(Metric):
         return {self.part("aligned"): overlap.alignment(*[(F.col(h), F.col(r)) for h, r in pairs], stem=self.stem,
                                                          rule=RULES.get(self.tokenize))}
 
+    def plain(self) -> bool:
+        """Whether texts are split by a rule and aligned by their surface forms alone."""
+        return self.tokenize in RULES and not self.stages and not self.stem
+
     def counts(self) -> dict[str, str]:
         matches, chunks, hyp_len, ref_len = (f"{self.part('aligned')}[{i}]" for i in range(4))
         p, r = f"({matches} / {hyp_len})", f"({matches} / {ref_len})"

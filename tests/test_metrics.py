@@ -103,6 +103,31 @@ def test_slices_do_not_change_counts(monkeypatch):
     assert overlap._joined([overlap._counts(*overlap._character_sides(*p), 6) for p in pieces]).to_pylist() == whole
 
 
+def test_bleu_and_meteor_split_texts_once(spark):
+    """Together they are one function of the texts and score as they do alone; with stems METEOR keeps its own."""
+    pairs = messy(11) + [("", "a"), (None, "b"), ("c", None)]
+    together = score(spark, pairs, ["sacrebleu", "meteor"])
+    for name in ("sacrebleu", "meteor"):
+        assert together[name] == score(spark, pairs, [name])[name]
+    text = row_statistics(table(spark, pairs), metrics(["sacrebleu", "meteor"]))._jdf.queryExecution().toString()
+    assert "overlap_and_alignment_udf" in text and " alignment_udf" not in text and "token_overlap_udf" not in text
+    stems = [metric("sacrebleu"), Meteor(stem=True)]
+    alone = evaluate(table(spark, pairs), stems[1:]).first()["meteor"]
+    assert evaluate(table(spark, pairs), stems).first()["meteor"] == alone
+
+
+def test_equal_keys_are_paired_in_order():
+    rng = np.random.default_rng(4)
+    for scale in (1, 1 << 55):
+        for _ in range(50):
+            hyp, ref = (rng.integers(0, 6, rng.integers(0, 20)) * scale for _ in range(2))
+            want = set()
+            for key in set(hyp.tolist()) & set(ref.tolist()):
+                want |= set(zip(np.flatnonzero(hyp == key).tolist(), np.flatnonzero(ref == key).tolist()))
+            at, to = overlap._paired(hyp, ref)
+            assert len(set(at.tolist())) == len(at) and set(zip(at.tolist(), to.tolist())) == want
+
+
 def test_memory_does_not_grow_with_the_batch():
     import tracemalloc
 

@@ -190,6 +190,17 @@ def test_batches_are_full_after_a_filter(spark):
     assert sizes == [32] * 5 + [7]
 
 
+def test_rows_are_numbered_in_bounded_blocks(spark):
+    """A run of more places than a block is several groups, numbered on from each other; repeated places are all numbered."""
+    rows = spark.range(200_000).select(F.lit(1).alias("run_id"), F.expr("id div 2 * 2 AS idx"), "id")
+    numbered = batching.renumbered(rows, keys=["run_id"])
+    last = numbered.agg(F.min("idx"), F.max("idx"), F.count_distinct("idx"), F.count("*")).first()
+    assert tuple(last) == (0, 199_999, 200_000, 200_000)
+    assert numbered.where("idx <> id AND idx <> bigint(id) + 1 AND idx <> id - 1").isEmpty()
+    windows = numbered._jdf.queryExecution().toString()
+    assert f"/ {float(batching.BLOCK)}" in windows or f"/ cast({batching.BLOCK}" in windows
+
+
 @pytest.mark.parametrize("heavy", [0, 3, 1 << 16])
 def test_lookups_with_and_without_a_map(spark, monkeypatch, heavy):
     """Repeated keys, unknown and null tokens, null and empty arrays; whatever share of the tokens the tasks know."""
@@ -339,6 +350,10 @@ def test_failing_calls(spark):
     assert [c.layer_type for c in calls[:3]] == ["encoder", "decoder", "decoder"] and len({c.call_seq for c in calls}) == len(calls)
     again = inference.run_batches(df.repartition(2), moody, 16)
     assert sorted(map(str, inference.failures(again).collect())) == sorted(map(str, failed.collect()))  # repeatable
+    dealt = inference.run_batches(df, moody, 16, tasks=13)
+    assert dealt.rdd.getNumPartitions() == 13
+    parts = lambda e: sorted(map(str, e.where("kind <> 'call'").collect()))
+    assert parts(dealt) == parts(events)
     kept = inference.predictions(inference.within_budget(events, budget=0))
     assert {(r.run_id, r.n) for r in kept.groupBy("run_id").agg(F.count("*").alias("n")).collect()} == {(1, 40), (2, 40), (None, 1)}
 

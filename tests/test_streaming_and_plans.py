@@ -1,5 +1,7 @@
 """Streams against batches, and the shape of the physical plans."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,24 @@ def test_metrics_shuffle_counts_not_grams(spark):
     assert physical.count("Exchange ") == 2
 
 
+def test_texts_are_not_dealt_to_runs(spark, monkeypatch):
+    """The settings of the runs are a small table beside the texts, and many even tasks give the rows of few."""
+    from babelgauge.catalog import control
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50000")  # below the size of the texts
+    try:
+        few = queries()["x1_result_rows"](spark, FOLDER)
+        physical = few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert re.search(r"BroadcastHashJoin \[run_id#\d+L?\], \[run_id#\d+L?\], Inner", physical)
+    want = sorted(map(str, few.collect()))
+    monkeypatch.setattr(control, "TASK_ROWS", 10)
+    assert sorted(map(str, queries()["x1_result_rows"](spark, FOLDER).collect())) == want
+
+
 def test_filters_reach_the_scan(spark):
     path = work_path(spark, "runs")
     Inputs(spark, FOLDER).runs.write.parquet(path)
