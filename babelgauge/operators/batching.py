@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from babelgauge.operators.ordering import running_sum
 
 PAD, LABEL_MASK = 0, -100  # fixed values
-BLOCK = 1 << 16  # places in the order that are numbered together: the rows hold texts
+BLOCK = 1 << 13  # places in the order that are numbered together: the rows hold texts
 
 
 def with_batches(df: DataFrame, batch_size: int, idx: str = "idx") -> DataFrame:
