@@ -234,7 +234,7 @@ def candidate_links(sets: DataFrame, flips: int) -> DataFrame:
     hot = met.where(F.col("members") > HOT)
     star = hot.join(hot.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a != b")
     small = met.where(F.col("members") <= HOT).join(sets.select("node", "sketch"), "node").select("key", "node", "sketch")
-    return small.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(solve), "a long, b long").union(star).distinct()
+    return small.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(solve), "a long, b long").union(star)
 
 
 class Part:
@@ -282,7 +282,7 @@ def _search(members: DataFrame, flips: int, percent: int) -> DataFrame:
                     yield _pairs(found)
 
     told = members.select("group", "part", "node", "sketch", "shingles")
-    return told.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(tidy(solve), "a long, b long").distinct()
+    return told.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(tidy(solve), "a long, b long")
 
 
 def near_duplicate_sets(docs: DataFrame, words: int = 5, percent: int = 85, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -349,18 +349,19 @@ def _linked(members: DataFrame, flips: int, percent: int, part_bytes: int) -> Da
     chosen = pivots.select(F.explode("pivots").alias("node")).distinct()
     visiting = large.join(chosen, "node").select(*columns, F.col("part").alias("home"), everywhere).where("part != home").drop("home")
     first = settle(_search(members.select(*columns, "part").unionByName(visiting), flips, percent), "links")
-    return first.union(_visits(large, first, flips, percent, part_bytes))
+    roots = settle(components(first), "roots")
+    # the roots connect what the first links do, in stars
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_visits(large, roots, flips, percent, part_bytes))
 
 
-def _visits(large: DataFrame, first: DataFrame, flips: int, percent: int, part_bytes: int) -> DataFrame:
+def _visits(large: DataFrame, roots: DataFrame, flips: int, percent: int, part_bytes: int) -> DataFrame:
     """Links of members outside the main component of their group, each compared with all parts of the group."""
-    roots = components(first)
     told = large.select("node", "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = told.groupBy("group", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     outside = settle(salted_join(told, main, ["group"], "node").where("root != main").select("node"), "outside")
     if outside.isEmpty():
-        return first.limit(0)
+        return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0)
     visitors = large.join(outside, "node")
     chunks = visitors.groupBy("group").agg(F.ceil(F.sum(F.length("shingles")) / part_bytes).alias("chunks"))
     chunk = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("chunks"))
