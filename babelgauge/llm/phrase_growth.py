@@ -10,7 +10,8 @@ the first 2000 and their ties are settled. If too few survive, the frontier of t
 
 Counting runs over blocks (see ``blocks``). Words that are too rare to be in a candidate are zeros in a block of word
 numbers, as are the borders of pieces; numbers are exact names, so no phrase is known by a hash. A block asks once for
-each distinct phrase, hash buckets add up the counts, and blocks are told which phrases to grow.
+each distinct phrase, hash buckets add up the counts, and blocks are told which phrases to grow. Texts and first numbers
+are removed as soon as nothing reads them any more, so the disk holds one form of the input at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from babelgauge.llm import blocks as B
 from babelgauge.llm.work import give_back, settle, tidy
+from babelgauge.session import release
 
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -268,11 +270,13 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
     blocks = B.as_blocks(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "lang", "text", block_bytes=block_bytes)
     buckets = B.bucket_count(blocks)
     own = parsed(blocks)
+    release(blocks)
     asked = asked_words(own)
     n = settle(asked.groupBy("lang").agg(F.sum("c").alias("n")), "sizes")  # one row a language
     counted = asked.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     words = _numbers(counted)
     encoded = numbered(own, asked.join(words, ["lang", "word"]).select("block", "key", "id"))
+    release(own)
 
     def pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         _, hi, lo = grams(batch.column("ids").to_numpy(zero_copy_only=False), 2)
@@ -300,6 +304,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
         limit = settle(edge.join(limit, "lang", "left").withColumn("limit", F.coalesce("limit", F.when(F.col("whole"), F.lit(0)))), "limits")
         if limit.where("limit IS NULL").isEmpty():
             break
+        release(letters3, three)
         wide *= 4
     limit = limit.select("lang", "limit")
 

@@ -92,6 +92,17 @@ def settle(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more: what was made from them must be written by now."""
+    for df in tables:
+        spark = df.sparkSession
+        names = {file.split("/")[-2] for file in df.inputFiles()}
+        for path in _WORK.get(spark.sparkContext.applicationId, []):
+            if path.split("/")[-1] in names:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet table of texts, in as many tasks as ``spark.babelgauge.textTasks`` asks for.
 

@@ -1,5 +1,6 @@
 """Collocations against counting everything."""
 
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -70,6 +71,23 @@ def test_phrases(spark, top, least, frontier, block_bytes):
     assert len({w[0] for w in want}) >= 4 and {len(w[2].split(" ")) for w in want} == {2, 3, 4}
 
 
+def test_disk_holds_one_form_of_the_input(spark, monkeypatch):
+    """Texts and first numbers, and what a frontier that was too narrow has counted, are removed before the result is there."""
+    made, write = [], P.settle
+    monkeypatch.setattr(P, "settle", lambda df, label: made.append((label, write(df, label))) or made[-1][1])
+    monkeypatch.setattr(P.B, "settle", P.settle)
+    rows = [(t, "en") for t in sentences(1, 150)]
+    got = P.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(3), least=8, top=12, frontier=12)
+
+    def kept(label):
+        folders = [{os.path.dirname(f.removeprefix("file://")) for f in df.inputFiles()} for name, df in made if name == label]
+        return [any(os.path.exists(x) for x in each) for each in folders]
+
+    assert kept("blocks") == kept("parsed") == [False] and kept("numbered") == [True]
+    assert len(kept("limits")) > 1 and kept("letters")[0] and not kept("letters")[1]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(expected(rows, 8, 12))
+
+
 def test_nothing(nothing):
     assert P.collocations(nothing).count() == 0
 
