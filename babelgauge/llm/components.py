@@ -86,7 +86,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges (a, b)``; the root is the smallest node of its component."""
     share_package(edges.sparkSession)
     ordered = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = settle(_forests(settle(_forests(ordered), "edges")), "forests")
+    # written first: edges often come from a Python step, and two such steps in a task are two workers that hold memory
+    edges = settle(_forests(settle(ordered, "edges")), "forests")
     while not _settled(edges):
         edges = settle(_forests(settle(_star(_star(edges, large=True), large=False), "stars")), "forests")
     edges = edges.distinct()
