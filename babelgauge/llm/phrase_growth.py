@@ -10,12 +10,15 @@ the first 2000 and their ties are settled. If too few survive, the frontier of t
 
 Counting runs over blocks (see ``blocks``). Words that are too rare to be in a candidate are zeros in a block of word
 numbers, as are the borders of pieces; numbers are exact names, so no phrase is known by a hash. A block asks once for
-each distinct phrase, hash buckets add up the counts, and blocks are told which phrases to grow. Texts and first numbers
-are removed as soon as nothing reads them any more, so the disk holds one form of the input at a time.
+each distinct phrase, hash buckets add up the counts, and blocks are told which phrases to grow. Blocks write letters to
+all buckets, which is a product of two numbers that grow with the input, so blocks are large and buckets as few as memory
+allows. Texts and first numbers are removed as soon as nothing reads them any more, so the disk holds one form of the
+input at a time.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +34,16 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+PART_BYTES = 4 << 20  # text of a block that is parsed at once
+STEP = 1 << 19  # positions whose phrases are looked up at once
+MAIL_BYTES = 1 << 20  # letters of a block in an Arrow batch
+BUCKET_SIZE = 1 << 22  # words of the corpus for each bucket
 SCALE = 2_000_000
 KEEP, EXPAND = np.int8(1), np.int8(2)  # flags: both neighbours are wanted; what grows from it is wanted
 MAIL = B.MAIL_SCHEMA
+_MAIL = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
+_CODEC = pa.Codec("zstd")
 COUNT_SCHEMA = "bucket long, hi long, lo long, a long"
 
 
@@ -63,106 +72,240 @@ class Words:
         self.keys = B.mix(B.word_hashes(self.data, self.starts, self.ends) + B.mix(named)[self.lang])
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A block in parts of bounded text; one longer text is a part of its own."""
+    ends = np.cumsum(np.diff(B.text_bytes(batch.column(1))[1]) + 16)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _first(code: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n codes occurs first."""
+    at = np.zeros(n, np.int64)
+    at[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return at
+
+
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the values among the distinct ones, and these, by a hash table."""
+    d = pa.array(values).dictionary_encode()
+    return d.indices.to_numpy(), d.dictionary.to_numpy()
+
+
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the values among the distinct ones in order, and these."""
+    code, distinct = _coded(values)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[code], distinct[order]
+
+
 def parsed(blocks: DataFrame) -> DataFrame:
-    """``block, body, words``, written: every block as numbers of its own distinct words (0 between pieces), and these
-    words with language and count. Texts are read this once."""
+    """``block, size, body, words``, written: every block as numbers of its own distinct words (0 between pieces), and
+    these words with language, count and leading hash bits, in the order of their hashes. Texts are read this once."""
+
+    def part(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+        code, keys = _coded(w.keys)
+        at = _first(code, len(keys))
+        numbers = np.insert((code + 1).astype(np.uint32), np.flatnonzero(w.new_piece), np.uint32(0))
+        sizes = w.ends[at] - w.starts[at]
+        offsets = np.append(0, np.cumsum(sizes))
+        letters = np.repeat(w.starts[at] - offsets[:-1], sizes) + np.arange(offsets[-1])
+        words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(w.data[letters]))
+        return numbers, keys, np.bincount(code, minlength=len(keys)), w.langs.dictionary.take(pa.array(w.lang[at])).cast(pa.large_string()), words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
-                w = Words(B.unpack(body.as_py()))
-                keys, at, code, counts = np.unique(w.keys, return_index=True, return_inverse=True, return_counts=True)
-                numbers = np.insert((code + 1).astype(np.uint32), np.flatnonzero(w.new_piece), np.uint32(0))
-                sizes = w.ends[at] - w.starts[at]
-                offsets = np.append(0, np.cumsum(sizes))
-                letters = np.repeat(w.starts[at] - offsets[:-1], sizes) + np.arange(offsets[-1])
-                words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(w.data[letters]))
-                named = pa.RecordBatch.from_arrays([w.langs.dictionary.take(pa.array(w.lang[at])).cast(pa.string()), words, pa.array(counts)], names=["lang", "word", "c"])
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "body": pa.array([B.pack_arrays(ids=numbers)], pa.binary()),
-                                                  "words": pa.array([B.pack(named)], pa.binary())})
-            give_back()
-
-    return settle(blocks.mapInArrow(tidy(run), "block long, body binary, words binary"), "parsed")
-
-
-def asked_words(blocks: DataFrame) -> DataFrame:
-    """``block, lang, word, key, c``: the distinct words of every block and language, their number there and count."""
+                numbers, keys, counts, langs, words = zip(*(part(Words(x)) for x in _parts(B.unpack(body.as_py()))))
+                starts = np.cumsum([0, *map(len, keys)])
+                code, keys = _ranked(np.concatenate(keys))
+                at = _first(code, len(keys))
+                number = (code + 1).astype(np.uint32)
+                ids = np.concatenate([np.append(np.uint32(0), number[i:j])[x] for x, i, j in zip(numbers, starts[:-1], starts[1:])])
+                c = np.zeros(len(keys), np.int64)
+                np.add.at(c, code, np.concatenate(counts))
+                words = pa.concat_arrays(words).take(pa.array(at))
+                named = pa.RecordBatch.from_arrays([pa.concat_arrays(langs).take(pa.array(at)), words, pa.array(c), pa.array((keys >> np.uint64(32)).astype(np.uint32))], names=["lang", "word", "c", "bits"])
+                size = len(ids) + int(pa.compute.sum(pa.compute.binary_length(words)).as_py() or 0) // 8
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "size": pa.array([size], pa.int64()),
+                                                  "body": pa.array([B.pack_arrays(ids=ids)], pa.binary()), "words": pa.array([B.pack(named)], pa.binary())})
+                give_back()
+
+    return settle(blocks.mapInArrow(tidy(run), "block long, size long, body binary, words binary"), "parsed")
+
+
+def bucket_count(own: DataFrame) -> int:
+    """As many buckets (a power of two) as keep a bucket's share within bounds, however many blocks there are: a letter
+    to each bucket from each block has then a size that pays."""
+    size = own.agg(F.sum("size")).first()[0] or 0
+    return 1 << max(3, (-(-size // BUCKET_SIZE) - 1).bit_length())
+
+
+def asked_words(own: DataFrame, buckets: int) -> DataFrame:
+    """The distinct words of every block to the buckets of their hashes, written. ``first``: how many are before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("words")):
                 named = B.unpack(body.as_py())
-                for i in range(0, named.num_rows, 1 << 15):
-                    part = named.slice(i, 1 << 15)
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), part.column(0), part.column(1).cast(pa.string()),
-                                                      pa.array(np.arange(i + 1, i + n + 1)), part.column(2)], names=["block", "lang", "word", "key", "c"])
+                bits = named.column("bits").to_numpy().astype(np.uint64) << np.uint64(32)
+                named = named.select(["lang", "word", "c"])
+                letters = ((b, named.slice(at.start, at.stop - at.start), at.start) for b, at in B.deal(bits, buckets))
+                yield from _mailed(block, ((b, B.pack(x.append_column("first", pa.array(np.full(x.num_rows, first))))) for b, x, first in letters))
+
+    return settle(own.select("block", "words").mapInArrow(tidy(run), MAIL), "words")
 
-    return blocks.select("block", "words").mapInArrow(tidy(run), "block long, lang string, word string, key long, c long")
 
+def known_words(letters: DataFrame, least: int, buckets: int) -> DataFrame:
+    """What the buckets know of their words, written. Rows with ``word``: the words with at least this count, and a number
+    of each. Rows with ``lang`` alone: its number of words. Rows with ``block``: the block's own numbers and the new ones.
 
-def numbered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    Numbers are given out by turns, so they are dense, no two buckets have the same, and no global order is needed.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        bucket = table.column("bucket")[0].as_py()
+        parts = [B.unpack(x.as_py()) for x in table.column("body")]
+        lang, word, c, first = pa.Table.from_batches(parts).combine_chunks().to_batches()[0].columns
+        lang = lang.dictionary_encode()
+        named = pa.compute.binary_join_element_wise(lang.indices.cast(pa.large_string()), word, pa.scalar(" ", pa.large_string())).dictionary_encode()
+        code, n = named.indices.to_numpy(), len(named.dictionary)
+        f, total = np.zeros(n, np.int64), np.zeros(len(lang.dictionary), np.int64)
+        np.add.at(f, code, c.to_numpy())
+        np.add.at(total, lang.indices.to_numpy(), c.to_numpy())
+        frequent = np.flatnonzero(f >= least)
+        number = np.zeros(n, np.int64)
+        number[frequent] = np.arange(len(frequent)) * buckets + bucket + 1
+        if len(frequent) and number[frequent[-1]] >> 32:
+            raise OverflowError("more words than numbers of 32 bits")
+        ids, own = number[code].astype(np.uint32), first.to_numpy().astype(np.uint32)
+        replies, start = [], 0
+        for block, x in zip(table.column("block").to_pylist(), parts):
+            at = np.flatnonzero(ids[start : start + x.num_rows])
+            if len(at):
+                replies.append((block, B.pack_arrays(key=own[start] + 1 + at.astype(np.uint32), id=ids[start + at])))
+            start += x.num_rows
+        at = pa.array(_first(code, n)[frequent])
+        del parts
+        give_back()
+        k, m, r = len(frequent), len(total), len(replies)
+        return pa.table({
+            "bucket": pa.array(np.full(k + m + r, bucket)),
+            "block": pa.array([None] * (k + m) + [b for b, _ in replies], pa.int64()),
+            "body": pa.array([None] * (k + m) + [x for _, x in replies], pa.binary()),
+            "lang": pa.concat_arrays([lang.dictionary.take(lang.indices.take(at)), lang.dictionary, pa.nulls(r, pa.large_string())]).cast(pa.string()),
+            "word": pa.concat_arrays([word.take(at), pa.nulls(m + r, pa.large_string())]).cast(pa.string()),
+            "f": pa.concat_arrays([pa.array(f[frequent]), pa.array(total), pa.nulls(r, pa.int64())]),
+            "id": pa.concat_arrays([pa.array(number[frequent]), pa.nulls(m + r, pa.int64())]),
+        })
+
+    return settle(letters.groupBy("bucket").applyInArrow(run, f"{MAIL}, lang string, word string, f long, id long"), "word-numbers")
+
+
+def numbered(own: DataFrame, answers: DataFrame) -> DataFrame:
     """Blocks of word numbers of the whole corpus: 0 for rare words and between pieces, one after another only where
     something is."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers = np.zeros(0, np.uint32)
-        if left.num_rows and right.num_rows:
-            own = B.unpack_arrays(left.column("body")[0].as_py())["ids"]
-            table = np.zeros(int(own.max(initial=0)) + 1, np.uint32)
-            table[right.column("key").to_numpy()] = right.column("id").to_numpy().astype(np.uint32)
-            numbers = table[own]
-            numbers = numbers[(numbers > 0) | np.append(True, numbers[:-1] > 0)]
-        block = left.column("block") if left.num_rows else right.column("block").slice(0, 1)
-        give_back()
-        return pa.table({"block": block, "body": pa.array([B.pack_arrays(ids=numbers)] * len(block), pa.binary())})
+    def use(block: int, batch: pa.RecordBatch, replies: list[dict[str, np.ndarray]]) -> pa.Table:
+        ids = batch.column("ids").to_numpy(zero_copy_only=False)
+        table = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
+        for r in replies:
+            table[r["key"]] = r["id"]
+        numbers = table[ids]
+        numbers = numbers[(numbers > 0) | np.append(True, numbers[:-1] > 0)[: len(numbers)]]
+        return pa.table({"block": pa.array([block], pa.int64()), "body": pa.array([B.pack_arrays(ids=numbers)], pa.binary())})
 
-    return settle(blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, B.BLOCK_SCHEMA), "numbered")
+    return settle(B.with_answers(own.select("block", "body"), answers, use, B.BLOCK_SCHEMA), "numbered")
 
 
-def grams(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of all phrases of this length, and their names: two words in a number."""
+def grams(ids: np.ndarray, length: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all phrases of this length (of the wanted ones), and their names: two words in a number."""
     n = max(0, len(ids) - length + 1)
-    wide = [ids[i : i + n].astype(np.uint64) for i in range(length)]
-    ok = np.ones(n, bool)
-    for w in wide:
-        ok &= w > 0
+    ok = ids[:n] > 0 if wanted is None else (ids[:n] > 0) & wanted[:n]
+    for i in range(1, length):
+        ok &= ids[i : i + n] > 0
     at = np.flatnonzero(ok)
-    wide = [w[at] for w in wide] + [np.zeros(len(at), np.uint64)] * (4 - length)
-    return at, wide[0] << np.uint64(32) | wide[1], wide[2] << np.uint64(32) | wide[3]
+    wide = [ids[at + i].astype(np.uint64) for i in range(length)] + [np.uint64(0)] * (4 - length)
+    lo = wide[2] << np.uint64(32) | wide[3] if length > 2 else np.zeros(len(at), np.uint64)
+    return at, wide[0] << np.uint64(32) | wide[1], lo
 
 
 def letters_of(hi: np.ndarray, lo: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """Distinct phrases with their counts, dealt to buckets by a hash, in order in each."""
-    bucket = (B.mix(hi ^ B.mix(lo + np.uint64(1))) >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.uint32)
-    order = np.lexsort((lo, hi)) if lo.any() else np.argsort(hi)
-    order = order[np.argsort(bucket[order], kind="stable")]
-    hi, lo, bucket = hi[order], lo[order], bucket[order]
-    first = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))[: len(hi)])
-    counts = np.diff(np.append(first, len(hi))).astype(np.uint32)
-    hi, lo, bucket = hi[first], lo[first], bucket[first]
+    hi, lo, counts = _distinct(hi, lo)
+    counts = counts.astype(np.uint32)
+    bucket = (B.mix(hi ^ B.mix(lo + np.uint64(1))) >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    hi, lo, bucket, counts = hi[order], lo[order], bucket[order], counts[order]
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
     for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
         part = slice(start, stop)
         yield int(bucket[start]), _packed(hi[part], lo[part], c=counts[part])
 
 
-def _packed(hi: np.ndarray, lo: np.ndarray, **more: np.ndarray) -> bytes:
-    """Names word by word: sorted columns of small numbers compress well."""
-    low = np.uint64(0xFFFFFFFF)
-    words = {"w1": hi >> np.uint64(32), "w2": hi & low, "w3": lo >> np.uint64(32), "w4": lo & low}
-    return B.pack_arrays(**{k: v.astype(np.uint32) for k, v in words.items() if k < "w3" or v.any()}, **more)
+def pairs(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Letters with all two-word phrases of the blocks, written."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body")):
+                ids = B.unpack_arrays(body.as_py())["ids"]
+                hi = np.concatenate([grams(ids[i : i + STEP + 1], 2)[1] for i in range(0, max(1, len(ids)), STEP)])
+                yield from _mailed(block, letters_of(hi, np.zeros(len(hi), np.uint64), buckets))
+                give_back()
 
-def _names(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    none = np.zeros(len(a["w1"]), np.uint64)
-    w1, w2, w3, w4 = (a[k].astype(np.uint64) if k in a else none for k in ("w1", "w2", "w3", "w4"))
-    return w1 << np.uint64(32) | w2, w3 << np.uint64(32) | w4
+    return settle(blocks.mapInArrow(tidy(run), MAIL), "letters")
+
+
+def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names in order, and how often each is there."""
+    if not lo.any():
+        hi.sort()
+        first = np.flatnonzero(np.append(True, hi[1:] != hi[:-1])[: len(hi)])
+        return hi[first], lo[: len(first)], np.diff(np.append(first, len(hi)))
+    (a, his), (b, los) = _ranked(hi), _ranked(lo)
+    key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return his[key[first] >> np.uint64(32)], los[key[first] & np.uint64(0xFFFFFFFF)], np.diff(np.append(first, len(key)))
+
+
+def _packed(hi: np.ndarray, lo: np.ndarray, **more: np.ndarray) -> bytes:
+    """Names word by word and one more column, without the overhead of an Arrow stream, which is larger than a small
+    letter. Names are in order, so steps of the first word are small numbers and compress well."""
+    low = np.uint64(0xFFFFFFFF)
+    words = [hi >> np.uint64(32), hi & low, lo >> np.uint64(32), lo & low]
+    columns = [x.astype(np.uint32) for i, x in enumerate(words) if i < 2 or x.any()]
+    columns[0] = np.diff(columns[0], prepend=np.uint32(0))
+    (last,) = more.values()
+    return struct.pack("<IBB", len(hi), len(columns), last.itemsize) + _CODEC.compress(b"".join([*(x.tobytes() for x in columns), last.tobytes()]), asbytes=True)
 
 
 def _read(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a = B.unpack_arrays(body)
-    return *_names(a), a["c"]
+    n, k, size = struct.unpack_from("<IBB", body)
+    data = _CODEC.decompress(memoryview(body)[6:], n * (4 * k + size))
+    words = [*np.frombuffer(data, np.uint32, n * k).reshape(k, n).astype(np.uint64), *[np.zeros(n, np.uint64)] * (4 - k)]
+    first = np.cumsum(words[0]) & np.uint64(0xFFFFFFFF)
+    return first << np.uint64(32) | words[1], words[2] << np.uint64(32) | words[3], np.frombuffer(data, {1: np.int8, 4: np.uint32}[size], n, 4 * k * n)
+
+
+def _mailed(block: int, letters: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The letters of a block, about a MB in a batch."""
+    held, size = [], 0
+    for letter in letters:
+        held.append(letter)
+        size += len(letter[1])
+        if size > MAIL_BYTES:
+            yield B.letters_table(block, iter(held)).cast(_MAIL).to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield B.letters_table(block, iter(held)).cast(_MAIL).to_batches()[0]
 
 
 def totals(letters: DataFrame, least: int) -> DataFrame:
@@ -170,14 +313,14 @@ def totals(letters: DataFrame, least: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         bucket, parts = table.column("bucket")[0].as_py(), [_read(x.as_py()) for x in table.column("body")]
-        hi, lo, c = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((lo, hi))
-        hi, lo, c = hi[order], lo[order], c[order].astype(np.int64)
-        first = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
-        a = np.add.reduceat(c, first)
-        first, a = first[a >= least], a[a >= least]
+        names = pa.table(dict(zip(("hi", "lo", "a"), (np.concatenate(x) for x in zip(*parts)))))
+        del parts
+        found = names.group_by(["hi", "lo"], use_threads=False).aggregate([("a", "sum")])
+        found = found.filter(pa.compute.field("a_sum") >= least)
+        hi, lo, a = (found.column(x).to_numpy() for x in ("hi", "lo", "a_sum"))
+        del names, found
         give_back()
-        return pa.table({"bucket": pa.array(np.full(len(a), bucket)), "hi": pa.array(hi[first].view(np.int64)), "lo": pa.array(lo[first].view(np.int64)), "a": pa.array(a)})
+        return pa.table({"bucket": pa.array(np.full(len(a), bucket)), "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "a": pa.array(a.astype(np.int64))})
 
     return settle(letters.groupBy("bucket").applyInArrow(run, COUNT_SCHEMA), "totals")
 
@@ -190,14 +333,15 @@ def told(letters: DataFrame, flagged: DataFrame) -> DataFrame:
         if left.num_rows and right.num_rows:
             bucket = left.column("bucket")[0].as_py()
             hi, lo, flag = right.column("hi").to_numpy().view(np.uint64), right.column("lo").to_numpy().view(np.uint64), right.column("flag").to_numpy().astype(np.int8)
-            order = np.lexsort((lo, hi))
-            hi, lo, flag = hi[order], lo[order], flag[order]
-            for block, body in zip(left.column("block").to_pylist(), left.column("body")):
-                mine = _read(body.as_py())
-                place = find(hi, lo, mine[0], mine[1])
-                if (place >= 0).any():
-                    place = place[place >= 0]
-                    out.append((bucket, block, _packed(hi[place], lo[place], flag=flag[place])))
+            names = [_read(body.as_py())[:2] for body in left.column("body")]
+            place = find(hi, lo, *(np.concatenate(x) for x in zip(*names)))
+            start = 0
+            for block, (mine_hi, mine_lo) in zip(left.column("block").to_pylist(), names):
+                mine = place[start : start + len(mine_hi)]
+                start += len(mine_hi)
+                at = np.flatnonzero(mine >= 0)
+                if len(at):
+                    out.append((bucket, block, _packed(mine_hi[at], mine_lo[at], flag=flag[mine[at]])))
         give_back()
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "block": pa.array([x[1] for x in out], pa.int64()), "body": pa.array([x[2] for x in out], pa.binary())})
 
@@ -205,18 +349,19 @@ def told(letters: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def find(hi: np.ndarray, lo: np.ndarray, want_hi: np.ndarray, want_lo: np.ndarray) -> np.ndarray:
-    """The places of names among names sorted by (hi, lo); -1 for those that are not there."""
-    start, stop = np.searchsorted(hi, want_hi, side="left"), np.searchsorted(hi, want_hi, side="right")
-    while True:  # halve the runs of equal first halves, all at once
-        open_ = stop - start > 1
-        if not open_.any():
-            break
-        middle = (start + stop) // 2
-        low = lo[np.minimum(middle, len(lo) - 1)] <= want_lo
-        start, stop = np.where(open_ & low, middle, start), np.where(open_ & ~low, middle, stop)
-    at = np.minimum(start, max(len(hi) - 1, 0))
-    ok = (stop > start) & (lo[at] == want_lo) if len(hi) else np.zeros(len(want_hi), bool)
-    return np.where(ok, at, -1)
+    """The places of names among distinct names; -1 for those that are not there. First halves are looked up first."""
+    out = np.full(len(want_hi), -1, np.int64)
+    (a, his), (b, los) = _coded(hi), _coded(lo)
+    first = _places(want_hi, his)
+    at = np.flatnonzero(first >= 0)
+    second = _places(want_lo[at], los)
+    at, second = at[second >= 0], second[second >= 0]
+    out[at] = _places(first[at].astype(np.int64) << 32 | second, a.astype(np.int64) << 32 | b)
+    return out
+
+
+def _places(want: np.ndarray, among: np.ndarray) -> np.ndarray:
+    return pa.compute.index_in(pa.array(want), value_set=pa.array(among)).fill_null(-1).to_numpy()
 
 
 def grown(blocks: DataFrame, answers: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -226,22 +371,23 @@ def grown(blocks: DataFrame, answers: DataFrame, length: int, buckets: int) -> D
     occurrences are then counted, in every block, because the same parts are told to every block that holds them.
     """
 
-    def use(block: int, batch: pa.RecordBatch, replies: list[dict[str, np.ndarray]]) -> pa.Table:
-        ids = batch.column("ids").to_numpy(zero_copy_only=False)
-        names = [(*_names(r), r["flag"]) for r in replies] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8))]
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _MAIL.empty_table()
+        ids = B.unpack_arrays(left.column("body")[0].as_py())["ids"]
+        names = [_read(body.as_py()) for body in right.column("body")] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8))]
         hi, lo, flag = (np.concatenate(x) for x in zip(*names))
-        order = np.lexsort((lo, hi))
-        hi, lo, flag = hi[order], lo[order], flag[order]
         marks = np.zeros(len(ids) + 1, np.int8)
-        at, want_hi, want_lo = grams(ids, length - 1)
-        place = find(hi, lo, want_hi, want_lo)
-        marks[at[place >= 0]] = flag[place[place >= 0]]
-        at, want_hi, want_lo = grams(ids, length)
-        first, second = marks[at], marks[at + 1]
-        wanted = ((first & (KEEP | EXPAND)) > 0) | ((second & KEEP) > 0)
-        return B.letters_table(block, letters_of(want_hi[wanted], want_lo[wanted], buckets))
+        for start in range(0, len(ids), STEP):
+            at, want_hi, want_lo = grams(ids[start : start + STEP + length - 2], length - 1)
+            place = find(hi, lo, want_hi, want_lo)
+            marks[start + at[place >= 0]] = flag[place[place >= 0]]
+        _, want_hi, want_lo = grams(ids, length, ((marks[:-1] & (KEEP | EXPAND)) > 0) | ((marks[1:] & KEEP) > 0))
+        out = B.letters_table(left.column("block")[0].as_py(), letters_of(want_hi, want_lo, buckets))
+        give_back()
+        return out
 
-    return settle(B.with_answers(blocks, answers, use, MAIL), "letters")
+    return settle(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, MAIL), "letters")
 
 
 def score(a: Column, *pair: Column) -> Column:
@@ -268,21 +414,18 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
     """
     frontier = frontier or 32 * top
     blocks = B.as_blocks(docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "lang", "text", block_bytes=block_bytes)
-    buckets = B.bucket_count(blocks)
     own = parsed(blocks)
     release(blocks)
-    asked = asked_words(own)
-    n = settle(asked.groupBy("lang").agg(F.sum("c").alias("n")), "sizes")  # one row a language
-    counted = asked.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    words = _numbers(counted)
-    encoded = numbered(own, asked.join(words, ["lang", "word"]).select("block", "key", "id"))
+    buckets = bucket_count(own)
+    asked = asked_words(own, buckets)
+    known = known_words(asked, least, buckets)
+    release(asked)
+    n = known.where("block IS NULL AND word IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))  # one row a language
+    words = known.where("word IS NOT NULL").select("id", "lang", "word", "f")
+    encoded = numbered(own, known.where("block IS NOT NULL").select("bucket", "block", "body"))
     release(own)
 
-    def pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        _, hi, lo = grams(batch.column("ids").to_numpy(zero_copy_only=False), 2)
-        yield from letters_of(hi, lo, buckets)
-
-    letters = settle(B.send(encoded, pairs), "letters")
+    letters = pairs(encoded, buckets)
     f = words.select("id", "f")
     two = _with(totals(letters, least), f, "l", _word(1))
     two = _with(_with(two, f, "r", _word(2)), words.select("id", "lang"), "lang", _word(1))
@@ -329,17 +472,6 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, share: int =
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
-def _numbers(counted: DataFrame) -> DataFrame:
-    """``id, lang, word, f`` with numbers from 1, dense within written partitions: no global order is needed."""
-    dealt = settle(counted, "frequent-words").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    dealt = settle(dealt, "frequent-words")
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("rows"), F.min("row").alias("low"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition of the shuffle
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("part", "low", "before")
-    offsets = settle(offsets, "offsets")
-    return settle(dealt.join(offsets, "part").select((F.col("row") - F.col("low") + F.col("before") + 1).alias("id"), "lang", "word", "f"), "word-numbers")
-
-
 def _word(i: int) -> Column:
     """The number of the i-th word of a name; 0 if there is none."""
     half = F.col("hi") if i <= 2 else F.col("lo")

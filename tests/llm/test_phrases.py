@@ -106,3 +106,30 @@ def test_find():
     a, b = (np.array(x, np.uint64) for x in zip(*names))
     found = P.find(a, b, hi, lo)
     assert [names[i] if i >= 0 else None for i in found] == [x if x in names else None for x in zip(hi.tolist(), lo.tolist())]
+
+
+def test_letters_grow_with_the_blocks_and_not_with_their_square(spark, monkeypatch):
+    """A corpus of few words has few buckets in however many blocks it comes; each block writes to each bucket once at most."""
+    made, write = [], P.settle
+    monkeypatch.setattr(P, "settle", lambda df, label: made.append((label, write(df, label))) or made[-1][1])
+    rows = [(t, "en") for t in sentences(4, 300)]
+    got = P.collocations(spark.createDataFrame(rows, "text string, lang string").repartition(4), least=8, top=40, block_bytes=400)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(expected(rows, 8, 40))
+    blocks = next(df for label, df in made if label == "numbered").count()
+    letters = [df.count() for label, df in made if label == "letters"]
+    assert blocks > 60 and len(letters) >= 3 and all(0 < n <= 8 * blocks for n in letters)
+
+
+@pytest.mark.parametrize("words", [2, 3, 4])
+def test_letters_keep_names_and_counts(words):
+    rng = np.random.default_rng(words)
+    w = [rng.integers(1, 2**32 if i % 2 else 9, 500, dtype=np.uint64) if i < words else np.zeros(500, np.uint64) for i in range(4)]
+    hi, lo = (np.repeat(x, 3) for x in (w[0] << np.uint64(32) | w[1], w[2] << np.uint64(32) | w[3]))
+    want = Counter(zip(hi.tolist(), lo.tolist()))
+    found, buckets = Counter(), []
+    for bucket, body in P.letters_of(hi.copy(), lo.copy(), 16):
+        names = P._read(body)
+        buckets.append(bucket)
+        assert sorted(zip(names[0].tolist(), names[1].tolist())) == list(zip(names[0].tolist(), names[1].tolist()))
+        found.update({(a, b): c for a, b, c in zip(*(x.tolist() for x in names))})
+    assert found == want and buckets == sorted(set(buckets)) and len(buckets) > 8
