@@ -34,7 +34,7 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PART_BYTES = 4 << 20  # text of a block that is parsed at once
 STEP = 1 << 19  # positions whose phrases are looked up at once
 MAIL_BYTES = 1 << 20  # letters of a block in an Arrow batch
